@@ -1,4 +1,4 @@
-"""A training-data pipeline of five stages over ``documents``; see STAGES."""
+"""A training-data pipeline of five stages over ``documents``: each takes what the one before kept, and its decisions take effect."""
 
 from __future__ import annotations
 
@@ -9,6 +9,67 @@ from corpusloom.llm.common import cut, table, written
 from corpusloom.llm.decontaminate import contamination, is_contaminated
 from corpusloom.llm.packing import packed
 from corpusloom.llm.quality import quality
+from corpusloom.llm.secrets import redact, secrets
 from corpusloom.llm.simhash import near_duplicates
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not among the dropped ones; a null doc_id is never dropped here."""
+    return docs.select(*COLUMNS).join(dropped.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps; of rows that share a doc_id all go if one does."""
+    return without(docs, cut(quality(docs).where(~F.col("kept")).select("doc_id")))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: that with the smallest doc_id. Rows that repeat a doc_id go with it or stay with it."""
+    found = near_duplicates(docs)
+    return without(docs, found.where("component_id < doc_id"))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth lies in windows of the benchmark, or nothing."""
+    found = contamination(docs, table(spark, sf_dir, "benchmark"))
+    return without(docs, cut(found.where(is_contaminated(F.col("n_hit"), F.col("n_words"))).select("doc_id")))
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark in place of each secret; n_chars follows the text."""
+    found = secrets(docs).where(F.size("spans") > 0).select("doc_id", "text_hash", "spans").dropDuplicates(["doc_id", "text_hash"])
+    rows = docs.select(*COLUMNS).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = rows["doc_id"].eqNullSafe(found["doc_id"]) & (rows["text_hash"] == found["text_hash"])
+    marked = rows.join(found, same, "left").select(*(rows[c] for c in COLUMNS), found["spans"])
+    text = F.when(F.col("spans").isNotNull(), redact(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
+    return marked.select("doc_id", text.alias("text"), "lang", "source", "n_chars", F.col("spans").isNotNull().alias("m")).select(
+        "doc_id", "text", "lang", "source", F.when(F.col("m"), F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+    )
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 ids."""
+    return packed(docs)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("secrets", secrets_stage),
+    ("packing", packing_stage),
+]
+#: Fingerprints, fitted weights and packing are beyond SQL; tests compare run() with a plain Python version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir, each written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs)
+    return docs
