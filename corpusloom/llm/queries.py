@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .decontaminate import op2_decontaminate
+from .embeddings import op4_embeddings
 from .packing import op9_packing
 from .quality import op8_quality
 from .secrets import op1_secrets
 from .simhash import op7_simhash
+from .suffixes import op5_repeats
 from .tokenfile import op6_token_file
 from .toxicity import op10_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_decontaminate, op6_token_file, op7_simhash, op8_quality, op9_packing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_decontaminate, op4_embeddings, op5_repeats, op6_token_file, op7_simhash, op8_quality, op9_packing, op10_toxicity)}
 ORACLES: dict[str, str] = {}
