@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans.corpus import QUERIES
+from .plans.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]

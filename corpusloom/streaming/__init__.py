@@ -1,0 +1 @@
+"""The line operators on streams."""
