@@ -66,7 +66,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
     def serialized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = encoder(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_narrow(read.encode(t) + end, width) for t in b.column("text").to_pylist()], pa.binary())], names=["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([_narrow(x + end, width) for x in read.encode_all(b.column("text").to_pylist())], pa.binary())], names=["ids"])
 
     sample = docs.where(F.rand(17) < F.lit(share)).limit(2 * sample_docs).mapInArrow(serialized, "ids binary")
     trained = train_dictionary([bytes(r[0]) for r in sample.toLocalIterator()])
@@ -77,7 +77,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
         read = encoder(path)
         press = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(trained) if trained else None)
         for b in batches:
-            ids = [read.encode(t) + end for t in b.column("text").to_pylist()]
+            ids = [x + end for x in read.encode_all(b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([press.compress(_narrow(x, width)) for x in ids], pa.binary())],
                 names=["doc_id", "crc", "size", "frame"],

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import re
+import sys
+from array import array
+
+import numpy as np
 from tokenizers import Tokenizer
 
 try:
@@ -10,6 +16,7 @@ except ImportError:  # the folder of vocabulary files is then given by path
     public_tokenizers = None
 
 WORD_BPE = "word_bpe_49k.json"
+assert sys.byteorder == "little" and array("I").itemsize == 4, "ids are written as they lie in memory"
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -19,45 +26,100 @@ def vocabulary(name: str = WORD_BPE) -> str:
     return public_tokenizers.path(name)
 
 
+#: Signs between an ASCII letter and a space: a piece of their own, for the vocabulary never joins them with letters.
+_SIGNS = re.compile(r"(?<=[A-Za-z])([!-/:-@\[-`{-~]+)(?= )")
+#: Words that normalising leaves alone and that no pattern splits: lower-case letters of Latin-1.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Encoder:
     """The ids of whole texts as little-endian unsigned 32-bit bytes.
 
     The vocabulary drops white space and never joins what it separates, so a text's ids are those of its pieces between
     spaces and line ends, and pieces recur. Other white space stays inside a piece and is left to the library. A text of
-    ASCII is lowered first, as the tokenizer would; not if it may hold a special token, which is told by its case.
+    Latin-1 is lowered first, as the tokenizer would, and signs behind words are set apart; neither where a special token
+    may stand, which is told by its case and signs. New pieces go to the library: plain words many at a time, to a
+    tokenizer of the same vocabulary without its normaliser, which would change nothing; all others as they are. Pieces
+    are kept in two generations of ``most``: when the younger is full it becomes the older one, and what the older one
+    had and was not asked for since is forgotten.
     """
 
-    def __init__(self, path: str, most: int = 500_000, longest: int = 48):
+    def __init__(self, path: str, most: int = 700_000, longest: int = 48):
         self.library = Tokenizer.from_file(path)
-        self.most, self.longest, self.known = most, longest, {"": b""}
-
-    def learn(self, pieces: list[str]) -> None:
-        for p, e in zip(pieces, self.library.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            self.known[p] = b"".join([i.to_bytes(4, "little") for i in e.ids])
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        split = {"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        self.words = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": list(split)}}))
+        vocab = self.words.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a word
+        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.most, self.longest = most, longest
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
 
-    def encode(self, text: str | None) -> bytes:
+    @staticmethod
+    def pieces(text: str | None) -> list[str]:
         if not text:
-            return b""
-        if text.isascii() and "<|" not in text:
-            text = text.lower()
-        pieces = text.replace("\n", " ").split(" ")
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            pass
-        new = list(dict.fromkeys(p for p in pieces if p not in known))
-        if len(known) + len(new) > self.most:
-            self.known = known = {"": b""}
-            new = list(dict.fromkeys(p for p in pieces if p))
-        for i in range(0, len(new), 4096):
-            self.learn(new[i : i + 4096])
-        out = b"".join(map(known.__getitem__, pieces))
-        for p in new:
-            if len(p) > self.longest:
-                del known[p]
+            return []
+        text = text.replace("\n", " ")
+        if "<|" not in text:
+            text = _SIGNS.sub(r" \1", text.lower() if text.isascii() or _latin(text) else text)
+        return text.split(" ")
+
+    def learn(self, new: list[str]) -> dict[str, bytes]:
+        young, plain = {}, []
+        rest = [p for p in new if not (_PLAIN.fullmatch(p) and not plain.append(p))]
+        for i in range(0, len(rest), 8192):
+            part = rest[i : i + 8192]
+            for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                young[p] = array("I", e.ids).tobytes()
+        for i in range(0, len(plain), 1024):
+            part = plain[i : i + 1024]
+            ids = array("I", self.words.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids)
+            ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+            ids = ids.tobytes()
+            young.update(zip(part, (ids[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+        self.young.update((p, ids) for p, ids in young.items() if len(p) <= self.longest)
+        return young
+
+    def encode_all(self, texts: list[str | None], most_chars: int = 1 << 21) -> list[bytes]:
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size < most_chars):
+                size += len(texts[end] or "")
+                end += 1
+            out += self._encode([self.pieces(t) for t in texts[at:end]])
+            at = end
         return out
 
+    def _encode(self, texts: list[list[str]]) -> list[bytes]:
+        """Each different piece is looked up once in all that is known, and then in what these texts have."""
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {"": b""}
+        young, old, here, new = self.young.get, self.old.get, {}, []
+        for p in set().union(*texts):
+            if (ids := young(p)) is None:
+                if (ids := old(p)) is None:
+                    new.append(p)
+                    continue
+                self.young[p] = ids
+            here[p] = ids
+        here.update(self.learn(new))
+        return [b"".join(map(here.__getitem__, t)) for t in texts]
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_all([text])[0]
+
 
 def encoder(path: str) -> Encoder:
     """One for each worker process; what it has learnt lasts from task to task."""
