@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -121,3 +122,20 @@ def train(lines: DataFrame, stage1: int = 12_000, vocab: int = 20_000, checkpoin
     done = Model(list(symbols.strings), first, [])
     units = encode(line_freq(lines), done, "unit", as_chars=True).select(F.col("ids").alias("unit"), "freq")
     return Model(symbols.strings, first, _learn(units, vocab + more * len(symbols), symbols, driver_symbols, mark(2), **stage2))
+
+
+def train_words(lines: DataFrame, vocab: int = 20_000, driver_symbols: int = DRIVER_SYMBOLS, more: bool = False) -> Model:
+    """The one-stage baseline: merges inside words alone. Its reports count no tokens for white space (compression with mode "words")."""
+    symbols = Symbols()
+    merges = learn_units(word_freq(lines), vocab, symbols, driver_symbols, more=more)
+    return Model(symbols.strings, merges, [])
+
+
+def seconds_per_merge(lines: DataFrame, stage1: Model, merges: int = 300, project: int = 12_000) -> dict[str, float]:
+    """How long a stage-2 merge takes over some, and the time for ``project`` of them at that rate."""
+    symbols = Symbols(list(stage1.strings))
+    units = encode(line_freq(lines), stage1, "unit", as_chars=True).select(F.col("ids").alias("unit"), "freq")
+    began = time.perf_counter()
+    done = len(_learn(units, len(symbols) + merges, symbols, DRIVER_SYMBOLS, None))
+    rate = (time.perf_counter() - began) / max(done, 1)
+    return {"merges": done, "seconds_per_merge": rate, "projected_s": rate * project}
