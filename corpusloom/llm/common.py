@@ -31,11 +31,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder; later reads survive lost executors and keep its partitioning."""
+    """``df`` computed once and kept in the shared folder; later reads survive lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def cut_by(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """``df`` dealt by keys and kept like that: later groups and cogroups by the keys come to it without another shuffle.
+
+    Spark remembers how rows were dealt only if the plan is not an adaptive one.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    had = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return cut(df.repartition(n, *keys))
+    finally:
+        conf.set(name, had)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again: compressed, for what is large."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"

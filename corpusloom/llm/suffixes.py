@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import cut, release, table
+from .common import cut, cut_by, release, table
 
 #: Length of the byte strings whose hashes are seeds; every string looked for holds several.
 GRAM = 20
 #: Positions that one suffix array holds.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0xD6E8FEB86659FD93
 
@@ -77,7 +78,8 @@ def seeds(texts: list[bytes], length: int, chunk: int = 1 << 17) -> tuple[np.nda
         first = start[new]
         k = np.searchsorted(end, first, side="right")
         t, o = (np.array(v, np.int64)[k] for v in zip(*[(i, o) for i, o, _ in held], strict=True))
-        out.append((t, first - (end - size)[k] + o, np.diff(np.append(new, len(start))), h[p[new]]))
+        mixed = h[p[new]] * np.uint64(0xD1B54A32D192ED03)  # the least hashes are small ones: spread over all ranges again
+        out.append((t, first - (end - size)[k] + o, np.diff(np.append(new, len(start))), mixed))
 
     n = 0
     for i, text in enumerate(texts):
@@ -95,26 +97,32 @@ def seeds(texts: list[bytes], length: int, chunk: int = 1 << 17) -> tuple[np.nda
     return tuple(np.concatenate(v) for v in zip(*out, strict=True)) if out else tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
 
 
-def suffix_array(s: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of s (values from 0 to 256) in the order of their first ``depth`` symbols or more, and each position's rank: Larsson and Sadakane's refinement, in which only groups that are not yet told apart are sorted again, by the ranks of what follows."""
+def suffix_array(s: np.ndarray) -> np.ndarray:
+    """The suffixes of s in order: values from 1 to 256, and 0 behind each text, which counts as a different, smaller symbol each time, by place.
+
+    Larsson and Sadakane's refinement: suffixes are sorted by their first symbols, and then only groups that are not yet
+    told apart are sorted again, by the ranks of what follows, with twice as many symbols each time.
+    """
     n, h = len(s), 7
     padded = np.concatenate([s, np.zeros(h, s.dtype)]).astype(np.int64)
+    stops = np.flatnonzero(s == 0)
+    left = stops[np.searchsorted(stops, np.arange(n))] - np.arange(n)
     key = np.zeros(n, np.int64)
     for i in range(h):
-        key = key * 257 + padded[i : i + n]
+        key = key * 257 + padded[i : i + n] * (left > i)
     sa = np.argsort(key, kind="stable")
-    sorted_key = key[sa]
-    head = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
+    key = key[sa]
+    head = np.concatenate([[True], key[1:] != key[:-1]]) | (left[sa] < h)  # the sort is stable: by place where a 0 is in reach
     while True:
         group = np.flatnonzero(head)[np.cumsum(head) - 1]  # the place of a group's first member is its name
+        if head.all():
+            return sa
         rank = np.empty(n + 1, np.int64)
         rank[sa] = group
         rank[n] = -1
-        if h >= depth or head.all():
-            return sa, rank[:n]
         open_ = np.flatnonzero(~(head & np.append(head[1:], True)))
         after = rank[np.minimum(sa[open_] + h, n)]
-        order = np.lexsort((after, group[open_])) if n > 1 << 31 else np.argsort(group[open_] * (n + 1) + after + 1, kind="stable")
+        order = np.argsort(group[open_] * (n + 1) + after + 1, kind="stable")
         moved, g, f = sa[open_[order]], group[open_[order]], after[order]
         sa[open_] = moved
         head[open_] = np.concatenate([[True], (g[1:] != g[:-1]) | (f[1:] != f[:-1])])
@@ -206,7 +214,7 @@ def first_documents(regions: list[bytes], docs: np.ndarray, length: int, block:
         ends = np.cumsum(lens + 1) - 1
         starts = ends - lens
         s[ends] = 0
-        sa, _ = suffix_array(s, length)
+        sa = suffix_array(s)
         lcp = common_prefixes(s, sa, starts, ends, length)
         window = np.zeros(len(s), bool)
         for k in range(int(n_windows[at:end].max())):
@@ -291,7 +299,8 @@ def repeats(docs: DataFrame, length: int = 50, part_bytes: int = 16 << 20, hot:
     3. The windows of such seeds go, once for each different stretch of text in a part and with its smallest doc_id, to
        the range of their seed, so that equal windows meet. Seeds with more than ``hot`` places are dealt by the hash of
        each whole window instead, so that one very common string is not one task.
-    4. In each range suffix arrays give every window the smallest document that has it.
+    4. In each range suffix arrays give every window the smallest document that has it, wherever a seed has different
+       stretches of text.
     5. Back in the parts, windows with a smaller document are marked and the rest of each text is hashed.
     """
     spark = ship(docs.sparkSession)
@@ -309,7 +318,7 @@ def repeats(docs: DataFrame, length: int = 50, part_bytes: int = 16 << 20, hot:
 
     part = F.pmod(F.xxhash64("doc_id"), F.lit(n_parts)).alias("part")
     n_tasks = max(n_parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    kept = cut(docs.select(part, "doc_id", "text").mapInArrow(store, STORE).repartition(n_tasks, "part"))
+    kept = cut_by(docs.select(part, "doc_id", "text").mapInArrow(store, STORE), n_tasks, "part")
     release(spark)
 
     def count_seeds(t: pa.Table) -> pa.Table:
@@ -355,56 +364,71 @@ def repeats(docs: DataFrame, length: int = 50, part_bytes: int = 16 << 20, hot:
         seen: dict[bytes, int] = {}
         lows: list[int] = []
         to: list[int] = []
+        subs: list[int] = []
         places: list[tuple[int, int, int, int]] = []
         ranges = _ranges(h, n_parts).tolist()
-        for a, f, k, r, many, d in zip(t.tolist(), first.tolist(), n.tolist(), ranges, is_hot.tolist(), doc[t].tolist(), strict=True):
+        low_bits = (h & np.uint64(0xFFFFFFFF)).astype(np.int64).tolist()
+        for a, f, k, r, b, many, d in zip(t.tolist(), first.tolist(), n.tolist(), ranges, low_bits, is_hot.tolist(), doc[t].tolist(), strict=True):
             text = texts[a]
             for s, m in [(f, k)] if not many else [(f + i, 1) for i in range(k)]:
                 piece = text[s : s + m - 1 + length]
                 i = seen.setdefault(piece, len(seen))
                 if i == len(lows):
                     lows.append(d)
-                    to.append(r if not many else int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little") % n_parts)
+                    own = int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little") if many else 0
+                    to.append((own >> 32) % n_parts if many else r)
+                    subs.append(own & 0xFFFFFFFF if many else b)
                 elif d < lows[i]:
                     lows[i] = d
                 places.append((a, s, m, i))
-        own = left.column("part")[0].as_py()
+        part = left.column("part")[0].as_py()
         p = np.array(places, np.int64).reshape(-1, 4)
         row = np.array(named, np.int64)
         rows = [(-1, _pack(row[p[:, 0]].astype("<i8"), doc[p[:, 0]].astype("<i8"), *(p[:, c].astype("<i8") for c in (1, 2, 3))))]
-        pieces, to, lows = list(seen), np.array(to, np.int64), np.array(lows, np.int64)
+        pieces, to, lows, subs = list(seen), np.array(to, np.int64), np.array(lows, np.int64), np.array(subs, np.int64)
         order = np.argsort(to, kind="stable")
         for k in np.unique(to).tolist():
             mine = order[np.searchsorted(to[order], k) : np.searchsorted(to[order], k, side="right")]
             these = [pieces[i] for i in mine.tolist()]
-            rows.append((k, _pack(mine.astype("<i8"), lows[mine].astype("<i8"), np.array([len(x) for x in these], "<i8"), b"".join(these))))
-        return pa.table({"part": pa.array([own] * len(rows), pa.int64()), "range": pa.array([k for k, _ in rows], pa.int64()), "blob": pa.array([b for _, b in rows], pa.binary())})
+            rows.append((k, _pack(mine.astype("<i8"), lows[mine].astype("<i8"), subs[mine].astype("<u4"), np.array([len(x) for x in these], "<i8"), b"".join(these))))
+        return pa.table({"part": pa.array([part] * len(rows), pa.int64()), "range": pa.array([k for k, _ in rows], pa.int64()), "blob": pa.array([b for _, b in rows], pa.binary())})
 
     def judge(t: pa.Table) -> pa.Table:
         """For each part and stretch of text: the smallest document that has all of it, and which windows an even smaller one has."""
         seen: dict[bytes, int] = {}
         lows: list[int] = []
+        subs: list[int] = []
         mine = []
         for b in t.column("blob").to_pylist():
-            idx, low, size, text = _unpack(b)
+            idx, low, sub, size, text = _unpack(b)
             idx, low, size = (np.frombuffer(x, "<i8") for x in (idx, low, size))
             at, which = 0, []
-            for d, n in zip(low.tolist(), size.tolist(), strict=True):
+            for d, k, n in zip(low.tolist(), np.frombuffer(sub, "<u4").tolist(), size.tolist(), strict=True):
                 piece = text[at : at + n]
                 at += n
                 i = seen.setdefault(piece, len(seen))
                 if i == len(lows):
                     lows.append(d)
+                    subs.append(k)
                 elif d < lows[i]:
                     lows[i] = d
                 which.append(i)
             mine.append((idx, np.array(which, np.int64)))
         pieces, lows = list(seen), np.array(lows, np.int64)
-        order = sorted(range(len(pieces)), key=pieces.__getitem__)
-        best = first_documents([pieces[i] for i in order], lows[order], length)
-        smaller: list[np.ndarray] = [np.zeros(0, bool)] * len(pieces)
-        for i, b in zip(order, best, strict=True):
-            smaller[i] = b < lows[i]
+        smaller = [np.zeros(len(x) - length + 1, bool) for x in pieces]
+        # of a seed with one stretch of text alone, that text's smallest document is that of all its windows
+        times = Counter(subs)
+        order = sorted((i for i in range(len(pieces)) if times[subs[i]] > 1), key=lambda i: (subs[i], pieces[i]))
+        at = 0
+        while at < len(order):  # as many whole seeds as fill a block; what shares no seed shares no window
+            end, size = at, 0
+            while end < len(order) and (size < BLOCK // 2 or subs[order[end]] == subs[order[end - 1]]):
+                size += len(pieces[order[end]]) + 1
+                end += 1
+            group = order[at:end]
+            at = end
+            for i, b in zip(group, first_documents([pieces[i] for i in group], lows[group], length), strict=True):
+                smaller[i] = b < lows[i]
         rows = []
         for p, (idx, which) in zip(t.column("part").to_pylist(), mine, strict=True):
             bits = [smaller[i] for i in which.tolist()]
