@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op2_decontaminate
 from .embeddings import op4_embeddings
 from .licenses import op3_licenses
+from .oracles import ORACLES
 from .packing import op9_packing
 from .quality import op8_quality
 from .secrets import op1_secrets
@@ -14,4 +15,4 @@ from .tokenfile import op6_token_file
 from .toxicity import op10_toxicity
 
 QUERIES = {f.__name__: f for f in (op1_secrets, op2_decontaminate, op3_licenses, op4_embeddings, op5_repeats, op6_token_file, op7_simhash, op8_quality, op9_packing, op10_toxicity)}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
