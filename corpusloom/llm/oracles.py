@@ -67,7 +67,7 @@ list_transform(string_split(s, ''), lambda c: instr(ab, c)::DOUBLE - (length(ab)
 t4 AS (SELECT *, list_sum(list_transform(range(1, len(x)), lambda i: x[i] * x[i + 1])) / ((n - 1) * (sz * sz - 1) / 12) * sqrt(n - 1) AS serial, (chi - (sz - 1)) / sqrt(2 * (sz - 1) * (n - 1) / n) AS z_chi,
 CASE WHEN turn > 0 THEN (turns - (n - 1) * turn) / sqrt((n - 1) * turn * (1 - turn) + 1e-9) ELSE 0.0 END AS z_runs, (n - 1) * (sz * same - 1) AS uneven FROM t3),
 t5 AS (SELECT *, least({_tail("-z_chi")}, 2 * ({_tail("-abs(z_runs)")}), 2 * ({_tail("-abs(serial)")})) AS worst, (chi - (sz - 1) - uneven) / sqrt(2 * (sz - 1) + 4 * uneven + pow(0.2 * uneven, 2.0)) AS tc,
-CASE WHEN turn > 0 THEN ((n - 1) * 0.125 - turns) / sqrt((n - 1) * 0.11) END AS tr FROM t4),
+CASE WHEN turn > 0 THEN ((n - 1) * 0.25 - turns) / sqrt((n - 1) * 0.19) END AS tr FROM t4),
 t6 AS (SELECT *, CASE WHEN turn > 0 THEN (tc + tr) / sqrt(2.0) ELSE tc END AS j FROM t5),
 t7 AS (SELECT *, 3 * worst >= 0.001 AS uniform, greatest({_tail("j")}, 1e-300) AS pv, least(floor(log2(n)), 7)::INTEGER AS lc FROM t6),
 t8 AS (SELECT *, floor(-log10(pv) * 10)::INTEGER AS bin FROM t7),

@@ -93,8 +93,8 @@ def tests(tokens: DataFrame) -> DataFrame:
     worst = F.least(lower_tail(-F.col("z_chi")), 2 * lower_tail(-F.abs("z_runs")), 2 * lower_tail(-F.abs("serial")))
     uneven = (n - 1) * (size * F.col("same") - 1)
     text_chi = (F.col("chi") - (size - 1) - uneven) / F.sqrt(2 * (size - 1) + 4 * uneven + F.pow(0.2 * uneven, F.lit(2.0)))
-    # words turn from one class to another about once in eight letters
-    text_runs = F.when(turn > 0, ((n - 1) * 0.125 - (F.col("runs") - 1)) / F.sqrt((n - 1) * 0.11))
+    # joined words in mixed case turn from one class to another about once in four letters
+    text_runs = F.when(turn > 0, ((n - 1) * 0.25 - (F.col("runs") - 1)) / F.sqrt((n - 1) * 0.19))
     joint = F.when(turn > 0, (text_chi + text_runs) / F.sqrt(F.lit(2.0))).otherwise(text_chi)
     return t.withColumn("uniform", 3 * worst >= 0.001).withColumn("p", F.greatest(lower_tail(joint), F.lit(1e-300))).withColumn("encoding", pick(lambda e: e[0]))
 
