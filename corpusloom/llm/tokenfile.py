@@ -50,7 +50,7 @@ def train_dictionary(samples: list[bytes], size: int = 64 * 1024) -> bytes:
         return b""
 
 
-def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 2, width: int = 2, sample_docs: int = 1000, block_bytes: int = 1 << 20, level: int = 3) -> str:
+def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 2, width: int = 2, sample_docs: int = 1000, block_bytes: int = 1 << 20, level: int = 1) -> str:
     """Encodes doc_id, text into a token file in ``folder`` and returns the folder.
 
     The dictionary is trained on a random sample of about sample_docs documents (twice as many at most; the bound on what
@@ -74,9 +74,11 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
     spark.createDataFrame([(digest, width, end_id, bytearray(trained))], "hash string, width int, end_id int, dictionary binary").coalesce(1).write.parquet(f"{folder}/dictionary")
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = encoder(path)
-        press = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(trained) if trained else None)
-        for b in batches:
+        read, shared = encoder(path), zstandard.ZstdCompressionDict(trained) if trained else None
+        if shared:
+            shared.precompute_compress(level=level)  # else each document digests it again
+        press = zstandard.ZstdCompressor(level=level, dict_data=shared)
+        for b in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
             ids = [x + end for x in read.encode_all(b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([press.compress(_narrow(x, width)) for x in ids], pa.binary())],

@@ -52,7 +52,7 @@ class Encoder:
     had and was not asked for since is forgotten.
     """
 
-    def __init__(self, path: str, most: int = 700_000, longest: int = 48):
+    def __init__(self, path: str, most: int = 350_000, longest: int = 48):
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
