@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut, table, written
-from corpusloom.llm.decontaminate import contamination, is_contaminated
+from corpusloom.llm.common import table, written
+from corpusloom.llm.decontaminate import clean_documents
 from corpusloom.llm.packing import packed
 from corpusloom.llm.quality import quality
 from corpusloom.llm.secrets import redact, secrets
@@ -15,26 +15,25 @@ from corpusloom.llm.simhash import near_duplicates
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is not among the dropped ones; a null doc_id is never dropped here."""
-    return docs.select(*COLUMNS).join(dropped.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps; of rows that share a doc_id all go if one does."""
-    return without(docs, cut(quality(docs).where(~F.col("kept")).select("doc_id")))
+    """Documents that the quality classifier keeps."""
+    return quality(docs.select(*COLUMNS), filtering=True)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest doc_id. Rows that repeat a doc_id go with it or stay with it."""
-    found = near_duplicates(docs)
-    return without(docs, found.where("component_id < doc_id"))
+    """One document of each group of near-duplicates: that with the smallest doc_id.
+
+    Rows that repeat a doc_id with one text stay or go together. A row without a doc_id goes if its group has one with it.
+    """
+    found = near_duplicates(docs).where("component_id < doc_id OR (doc_id IS NULL AND component_id IS NOT NULL)")
+    gone = found.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("gone_hash"))
+    return docs.select(*COLUMNS).join(gone, same, "left_anti")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth lies in windows of the benchmark, or nothing."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, cut(found.where(is_contaminated(F.col("n_hit"), F.col("n_words"))).select("doc_id")))
+    return clean_documents(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

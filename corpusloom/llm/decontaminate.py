@@ -93,6 +93,11 @@ def scan(text: bytes | None, automata) -> tuple[int, int, list[str], list[dict]]
     return len(w), int(hit.sum()), sorted(items), spans_in(text, hit)
 
 
+def _shared(spark: SparkSession, benchmark: DataFrame, window: int, max_block_bytes: int) -> list:
+    sc = ship(spark).sparkContext
+    return [sc.broadcast((hashlib.sha256(repr(b).encode()).hexdigest(), b)) for b in blocks(benchmark, window, max_block_bytes)]
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_block_bytes: int = 2_000_000) -> DataFrame:
     """Words of each document that lie in a window of a benchmark item: doc_id, n_words, n_hit, items (ids, sorted), spans (code points of the original text).
 
@@ -102,8 +107,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_b
     columns other than doc_id and text are not read, and an empty benchmark marks nothing. Texts are read once,
     whatever their length; a benchmark longer than one block makes further automata, each bounded in size.
     """
-    sc = ship(docs.sparkSession).sparkContext
-    shared = [sc.broadcast((hashlib.sha256(repr(b).encode()).hexdigest(), b)) for b in blocks(benchmark, window, max_block_bytes)]
+    shared = _shared(docs.sparkSession, benchmark, window, max_block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -126,6 +130,18 @@ def is_contaminated(n_hit, n_words):
     return (n_hit > 0) & (ONE_IN * n_hit >= n_words)
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_block_bytes: int = 2_000_000) -> DataFrame:
+    """The rows of docs, as they are, that are not contaminated."""
+    shared = _shared(docs.sparkSession, benchmark, window, max_block_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
+            found = [scan(t, lambda: map(_automaton, shared)) for t in binary(b, "text")]
+            yield b.filter(pa.array([not is_contaminated(hit, n) for n, hit, _, _ in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(

@@ -36,15 +36,16 @@ def fingerprint(text: bytes | None, n: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's bits as a signed long. Null and empty texts have 0."""
+    """(doc_id, text_hash, fp): text_hash is the XXH64 of the text (null as empty), fp the fingerprint's bits as a signed long. Null and empty texts have 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t, words) for t in binary(b, "text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(fp)], names=["doc_id", "text_hash", "fp"])
 
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 #: Segments of two bits: the embedding has 32 coordinates from 0 to 2.
@@ -155,7 +156,7 @@ def links(reps: DataFrame, distance: int = 4, groups: int = 6, block: int = 4096
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, groups: int = 6) -> DataFrame:
-    """(doc_id, fp, component_id) for each row: documents whose fingerprints differ in ``distance`` bits or fewer are linked, and component_id is the smallest doc_id reachable.
+    """(doc_id, text_hash, fp, component_id) for each row: documents whose fingerprints differ in ``distance`` bits or fewer are linked, and component_id is the smallest doc_id reachable.
 
     Equal fingerprints, those of null and empty texts (0) among them, are one node, so copies cost no pairs. Rows that
     repeat a doc_id each get their row; a null doc_id keeps its row, is never a component's name unless nothing else is
@@ -166,7 +167,7 @@ def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, groups:
     named = reps.where("rep IS NOT NULL")
     roots = components(links(named, distance, groups))
     of_fp = reps.join(roots, reps.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(of_fp, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
