@@ -8,10 +8,10 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import table, written
 
 #: Notices by family: what training starts from and what predictions are compared with.
 TEMPLATES = (
@@ -55,7 +55,7 @@ OTHER = (
     "License plates are issued by the state, version two since May.",
     "Please see the file for details of the terms and conditions of sale.",
 )
-#: A paragraph without any of these is not looked at: it belongs to the unknown class without a prediction.
+#: A single line without any of these is no candidate; runs of lines are looked at by the templates' own word triples.
 ANCHOR = r"(?i)licen[cs]|copyright|redistribut|permission|warrant|spdx|creative commons|\bcc[ -]?(by|0)|public domain|rights reserved"
 UNKNOWN = "unknown"
 N = 3
@@ -166,13 +166,65 @@ def classify(text: str, model: Model | None = None) -> tuple[str, float, int, fl
     return (m.classes[k] if p[k] >= m.least else UNKNOWN), float(p[k]), t, float(share[t]) if t >= 0 else 0.0
 
 
+@lru_cache
+def needed_words(confirm: float) -> tuple[str, ...]:
+    """Words of which every text with an overlap of ``confirm`` has one: without them, too few of each template's triples are left. Long words, and words that are neither "this" nor in OTHER, are taken first."""
+    m = trained()
+    plain = {"this", *(w for t in OTHER for w in words_of(t))}
+    left = {t: {g for g, ts in m.templates.items() if t in ts} for t in range(len(TEMPLATES))}
+    found: set[str] = set()
+    for t, grams in left.items():
+        rest = {g for g in grams if not found & set(g.split())}
+        while len(rest) >= confirm * m.sizes[t]:
+            best = max({w for g in rest for w in g.split()}, key=lambda w: (sum(w in g.split() for g in rest) * len(w) ** 2 * (0.1 if w in plain else 1), w))
+            found.add(best)
+            rest = {g for g in rest if best not in g.split()}
+    return tuple(sorted(found))
+
+
+def _runs(hits: DataFrame, m: Model) -> DataFrame:
+    """(row, first, last, of) of the runs of lines to classify in each row of row, lines: paragraphs with a word triple of a template (of holds -1), and for each family the longest runs of lines within a paragraph that all have a part in its triples (of holds the family's places).
+
+    Triples are taken across lines; a line without a letter or digit ends a paragraph.
+    """
+    spark = hits.sparkSession
+    family = [m.classes.index(f) for f, _ in TEMPLATES]
+    rows = [{"g": g, "k": sorted({family[t] for t in ts})} for g, ts in sorted(m.templates.items())] + [{"g": "", "k": [-1]}]
+    known = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), "array<struct<g:string,k:array<int>>>")))
+
+    def words(x: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(F.lower(x.par), F.lit("[a-z0-9]+"), F.lit(0)), lambda g: F.struct(x.line.alias("line"), g.alias("g")))
+        return F.when(x.par.rlike(r"[\p{L}\p{N}]"), found).otherwise(F.array(F.struct(x.line.alias("line"), F.lit("").alias("g"))))
+
+    end = F.array(F.struct(F.size("lines").alias("line"), F.lit("").alias("g")))
+    w = hits.select("row", F.concat(F.flatten(F.transform("lines", words)), end).alias("w"))
+
+    def triple(x: Column, i: Column) -> Column:
+        b, c = F.get("w", i + 1), F.get("w", i + 2)
+        whole = (x.g != "") & (b.g != "") & (c.g != "")
+        return F.when(x.g == "", F.struct(x.line.alias("a"), x.line.alias("z"), F.lit("").alias("g"))).when(
+            whole, F.struct(x.line.alias("a"), c.line.alias("z"), F.concat_ws(" ", x.g, b.g, c.g).alias("g"))
+        )
+
+    met = w.select("row", F.inline(F.filter(F.transform("w", triple), lambda x: x.isNotNull()))).join(F.broadcast(known), "g")
+    met = met.select("row", F.explode(F.sequence("a", "z")).alias("line"), "k").select("row", "line", F.explode("k").alias("k")).distinct()
+    blank, by_row = F.when(F.col("k") == -1, F.col("line")), Window.partitionBy("row")
+    met = met.withColumn("before", F.max(blank).over(by_row.orderBy("line"))).withColumn("after", F.min(blank).over(by_row.orderBy(F.desc("line")))).where("k >= 0")
+    met = met.withColumn("island", F.col("line") - F.row_number().over(Window.partitionBy("row", "k").orderBy("line")))
+    runs = met.groupBy("row", "k", "island").agg(F.min("line").alias("first"), F.max("line").alias("last")).select("row", "first", "last", "k")
+    whole = met.select("row", (F.coalesce("before", F.lit(-1)) + 1).alias("first"), (F.col("after") - 1).alias("last"), F.lit(-1).alias("k")).distinct()
+    return runs.union(whole).groupBy("row", "first", "last").agg(F.collect_set("k").alias("of"))
+
+
 def paragraphs(docs: DataFrame, model: Model | None = None, confirm: float = 0.5) -> DataFrame:
-    """(row, doc_id, candidates) for each row of doc_id, text; candidates is an array of (line, family, probability, template, overlap, confirmed) by line.
+    """(row, doc_id, candidates, blocks) for each row of doc_id, text; candidates is an array of (line, family, probability, template, overlap, confirmed) by line, blocks one of (first, last, family, probability, template, overlap, confirmed) by the first and last line.
 
-    Candidates are the lines (numbered from 0) with an anchor word. family is the class of the highest probability, or
+    Candidates are the lines (numbered from 0) with an anchor word. Blocks are the runs of lines that _runs() names, read as one text, so that
+    a notice wrapped over lines is confirmed; a single line is a block only if it has no anchor word. Texts without any of
+    needed_words() cannot have a confirmed block and have no blocks. family is the class of the highest probability, or
     "unknown" where that is below the calibrated least; template is the place in TEMPLATES of the notice of that class
-    with the largest share of its word triples in the line (-1 for the unknown class), overlap that share, and confirmed
-    whether family is known and overlap at least ``confirm``. Texts that are null or empty have no candidates, whatever
+    with the largest share of its word triples in the text (-1 for the unknown class), overlap that share, and confirmed
+    whether family is known and overlap at least ``confirm`` (and, for a block that is no paragraph, family is one it was taken for). Texts that are null or empty have no candidates, whatever
     their length lines are read whole, rows that repeat stay apart by row, a null doc_id stays null, an empty table
     gives no rows, and other columns are not read. The table of n-grams that is broadcast comes from TEMPLATES and OTHER
     alone.
@@ -183,10 +235,16 @@ def paragraphs(docs: DataFrame, model: Model | None = None, confirm: float = 0.5
     known = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), "array<struct<g:string,w:array<double>,t:array<int>>>")))
     docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line"), x.alias("par")))
-    picked = F.when(F.col("text").rlike(ANCHOR), F.filter(lines, lambda x: x.par.rlike(ANCHOR))).otherwise(F.array().cast("array<struct<line:int,par:string>>"))
-    read = cut(docs.select("row", "doc_id", picked.alias("lines")))
+    hit = F.lower("text").rlike(f"(?<![a-z0-9])(?:{'|'.join(needed_words(confirm))})(?![a-z0-9])")
+    docs = docs.select("*", hit.alias("hit"))
+    read = written(docs.select("row", "doc_id", F.when(F.col("hit") | F.col("text").rlike(ANCHOR), F.col("text")).alias("text"), "hit"))
+    pieces = read.where("text IS NOT NULL").select("row", "hit", lines.alias("lines"))
+    single = pieces.select("row", F.inline(F.filter("lines", lambda x: x.par.rlike(ANCHOR)))).select("row", F.col("line").alias("first"), F.col("line").alias("last"), F.lit(None).cast("array<int>").alias("of"), "par")
+    hits = pieces.where("hit").select("row", "lines")
+    taken = hits.join(_runs(hits, m), "row").select("row", "first", "last", "of", F.array_join(F.slice(F.col("lines.par"), F.col("first") + 1, F.col("last") - F.col("first") + 1), "\n").alias("par"))
+    taken = taken.where((F.col("first") < F.col("last")) | ~F.col("par").rlike(ANCHOR))
     words = F.regexp_extract_all(F.lower("par"), F.lit("[a-z0-9]+"), F.lit(0))
-    one = read.select("row", F.inline("lines")).select("row", "line", words.alias("w"))
+    one = single.union(taken).select("row", "first", "last", "of", words.alias("w"))
     size = F.size("w")
 
     def runs_of(n: int) -> Column:
@@ -194,15 +252,15 @@ def paragraphs(docs: DataFrame, model: Model | None = None, confirm: float = 0.5
         return F.when(size >= n, at).otherwise(F.array().cast("array<string>"))
 
     runs = [runs_of(n) for n in range(1, N + 1)]
-    grams = one.select("row", "line", F.explode_outer(F.array_distinct(F.concat(*runs))).alias("g"))
+    grams = one.select("row", "first", "last", "of", F.explode_outer(F.array_distinct(F.concat(*runs))).alias("g"))
     met = grams.join(F.broadcast(known), "g", "left")
     n_class, n_template = len(m.classes), len(TEMPLATES)
     sums = [F.sum(F.coalesce(F.col("w")[k], F.lit(0.0))).alias(f"z{k}") for k in range(n_class)]
     shares = [F.count(F.when(F.array_contains("t", k), 1)).alias(f"t{k}") for k in range(n_template)]
-    scored = met.groupBy("row", "line").agg(*sums, *shares)
+    scored = met.groupBy("row", "first", "last", "of").agg(*sums, *shares)
     z = F.array(*[(F.col(f"z{k}") + m.bias[k]) / m.temperature for k in range(n_class)])
     share = F.array(*[F.col(f"t{k}") / m.sizes[k] for k in range(n_template)])
-    scored = scored.select("row", "line", z.alias("z"), share.alias("share")).withColumn("top", F.array_max("z"))
+    scored = scored.select("row", "first", "last", "of", z.alias("z"), share.alias("share")).withColumn("top", F.array_max("z"))
     scored = scored.withColumn("k", F.array_position("z", F.col("top")).cast("int") - 1)
     scored = scored.withColumn("probability", 1 / F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))
     best: Column = F.struct(F.lit(0.0).alias("s"), F.lit(-1).alias("t"))
@@ -212,21 +270,39 @@ def paragraphs(docs: DataFrame, model: Model | None = None, confirm: float = 0.5
         best = F.when(F.col("k") == c, F.struct(pick.s.alias("s"), (-pick.t).alias("t"))).otherwise(best)
     scored = scored.withColumn("best", best)
     family = F.when(F.col("probability") >= m.least, F.element_at(F.array(*map(F.lit, m.classes)), F.col("k") + 1)).otherwise(UNKNOWN)
-    out = scored.select("row", "line", family.alias("family"), "probability", F.col("best.t").alias("template"), F.col("best.s").alias("overlap"))
-    out = out.withColumn("confirmed", (F.col("family") != UNKNOWN) & (F.col("overlap") >= confirm))
-    by_row = out.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("line", "family", "probability", "template", "overlap", "confirmed"))).alias("candidates"))
-    empty = F.array().cast("array<struct<line:int,family:string,probability:double,template:int,overlap:double,confirmed:boolean>>")
-    return read.select("row", "doc_id").join(by_row, "row", "left").withColumn("candidates", F.coalesce("candidates", empty))
+    out = scored.select("row", "first", "last", "of", "k", family.alias("family"), "probability", F.col("best.t").alias("template"), F.col("best.s").alias("overlap"))
+    meant = F.col("of").isNull() | F.array_contains("of", -1) | F.array_contains("of", F.col("k"))
+    out = out.withColumn("confirmed", (F.col("family") != UNKNOWN) & (F.col("overlap") >= confirm) & meant)
+    said = ("family", "probability", "template", "overlap", "confirmed")
+    by_row = out.groupBy("row").agg(
+        F.array_sort(F.collect_list(F.when(F.col("of").isNull(), F.struct(F.col("first").alias("line"), *said)))).alias("candidates"),
+        F.array_sort(F.collect_list(F.when(F.col("of").isNotNull(), F.struct("first", "last", *said)))).alias("blocks"),
+    )
+    rest = "family:string,probability:double,template:int,overlap:double,confirmed:boolean"
+    no_line, no_block = (F.array().cast(f"array<struct<{at},{rest}>>") for at in ("line:int", "first:int,last:int"))
+    return read.select("row", "doc_id").join(by_row, "row", "left").select("row", "doc_id", F.coalesce("candidates", no_line).alias("candidates"), F.coalesce("blocks", no_block).alias("blocks"))
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each document: lines looked at, lines with a confirmed licence, lines left unknown, and the confirmed families."""
+    """For each document: lines looked at, confirmed licences, lines left unknown, and the confirmed families.
+
+    Each confirmed line is a licence, and each confirmed block with no confirmed line or smaller block of its family in it.
+    """
+    return documents(table(spark, sf_dir, "documents"))
+
+
+def documents(docs: DataFrame) -> DataFrame:
+    """What op3_licenses() gives, for any rows of doc_id, text."""
     c = F.col("candidates")
-    sure = F.filter(c, lambda x: x.confirmed)
-    return paragraphs(table(spark, sf_dir, "documents")).select(
+    found = paragraphs(docs).withColumn("sure", F.filter(c, lambda x: x.confirmed)).withColumn("wide", F.filter("blocks", lambda x: x.confirmed))
+    has_line = lambda b: F.exists("sure", lambda x: (x.family == b.family) & x.line.between(b.first, b.last))
+    has_block = lambda b: F.exists("wide", lambda x: (x.family == b.family) & (x.first >= b.first) & (x.last <= b.last) & ((x.first > b.first) | (x.last < b.last)))
+    found = found.withColumn("wide", F.filter("wide", lambda b: ~has_line(b) & ~has_block(b)))
+    families = F.concat(F.transform("sure", lambda x: x.family), F.transform("wide", lambda x: x.family))
+    return found.select(
         "doc_id",
         F.size(c).cast("long").alias("n_candidates"),
-        F.size(sure).cast("long").alias("n_licenses"),
+        (F.size("sure") + F.size("wide")).cast("long").alias("n_licenses"),
         F.size(F.filter(c, lambda x: x.family == UNKNOWN)).cast("long").alias("n_unknown"),
-        F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x.family))), ",").alias("families"),
+        F.array_join(F.array_sort(F.array_distinct(families)), ",").alias("families"),
     )
