@@ -14,6 +14,8 @@ from .common import Forest, components, cut, table
 
 #: Vectors held by one graph; a larger shard is split around centres of its own, by the same rule.
 GRAPH_ROWS = 4096
+#: Rows of a block where all pairs are compared, because the graphs find too few of them.
+BLOCK_ROWS = 32768
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -208,6 +210,54 @@ def search_shard(t: pa.Table, least: float, overlap: int) -> pa.Table:
     )
 
 
+def compare(t: pa.Table, least: float) -> pa.Table:
+    """What search_shard() gives, of all pairs of one pair of blocks (columns i and j), compared one by one."""
+    ids, count, block = (t.column(c).to_numpy() for c in ("id", "count", "block"))
+    i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+    vecs = t.column("vec").to_pylist()
+    order = np.argsort(ids, kind="stable")
+    f, n = Forest(len(ids)), np.zeros(len(ids), np.int64)
+    sizes = np.array([len(v) for v in vecs])
+    for d in np.unique(sizes):
+        left, right = (order[(sizes[order] == d) & (block[order] == k)] for k in (i, j))
+        if not len(left) or not len(right):
+            continue
+        x, y = (unit(np.array([vecs[k] for k in side], float)) for side in (left, right))
+        for a in range(0, len(left), 256):
+            s = x[a : a + 256] @ y.T
+            ok = s >= least
+            p, q = np.nonzero(np.abs(s - least) <= 1e-9)
+            ok[p, q] = np.einsum("id,id->i", x[a + p], y[q]) >= least
+            if i == j:
+                ok &= np.arange(len(right)) > np.arange(a, a + len(s))[:, None]
+            rows = left[a : a + 256]
+            np.add.at(n, rows, ok @ count[right])
+            np.add.at(n, right, count[rows] @ ok)
+            root = f.roots()
+            for k in np.flatnonzero(ok.any(1)):
+                others = np.unique(root[right[ok[k]]])
+                f.join(np.full(len(others), rows[k]), others)
+                if len(others) > 64:
+                    root = f.roots()
+    name = np.full(len(ids), np.iinfo(np.int64).max)
+    root = f.roots()
+    np.minimum.at(name, root, ids)
+    some, kept = np.flatnonzero(n), np.flatnonzero(name[root] != ids)
+    none = lambda k: pa.nulls(k, pa.int64())
+    return pa.table(
+        {"id": pa.array(np.concatenate([ids[some], ids[kept]])), "other": pa.concat_arrays([none(len(some)), pa.array(name[root[kept]])]), "n": pa.concat_arrays([pa.array(n[some]), none(len(kept))])}
+    )
+
+
+def _compare_all(nodes: DataFrame, total: int, least: float) -> DataFrame:
+    """All links, by comparing every pair of nodes in pairs of blocks: exact, and quadratic in time."""
+    blocks = max(1, -(-total // BLOCK_ROWS))
+    b = F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int")
+    dealt = nodes.select("id", "count", "vec", b.alias("block")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select("id", "count", "vec", "block", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
+    return cut(dealt.groupBy("i", "j").applyInArrow(lambda t: compare(t, least), "id long, other long, n long"))
+
+
 def _sizes(vectors: DataFrame) -> DataFrame:
     """(id, vec, count) of each different usable vector: id is the smallest vec_id that has it, count the rows."""
     v = F.col("vec")
@@ -215,13 +265,14 @@ def _sizes(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.coalesce(good, F.lit(False))).groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("count")).where("id IS NOT NULL")
 
 
-def linked(vectors: DataFrame, least: float = 0.95, shard_rows: int = 1000, overlap: int = 3, most_centres: int = 4096, audit: int = 64, recall: float = 0.9) -> DataFrame:
+def linked(vectors: DataFrame, least: float = 0.95, shard_rows: int = 1000, overlap: int = 3, most_centres: int = 4096, audit: int = 64, recall: float = 0.9, most_overlap: int = 24) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vec_id, embedding: others with a cosine of ``least`` or more, and the smallest vec_id reachable by such links.
 
     Equal vectors are one node. Centres are drawn from them evenly by hash, one for shard_rows vectors and most_centres at
     most (the bound of what is broadcast); each vector belongs to the ``overlap`` nearest centres' shards. A shard beyond GRAPH_ROWS
     rows is split within its task. The links of some ``audit`` nodes are counted by brute force against all rows; if the
-    graph has found less than ``recall`` of them, it is built again with twice the overlap. Vectors that are null, empty,
+    graph has found less than ``recall`` of them, it is built again with twice the overlap, up to most_overlap; if that is
+    still short, all pairs of vectors are compared, block by block. Vectors that are null, empty,
     zero or hold a null or non-finite component link with nothing, not even their like, and name their own component.
     Vectors of different length link with nothing of another length. Rows that repeat each get a row and count as links of each other;
     a null vec_id names no component. An empty table gives no rows; other columns are not read.
@@ -239,7 +290,11 @@ def linked(vectors: DataFrame, least: float = 0.95, shard_rows: int = 1000, over
     while True:
         found = _search_all(nodes, by_size, least, overlap)
         counted = found.where("n IS NOT NULL").groupBy("id").agg(F.sum("n").alias("n"))
-        if not total or overlap >= 24 or _recall(nodes, counted, total, least, audit) >= recall:
+        if not total or _recall(nodes, counted, total, least, audit) >= recall:
+            break
+        if overlap >= most_overlap:
+            found = _compare_all(nodes, total, least)
+            counted = found.where("n IS NOT NULL").groupBy("id").agg(F.sum("n").alias("n"))
             break
         overlap *= 2
     roots = components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))
