@@ -168,8 +168,9 @@ def build_shard(t: pa.Table, overlap: int) -> pa.Table:
 def search_shard(t: pa.Table, least: float, overlap: int) -> pa.Table:
     """Rows (id, other, n): n links of a class counted here (other null), and the edges of a forest of the links (n null).
 
-    A pair that shares several shards is counted in the first of them alone. Found pairs are taken both ways, and each
-    is verified by its cosine in double precision.
+    A pair that shares several shards is counted in the first of them alone. The search there may miss what it finds in
+    another shard, so all pairs of the shard are compared afterwards, by cosine in double precision: every pair with a
+    common shard is counted once, and joined.
     """
     ids, count = t.column("id").to_numpy(), t.column("count").to_numpy()
     order = np.argsort(ids, kind="stable")
@@ -195,13 +196,27 @@ def search_shard(t: pa.Table, least: float, overlap: int) -> pa.Table:
     for i in range(0, len(key), 1 << 20):
         a, b = key[i : i + (1 << 20)] // len(ids), key[i : i + (1 << 20)] % len(ids)
         ok = np.einsum("id,id->i", x[a], x[b]) >= least
-        a, b = a[ok], b[ok]
-        f.join(a, b)
-        both = (homes[a][:, :, None] == homes[b][:, None, :]) & (homes[a][:, :, None] >= 0)
-        first = np.where(both, homes[a][:, :, None], np.iinfo(np.int64).max).min((1, 2))
-        mine = first == shard
-        np.add.at(n, a[mine], count[b[mine]])
-        np.add.at(n, b[mine], count[a[mine]])
+        f.join(a[ok], b[ok])
+    step = max(1, (1 << 22) // max(1, len(ids)))
+    for i in range(0, len(ids), step):
+        s = x[i : i + step] @ x.T
+        p, q = np.nonzero(s >= least - 1e-9)
+        upper = i + p < q
+        p, q = p[upper], q[upper]
+        sure = s[p, q] > least + 1e-9
+        edge = np.flatnonzero(~sure)
+        sure[edge] = np.einsum("id,id->i", x[i + p[edge]], x[q[edge]]) >= least
+        a, b = i + p[sure], q[sure]
+        root = f.roots()
+        apart = root[a] != root[b]
+        f.join(a[apart], b[apart])
+        for k in range(0, len(a), 1 << 18):
+            c, e = a[k : k + (1 << 18)], b[k : k + (1 << 18)]
+            both = (homes[c][:, :, None] == homes[e][:, None, :]) & (homes[c][:, :, None] >= 0)
+            first = np.where(both, homes[c][:, :, None], np.iinfo(np.int64).max).min((1, 2))
+            c, e = c[first == shard], e[first == shard]
+            np.add.at(n, c, count[e])
+            np.add.at(n, e, count[c])
     root = f.roots()
     some, kept = np.flatnonzero(n), np.flatnonzero(root != np.arange(len(ids)))
     none = lambda k: pa.nulls(k, pa.int64())

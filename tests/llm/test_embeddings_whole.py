@@ -13,3 +13,17 @@ def test_short_recall_ends_in_comparison(spark, monkeypatch):
     monkeypatch.setattr(E, "_search_all", lambda *a: none)
     monkeypatch.setattr(E, "BLOCK_ROWS", 150)
     assert rows(E.linked(frame(spark, vectors), overlap=24)) == sorted(brute(vectors))
+
+
+def test_first_shard_counts_what_its_search_misses():
+    x = np.eye(4)[[0, 0, 1, 2, 3]] + np.array([[0, 0, 0, 0], [0, 0.1, 0, 0], [0, 0, 1, 1], [0, 0, 0, 1], [0, 0, 0, 0]])
+    shards = [[7, 9], [7, 9], [7, 8], [7, 8], [7, 8]]
+    columns = {"id": [10, 11, 12, 13, 14], "count": [2, 3, 1, 1, 1], "vec": x.tolist(), "shards": shards, "near": [[]] * 5}
+    types = {"id": pa.int64(), "count": pa.int64(), "vec": pa.list_(pa.float64()), "shards": pa.list_(pa.int64()), "near": pa.list_(pa.int64())}
+
+    def got(shard):
+        t = pa.table({k: pa.array(v, types[k]) for k, v in columns.items()}).append_column("shard", pa.array([shard] * 5, pa.int64()))
+        return sorted(tuple(r.values()) for r in E.search_shard(t, 0.95, 2).to_pylist() if r["n"] is not None)
+
+    assert got(7) == [(10, None, 3), (11, None, 2)]
+    assert got(9) == []
