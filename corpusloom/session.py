@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "corpusloom", cores: str = "*", **conf: str) -> SparkSession:
@@ -34,3 +35,41 @@ def ship(spark: SparkSession) -> SparkSession:
     sc.addPyFile(str(path))
     sc._corpusloom_shipped = True
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local session may do without it, and gets a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    if not found:
+        if sc._jsc.sc().getCheckpointDir().isEmpty():
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
+        found = sc._jsc.sc().getCheckpointDir().get()
+    return found.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder; later reads survive lost executors."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession, name: str = "") -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}{uuid.uuid4().hex}"
+
+
+def discarded(spark: SparkSession, path: str) -> str:
+    """Has what was written to a path deleted when the driver ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read again: compressed, for what is large. It is deleted when the driver ends."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(discarded(df.sparkSession, path))
