@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import json
-import os
-from collections.abc import Sequence
 from dataclasses import dataclass
 
-from ...sources.sinks import atomic_json
+from ...sources.sinks import atomic_json, read_json
 from .learner import learn
 from .model import Merge, Symbols
 
@@ -20,14 +17,12 @@ class Checkpoint:
     every: int = 500
 
     def load(self) -> dict | None:
-        if not os.path.exists(self.path):
-            return None
-        with open(self.path, encoding="utf-8") as f:
-            return json.load(f)
+        return read_json(self.path, None)
 
-    def run(self, units: list[tuple[Sequence[int], int]], target: int, symbols: Symbols, fingerprint: str, **how) -> list[Merge]:
+    def run(self, units, target: int, symbols: Symbols, fingerprint: str, **how) -> list[Merge]:
         """Learns from where the document ends; refuses one that was made from other data, from other symbols or with other options.
 
+        units as for learn(). A stage that is complete for the target is taken from its document as it is, without looking at the units.
         Under the PMI criterion candidates are listed again on resuming, as they are every pmi_rebuild_every merges.
         """
         key = {"fingerprint": fingerprint, "start": len(symbols), "how": {k: v for k, v in sorted(how.items())}}
@@ -35,12 +30,16 @@ class Checkpoint:
         if had and {k: had[k] for k in key} != key:
             raise ValueError(f"{self.path} was learned from other data or with other options")
         done = [tuple(m) for m in had["merges"]] if had else []
-        done = done[: max(0, target - len(symbols))]
+        need = max(0, target - len(symbols))
+        if had and (len(done) >= need or (had.get("complete") and had["target_vocab_size"] >= target)):
+            for a, b, _ in done[:need]:
+                symbols.merged(a, b)
+            return done[:need]
 
         def keep(merges: list[Merge]) -> None:
-            if len(merges) % self.every == 0:
+            if self.every and len(merges) % self.every == 0:
                 atomic_json(self.path, key | {"merges": merges, "target_vocab_size": target})
 
         merges, _ = learn(units, target, symbols, done=done, on_merge=keep, **how)
-        atomic_json(self.path, key | {"merges": merges, "target_vocab_size": target})
+        atomic_json(self.path, key | {"merges": merges, "target_vocab_size": target, "complete": True})
         return merges

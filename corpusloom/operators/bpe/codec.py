@@ -1,16 +1,21 @@
-"""Encoding and decoding: Arrow batches with a cache of words, and forms that stay in the JVM."""
+"""Encoding and decoding: whole Arrow batches at once, single texts, and forms that stay in the JVM."""
 
 from __future__ import annotations
 
 import heapq
+import json
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ...session import ship
-from .model import Model
+from .chain import Chain, Ranks, encoded
+from .model import OFFSET, Model, chars_of
 
 _KNOWN_WORDS = 300_000
 
@@ -91,40 +96,76 @@ class Codec:
         return chr(i - self.escape)
 
 
+class BatchCodec:
+    """Encodes many texts at once: characters become ids by a table, and each merge is made in all texts together."""
+
+    def __init__(self, model: Model):
+        self.model, self.ranks = model, Ranks(model.merges)
+        self.table = np.arange(0x110000, dtype=np.int32) + model.escape
+        for i, s in enumerate(model.strings):
+            if len(s) == 1:
+                self.table[ord(s)] = i
+
+    def chain(self, texts: pa.Array) -> Chain:
+        sizes = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)
+        codes = np.frombuffer("".join(t for t in texts.to_pylist() if t).encode("utf-32-le"), "<u4")
+        return Chain(self.table[codes], sizes)
+
+    def lists(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's begin and the last one's end)."""
+        chain = encoded(self.chain(texts), self.ranks)
+        return chain.ids(), np.concatenate([[0], np.cumsum(chain.counts())]).astype(np.int32)
+
+
+#: Rows of a batch that are encoded together: their symbols' arrays are held at once.
+TOGETHER = 4096
+
+
+def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (b.slice(k, TOGETHER) for b in batches for k in range(0, b.num_rows, TOGETHER))
+
+
 def encode(texts: DataFrame, model: Model, column: str = "text", as_chars: bool = False) -> DataFrame:
     """Adds ids, the tokens of a text column; null stays null. as_chars gives them as a string with a character for each id."""
-    from .distributed import chars_of
-
     ship(texts.sparkSession)
+    texts = texts.drop("ids")
     shared = texts.sparkSession.sparkContext.broadcast(model)
+    schema = StructType([*texts.schema.fields, StructField("ids", StringType() if as_chars else ArrayType(IntegerType()))])
 
-    @F.pandas_udf("string" if as_chars else "array<int>")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec(shared.value)
-        for s in batches:
-            yield s.map(lambda t: chars_of(codec.encode(t)) if as_chars else codec.encode(t), na_action="ignore")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = BatchCodec(shared.value)
+        for b in parts_of(batches):
+            flat, at = codec.lists(b.column(column))
+            null = b.column(column).is_null()
+            if as_chars:  # characters from OFFSET on, each four bytes of UTF-8
+                data = pa.py_buffer((flat + OFFSET).astype("<u4").tobytes().decode("utf-32-le").encode())
+                ids = pc.if_else(null, None, pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer((4 * at).astype(np.int32)), data))
+            else:
+                ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32()), mask=null)
+            yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, "ids"])
 
-    return texts.withColumn("ids", encoded(column))
+    return texts.mapInArrow(run, schema)
 
 
-def decode(encoded: DataFrame, model: Model, column: str = "ids") -> DataFrame:
-    """Adds decoded, the text of an id column; null stays null, and an id outside the vocabulary is an error."""
-    ship(encoded.sparkSession)
-    shared = encoded.sparkSession.sparkContext.broadcast(model)
+def _literal(values: list, kind: str) -> Column:
+    """A constant array that Catalyst folds into one value, whatever its length."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
 
-    @F.pandas_udf("string")
-    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec(shared.value)
-        for s in batches:
-            yield s.map(lambda ids: codec.decode(ids), na_action="ignore")
 
-    return encoded.withColumn("decoded", decoded(column))
+def decode(encoded_: DataFrame, model: Model, column: str = "ids") -> DataFrame:
+    """Adds decoded, the text of an id column, without Python; null stays null, and an id outside the vocabulary is an error."""
+    strings, n, escape = _literal(model.strings, "string"), len(model.strings), model.escape
+
+    def one(i: Column) -> Column:
+        code = F.decode(F.unhex(F.lpad(F.hex(i - escape), 8, "0")), "UTF-32")
+        bad = F.raise_error(F.concat(i.cast("string"), F.lit(" is no id of this vocabulary"))).cast("string")
+        return F.when((i >= 0) & (i < n), F.get(strings, i)).when((i >= escape) & (i <= escape + 0x10FFFF), code).otherwise(bad)
+
+    return encoded_.withColumn("decoded", F.array_join(F.transform(column, one), ""))
 
 
 def encode_native(text: Column, model: Model) -> Column:
     """The ids of a text without Python, for small vocabularies and texts of known characters: each merge is one replacement of strings."""
-    from .distributed import OFFSET, chars_of
-
     known = [(s, i) for i, s in enumerate(model.strings) if len(s) == 1]
     base = F.translate(text, "".join(s for s, _ in known), chars_of([i for _, i in known]))
     for a, b, new in model.merges:

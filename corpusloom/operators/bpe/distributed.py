@@ -1,31 +1,28 @@
-"""Learning where the units are too many for the driver: counts by Spark, several merges in a pass, with the same result."""
+"""Learning from tables: units are counted by Spark and held by the driver up to a bound, beyond it dealt over the cluster; the merges are the same."""
 
 from __future__ import annotations
 
-import tempfile
 import time
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..counts import fingerprint, line_freq, pair_counts, word_freq
+from ...session import cut, ship
+from ..counts import fingerprint, line_freq, word_freq
+from .chain import END, Chain, Ranks, encoded
 from .checkpoint import Checkpoint
 from .codec import encode
-from .learner import learn
-from .model import Merge, Model, Symbols
+from .learner import Corpus, Counted, Pair, learn, note_changes
+from .model import OFFSET, Merge, Model, Symbols, chars_of
 
-#: A symbol with id i is the character OFFSET + i of a sequence kept as a string: replacing strings is then replacing pairs.
-OFFSET = 0x10000
-#: Symbols of all distinct units up to which learning runs on the driver.
-DRIVER_SYMBOLS = 8_000_000
-
-
-def chars_of(ids: list[int]) -> str:
-    return "".join(chr(OFFSET + i) for i in ids)
-
-
-def ids_of(s: str) -> list[int]:
-    return [ord(c) - OFFSET for c in s]
+#: Symbols of all distinct units up to which the driver holds them (some 40 bytes each).
+DRIVER_SYMBOLS = 50_000_000
+#: Symbols of one array of units where they are dealt.
+CHUNK = 1 << 20
 
 
 def as_symbols(unit, base: dict[str, int]):
@@ -33,65 +30,129 @@ def as_symbols(unit, base: dict[str, int]):
     return F.translate(unit, "".join(base), chars_of(list(base.values())))
 
 
-def batch(ranked: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """The merges that can be made in one pass, of pairs (n, a, b) by descending n and ascending ids.
+def flat_ids(units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, sizes) of strings of symbol characters."""
+    texts = units.to_pylist()
+    ids = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.int32) - OFFSET
+    return ids, np.array(list(map(len, texts)), np.int64)
 
-    Pairs are taken while no symbol comes again, and none behind a pair of equal symbols. Merges of disjoint symbols do not
-    disturb each other's counts, and what they create is at most as frequent as what it is made of, which ranks lower, and
-    on a tie its larger id ranks it lower too. A pair (x, x) can create (X, X) out of itself, so it ends the batch.
-    """
-    out, used = [], set()
-    for _, a, b in ranked:
-        if a in used or b in used:
-            break
-        out.append((a, b))
-        used |= {a, b}
-        if a == b:
-            break
-    return out
-
-
-def learn_distributed(units: DataFrame, target: int, symbols: Symbols, max_span_words: int | None = None, candidates: int = 512, cut_every: int = 8) -> tuple[list[Merge], DataFrame]:
-    """Frequency merges of units (unit string of symbol characters, freq long), and the units as they end.
-
-    Each pass is one aggregation of distinct units, of which the driver sees ``candidates`` rows. Lineage is cut by
-    checkpoint() into the shared folder every few passes.
+
+class DealtCorpus:
+    """Pair and symbol counts of units dealt over the cluster in arrays of some CHUNK symbols (the longest unit's length at least).
+
+    The driver holds the counts of pairs, of which there are as many as symbols can neighbour; units stay where they are. A pass
+    makes the merges of a batch and sends back what they change, not what there is. Arrays are rewritten every ``rewrite``
+    merges, by a checkpoint in the shared folder; in between, a pass makes the merges since then again.
     """
-    spark = units.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
-    merges: list[Merge] = []
-    passes = 0
-    while len(symbols) < target:
-        n = pair_counts(units)
-        if max_span_words is not None:
-            spaces = [(chr(OFFSET + i), s.count(" ")) for i, s in enumerate(symbols.strings)]
-            of = F.broadcast(spark.createDataFrame(spaces, "s string, k int"))
-            n = n.join(of.select(F.col("s").alias("a"), F.col("k").alias("ka")), "a").join(of.select(F.col("s").alias("b"), F.col("k").alias("kb")), "b")
-            n = n.where(F.col("ka") + F.col("kb") + 1 <= max_span_words)
-        top = n.orderBy(F.desc("n"), "a", "b").limit(candidates).select("n", "a", "b").collect()
-        ranked = [(r.n, ord(r.a) - OFFSET, ord(r.b) - OFFSET) for r in top]
-        chosen = batch(ranked)[: target - len(symbols)]
-        if not chosen:
-            break
-        unit = F.col("unit")
-        for a, b in chosen:
-            new = symbols.merged(a, b)
-            merges.append((a, b, new))
-            unit = F.replace(unit, F.lit(chars_of([a, b])), F.lit(chars_of([new])))
-        units = units.select(unit.alias("unit"), "freq")
-        passes += 1
-        if passes % cut_every == 0:
-            units = units.checkpoint()
-    return merges, units
+
+    batch = 64
+
+    def __init__(self, units: DataFrame, done: Sequence[Merge] = (), rewrite: int = 64):
+        ship(units.sparkSession)
+        ranks, self.rewrite = Ranks(done), rewrite
+
+        def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            units_, freqs, n = [], [], 0
+
+            def row() -> pa.RecordBatch:
+                ids, sizes = flat_ids(pa.array(units_, pa.string()))
+                chain = encoded(Chain(ids, sizes), ranks)
+                return _packed(chain, np.array(freqs, "<i8"))
+
+            for b in batches:
+                for u, f in zip(b.column("unit").to_pylist(), b.column("freq").to_pylist(), strict=True):
+                    units_.append(u)
+                    freqs.append(f)
+                    n += len(u)
+                    if n >= CHUNK:
+                        yield row()
+                        units_, freqs, n = [], [], 0
+            if units_:
+                yield row()
+
+        self.base = cut(units.select("unit", F.col("freq").cast("long")).mapInArrow(chunks, _PACKED))
+        self.since: list[Merge] = []
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for c in _unpacked(batches):
+                key, n, _, _ = c.pairs()
+                live = np.flatnonzero(c.chain.sym >= 0)
+                by = np.bincount(c.chain.sym[live], c.freqs[c.unit[live]])
+                s = np.flatnonzero(by)
+                yield _rows(np.concatenate([key >> 32, s]), np.concatenate([key & 0xFFFFFFFF, np.full(len(s), END)]), np.concatenate([n, by[s]]))
+
+        rows = self._sum(self.base.mapInArrow(counted, _COUNTS))
+        self.pairs: dict[Pair, int] = {(a, b): n for a, b, n in rows if b != END}
+        self.symbols: Counter = Counter({a: n for a, b, n in rows if b == END})
+
+    @staticmethod
+    def _sum(df: DataFrame) -> list[tuple[int, int, int]]:
+        t = df.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n <> 0").toArrow()
+        return list(zip(*(t.column(c).to_pylist() for c in ("a", "b", "n")), strict=True))
+
+    def merge(self, merges: list[Merge]) -> set[Pair]:
+        since = list(self.since)
+
+        def changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for c in _unpacked(batches):
+                _merge_all(c.chain, since)
+                total: Counter = Counter()
+                for a, b, new in merges:
+                    change, n, _ = c.merge(np.flatnonzero(c.chain.sym == a), a, b, new)
+                    total.update(change)
+                    total[new, END] += n
+                k = np.array(list(total), np.int64).reshape(-1, 2)
+                yield _rows(k[:, 0], k[:, 1], np.array(list(total.values()), np.int64))
+
+        rows = self._sum(self.base.mapInArrow(changes, _COUNTS))
+        of = {a: n for a, b, n in rows if b == END}
+        changed = note_changes(self.pairs, self.symbols, {(a, b): n for a, b, n in rows if b != END}, [(*m, of.get(m[2], 0)) for m in merges])
+        self.since += merges
+        if len(self.since) >= self.rewrite:
+            again = list(self.since)
+
+            def rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for c in _unpacked(batches):
+                    _merge_all(c.chain, again)
+                    yield _packed(c.chain, c.freqs)
+
+            self.base, self.since = cut(self.base.mapInArrow(rewritten, _PACKED)), []
+        return changed
+
+    def seqs(self) -> None:
+        return None
+
+
+_PACKED, _COUNTS = "ids binary, sizes binary, freqs binary", "a long, b long, n long"
+
+
+def _packed(chain: Chain, freqs: np.ndarray) -> pa.RecordBatch:
+    parts = (chain.ids().astype("<i4"), chain.counts().astype("<i8"), np.asarray(freqs).astype("<i8"))
+    return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], names=["ids", "sizes", "freqs"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[Counted]:
+    for b in batches:
+        for r in b.to_pylist():
+            yield Counted(Chain(np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["sizes"], "<i8")), np.frombuffer(r["freqs"], "<i8"))
+
+
+def _rows(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x).astype(np.int64)) for x in (a, b, n)], names=["a", "b", "n"])
+
+
+def _merge_all(chain: Chain, merges: Sequence[Merge]) -> None:
+    for a, b, new in merges:
+        p = chain.found(np.flatnonzero(chain.sym == a), a, b)
+        if len(p):
+            chain.merge(p, new)
 
 
 def learn_units(units: DataFrame, target: int, symbols: Symbols, driver_symbols: int = DRIVER_SYMBOLS, checkpoint: Checkpoint | None = None, more: bool = False, **how) -> list[Merge]:
     """Merges of units (unit string, freq long) up to ``target`` symbols, or with more by so many merges.
 
-    Characters that the alphabet does not have are added first, in the order of their codes. Small inputs, by a count of
-    their symbols, are learned on the driver, larger ones by passes over the data; the merges are the same. The PMI
-    criterion and checkpoints belong to the driver's learner.
+    Characters that the alphabet does not have are added first, in the order of their codes. Up to driver_symbols symbols of distinct
+    units, by a count, are held by the driver; more stay dealt over the cluster. Criteria, checkpoints and merges are the same for both.
     """
     for r in units.select(F.explode(F.array_distinct(F.split("unit", ""))).alias("c")).where("c <> ''").distinct().orderBy("c").collect():
         symbols.id_of(r.c)
@@ -99,14 +160,17 @@ def learn_units(units: DataFrame, target: int, symbols: Symbols, driver_symbols:
 
 
 def _learn(units: DataFrame, target: int, symbols: Symbols, driver_symbols: int, checkpoint: Checkpoint | None, **how) -> list[Merge]:
-    size = units.agg(F.coalesce(F.sum(F.length("unit")), F.lit(0))).first()[0]
-    if size > driver_symbols and checkpoint is None and how.get("criterion", "frequency") == "frequency":
-        return learn_distributed(units, target, symbols, how.get("max_span_words"))[0]
-    rows = [(ids_of(r.unit), r.freq) for r in units.orderBy("unit").toLocalIterator()]
+    def corpus(done: list[Merge]):
+        if (units.agg(F.coalesce(F.sum(F.length("unit")), F.lit(0))).first()[0]) > driver_symbols:
+            return DealtCorpus(units, done)
+        t = units.select("unit", F.col("freq").cast("long")).toArrow()
+        ids, sizes = flat_ids(t.column("unit"))
+        return Corpus(ids, sizes, t.column("freq").to_numpy(), done)
+
     if checkpoint is None:
-        return learn(rows, target, symbols, **how)[0]
+        return learn(corpus, target, symbols, **how)[0]
     mark = fingerprint(units).first()
-    return checkpoint.run(rows, target, symbols, f"{mark.fingerprint}:{(mark.content or 0) & (2**64 - 1):016x}", **how)
+    return checkpoint.run(corpus, target, symbols, f"{mark.fingerprint}:{(mark.content or 0) & (2**64 - 1):016x}", **how)
 
 
 def train(lines: DataFrame, stage1: int = 12_000, vocab: int = 20_000, checkpoint: str | None = None, checkpoint_every: int = 500, driver_symbols: int = DRIVER_SYMBOLS, more: bool = False, **stage2) -> Model:

@@ -1,14 +1,22 @@
-"""Greedy merge learning on the driver, over distinct units with their frequencies."""
+"""Greedy merge learning over distinct units with their frequencies: one loop, over sequences held here or dealt over a cluster."""
 
 from __future__ import annotations
 
 import heapq
+import logging
 import math
-from collections import Counter, defaultdict
+import time
+from collections import Counter
 from collections.abc import Callable, Iterable, Sequence
 
+import numpy as np
+
+from .chain import Chain, Ranks, encoded
 from .model import Merge, Symbols
 
+log = logging.getLogger(__name__)
+Pair = tuple[int, int]
+
 
 def replaced(seq: Sequence[int], a: int, b: int, new: int) -> list[int]:
     """seq with each (a, b) made one, from left to right without overlap."""
@@ -24,56 +32,143 @@ def replaced(seq: Sequence[int], a: int, b: int, new: int) -> list[int]:
     return out
 
 
+def batch(ranked: list[tuple[int, int, int]]) -> list[Pair]:
+    """The merges that can be made in one pass, of pairs (n, a, b) by descending n and ascending ids.
+
+    Pairs are taken while no symbol comes again, and none behind a pair of equal symbols. Merges of disjoint symbols do not
+    disturb each other's counts, and what they create is at most as frequent as what it is made of, which ranks lower, and
+    on a tie its larger id ranks it lower too. A pair (x, x) can create (X, X) out of itself, so it ends the batch.
+    """
+    out, used = [], set()
+    for _, a, b in ranked:
+        if a in used or b in used:
+            break
+        out.append((a, b))
+        used |= {a, b}
+        if a == b:
+            break
+    return out
+
+
+class Counted:
+    """A chain with the frequency of each sequence, and what a merge changes in its weighted pair counts."""
+
+    def __init__(self, chain: Chain, freqs: np.ndarray):
+        self.chain, self.freqs = chain, np.asarray(freqs, np.float64)
+        self.unit = np.repeat(np.arange(len(freqs), dtype=np.int32), np.diff(chain.ends))
+        self.unit = np.concatenate([[0], self.unit]).astype(np.int32)  # the END behind a sequence counts as its
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(key, count, first, places): places of equal pairs lie next to each other from ``first`` on; a key is a * 2^32 + b."""
+        c = self.chain
+        left = np.flatnonzero(c.sym >= 0)
+        left = left[c.sym[c.nxt[left]] >= 0]
+        key = c.sym[left].astype(np.int64) << 32 | c.sym[c.nxt[left]]
+        order = np.argsort(key, kind="stable")
+        key, left = key[order], left[order].astype(np.int32)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        total = np.add.reduceat(self.freqs[self.unit[left]], first) if len(key) else np.zeros(0)
+        return key[first], total, first, left
+
+    def merge(self, places: np.ndarray, a: int, b: int, new: int) -> tuple[dict[Pair, int], int, list[tuple[Pair, np.ndarray]]]:
+        """(changes of pair counts, weight of what was merged, places of the pairs that are new)."""
+        c = self.chain
+        p = c.found(places, a, b)
+        if not len(p):
+            return {}, 0, []
+        w = self.freqs[self.unit[p]]
+        behind = c.sym[c.nxt[c.nxt[p]]]
+        before = c.merge(p, new)
+        w_before = self.freqs[self.unit[before]]
+        change: Counter = Counter()
+        total = int(w.sum())
+        change[a, b] -= total
+
+        def add(symbols: np.ndarray, weight: np.ndarray, pair: Callable[[int], Pair], sign: int) -> None:
+            n = np.bincount(symbols, weight)
+            for s in np.flatnonzero(n).tolist():
+                change[pair(s)] += sign * int(n[s])
+
+        ok = behind >= 0
+        add(behind[ok], w[ok], lambda s: (b, s), -1)
+        x = c.sym[before]
+        add(x, w_before, lambda s: (s, a), -1)
+        now = c.sym[c.nxt[p]]
+        ok = now >= 0
+        fresh = self._grouped(x, before, lambda s: (s, new)) + self._grouped(now[ok], p[ok], lambda s: (new, s))
+        add(x, w_before, lambda s: (s, new), 1)
+        add(now[ok], w[ok], lambda s: (new, s), 1)
+        return {k: v for k, v in change.items() if v}, total, fresh
+
+    @staticmethod
+    def _grouped(symbols: np.ndarray, places: np.ndarray, pair: Callable[[int], Pair]) -> list[tuple[Pair, np.ndarray]]:
+        order = np.argsort(symbols, kind="stable")
+        s, p = symbols[order], places[order]
+        if not len(s):
+            return []
+        cuts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        return [(pair(int(s[i])), p[i:j]) for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(s)], strict=True)]
+
+
 class Corpus:
-    """Sequences, pair and symbol counts, and where each pair occurs; kept in step merge by merge."""
-
-    def __init__(self, units: Iterable[tuple[Sequence[int], int]]):
-        self.seqs, self.freqs = [], []
-        self.pairs: Counter = Counter()
-        self.symbols: Counter = Counter()
-        self.where: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for i, (s, f) in enumerate(units):
-            self.seqs.append(list(s))
-            self.freqs.append(f)
-            for x in s:
-                self.symbols[x] += f
-            for p in zip(s, s[1:], strict=False):
-                self.pairs[p] += f
-                self.where[p].add(i)
-
-    def merge(self, a: int, b: int, new: int) -> set[tuple[int, int]]:
-        """Applies a merge; returns the pairs whose counts changed."""
-        changed: Counter = Counter()
-        for i in self.where.pop((a, b), ()):
-            old, f = self.seqs[i], self.freqs[i]
-            now = replaced(old, a, b, new)
-            if len(now) == len(old):
-                continue
-            times = (len(old) - len(now)) * f
-            self.symbols[a] -= times
-            self.symbols[b] -= times
-            self.symbols[new] += times
-            self.seqs[i] = now
-            before, after = Counter(zip(old, old[1:], strict=False)), Counter(zip(now, now[1:], strict=False))
-            for p in before.keys() | after.keys():
-                if before[p] != after[p]:
-                    changed[p] += (after[p] - before[p]) * f
-                if after[p] and p not in before:
-                    self.where[p].add(i)
-        for p, d in changed.items():
-            self.pairs[p] += d
-            if self.pairs[p] <= 0:
-                del self.pairs[p]
-                self.where.pop(p, None)
-        return set(changed)
-
-    def pmi(self, p: tuple[int, int]) -> float:
-        n = self.pairs.get(p, 0)
-        return math.log(n) - math.log(max(self.symbols.get(p[0], 1), 1)) - math.log(max(self.symbols.get(p[1], 1), 1)) if n > 0 else -math.inf
+    """Pair and symbol counts of sequences held in this process, and where each pair stands; kept in step merge by merge.
+
+    Memory is some 40 bytes for each symbol. A merge costs what it changes.
+    """
+
+    batch = 1
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, freqs: np.ndarray, done: Sequence[Merge] = ()):
+        chain = Chain(ids, sizes)
+        self.counted = Counted(encoded(chain, Ranks(done)) if done else chain, freqs)
+        key, n, first, places = self.counted.pairs()
+        pairs = [(k >> 32, k & 0xFFFFFFFF) for k in key.tolist()]
+        self.pairs: dict[Pair, int] = dict(zip(pairs, map(int, n.tolist()), strict=True))
+        self.where = {p: [x] for p, x in zip(pairs, np.split(places, first[1:]) if len(first) else [], strict=True)}
+        live = np.flatnonzero(chain.sym >= 0)
+        by = np.bincount(chain.sym[live], self.counted.freqs[self.counted.unit[live]])
+        self.symbols: Counter = Counter({s: int(by[s]) for s in np.flatnonzero(by).tolist()})
+
+    @classmethod
+    def of(cls, units: Iterable[tuple[Sequence[int], int]], done: Sequence[Merge] = ()) -> Corpus:
+        units = list(units)
+        ids = np.array([x for s, _ in units for x in s], np.int32)
+        return cls(ids, np.array([len(s) for s, _ in units], np.int64), np.array([f for _, f in units], np.int64), done)
+
+    def merge(self, merges: list[Merge]) -> set[Pair]:
+        """Applies merges; returns the pairs whose counts changed."""
+        changed: set[Pair] = set()
+        for a, b, new in merges:
+            at = self.where.pop((a, b), [])
+            change, total, fresh = self.counted.merge(np.concatenate(at) if at else np.zeros(0, np.int32), a, b, new)
+            for p, places in fresh:
+                self.where.setdefault(p, []).append(places)
+            changed |= note_changes(self.pairs, self.symbols, change, [(a, b, new, total)])
+            for p in change:
+                if p not in self.pairs:
+                    self.where.pop(p, None)
+        return changed
+
+    def seqs(self) -> list[list[int]]:
+        return self.counted.chain.seqs()
+
+
+def note_changes(pairs: dict[Pair, int], symbols: Counter, change: dict[Pair, int], merged: list[tuple[int, int, int, int]]) -> set[Pair]:
+    for p, d in change.items():
+        n = pairs.get(p, 0) + d
+        if n > 0:
+            pairs[p] = n
+        else:
+            pairs.pop(p, None)
+    for a, b, new, total in merged:
+        symbols[a] -= total
+        symbols[b] -= total
+        symbols[new] += total
+    return set(change)
 
 
 def learn(
-    units: Iterable[tuple[Sequence[int], int]],
+    units,
     target: int,
     symbols: Symbols,
     criterion: str = "frequency",
@@ -82,49 +177,63 @@ def learn(
     pmi_rebuild_every: int = 300,
     done: Sequence[Merge] = (),
     on_merge: Callable[[list[Merge]], None] | None = None,
-) -> tuple[list[Merge], list[list[int]]]:
-    """Merges until the vocabulary has ``target`` symbols or no candidate is left, and the units as they end.
+    report_every: int = 1000,
+) -> tuple[list[Merge], list[list[int]] | None]:
+    """Merges until the vocabulary has ``target`` symbols or no candidate is left, and the units as they end (where they are held here).
 
+    units are (ids, frequency), or a function that makes a corpus to which the merges it is given are already applied.
     criterion "frequency": the most frequent pair, of equals the one with the smallest ids. "pmi": the pair with the highest
     log count less those of its symbols, among pairs of pmi_min_count or more; scores are taken when candidates are
     listed, every pmi_rebuild_every merges and when the list runs out. In between a candidate whose score has moved
     is passed over, and pairs that are new wait. Pairs that would span more than max_span_words words are no candidates,
-    and learning ends when no others are left. ``done`` are merges of an earlier run, which are applied first.
+    and learning ends when no others are left. ``done`` are merges of an earlier run, which are applied first. Progress
+    is logged every report_every merges.
     """
-    corpus = Corpus(units)
     merges: list[Merge] = []
     for a, b, new in done:
         if symbols.merged(a, b) != new:
             raise ValueError("the merges done belong to other symbols")
-        corpus.merge(a, b, new)
         merges.append((a, b, new))
+    corpus = units(merges) if callable(units) else Corpus.of(units, merges)
     fits = lambda p: max_span_words is None or symbols.words_spanned(*p) <= max_span_words
 
-    def listed() -> list[tuple[float, tuple[int, int]]]:
+    def pmi(p: Pair) -> float:
+        n = corpus.pairs.get(p, 0)
+        return math.log(n) - math.log(max(corpus.symbols.get(p[0], 1), 1)) - math.log(max(corpus.symbols.get(p[1], 1), 1)) if n > 0 else -math.inf
+
+    def listed() -> list[tuple[float, Pair]]:
         if criterion == "pmi":
-            out = [(-corpus.pmi(p), p) for p, n in corpus.pairs.items() if n >= pmi_min_count and fits(p)]
+            out = [(-pmi(p), p) for p, n in corpus.pairs.items() if n >= pmi_min_count and fits(p)]
         else:
             out = [(-n, p) for p, n in corpus.pairs.items() if fits(p)]
         heapq.heapify(out)
         return out
 
-    heap, since = listed(), 0
-    fresh = True
+    heap, since, fresh, began = listed(), 0, True, time.perf_counter()
     while len(symbols) < target:
-        if not heap:
-            if criterion != "pmi" or fresh:
-                break
-            heap, since, fresh = listed(), 0, True
-            continue
-        key, p = heapq.heappop(heap)
         if criterion == "pmi":
-            if corpus.pairs.get(p, 0) < pmi_min_count or abs(corpus.pmi(p) + key) > 1e-9:
+            if not heap:
+                if fresh:
+                    break
+                heap, since, fresh = listed(), 0, True
+                continue
+            key, p = heapq.heappop(heap)
+            if corpus.pairs.get(p, 0) < pmi_min_count or abs(pmi(p) + key) > 1e-9:
                 continue
-        elif corpus.pairs.get(p, 0) != -key:
-            continue
-        new = symbols.merged(*p)
-        changed = corpus.merge(*p, new)
-        merges.append((*p, new))
+            chosen = [p]
+        else:
+            top: list[tuple[int, int, int]] = []
+            while heap and len(top) < (1 if corpus.batch == 1 else 512):
+                key, p = heapq.heappop(heap)
+                if corpus.pairs.get(p, 0) == -key and (not top or top[-1] != (-key, *p)):
+                    top.append((-key, *p))
+            chosen = batch(top)[: min(corpus.batch, target - len(symbols))]
+            for n, a, b in top[len(chosen) :]:
+                heapq.heappush(heap, (-n, (a, b)))
+            if not chosen:
+                break
+        now = [(*p, symbols.merged(*p)) for p in chosen]
+        changed = corpus.merge(now)
         fresh = False
         if criterion == "pmi":
             since += 1
@@ -134,9 +243,13 @@ def learn(
             for q in changed:
                 if corpus.pairs.get(q, 0) > 0 and fits(q):
                     heapq.heappush(heap, (-corpus.pairs[q], q))
-        if on_merge:
-            on_merge(merges)
-    return merges, corpus.seqs
+        for m in now:
+            merges.append(m)
+            if report_every and len(merges) % report_every == 0:
+                log.info("%d merges, vocabulary of %d, %.1f s", len(merges), m[2] + 1, time.perf_counter() - began)
+            if on_merge:
+                on_merge(merges)
+    return merges, corpus.seqs()
 
 
 def learn_by_recount(units: Iterable[tuple[Sequence[int], int]], target: int, symbols: Symbols, max_span_words: int | None = None) -> list[Merge]:

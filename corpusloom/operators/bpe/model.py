@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ...sources.sinks import atomic_json
+from ...sources.sinks import atomic_json, read_json
 
 #: The alphabet: printable ASCII in order, so that a base id is the code less 32 and the space is 0.
 ALPHABET = [chr(c) for c in range(32, 127)]
 ESCAPE = 1_000_000
+#: A symbol with id i is the character OFFSET + i of a sequence kept as a string.
+OFFSET = 0x10000
+
+
+def chars_of(ids: list[int]) -> str:
+    return "".join(chr(OFFSET + i) for i in ids)
 
 
 @dataclass
@@ -84,8 +89,7 @@ class Model:
 
     @classmethod
     def load(cls, path: str) -> Model:
-        with open(path, encoding="utf-8") as f:
-            d = json.load(f)
+        d = read_json(path)
         return cls(d["symbol_str"], [tuple(m) for m in d["stage1_merges"]], [tuple(m) for m in d["stage2_merges"]])
 
     def tables(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:

@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .bpe.codec import Codec, decode, encode
+from ..session import ship
+from .bpe.chain import apply_ranks
+from .bpe.codec import BatchCodec, Codec, decode, encode, parts_of
 from .bpe.model import Model
 
 
@@ -18,23 +25,59 @@ def crossing_ids(model: Model, strict: bool = False) -> list[int]:
 
 
 def token_stats(lines: DataFrame, model: Model) -> DataFrame:
-    """(lang, text, ids, tokens, chars, crossing) by line; crossing counts tokens that hold a space."""
-    flags = F.array(*[F.lit(i) for i in crossing_ids(model)])
-    out = encode(lines, model)
-    return out.select("lang", "text", "ids", F.size("ids").alias("tokens"), F.length("text").alias("chars"), F.size(F.filter("ids", lambda i: F.array_contains(flags, i))).alias("crossing"))
-
-
-def compression(stats: DataFrame, mode: str = "line") -> DataFrame:
-    """tokens, chars, ratio and crossing % by language, and over all (lang null).
+    """(lang, tokens, chars, crossing) by line; crossing counts tokens that hold a space. Ids stay in the workers: only their numbers leave."""
+    return _stats(lines, {"": (model, [])}).select("lang", "tokens", "chars", "crossing")
+
+
+def _stats(lines: DataFrame, models: dict[str, tuple[Model, list[int]]], by: tuple[str, ...] = ("lang",)) -> DataFrame:
+    """(config, size, columns ``by``, tokens, chars, crossing) by line, for models and the sizes of their snapshots (none: as they are): one scan, and one pass of merges for all snapshots of a model."""
+    spark = ship(lines.sparkSession)
+    shared = spark.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codecs = {k: (BatchCodec(m), sizes) for k, (m, sizes) in shared.value.items()}
+        flags = {k: np.array([" " in s for s in m.strings]) for k, (m, _) in shared.value.items()}
+        for b in parts_of(batches):
+            text = b.column("text")
+            chars = pc.utf8_length(text).cast(pa.int64())
+            for k, (codec, sizes) in codecs.items():
+                chain, m = codec.chain(text), codec.model
+                stops = [sum(x[2] < v for x in m.merges) for v in sizes]
+
+                def row(size: int, tokens: np.ndarray) -> pa.RecordBatch:
+                    live = chain.sym >= 0
+                    ids = chain.sym[live]
+                    hit = np.zeros(len(chain.sym), np.int64)
+                    hit[live] = (ids < len(m.strings)) & flags[k][np.minimum(ids, len(m.strings) - 1)]
+                    x = np.concatenate([[0], np.cumsum(hit)])
+                    n = b.num_rows
+                    cols = [pa.array([k] * n, pa.string()), pa.array(np.full(n, size)), *map(b.column, by), pa.array(tokens), chars, pa.array(x[chain.ends[1:]] - x[chain.ends[:-1]])]
+                    return pa.RecordBatch.from_arrays(cols, names=["config", "size", *by, "tokens", "chars", "crossing"])
+
+                order = np.argsort(stops, kind="stable").tolist()
+                steps = apply_ranks(chain, codec.ranks, sorted(stops))
+                for i in order:
+                    yield row(sizes[i], next(steps))
+                tokens = next(steps)
+                if not sizes:
+                    yield row(len(m.strings), tokens)
+
+    kept = lines.select(*by, "text").where("text IS NOT NULL")
+    counts = [StructField(c, LongType()) for c in ("tokens", "chars", "crossing")]
+    return kept.mapInArrow(run, StructType([StructField("config", StringType()), StructField("size", LongType()), *kept.select(*by).schema.fields, *counts]))
+
+
+def compression(stats: DataFrame, mode: str = "line", *by: str) -> DataFrame:
+    """tokens, chars, ratio and crossing % by language, and over all (lang null), within the columns ``by`` if there are any.
 
     mode "blob" takes a language as one text, in which each line end is a token and a character; "words" counts these
     characters but no tokens for them, as where white space is dropped before encoding.
     """
     more = {"line": (0, 0), "blob": (1, 1), "words": (0, 1)}[mode]
-    by = stats.groupBy("lang").agg(F.sum("tokens").alias("t"), F.sum("chars").alias("c"), F.sum("crossing").alias("x"), F.count("*").alias("n"))
-    by = by.select("lang", (F.col("t") + more[0] * (F.col("n") - 1)).alias("t"), (F.col("c") + more[1] * (F.col("n") - 1)).alias("c"), "x")
-    out = by.rollup("lang").agg(F.sum("t").alias("tokens"), F.sum("c").alias("chars"), F.sum("x").alias("crossing"))
-    return out.select("lang", "tokens", "chars", "crossing", ratio(F.col("tokens"), F.col("chars")).alias("tokens_per_char"), (100.0 * F.col("crossing") / F.greatest("tokens", F.lit(1))).alias("crossing_pct"))
+    one = stats.groupBy(*by, "lang").agg(F.sum("tokens").alias("t"), F.sum("chars").alias("c"), F.sum("crossing").alias("x"), F.count("*").alias("n"))
+    one = one.select(*by, "lang", (F.col("t") + more[0] * (F.col("n") - 1)).alias("t"), (F.col("c") + more[1] * (F.col("n") - 1)).alias("c"), "x")
+    out = one.groupingSets([[*by, "lang"], list(by)], *by, "lang").agg(F.sum("t").alias("tokens"), F.sum("c").alias("chars"), F.sum("x").alias("crossing"))
+    return out.select(*by, "lang", "tokens", "chars", "crossing", ratio(F.col("tokens"), F.col("chars")).alias("tokens_per_char"), (100.0 * F.col("crossing") / F.greatest("tokens", F.lit(1))).alias("crossing_pct"))
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -55,12 +98,37 @@ def against_baseline(results: DataFrame, baseline: str, flag_over: float = 5.0)
 
 
 def sweep(lines: DataFrame, models: dict[str, Model], baseline: str, mode: str = "blob") -> DataFrame:
-    """All configurations on the same lines, in long form, with their change against the baseline; lang null is the blend."""
-    parts = [compression(token_stats(lines, m), mode).select(F.lit(k).alias("config"), F.coalesce("lang", F.lit("BLENDED")).alias("lang"), F.col("tokens_per_char").alias("value")) for k, m in models.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return against_baseline(out, baseline)
+    """All configurations on the same lines by one scan, in long form, with their change against the baseline; lang BLENDED is over all."""
+    stats = _stats(lines, {k: (m, []) for k, m in models.items()})
+    by = compression(stats, mode, "config")
+    return against_baseline(by.select("config", F.coalesce("lang", F.lit("BLENDED")).alias("lang"), F.col("tokens_per_char").alias("value")), baseline)
+
+
+def sweep_document(results: DataFrame) -> dict:
+    """What sweep() gives as a document: {"results": {config: {lang: value}}, "blended": {config: value}}."""
+    out: dict = {"results": {}, "blended": {}}
+    for r in results.orderBy("config", "lang").collect():
+        if r.lang == "BLENDED":
+            out["blended"][r.config] = r.value
+        else:
+            out["results"].setdefault(r.config, {})[r.lang] = r.value
+    return out
+
+
+def available(wanted: list[str], lines: DataFrame) -> list[str]:
+    """Those of the languages wanted that there are lines of, in their order."""
+    there = {r[0] for r in lines.where(F.col("lang").isin(wanted)).select("lang").distinct().collect()}
+    return [x for x in wanted if x in there]
+
+
+def tokenised(text: str, models: dict[str, Model], k: int = 40) -> dict[str, tuple[int, list[str]]]:
+    """A sample as each model tokenises it: number of tokens, and the first k as strings."""
+    out = {}
+    for name, m in models.items():
+        c = Codec(m)
+        ids = c.encode(text)
+        out[name] = (len(ids), [c.string(i) for i in ids[:k]])
+    return out
 
 
 def vocabulary_diff(old: DataFrame, new: DataFrame, k: int = 25, containing: str = "[U+") -> DataFrame:
@@ -74,7 +142,7 @@ def vocabulary_diff(old: DataFrame, new: DataFrame, k: int = 25, containing: str
 
 
 def round_trip(lines: DataFrame, model: Model) -> DataFrame:
-    """Lines and characters checked, mismatches and the first of them; encoder and decoder are built apart."""
+    """Lines and characters checked, mismatches and the first of them; the encoder works in the workers, the decoder is a column."""
     back = decode(encode(lines, model), model)
     bad = ~F.col("text").eqNullSafe(F.col("decoded"))
     return back.agg(
@@ -91,35 +159,58 @@ ADVERSARIAL = (
     "a",
     " ",
     "   ",
-    "!@#$%^&*()",
+    "!@#$%^&*()_+-=[]{}|;:',.<>/?`~",
     "a" * 500,
     "word " * 200,
-    "\"quoted 'nested' text\"",
-    "tabs\tand\ttabs",
+    '"quoted text with \'nested\' quotes"',
+    "line\twith\ttabs\tif\tany\tsurvive\tpreprocessing",
 )
 
 
-def validate(model: Model, most: int = 20_000) -> dict[str, bool]:
-    """Hard limits: size, types and the adversarial texts, with two codecs."""
+def validate(model: Model, most: int = 20_000, lines: DataFrame | None = None) -> dict[str, bool]:
+    """Hard limits: size, types and the adversarial texts, with two codecs; with lines also their round trip. ``passed`` is whether all hold."""
     one, two = Codec(model), Codec(model)
     ids = [one.encode(t) for t in ADVERSARIAL]
-    return {
+    checks = {
         "vocab_size": len(model.strings) <= most,
         "types": all(isinstance(i, int) for x in ids for i in x),
-        "round_trip": all(two.decode(x) == t for x, t in zip(ids, ADVERSARIAL, strict=True)),
+        "edge_cases": all(two.decode(x) == t for x, t in zip(ids, ADVERSARIAL, strict=True)),
     }
+    if lines is not None:
+        checks["losslessness"] = round_trip(lines, model).first().n_mismatch == 0
+    return checks | {"passed": all(checks.values())}
+
+
+def spot_check(lines: DataFrame, model: Model, k: int = 20) -> DataFrame:
+    """The first k lines of each language, by doc_id and line_no, as they come back."""
+    order = Window.partitionBy("lang").orderBy("doc_id", "line_no")
+    some = lines.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k)
+    back = decode(encode(some, model), model)
+    return back.select("lang", "doc_id", "line_no", F.size("ids").alias("tokens"), F.col("text").eqNullSafe(F.col("decoded")).alias("same"))
 
 
 def training_curve(train: DataFrame, heldout: DataFrame, model: Model, sizes: list[int]) -> DataFrame:
-    """(stage, vocab_size, split, lang, tokens_per_char) of the model's snapshots; lang null is over all."""
-    out = None
-    for v in sizes:
-        snap = model.at(v)
-        stage = 1 if v <= len(model.strings) - len(model.stage2) else 2
-        for split, lines in (("train", train), ("heldout", heldout)):
-            part = compression(token_stats(lines, snap)).select(F.lit(stage).alias("stage"), F.lit(v).alias("vocab_size"), F.lit(split).alias("split"), "lang", "tokens_per_char")
-            out = part if out is None else out.unionByName(part)
-    return out
+    """(stage, vocab_size, split, lang, tokens_per_char) of the model's snapshots; lang null is over all.
+
+    Lines are encoded once: a larger snapshot goes on where the smaller one ends.
+    """
+    lines = train.select(F.lit("train").alias("split"), "lang", "text").unionByName(heldout.select(F.lit("heldout").alias("split"), "lang", "text"))
+    stats = _stats(lines, {"": (model, sizes)}, ("split", "lang"))
+    by = compression(stats, "line", "size", "split")
+    stage = F.when(F.col("size") <= len(model.strings) - len(model.stage2), 1).otherwise(2)
+    return by.select(stage.alias("stage"), F.col("size").cast("int").alias("vocab_size"), "split", "lang", "tokens_per_char")
+
+
+def curve_document(curve: DataFrame) -> list[dict]:
+    """What training_curve() gives as a list of points, as documents hold it."""
+    out: dict[tuple, dict] = {}
+    for r in curve.collect():
+        p = out.setdefault((r.stage, r.vocab_size), {"stage": r.stage, "vocab_size": r.vocab_size, "train_tokens_per_char": None, "heldout_tokens_per_char": None, "train_per_lang": {}, "heldout_per_lang": {}})
+        if r.lang is None:
+            p[f"{r.split}_tokens_per_char"] = r.tokens_per_char
+        else:
+            p[f"{r.split}_per_lang"][r.lang] = r.tokens_per_char
+    return [out[k] for k in sorted(out)]
 
 
 def throughput(spark: SparkSession, lines: DataFrame, model: Model, budget_s: float = 1200.0, chars: int = 2_000_000) -> dict[str, object]:

@@ -1,5 +1,8 @@
+import math
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -8,7 +11,8 @@ from pyspark.sql import functions as F
 from corpusloom.operators import counts, evaluate
 from corpusloom.operators.bpe import codec, distributed
 from corpusloom.operators.bpe.checkpoint import Checkpoint
-from corpusloom.operators.bpe.learner import learn, learn_by_recount, replaced
+from corpusloom.operators.bpe.chain import Chain, Ranks, apply_ranks
+from corpusloom.operators.bpe.learner import batch, learn, learn_by_recount, replaced
 from corpusloom.operators.bpe.model import ALPHABET, Model, Symbols
 
 UNITS = st.lists(st.tuples(st.lists(st.integers(0, 4), max_size=9).map(tuple), st.integers(1, 4)), min_size=1, max_size=6)
@@ -56,15 +60,13 @@ def test_learner_equals_recount(units, span):
 @given(UNITS)
 def test_batches_equal_one_at_a_time(units):
     """The rule for several merges in a pass, in plain Python."""
-    from collections import Counter
-
     s, seqs, merges = Symbols(), [(list(u), f) for u, f in units], []
     while len(s) < 107:
         n = Counter()
         for q, f in seqs:
             for p in zip(q, q[1:], strict=False):
                 n[p] += f
-        chosen = distributed.batch([(k, *p) for p, k in sorted(n.items(), key=lambda x: (-x[1], x[0]))])[: 107 - len(s)]
+        chosen = batch([(k, *p) for p, k in sorted(n.items(), key=lambda x: (-x[1], x[0]))])[: 107 - len(s)]
         if not chosen:
             break
         for a, b in chosen:
@@ -140,6 +142,88 @@ def test_baseline_codec(spark):
     assert rows[0].ids == [98, 99, 0] and all(r.t == r.back for r in rows)
 
 
+@settings(max_examples=300, deadline=None)
+@given(UNITS, st.integers(0, 12))
+def test_chain_equals_replacing_and_snapshots(units, cut):
+    merges, seqs = learn(units, 107, Symbols())
+    half = [list(u) for u, _ in units]
+    for m in merges[:cut]:
+        half = [replaced(q, *m) for q in half]
+    chain = Chain(np.array([x for u, _ in units for x in u], np.int32), np.array([len(u) for u, _ in units]))
+    at_cut, end = apply_ranks(chain, Ranks(merges), [min(cut, len(merges))])
+    assert at_cut.tolist() == list(map(len, half)) and end.tolist() == list(map(len, seqs)) and chain.seqs() == seqs
+    assert learn(units, 107, Symbols(), done=merges[:cut]) == (merges, seqs)
+
+
+def pmi_by_recount(units, target, symbols, least, rebuild):
+    """The PMI rule with everything counted anew."""
+    seqs, merges, listing, since = [(list(s), f) for s, f in units], [], None, 0
+    while len(symbols) < target:
+        n, one = Counter(), Counter()
+        for s, f in seqs:
+            for x in s:
+                one[x] += f
+            for p in zip(s, s[1:], strict=False):
+                n[p] += f
+        score = {p: math.log(k) - math.log(one[p[0]]) - math.log(one[p[1]]) for p, k in n.items() if k >= least}
+        if listing is None or since >= rebuild:
+            listing, since, fresh = dict(score), 0, True
+        while listing and (best := min(listing, key=lambda p: (-listing[p], p))) is not None and abs(score.get(best, -math.inf) - listing[best]) > 1e-9:
+            del listing[best]
+        if not listing:
+            if fresh:
+                break
+            listing = None
+            continue
+        del listing[best]
+        new = symbols.merged(*best)
+        merges.append((*best, new))
+        seqs = [(replaced(s, *best, new), f) for s, f in seqs]
+        since, fresh = since + 1, False
+    return merges
+
+
+@settings(max_examples=200, deadline=None)
+@given(UNITS, st.sampled_from([1, 3, 300]), st.sampled_from([1, 3]))
+def test_pmi_equals_recount(units, rebuild, least):
+    got = learn(units, 107, Symbols(), criterion="pmi", pmi_min_count=least, pmi_rebuild_every=rebuild)[0]
+    assert got == pmi_by_recount(units, 107, Symbols(), least, rebuild)
+
+
+def test_dealt_units_learn_the_same(spark, tmp_path, monkeypatch):
+    """By both criteria, resumed, and with arrays that are rewritten on the way."""
+    rng = random.Random(8)
+    words = {"".join(rng.choices("abcde ", k=rng.randint(1, 9))): rng.randint(1, 30) for _ in range(200)}
+    units = spark.createDataFrame(list(words.items()), "unit string, freq long").repartition(3)
+    monkeypatch.setattr(distributed, "CHUNK", 200)
+    monkeypatch.setattr(distributed.DealtCorpus.__init__, "__defaults__", ((), 5))
+    for how in ({}, {"criterion": "pmi", "pmi_min_count": 3, "pmi_rebuild_every": 4}):
+        want = distributed.learn_units(units, 14, Symbols(), more=True, **how)
+        assert distributed.learn_units(units, 14, Symbols(), driver_symbols=0, more=True, **how) == want
+        mark = Checkpoint(str(tmp_path / f"{len(how)}.json"), 3)
+        if not how:  # PMI lists its candidates again on resuming
+            distributed.learn_units(units, 7, Symbols(), driver_symbols=0, checkpoint=mark, more=True, **how)
+        assert distributed.learn_units(units, 14, Symbols(), driver_symbols=0, checkpoint=mark, more=True, **how) == want
+        monkeypatch.setattr(distributed, "DealtCorpus", None)
+        assert distributed.learn_units(units, 14, Symbols(), driver_symbols=0, checkpoint=mark, more=True, **how) == want  # complete: units are not read
+        monkeypatch.undo()
+        monkeypatch.setattr(distributed, "CHUNK", 200)
+
+
+def test_progress_is_logged(caplog):
+    with caplog.at_level("INFO"):
+        learn(coded({"abcdefgh": 3}), 100, Symbols(), report_every=2)
+    assert [r.args[0] for r in caplog.records] == [2, 4]
+
+
+def test_documents_in_a_store(spark, tmp_path):
+    path = f"file://{tmp_path}/m.json"
+    m = two_stage(spark)
+    for _ in range(2):
+        m.save(path)
+    assert Model.load(path) == m and Checkpoint(f"file://{tmp_path}/none.json").load() is None
+
+
 def test_resume_equals_uninterrupted(tmp_path):
     words = {"".join(random.Random(i).choices("abcd", k=6)): i % 5 + 1 for i in range(40)}
     whole = learn(coded(words), 125, Symbols())[0]
@@ -176,4 +260,16 @@ def test_reports(spark):
     assert evaluate.worst_language(evaluate.compression(stats)).first().lang == "b"
     assert evaluate.crossing_ids(m, strict=True) and 0 not in evaluate.crossing_ids(m, strict=True)
     assert evaluate.round_trip(lines, m).first().n_mismatch == 0
+    sweep = {(r.config, r.lang): r.value for r in evaluate.sweep(lines, {"a": m, "b": m.at(97)}, "a", "line").collect()}
+    half = {r.lang: r.tokens_per_char for r in evaluate.compression(evaluate.token_stats(lines, m.at(97))).collect()}
+    assert sweep["b", "BLENDED"] == half[None] and sweep["b", "a"] == half["a"] and sweep["a", "b"] == 1.0
+    curve = evaluate.training_curve(lines, lines.where("lang = 'a'"), m, [97, len(m.strings)])
+    points = evaluate.curve_document(curve)
+    assert [(p["stage"], p["vocab_size"]) for p in points] == [(1, 97), (2, len(m.strings))]
+    assert points[0]["train_tokens_per_char"] == half[None] and points[0]["heldout_per_lang"] == {"a": half["a"]} and points[0]["train_per_lang"]["b"] == 1.0
+    assert evaluate.sweep_document(evaluate.sweep(lines, {"a": m}, "a"))["blended"].keys() == {"a"}
+    assert evaluate.available(["c", "b", "a"], lines) == ["b", "a"]
+    assert evaluate.tokenised("to be to", {"m": m}) == {"m": (2, ["to be ", "to"])}
+    assert [(r.lang, r.same) for r in evaluate.spot_check(lines, m, 1).orderBy("lang").collect()] == [("a", True), ("b", True)]
+    assert evaluate.validate(m, lines=lines)["passed"] and not evaluate.validate(m, 50)["passed"]
     assert evaluate.throughput(spark, lines, m)["status"] in ("OK", "TIGHT", "FAIL")
