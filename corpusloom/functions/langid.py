@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -38,15 +39,19 @@ def _grams(text: str) -> Counter:
 
 
 def train_scorer(lines: DataFrame, label: str = "lang", most_grams: int = 3000, per_label: int = 400) -> dict[str, dict[str, float]]:
-    """Log probabilities of character n-grams by label, from per_label lines of each at most (a documented bound)."""
+    """Log probabilities of character n-grams by label, from per_label different lines of each at most (a documented bound), the first by a hash of theirs.
+
+    The n-grams are the most frequent, of equals the first in order.
+    """
     from pyspark.sql.window import Window
 
-    order = Window.partitionBy(label).orderBy(F.xxhash64("text"), "text")
-    some = lines.where("text <> ''").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= per_label).select(label, "text").collect()
+    order = Window.partitionBy(label).orderBy(F.md5(F.col("text").cast("binary")), "text")
+    some = lines.where("text <> ''").select(label, "text").distinct().withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= per_label).select(label, "text").collect()
     count: dict[str, Counter] = {}
     for lang, text in some:
         count.setdefault(lang, Counter()).update(_grams(text))
-    grams = [g for g, _ in sum(count.values(), Counter()).most_common(most_grams)]
+    total_of = sum(count.values(), Counter())
+    grams = sorted(total_of, key=lambda g: (-total_of[g], g))[:most_grams]
     out = {}
     for lang, n in count.items():
         total = sum(n[g] + 0.5 for g in grams)
@@ -66,12 +71,14 @@ def score_text(model: dict[str, dict[str, float]], text: str) -> tuple[str | Non
     return best, 1 / sum(math.exp(v - top) for v in logs.values())
 
 
-def score(lines: DataFrame, model: dict[str, dict[str, float]]) -> DataFrame:
-    """Adds label and prob by the trained scorer."""
+def score(lines: DataFrame, model: dict[str, dict[str, float]] | Callable[[], Callable[[str], tuple[str | None, float]]]) -> DataFrame:
+    """Adds label and prob by the trained scorer, or by any other: a function that each worker calls once, to load its model, and that gives a function of a text."""
     ship(lines.sparkSession)
 
     @F.pandas_udf("label string, prob double")
-    def scored(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([score_text(model, t) if t is not None else (None, 0.0) for t in texts], columns=["label", "prob"])
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        of = model() if callable(model) else lambda t: score_text(model, t)
+        for texts in batches:
+            yield pd.DataFrame([of(t) if t is not None else (None, 0.0) for t in texts], columns=["label", "prob"])
 
     return lines.withColumn("s", scored("text")).select(*lines.columns, "s.label", "s.prob")

@@ -80,20 +80,21 @@ def normalize_text(text: str | bytes | None, transliterate: Callable[[str], str]
     return _SPACE.sub(" ", text.translate(_table(transliterate))).strip()
 
 
-def _normalized(texts: pd.Series) -> pd.Series:
-    return texts.map(normalize_text, na_action="ignore")
-
-
-def normalize(text: Column) -> Column:
+def normalize(text: Column, transliterate: Callable[[str], str] | None = None) -> Column:
     """The same as a column. ASCII rows stay in the JVM; only the others reach Python, in Arrow batches.
 
-    Normalise lines, not blobs of them: line ends become spaces.
+    Normalise lines, not blobs of them: line ends become spaces. A transliterator is a function of a character that
+    workers can import or unpickle.
     """
     spark = SparkSession.getActiveSession()
     if spark is not None:
         ship(spark)
+
+    def normalized(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: normalize_text(t, transliterate), na_action="ignore")
+
     ascii_only = F.trim(F.regexp_replace(text, r"[\x00-\x20\x7F]+", " "))
-    other = F.pandas_udf(_normalized, "string")(F.when(text.rlike(r"[^\x00-\x7F]"), text))
+    other = F.pandas_udf(normalized, "string")(F.when(text.rlike(r"[^\x00-\x7F]"), text))
     return F.coalesce(other, ascii_only)
 
 

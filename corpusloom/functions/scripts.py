@@ -70,15 +70,17 @@ def contamination(text: Column, profile: str = "latin", least: int = 3, strict:
     """
     allowed = PROFILES[profile]
     scripts = FOREIGN + (tuple(sorted({p for v in PROFILES.values() for p in v} - set(allowed))) if strict else ())
-    found = []
-    for s in scripts:
-        c = char_class(s, allowed)
-        if c == "[]":
-            continue
-        enough = F.regexp_count(text, F.lit(c)) >= least
-        found.append(F.when(enough, F.struct(F.regexp_instr(text, F.lit(c)).alias("at"), F.lit(s).alias("script"))))
-    first = F.array_min(F.filter(F.array(*found), lambda x: x.isNotNull()))["script"]
-    return F.when(text.rlike(r"[^\x00-\x7F]"), first)
+    classes = {s: char_class(s, allowed) for s in scripts if ranges(s, allowed)}
+    lowest = min(ranges(s, allowed)[0][0] for s in classes)
+    # all that lies below every foreign script goes first, by one range; what is left is short, and mostly nothing
+    rest = F.regexp_replace(text, f"[\\x{{0}}-\\x{{{lowest - 1:X}}}]+", "")
+
+    def first(r: Column) -> Column:
+        found = [F.when(F.regexp_count(r, F.lit(c)) >= least, F.struct(F.regexp_instr(r, F.lit(c)).alias("at"), F.lit(s).alias("script"))) for s, c in classes.items()]
+        return F.when(F.length(r) >= least, F.array_min(F.filter(F.array(*found), lambda x: x.isNotNull()))["script"])
+
+    once = F.get(F.transform(F.array(rest), first), F.lit(0))  # the lambda's argument is computed once
+    return F.when(text.rlike(f"[^\\x{{0}}-\\x{{{lowest - 1:X}}}]"), once)
 
 
 def filter_lines(lines: DataFrame, profile: str = "latin", least: int = 3, strict: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -19,10 +19,13 @@ def normalized_lines(lines: DataFrame) -> DataFrame:
 
 def expansion(lines: DataFrame) -> DataFrame:
     """By language: raw and processed characters, the factor between them, unique markers and the share of characters in markers."""
-    found = markers(F.col("processed"))
-    one = normalized_lines(lines).select("lang", F.length("text").alias("raw"), F.length("processed").alias("n"), found.alias("m"))
-    sizes = one.select("lang", "raw", "n", F.aggregate("m", F.lit(0), lambda a, x: a + F.length(x)).alias("in_markers"), F.array_distinct("m").alias("m"))
-    total = sizes.groupBy("lang").agg(F.sum("raw").alias("raw_chars"), F.sum("n").alias("processed_chars"), F.sum("in_markers").alias("marker_chars"), F.array_size(F.array_distinct(F.flatten(F.collect_set("m")))).cast("long").alias("unique_markers"))
+    one = normalized_lines(lines).select("lang", F.length("text").alias("raw"), F.length("processed").alias("n"), markers(F.col("processed")).alias("m"))
+    none = F.struct(F.lit(None).cast("string").alias("marker"), F.col("raw").alias("raw"), F.col("n").alias("n"))
+    parts = F.concat(F.array(none), F.transform("m", lambda x: F.struct(x.alias("marker"), F.lit(0).alias("raw"), F.lit(0).alias("n"))))
+    # by marker first, so that no language's markers meet in one buffer
+    by = one.select("lang", F.inline(parts)).groupBy("lang", "marker").agg(F.sum("raw").alias("raw"), F.sum("n").alias("n"), F.count("*").alias("times"))
+    in_markers = F.coalesce(F.sum(F.when(F.col("marker").isNotNull(), F.length("marker") * F.col("times"))), F.lit(0))
+    total = by.groupBy("lang").agg(F.sum("raw").alias("raw_chars"), F.sum("n").alias("processed_chars"), in_markers.alias("marker_chars"), F.count("marker").alias("unique_markers"))
     return total.select(
         "lang",
         "raw_chars",

@@ -149,11 +149,11 @@ def q_tile_pool(spark, sf_dir):
 
 def q_assemble(spark, sf_dir):
     out = mixing.assemble(_pool(spark, sf_dir), _targets(spark, 1.0))
-    return out.groupBy("lang").agg(F.count("*").alias("n_lines"), F.sum(F.length("text")).alias("n_chars"))
+    return out.select("lang", "copy", "doc_id", F.col("line_no").cast("long").alias("line_no"), "text")
 
 
 def q_coverage_supplement(spark, sf_dir):
-    return mixing.coverage_supplement(mixing.coverage(spark), 2).select("lang", "num_codepoints", F.length("supplement").cast("long").alias("n_chars"))
+    return mixing.coverage_supplement(mixing.coverage(spark), 2).select("lang", "num_codepoints", "supplement")
 
 
 def q_coverage_union(spark, sf_dir):
@@ -247,16 +247,21 @@ def q_training_curve(spark, sf_dir):
 
 
 def _vocabularies(spark, sf_dir):
-    lines = document_lines(spark, sf_dir)
+    """Symbols of 60 merges of normalised English lines, and of the others."""
+    lines = profile.normalized_lines(document_lines(spark, sf_dir)).select("lang", F.col("processed").alias("text"))
     sides = []
     for langs in ("lang = 'en'", "lang <> 'en'"):
         s = Symbols()
-        learn_units(counts.word_freq(lines.where(langs)), 30, s, more=True)
+        learn_units(counts.word_freq(lines.where(langs)), 60, s, more=True)
         sides.append(spark.createDataFrame([(x,) for x in s.strings if len(x) > 1], "str string"))
     return sides
 
 
 def q_vocab_diff(spark, sf_dir):
+    return evaluate.vocabulary_diff(*_vocabularies(spark, sf_dir), k=25, containing="[U+")
+
+
+def q_vocab_diff_all(spark, sf_dir):
     return evaluate.vocabulary_diff(*_vocabularies(spark, sf_dir), k=25, containing="")
 
 

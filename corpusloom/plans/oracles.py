@@ -101,6 +101,12 @@ def merges_sql(name: str, first: str) -> str:
     return f"SELECT (k - 1)::BIGINT AS rank, any_value(a)::BIGINT AS a, any_value(b)::BIGINT AS b, (({first}) + k - 1)::BIGINT AS new_id FROM {name} WHERE k > 0 GROUP BY k"
 
 
+#: How many ids, of a text like <1><2>, are in a set like <0><99>; and the ids that hold a space, by the merges so far.
+def count_in(seq: str, ids: str) -> str:
+    return f"len(list_filter(string_split({seq}[2:len({seq})-1], '><'), lambda t: contains({ids}, '<' || t || '>')))"
+
+
+SPACED = "list_reduce(list_prepend('<0>', pl), lambda x, y: x || CASE WHEN contains(x, '<' || split_part(y, '|', 1) || '>') OR contains(x, '<' || split_part(y, '|', 2) || '>') THEN '<' || split_part(y, '|', 3) || '>' ELSE '' END)"
 #: Tables r1 and r2: stage 1 on words, stage 2 on lines as stage 1 leaves them; mm: all merges as pattern and replacement.
 STAGE_1 = f"{LINES}, {WORDS}, {base_sql()}, {learned_sql('r1', 'u0', N0, MERGES_1)}, m1 AS ({merges_sql('r1', N0)}), ml AS (SELECT list('<' || a || '><' || b || '>|<' || new_id || '>' ORDER BY rank) AS ms FROM m1)"
 APPLIED = "list_reduce(list_prepend({0}, ms), lambda x, y: replace(x, split_part(y, '|', 1), split_part(y, '|', 2)))"
@@ -110,13 +116,102 @@ STAGE_2 = (
     f"{learned_sql('r2', 'u1', f'SELECT n0 + {MERGES_1} FROM mp', MERGES_2)}, m2 AS ({merges_sql('r2', f'SELECT n0 + {MERGES_1} FROM mp')}), "
     "mz AS (SELECT list('<' || a || '><' || b || '>|<' || new_id || '>' ORDER BY new_id) AS ms FROM (FROM m1 UNION ALL FROM m2))"
 )
+#: ml2: merges as a|b|new; cs: ids that hold a space.
+CROSSING = f"pm AS (SELECT list(a || '|' || b || '|' || new_id ORDER BY new_id) AS pl FROM (FROM m1 UNION ALL FROM m2)), cs AS (SELECT {SPACED} AS spaced FROM pm)"
 ENCODED = f"{STAGE_2}, e AS (SELECT lang, doc_id, line_no, text, {APPLIED.format(CODED)} AS seq FROM l, mp, mz)"
-#: Strings by id, and which hold a space.
-STRINGS = "vs(id, s, k) AS (SELECT id, c, -1::BIGINT FROM ids UNION ALL SELECT DISTINCT x.new_id, p.s || r.s, x.rank FROM (SELECT *, new_id AS rank2 FROM (FROM m1 UNION ALL FROM m2)) x JOIN vs p ON p.id = x.a JOIN vs r ON r.id = x.b WHERE x.new_id NOT IN (SELECT id FROM vs))"
 TOKENS = "len(string_split(seq, '<')) - 1"
 BY_LANG = f"SELECT lang, sum({TOKENS})::BIGINT AS tokens, sum(length(text))::BIGINT AS chars, count(*) AS n FROM e GROUP BY lang"
 
 
+#: Lines coded by a share of the merges, from m1 and m2: of all, of stage 1, of the first so many.
+def coded_by(name: str, which: str, source: str = "l", columns: str = "lang, text") -> str:
+    return (
+        f"{name}z AS (SELECT coalesce(list('<' || a || '><' || b || '>|<' || new_id || '>' ORDER BY new_id), []) AS ms FROM (FROM m1 UNION ALL FROM m2), mp WHERE {which}), "
+        f"{name} AS (SELECT {columns}, {APPLIED.format(CODED)} AS seq FROM {source}, mp, {name}z)"
+    )
+
+
+def span_capped_sql(merges: int) -> str:
+    """Learning on lines where no symbol may hold two spaces: ids with one are carried along."""
+    pairs = "SELECT unnest(ids[1:len(ids)-1]) AS a, unnest(ids[2:]) AS b, f, one FROM (SELECT list_transform(string_split(seq[2:len(seq)-1], '><'), lambda x: x::INTEGER) AS ids, f, one FROM r1) WHERE len(ids) > 1"
+    has = lambda x: f"contains(one, '<' || {x} || '>')"
+    return (
+        "r1(k, seq, f, a, b, one) AS (SELECT 0, seq, f, NULL::INTEGER, NULL::INTEGER, '<0>' FROM u0 UNION ALL "
+        f"SELECT k + 1, replace(seq, '<' || x.a || '><' || x.b || '>', '<' || (({N0}) + k) || '>'), f, x.a, x.b, one || CASE WHEN {has('x.a')} OR {has('x.b')} THEN '<' || (({N0}) + k) || '>' ELSE '' END "
+        f"FROM r1, (SELECT a, b FROM ({pairs}) WHERE NOT ({has('a')} AND {has('b')}) GROUP BY a, b ORDER BY sum(f) DESC, a, b LIMIT 1) x WHERE k < {merges})"
+    )
+
+
+def pmi_sql(merges: int, least: int, every: int) -> str:
+    """Learning by PMI: candidates are those listed ``every`` merges ago or less whose score has not moved since; where none is left they are listed anew."""
+
+    def scored(seq: str) -> str:
+        ids = f"SELECT list_transform(string_split({seq}[2:len({seq})-1], '><'), lambda x: x::INTEGER) AS ids, f FROM r1"
+        return (
+            f"(SELECT a, b, n, ln(n) - ln(na) - ln(nb) AS pmi FROM (SELECT a, b, sum(f) AS n FROM (SELECT unnest(ids[1:len(ids)-1]) AS a, unnest(ids[2:]) AS b, f FROM ({ids}) WHERE len(ids) > 1) GROUP BY a, b) "
+            f"JOIN (SELECT s AS a, sum(f) AS na FROM (SELECT unnest(ids) AS s, f FROM ({ids})) GROUP BY s) USING (a) JOIN (SELECT s AS b, sum(f) AS nb FROM (SELECT unnest(ids) AS s, f FROM ({ids})) GROUP BY s) USING (b) WHERE n >= {least})"
+        )
+
+    best = (
+        f"SELECT a, b, late FROM (SELECT c.a, c.b, 0 AS late, o.pmi FROM {scored('seq')} c JOIN {scored('listed')} o ON o.a = c.a AND o.b = c.b AND abs(o.pmi - c.pmi) <= 1e-9 "
+        f"UNION ALL SELECT a, b, 1 AS late, pmi FROM {scored('seq')}) ORDER BY late, pmi DESC, a, b LIMIT 1"
+    )
+    new = f"replace(seq, '<' || x.a || '><' || x.b || '>', '<' || (({N0}) + k) || '>')"
+    age = "CASE WHEN late = 1 THEN 1 ELSE age + 1 END"
+    return (
+        "r1(k, age, seq, listed, f, a, b) AS (SELECT 0, 0, seq, seq, f, NULL::INTEGER, NULL::INTEGER FROM u0 UNION ALL "
+        f"SELECT k + 1, CASE WHEN {age} >= {every} THEN 0 ELSE {age} END, {new}, CASE WHEN {age} >= {every} THEN {new} WHEN late = 1 THEN seq ELSE listed END, f, x.a, x.b FROM r1, ({best}) x WHERE k < {merges})"
+    )
+
+
+#: The strings of a vocabulary, built up merge by merge in one text of entries; characters 1 to 3 set them apart.
+def vocabulary_sql(side: str, where: str, merges: int) -> str:
+    """Table {side}: strings of the merges learned from the normalised words of some languages."""
+    learned = f"{base_sql()}, {learned_sql('r1', 'u0', N0, merges)}, m1 AS ({merges_sql('r1', N0)})"
+    entry = lambda i: f"split_part(split_part(x, chr(1) || {i} || chr(2), 2), chr(3), 1)"
+    a, b, n = (f"split_part(y, '|', {i})" for i in (1, 2, 3))
+    grown = f"list_reduce(list_prepend(al0, pl), lambda x, y: x || chr(1) || {n} || chr(2) || {entry(a)} || {entry(b)} || chr(3))"
+    body = (
+        f"WITH RECURSIVE w AS (SELECT u AS unit, count(*) AS freq FROM (SELECT unnest(string_split(processed, ' ')) AS u FROM n WHERE {where}) WHERE u <> '' GROUP BY u), {learned}, "
+        "pm AS (SELECT list(a || '|' || b || '|' || new_id ORDER BY rank) AS pl, list(new_id) AS ids FROM m1), a0 AS (SELECT string_agg(chr(1) || id || chr(2) || c || chr(3), '' ORDER BY id) AS al0 FROM ids), "
+        f"g AS (SELECT {grown} AS x, ids FROM pm, a0) SELECT {entry('i')} AS str FROM (SELECT x, unnest(ids) AS i FROM g)"
+    )
+    return f"{side} AS ({body})"
+
+
+def vocab_diff_sql(merges: int, containing: str) -> str:
+    def only(a: str, b: str, name: str) -> str:
+        return f"(SELECT '{name}' AS side, str FROM (SELECT DISTINCT str FROM {a} WHERE str NOT IN (SELECT str FROM {b})) WHERE contains(str, {q(containing)}) ORDER BY length(str) DESC, str LIMIT 25)"
+
+    sides = f"{vocabulary_sql('old', 'lang = ' + q('en'), merges)}, {vocabulary_sql('new', 'lang <> ' + q('en'), merges)}"
+    return f"WITH {LINES}, {NORMAL}, {sides} {only('old', 'new', 'lost')} UNION ALL {only('new', 'old', 'gained')}"
+
+
+def langid_sql(per_label: int = 400, most: int = 3000) -> str:
+    """The n-gram scorer: trained on the lines with the first hashes, and the label of each line by the sum of log probabilities."""
+    grams = "list_concat(list_concat(list_transform(range(1, len(t) + 1), lambda i: t[i:i]), list_transform(range(1, len(t)), lambda i: t[i:i + 1])), list_transform(range(1, len(t) - 1), lambda i: t[i:i + 2]))"
+    padded = r"' ' || trim(regexp_replace(lower(text), '\s+', ' ', 'g')) || ' '"
+    return (
+        f"WITH {LINES}, s AS (SELECT lang, text FROM (SELECT lang, text, row_number() OVER (PARTITION BY lang ORDER BY md5(text), text) AS rn FROM (SELECT DISTINCT lang, text FROM l)) WHERE rn <= {per_label}), "
+        f"sg AS (SELECT lang, g, count(*) AS c FROM (SELECT lang, unnest({grams}) AS g FROM (SELECT lang, {padded} AS t FROM s)) GROUP BY lang, g), "
+        f"k AS (SELECT g FROM sg GROUP BY g ORDER BY sum(c) DESC, g LIMIT {most}), ll AS (SELECT DISTINCT lang AS label FROM s), "
+        "pc AS (SELECT label, g, coalesce(c, 0) + 0.5 AS v FROM ll CROSS JOIN k LEFT JOIN (SELECT lang AS label, g, c FROM sg) USING (label, g)), "
+        "p AS (SELECT label, g, ln(v::DOUBLE / sum(v::DOUBLE) OVER (PARTITION BY label)) AS lp FROM pc), "
+        f"lg AS (SELECT doc_id, line_no, g, count(*) AS c FROM (SELECT doc_id, line_no, unnest({grams}) AS g FROM (SELECT doc_id, line_no, {padded} AS t FROM l WHERE regexp_matches(text, '[^\\s]'))) GROUP BY ALL), "
+        "sc AS (SELECT doc_id, line_no, label, sum(c * lp) AS z FROM lg JOIN p USING (g) GROUP BY doc_id, line_no, label), "
+        "b AS (SELECT doc_id, line_no, arg_min(label, (-z, label)) AS label FROM sc GROUP BY doc_id, line_no) "
+        "SELECT lang, label, count(*) AS n FROM l LEFT JOIN b USING (doc_id, line_no) GROUP BY lang, label"
+    )
+
+
+#: The first 500 bytes: whole characters, and one mark if the cut is within one.
+SAMPLE_TRIM = """WITH c AS (SELECT doc_id, text, list_transform(string_split(text[1:500], ''), lambda x: octet_length(encode(x))) AS w FROM documents WHERE text IS NOT NULL),
+n AS (SELECT doc_id, text, len(list_filter(range(1, len(w) + 1), lambda i: list_sum(w[1:i]) <= 500)) AS k, w FROM c),
+h AS (SELECT doc_id, text[1:k] || CASE WHEN octet_length(encode(text)) > 500 AND octet_length(encode(text[1:k])) < 500 THEN chr(65533) ELSE '' END AS h FROM n),
+t AS (SELECT doc_id, CASE WHEN NOT contains(h, chr(10)) THEN h WHEN length(h) - instr(reverse(h), chr(10)) + 1 > 1 THEN h[1:length(h) - instr(reverse(h), chr(10))] ELSE h END AS t FROM h)
+SELECT doc_id, length(t) AS n_chars, length(t) - length(replace(t, chr(10), '')) + 1 AS n_lines FROM t UNION ALL SELECT doc_id, NULL, NULL FROM documents WHERE text IS NULL"""
+
+
 def rec(body: str) -> str:
     return f"WITH RECURSIVE {body}"
 
@@ -148,9 +243,13 @@ ORACLES = {
     "q_split_pool_heldout": f"WITH {ALL}, {SPLIT} SELECT lang, doc_id, line_no, part FROM p",
     "q_slice_prefix": f"WITH {ALL}, {tiled_sql(0.5, 'al')} SELECT lang, copy, doc_id, line_no, text FROM z",
     "q_tile_pool": f"WITH {ALL}, {tiled_sql(2.5, 'al')} SELECT lang, count(*) AS n_lines, max(copy) AS last_copy, sum(length(text))::BIGINT AS n_chars, count(*) FILTER (fused) AS n_fused FROM z GROUP BY lang",
-    "q_assemble": f"WITH {ALL}, {SPLIT.replace('o AS', 'o1 AS').replace('FROM o ', 'FROM o1 ').replace('t AS (', 't1 AS (').replace('JOIN t ', 'JOIN t1 ').replace('o.*', 'o1.*')}, pl AS (SELECT lang, doc_id, line_no, text FROM p WHERE part = 'pool'), {tiled_sql(1.0, 'pl', True)}, l AS (SELECT * FROM z), {NORMAL} "
-    "SELECT lang, count(*) AS n_lines, sum(length(processed))::BIGINT AS n_chars FROM n WHERE processed <> '' GROUP BY lang",
-    "q_coverage_supplement": "SELECT * FROM (VALUES " + ", ".join(f"({q(a)}, {len(c)}::BIGINT, {max(0, 2 * len(c) * 10 - 1)}::BIGINT)" for a, _, _, d in COVERAGE for c in [ethiopic_block() if d is None else d]) + ") t(lang, num_codepoints, n_chars)",
+    "q_assemble": f"WITH {ALL}, {SPLIT.replace('o AS', 'o1 AS').replace('FROM o ', 'FROM o1 ').replace('t AS (', 't1 AS (').replace('JOIN t ', 'JOIN t1 ').replace('o.*', 'o1.*')}, pl AS (SELECT lang, doc_id, line_no, text FROM p WHERE part = 'pool'), {tiled_sql(1.0, 'pl', True)}, n AS (SELECT lang, copy, doc_id, line_no, {marker_sql('text')} AS processed FROM z) "
+    "SELECT lang, copy, doc_id, line_no, processed AS text FROM n WHERE processed <> ''",
+    "q_coverage_supplement": "SELECT lang, len(cs)::BIGINT AS num_codepoints, array_to_string(flatten(list_transform(cs, lambda c: [w(c), w(c)])), ' ') AS supplement FROM (VALUES ".replace(
+        "[w(c), w(c)]", "list_transform([1, 2], lambda i: 'a' || c || 'b ' || c || 'a ' || c || c)"
+    )
+    + ", ".join(f"({q(a)}, [{', '.join(map(q, c))}]::VARCHAR[])" for a, _, _, d in COVERAGE for c in [ethiopic_block() if d is None else d])
+    + ") t(lang, cs)",
     "q_coverage_union": "SELECT count(DISTINCT c) AS n_codepoints FROM (VALUES " + ", ".join(f"({ord(c)})" for _, _, _, d in COVERAGE for c in (ethiopic_block() if d is None else d)) + ") t(c)",
     "q_bpe_merges_50": rec(f"{LINES}, {WORDS}, {base_sql()}, {learned_sql('r1', 'u0', N0, 50)} {merges_sql('r1', N0)}"),
     "q_bpe_stage2_merges": rec(f"{STAGE_2} SELECT (rank)::BIGINT AS rank, a, b, new_id FROM m2"),
@@ -166,3 +265,33 @@ ORACLES = {
     "q_events_tumbling": "SELECT event_type, count(*) AS n_windows, max(n) AS most, sum(n)::BIGINT AS n FROM (SELECT event_type, date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY ALL) GROUP BY event_type",
 }
 ORACLES["q_bpe_merges_distributed"] = ORACLES["q_bpe_merges_50"]
+ORACLES["q_bpe_span_capped"] = rec(f"{LINES}, {LINE_UNITS}, {base_sql()}, {span_capped_sql(20)} {merges_sql('r1', N0)}")
+ORACLES["q_pmi_merges"] = rec(f"{LINES}, {WORDS}, {base_sql()}, {pmi_sql(30, 500, 10)} {merges_sql('r1', N0)}")
+ORACLES["q_crossing_pct"] = rec(
+    f"{ENCODED}, {CROSSING} SELECT lang, sum({count_in('seq', 'spaced')})::BIGINT AS crossing, 100.0::DOUBLE * sum({count_in('seq', 'spaced')})::BIGINT / greatest(sum({TOKENS}), 1)::BIGINT AS crossing_pct FROM e, cs GROUP BY lang"
+)
+ORACLES["q_tier2_report"] = rec(
+    f"{STAGE_2}, {CROSSING}, k AS (SELECT role AS lang, unnest(string_split(text, chr(10))) AS text FROM conversations), kl AS (SELECT * FROM k WHERE text <> ''), "
+    f"e AS (SELECT lang, text, {APPLIED.format(CODED.replace('m[c]', "coalesce(m[c], '<-1>')"))} AS seq FROM kl, mp, mz), "
+    f"t AS (SELECT lang, sum({TOKENS})::BIGINT AS tokens, sum(length(text))::BIGINT AS chars, sum({count_in('seq', 'spaced')})::BIGINT AS x FROM e, cs GROUP BY lang) "
+    "SELECT lang, CASE lang WHEN 'user' THEN 'asks' ELSE '' END AS mirror, tokens, chars, 100.0::DOUBLE * x / greatest(tokens, 1) AS crossing_pct FROM t"
+)
+_CONFIGS = {"base": "true", "words": f"new_id < n0 + {MERGES_1}", "half": f"new_id < n0 + {MERGES_1 - MERGES_1 // 2}"}
+ORACLES["q_config_vs_baseline"] = rec(
+    f"{STAGE_2}, {', '.join(coded_by(f'e_{k}', w) for k, w in _CONFIGS.items())}, "
+    f"v AS ({' UNION ALL '.join(f"SELECT '{k}' AS config, coalesce(lang, 'BLENDED') AS lang, sum({TOKENS})::BIGINT / greatest(sum(length(text)), 1)::BIGINT AS value FROM e_{k} GROUP BY ROLLUP (lang)" for k in _CONFIGS)}), "
+    "b AS (SELECT lang, value AS base FROM v WHERE config = 'base'), p AS (SELECT config, lang, value, CASE WHEN config <> 'base' AND base > 0 THEN 100.0::DOUBLE * (value - base) / base ELSE 0.0::DOUBLE END AS pct FROM v JOIN b USING (lang)) "
+    "SELECT config, lang, value, pct, CASE WHEN pct > 5 THEN '!!' ELSE '' END AS flag FROM p"
+)
+_SIZES = {-MERGES_1 - MERGES_2: ("1", "false"), -MERGES_2: ("1", f"new_id < n0 + {MERGES_1}"), 0: ("2", "true")}
+_SPLIT = SPLIT.replace("FROM al", "FROM l").replace("o AS", "so AS").replace("FROM o ", "FROM so ").replace("o.*", "so.*").replace("t AS (", "st AS (").replace("JOIN t ", "JOIN st ").replace("p AS (", "sp AS (")
+ORACLES["q_training_curve"] = rec(
+    f"{STAGE_2}, {_SPLIT}, {', '.join(coded_by(f'e{i}', w, 'sp', 'lang, part, text') for i, (_, w) in enumerate(_SIZES.values()))} "
+    + " UNION ALL ".join(
+        f"SELECT {stage} AS stage, {v}::BIGINT AS vocab_offset, CASE part WHEN 'pool' THEN 'train' ELSE part END AS split, coalesce(lang, 'ALL') AS lang, sum({TOKENS})::BIGINT / greatest(sum(length(text)), 1)::BIGINT AS tokens_per_char FROM e{i} GROUP BY GROUPING SETS ((part, lang), (part))"
+        for i, (v, (stage, _)) in enumerate(_SIZES.items())
+    )
+)
+ORACLES["q_langid_trained"] = langid_sql()
+ORACLES["q_sample_trim"] = SAMPLE_TRIM
+ORACLES["q_vocab_diff"], ORACLES["q_vocab_diff_all"] = vocab_diff_sql(60, "[U+"), vocab_diff_sql(60, "")

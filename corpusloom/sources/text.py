@@ -16,8 +16,40 @@ def read_whole(spark: SparkSession, path: str) -> DataFrame:
 
 
 def head_bytes(spark: SparkSession, path: str, n: int) -> DataFrame:
-    """(path, head): the first n bytes of each file, as a ranged fetch gives them."""
-    return spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, n).alias("head"))
+    """(path, head): the first n bytes of each file a path or pattern names, in any store Hadoop reads (http and https among them).
+
+    A ranged fetch: each file is opened by the driver and no more than n bytes are read, so n is what bounds it.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(conf)
+    found = [place] if place.toUri().getScheme() in ("http", "https") else [x.getPath() for x in fs.globStatus(place) or []]
+    rows = []
+    for p in found:
+        stream = fs.open(p)
+        try:
+            rows.append((p.toString(), bytearray(stream.readNBytes(n))))
+        finally:
+            stream.close()
+    return spark.createDataFrame(rows, "path string, head binary")
+
+
+def file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, block, at, text) of files of any size, read by lines and by splits: (block, at) is a line's order within its file.
+
+    Lines end at line feeds, carriage returns or both; bytes that are no UTF-8 become U+FFFD.
+    """
+    read = spark.read.text(path)
+    return read.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.make_valid_utf8(F.col("value")).alias("text")
+    )
+
+
+def read_dir_lines(spark: SparkSession, folder: str, suffix: str = ".txt") -> DataFrame:
+    """(lang, block, at, text): file_lines() of a folder's files that end in ``suffix``, by language."""
+    found = file_lines(spark, f"{folder}/*{suffix}")
+    name = F.url_decode(F.element_at(F.split("path", "/"), -1))
+    return found.select(F.substring(name, F.lit(1), F.length(name) - len(suffix)).alias("lang"), "block", "at", "text")
 
 
 def trimmed_to_line(text: Column) -> Column:
@@ -55,11 +87,11 @@ def document_lines(spark: SparkSession, sf_dir: str, keep: str = "nonempty") ->
 SAMPLE_JOBS = (
     ("amharic", 5_000_000),
     ("hausa", 5_000_000),
-    ("igbo", 5_000_000),
-    ("kinyarwanda", 5_000_000),
     ("somali", 5_000_000),
     ("swahili", 5_000_000),
     ("yoruba", 5_000_000),
+    ("igbo", 5_000_000),
+    ("kinyarwanda", 5_000_000),
     ("xhosa", 45_000_000),
     ("zulu", 8_000_000),
 )
@@ -81,3 +113,14 @@ def slug(name: Column) -> Column:
 def coverage_slug(name: Column) -> Column:
     """The first word of a name, without what stands in parentheses."""
     return F.split_part(F.split_part(F.lower(name), F.lit(" "), F.lit(1)), F.lit("("), F.lit(1))
+
+
+def sourced(languages: DataFrame, root: str) -> DataFrame:
+    """source_registry(), which fails on a language whose file is not there."""
+    spark, found = languages.sparkSession, source_registry(languages, root)
+    conf = spark._jsc.hadoopConfiguration()
+    for r in found.collect():  # a registry has one row for each language
+        place = spark._jvm.org.apache.hadoop.fs.Path(r.path)
+        if not place.getFileSystem(conf).exists(place):
+            raise FileNotFoundError(f"{r.name}: {r.path}")
+    return found

@@ -64,3 +64,11 @@ def test_trained_scorer(spark, sf_dir):
     right = scored.agg(F.avg((F.col("lang") == F.col("label")).cast("double"))).first()[0]
     assert right > 0.9
     assert langid.score_text(model, " ") == (None, 0.0)
+
+
+def test_any_scorer(spark):
+    def loaded():
+        return lambda t: ("xx" if "x" in t else "yy", 0.75)
+
+    df = spark.createDataFrame([("x",), ("b",), (None,)], "text string")
+    assert [tuple(r) for r in langid.score(df, loaded).select("label", "prob").collect()] == [("xx", 0.75), ("yy", 0.75), (None, 0.0)]

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,13 +55,24 @@ def test_slice_and_tile(spark, target, seam, want):
 def test_offsets_equal_a_running_sum(spark, sf_dir):
     from corpusloom.sources.text import document_lines
 
-    at = mixing.offsets(document_lines(spark, sf_dir, "all")).orderBy("lang", "doc_id", "line_no").collect()
-    start, lang = 0, None
-    for r in at:
-        start = 0 if r.lang != lang else start
-        lang = r.lang
-        assert r.start == start
-        start += len(r.text) + 1
+    for ranges in (None, 1, 50):
+        at = mixing.offsets(document_lines(spark, sf_dir, "all"), ranges).orderBy("lang", "doc_id", "line_no").collect()
+        start, lang = 0, None
+        for r in at:
+            start = 0 if r.lang != lang else start
+            lang = r.lang
+            assert r.start == start
+            start += len(r.text) + 1
+
+
+def test_no_task_has_a_language(spark, sf_dir):
+    """Windows and shuffles of lines are by language and range, never by language alone."""
+    from corpusloom.plans.corpus import q_assemble, q_expansion_by_lang, q_split_pool_heldout, q_tile_pool
+
+    for q in (q_split_pool_heldout, q_tile_pool, q_assemble, q_expansion_by_lang):
+        plan = q(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "collect_set" not in plan
+        assert all(x == "range" for x in re.findall(r"windowspecdefinition\(lang#\d+, (\w+)#", plan))
 
 
 def test_coverage(spark):

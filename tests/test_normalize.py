@@ -41,6 +41,11 @@ def test_column_equals_function(spark):
     assert got == {i: normalize_text(t) for i, t in enumerate(texts)}
 
 
+def test_column_with_transliterator(spark):
+    df = spark.createDataFrame([("жa",), ("plain",), (None,)], "t string")
+    assert [r[0] for r in df.select(normalize(df.t, lambda c: "zh")).collect()] == ["zh[U+0436 CYRILLIC SMALL LETTER ZHE]a", "plain", None]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=40))
 def test_ascii_and_idempotent(text):

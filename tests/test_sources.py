@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.sources import sinks, text
@@ -12,12 +13,66 @@ def test_files(spark, tmp_path):
     found = text.read_dir(spark, str(tmp_path), "_train.txt").collect()
     assert [(r.lang, r.text) for r in found] == [("xhosa", "one\ntwo�\n\n  \nlast")]
     assert text.head_bytes(spark, str(tmp_path / "xhosa_train.txt"), 5).first().head == b"one\nt"
+    lines = text.read_dir_lines(spark, str(tmp_path), "_train.txt").orderBy("block", "at").collect()
+    assert [(r.lang, r.text) for r in lines] == [("xhosa", t) for t in ("one", "two\ufffd", "", "  ", "last")]
     docs = text.read_dir(spark, str(tmp_path), "_train.txt").withColumn("doc_id", F.lit(7).cast("long"))
     pick = lambda keep: [(r.line_no, r.text) for r in text.lines(docs, keep).orderBy("line_no").collect()]
     assert [i for i, _ in pick("all")] == [0, 1, 2, 3, 4]
     assert [i for i, _ in pick("nonempty")] == [0, 1, 3, 4] and [i for i, _ in pick("nonblank")] == [0, 1, 4]
 
 
+def test_lines_of_split_files(spark, tmp_path):
+    """Splits of a few bytes: each line once, and in order."""
+    want = [f"line {i} é" for i in range(2000)]
+    (tmp_path / "a b.txt").write_text("\n".join(want), encoding="utf-8")
+    had = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in had:
+            spark.conf.set(k, "900")
+        df = text.read_dir_lines(spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() > 5
+        assert [(r.lang, r.text) for r in df.orderBy("block", "at").collect()] == [("a b", t) for t in want]
+    finally:
+        for k, v in had.items():
+            spark.conf.set(k, v)
+
+
+def test_ranged_fetch_over_http(spark):
+    import http.server
+    import threading
+
+    body = b"first line\nsecond line\n" * 100_000
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            try:
+                self.wfile.write(body)
+            except OSError:
+                pass
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        head = text.head_bytes(spark, f"http://127.0.0.1:{server.server_port}/x.txt", 16).first().head
+    finally:
+        server.shutdown()
+    assert bytes(head) == body[:16]
+
+
+def test_missing_source_fails(spark, tmp_path):
+    (tmp_path / "xhosa.txt").write_text("a")
+    one, two = (spark.createDataFrame([(n,) for n in names], "name string") for names in (["Xhosa"], ["Xhosa", "Nigerian Pidgin"]))
+    assert text.sourced(one, str(tmp_path)).count() == 1
+    with pytest.raises(FileNotFoundError, match="nigerian_pidgin"):
+        text.sourced(two, str(tmp_path))
+
+
 def test_trim_and_size(spark):
     df = spark.createDataFrame([("ab\ncd",), ("ab",), ("\nab",), ("a\n",), ("",)], "t string")
     assert [r[0] for r in df.select(text.trimmed_to_line(df.t)).collect()] == ["ab", "ab", "\nab", "a", ""]
@@ -27,6 +82,7 @@ def test_trim_and_size(spark):
 def test_slugs(spark):
     df = spark.createDataFrame([("Nigerian Pidgin",), ("Luo (Dholuo)",)], "n string")
     assert [tuple(r) for r in df.select(text.slug(df.n), text.coverage_slug(df.n)).collect()] == [("nigerian_pidgin", "nigerian"), ("luo_(dholuo)", "luo")]
+    assert [j for j, _ in text.SAMPLE_JOBS][:3] == ["amharic", "hausa", "somali"]
     assert text.sample_jobs(spark).agg(F.sum("n_bytes")).first()[0] == 88_000_000
 
 
