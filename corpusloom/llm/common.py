@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,30 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import cut, discarded, scratch, ship, written
+
+__all__ = ["Forest", "binary", "components", "cut", "cut_by", "discarded", "release", "scratch", "spread_join", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        sc = spark.sparkContext
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
-        found = sc._jsc.sc().getCheckpointDir().get()
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder; later reads survive lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def cut_by(df: DataFrame, n: int, *keys: str) -> DataFrame:
     """``df`` dealt by keys and kept like that: later groups and cogroups by the keys come to it without another shuffle.
 
@@ -50,13 +33,6 @@ def cut_by(df: DataFrame, n: int, *keys: str) -> DataFrame:
         conf.set(name, had)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read again: compressed, for what is large."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of steps that nothing refers to any more."""
     gc.collect()
@@ -68,6 +44,21 @@ def binary(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
+def spread_join(rows: DataFrame, names: DataFrame, key: str, total: int, count: str = "count", most: int = 256) -> DataFrame:
+    """rows left-joined by a key with names, which has a key once, and how many rows have it (as ``count``).
+
+    Keys with more than a ``most``-th of ``total`` rows, of which there are fewer than ``most``, are broadcast; the others are shuffled, so no
+    task gets the rows of a frequent key. Rows without a key stay where they are.
+    """
+    hot = names.where(F.col(count) * most > F.lit(total)).drop(count)
+    few = hot.select(F.col(key).alias("k"), F.struct(*[F.col(c) for c in hot.columns if c != key]).alias("v"))
+    marked = rows.join(F.broadcast(few), rows[key].eqNullSafe(few["k"]), "left").drop("k")
+    more = [c for c in hot.columns if c != key]
+    here = marked.where(F.col("v").isNotNull() | F.col(key).isNull()).select(*rows.columns, *[F.col("v")[c].alias(c) for c in more])
+    there = marked.where(F.col("v").isNull() & F.col(key).isNotNull()).select(*rows.columns).join(names.where(F.col(count) * most <= F.lit(total)).drop(count), key, "left")
+    return here.select(*rows.columns, *more).unionByName(there.select(*rows.columns, *more))
+
+
 class Forest:
     """Union-find over 0..n-1; the root of a set is its smallest member."""
 
@@ -112,8 +103,9 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of the undirected ``edges`` (a long, b long) as (node, root): root is the smallest node reachable; nodes that are their own root are left out.
 
-    Alternating large-star and small-star steps (Kiveris et al. 2014), each a minimum per node and a join, so that
-    neither a hub nor a component ever meets in one task; every round is cut by a checkpoint. No edges give no rows.
+    Alternating large-star and small-star steps (Kiveris et al. 2014), each a minimum per node and a join in which
+    nodes with very many edges are broadcast, so that neither a hub nor a component ever meets in one task; every round is cut
+    by a checkpoint. No edges give no rows.
     """
 
     def narrowed(e: DataFrame) -> DataFrame:
@@ -127,11 +119,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     e = cut(narrowed(edges))
     seen = state(e)
     for _ in range(max_rounds):
+        edges = 2 * int(seen[0])
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("count")).select("a", F.least("a", "m").alias("m"), "count")
+        large = spread_join(both.where("b > a"), least, "a", edges).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("count"))
+        small = spread_join(large, low, "a", edges).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         e = cut(small.union(low.select("a", F.col("m").alias("b"))).distinct())
         now = state(e)
         if now == seen:

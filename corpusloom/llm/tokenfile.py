@@ -14,7 +14,6 @@ read by its block's offsets alone, without its neighbours.
 from __future__ import annotations
 
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import shared_dir, table, written
+from .common import discarded, scratch, table, written
 from .tokens import encoder, vocabulary
 
 BLOCK = "part long, block long, first_doc long, last_doc long, before long, n_tokens long, dict_hash string, doc_ids array<long>, sizes array<long>, ends array<long>, blob binary"
@@ -154,5 +153,5 @@ def read_tokens(spark: SparkSession, folder: str, doc_ids: list[int] | None = No
 
 
 def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = write_tokens(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}")
+    folder = discarded(spark, write_tokens(table(spark, sf_dir, "documents"), scratch(spark, "tokens-")))
     return read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -41,25 +41,45 @@ def clustered(n_groups=20, size=25, dim=16, seed=4):
 
 def test_against_brute_force(spark):
     vectors = clustered()
-    assert rows(E.linked(frame(spark, vectors), shard_rows=60)) == sorted(brute(vectors))
+    assert rows(E.linked(frame(spark, vectors))) == sorted(brute(vectors))
 
 
-def test_split_shards_find_the_same(spark, monkeypatch):
+@pytest.mark.parametrize("shard_rows", [150, 60])
+def test_many_shards_find_the_same(spark, monkeypatch, shard_rows):
+    """Clusters lie across shards: the search goes on from shard to shard. Comparison of all pairs is out of reach."""
+    monkeypatch.setattr(E, "SHARD_ROWS", shard_rows)
+    monkeypatch.setattr(E, "TASK_ROWS", 40)
+    monkeypatch.setattr(E, "_compare_all", None)
+    vectors = clustered()
+    placed = E.deal(E._sizes(frame(spark, vectors).select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))), 3)
+    sizes = placed.groupBy("shard").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("int")).alias("h")).toPandas()
+    assert len(sizes) > 5 and sizes.n.max() <= shard_rows and sizes.h.sum() == len({tuple(v) for _, v in vectors})
+    got, want = rows(E.linked(frame(spark, vectors))), sorted(brute(vectors))
+    assert [(i, c) for i, _, c in got] == [(i, c) for i, _, c in want]
+    assert sum(n for _, n, _ in got) >= 0.97 * sum(n for _, n, _ in want) and all(a[1] <= b[1] for a, b in zip(got, want, strict=True))
+
+
+@pytest.mark.parametrize("size", [300, 900])
+def test_one_dense_cluster_over_many_shards(spark, monkeypatch, size):
+    """A third of the vectors, all different and all near each other, in many more shards than a vector has."""
+    monkeypatch.setattr(E, "SHARD_ROWS", 64)
+    rng = np.random.default_rng(2)
+    hot = rng.normal(size=16) + 0.08 * rng.normal(size=(size // 3, 16))
+    vectors = [(i, [float(x) for x in v.astype(np.float32)]) for i, v in enumerate([*hot, *rng.normal(size=(size - size // 3, 16))])]
+    got, want = rows(E.linked(frame(spark, vectors))), sorted(brute(vectors))
+    assert sum(n for _, n, _ in got) >= 0.9 * sum(n for _, n, _ in want)
+    assert [(i, c) for i, _, c in got] == [(i, c) for i, _, c in want]
+
+
+def test_search_meets_what_is_in_range():
     x = E.unit(np.array([v for _, v in clustered()]))
-    monkeypatch.setattr(E, "GRAPH_ROWS", 64)
+    start, flat = E.linked_by(E.robust_prune(x), len(x))
     found = set()
-    for part in E.split(x, np.arange(len(x)), 3):
-        assert len(part) <= 64
-        edges = [set() for _ in part]
-        for a, near in enumerate(E.robust_prune(x[part])):
-            for b in near.tolist():
-                edges[a].add(b)
-                edges[b].add(a)
-        for q, v in E.search(x[part], [np.array(sorted(e), np.int64) for e in edges], 0.95):
-            found |= set(zip(part[q].tolist(), part[v].tolist(), strict=True))
+    for q, v, s in E.search(x, start, flat, x, [np.array([0, i]) for i in range(len(x))], 0.95):
+        found |= {(a, b) for a, b, c in zip(q.tolist(), v.tolist(), s.tolist(), strict=True) if c >= 0.95}
     a, b = np.nonzero(x @ x.T >= 0.95)
-    true = {(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True) if i != j}
-    assert len(found & true) >= 0.9 * len(true)
+    true = set(zip(a.tolist(), b.tolist(), strict=True))
+    assert found <= true and len(found) >= 0.99 * len(true)
 
 
 def test_edges(spark):
@@ -92,4 +112,4 @@ def test_recall_is_measured(spark):
 
 def test_query(spark, sf_dir):
     vectors = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
-    assert len(rows(E.op4_embeddings(spark, sf_dir))) == len(vectors)
+    assert rows(E.op4_embeddings(spark, sf_dir)) == sorted(brute(vectors))

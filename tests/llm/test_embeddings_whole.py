@@ -1,6 +1,4 @@
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import functions as F
 
 from corpusloom.llm import embeddings as E
 
@@ -15,15 +13,13 @@ def test_short_recall_ends_in_comparison(spark, monkeypatch):
     assert rows(E.linked(frame(spark, vectors), overlap=24)) == sorted(brute(vectors))
 
 
-def test_first_shard_counts_what_its_search_misses():
-    x = np.eye(4)[[0, 0, 1, 2, 3]] + np.array([[0, 0, 0, 0], [0, 0.1, 0, 0], [0, 0, 1, 1], [0, 0, 0, 1], [0, 0, 0, 0]])
-    shards = [[7, 9], [7, 9], [7, 8], [7, 8], [7, 8]]
-    columns = {"id": [10, 11, 12, 13, 14], "count": [2, 3, 1, 1, 1], "vec": x.tolist(), "shards": shards, "near": [[]] * 5}
-    types = {"id": pa.int64(), "count": pa.int64(), "vec": pa.list_(pa.float64()), "shards": pa.list_(pa.int64()), "near": pa.list_(pa.int64())}
-
-    def got(shard):
-        t = pa.table({k: pa.array(v, types[k]) for k, v in columns.items()}).append_column("shard", pa.array([shard] * 5, pa.int64()))
-        return sorted(tuple(r.values()) for r in E.search_shard(t, 0.95, 2).to_pylist() if r["n"] is not None)
-
-    assert got(7) == [(10, None, 3), (11, None, 2)]
-    assert got(9) == []
+def test_audit_is_not_drawn_from_what_was_found(spark):
+    """Only pairs of two: where all are missed, the measured recall is 0 and not 1."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 16))
+    vectors = [(i, [float(c) for c in v]) for i, v in enumerate([*x, *(x + 0.02 * rng.normal(size=x.shape)), *rng.normal(size=(400, 16))])]
+    nodes = E._sizes(frame(spark, vectors).select("vec_id", "embedding").selectExpr("vec_id AS id", "cast(embedding AS array<double>) AS vec"))
+    none = spark.createDataFrame([], "id long, n long")
+    assert E._recall(nodes, none, len(vectors), 0.95, 16) == 0.0
+    some = spark.createDataFrame([(i, 1) for i in range(20)] + [(40 + i, 1) for i in range(20)], "id long, n long")
+    assert 0.3 < E._recall(nodes, some, len(vectors), 0.95, 16) < 0.7
