@@ -136,7 +136,8 @@ def quality(docs: DataFrame, sample_docs: int = 5000, threshold: float = 0.5, fi
     """(doc_id, n_words, weak_label, score, kept) for each row: weak_label is the labellers' posterior, score that of the linear scorer, kept whether it is ``threshold`` or more. With filtering, the rows that are kept, as they are.
 
     The label model counts the vote patterns of all documents (1,024 at most reach the driver). The scorer is fitted
-    on a random sample of about sample_docs documents, twice as many at most. No labels are read. A text that is null,
+    on the features (bytes, not texts) of about sample_docs different documents, the first by a hash of doc_id and text,
+    twice as many at most: so the result does not depend on how rows are dealt. No labels are read. A text that is null,
     empty or without words has the score 0 and is not kept. Rows that repeat stay, a null doc_id stays null, an empty
     table gives no rows, and other columns are not read.
     """
@@ -155,21 +156,23 @@ def quality(docs: DataFrame, sample_docs: int = 5000, threshold: float = 0.5, fi
         yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.int64()), pa.array(n.values(), pa.int64())], names=["pattern", "n"])
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Features as bytes, which is a tenth of what lists of numbers take on the driver."""
+        """Features as bytes, which is a tenth of what lists of numbers take on the driver; texts stay where they are read."""
         shapes = Shapes()
         for b in small(batches):
             m = [(t, *measure(t)) for t in texts(b)]
             x = [features(t, n, k, shapes) for t, n, k in m]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([pattern(votes(n, k)) for _, n, k in m], pa.int64()), pa.array([s.astype("<i2").tobytes() for s, _ in x], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in x], pa.binary())],
-                names=["pattern", "slots", "vals"],
+                [b.column("key"), pa.array([pattern(votes(n, k)) for _, n, k in m], pa.int64()), pa.array([s.astype("<i2").tobytes() for s, _ in x], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in x], pa.binary())],
+                names=["key", "pattern", "slots", "vals"],
             )
 
     counted = docs.select("text").mapInArrow(patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n")).collect()
     total = sum(r[1] for r in counted)
     _, _, post = label_model({r[0]: r[1] for r in counted})
     share = min(1.0, sample_docs / max(1, total))
-    some = docs.where(F.rand(23) < F.lit(share)).limit(2 * sample_docs).select("text").mapInArrow(sampled, "pattern long, slots binary, vals binary").collect()
+    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    drawn = docs.select(key.alias("key"), "text").where(F.pmod("key", F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1))
+    some = drawn.mapInArrow(sampled, "key long, pattern long, slots binary, vals binary").dropDuplicates(["key"]).orderBy("key").limit(2 * sample_docs).drop("key").collect()
     w = train([(np.frombuffer(r[1], "<i2").astype(np.int64), np.frombuffer(r[2], "<f4").astype(float)) for r in some], np.array([post[r[0]] for r in some])) if some else np.zeros(DIM + 1)
 
     def judged(b: pa.RecordBatch, shapes: Shapes) -> tuple[list[int], list[float], list[float]]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import Forest, binary, components, cut, table
+from .common import Forest, binary, components, cut, spread_join, table
 
 SEED = 42
 
@@ -70,6 +71,16 @@ def masks(distance: int, groups: int) -> list[int]:
     return [sum(part[i] for i in c) for c in combinations(range(groups), groups - distance)]
 
 
+def groups_for(n: int, distance: int) -> int:
+    """The number of segment groups that makes least work for n fingerprints: more of them make more rows, of which fewer share a cell. The links are the same for any."""
+
+    def work(g: int) -> float:
+        cells = 2.0 ** (1.5 * 32 * (g - distance) / g)  # a segment's popcount has one and a half bits
+        return comb(g, distance) * (100 * n + n * n / cells)
+
+    return min(range(distance + 1, distance + 13), key=work)
+
+
 def _linked(distance: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by cell (k, cell, x, y): whole cells are compared together, a row with the next one, the second next and so on, and leave the edges of a forest."""
@@ -126,14 +137,15 @@ def _linked(distance: int):
     return run
 
 
-def links(reps: DataFrame, distance: int = 4, groups: int = 6, block: int = 4096) -> DataFrame:
-    """Edges (a, b) between representatives that connect what is within ``distance`` bits, for distinct (fp, rep).
+def links(reps: DataFrame, distance: int = 4, groups: int | None = None, block: int = 4096) -> DataFrame:
+    """Edges (a, b) between representatives that connect what is within ``distance`` bits, for distinct (fp, rep). groups is groups_for() their number, unless given.
 
     Every pair within the distance shares a cell, and within a cell every pair is compared: first by Manhattan distance
     of embeddings, then by the exact Hamming distance. A cell of more than ``block`` rows is split into chunks whose pairs
     are compared in separate tasks. A cell leaves a forest of its links rather than all of them.
     """
     ship(reps.sparkSession)
+    groups = groups or groups_for(reps.count(), distance)
     cells = F.array(*[F.struct(F.lit(i).alias("k"), F.col("emb").bitwiseAND(F.lit(_long(m))).alias("cell")) for i, m in enumerate(masks(distance, groups))])
     placed = reps.select("fp", "rep", embedding(F.col("fp")).alias("emb")).select("fp", "rep", "emb", F.inline(cells))
     sizes = placed.groupBy("k", "cell").count().where("count > 1")
@@ -155,19 +167,22 @@ def links(reps: DataFrame, distance: int = 4, groups: int = 6, block: int = 4096
     return dealt.repartition("k", "cell", "x", "y").sortWithinPartitions("k", "cell", "x", "y").mapInArrow(_linked(distance), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, groups: int = 6) -> DataFrame:
-    """(doc_id, text_hash, fp, component_id) for each row: documents whose fingerprints differ in ``distance`` bits or fewer are linked, and component_id is the smallest doc_id reachable.
+def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, groups: int | None = None) -> DataFrame:
+    """(doc_id, text_hash, fp, component_id, keeper) for each row: documents whose fingerprints differ in ``distance`` bits or fewer are linked, and component_id is the smallest doc_id reachable.
 
-    Equal fingerprints, those of null and empty texts (0) among them, are one node, so copies cost no pairs. Rows that
-    repeat a doc_id each get their row; a null doc_id keeps its row, is never a component's name unless nothing else is
-    in it, and then component_id is null. An empty table gives no rows; other columns are not read.
+    Nodes are fingerprints, so that copies, and null and empty texts (fingerprint 0), cost no pairs. Rows that
+    repeat a doc_id each get their row. A row with a null doc_id links like any other; component_id is null only if nothing in the component has an id. keeper
+    is the hash of the text of the component's first document: that with the smallest doc_id, ids before none, and of these with the smallest hash. An empty table gives no rows; other columns are not read.
     """
     fps = cut(fingerprints(docs, words))
-    reps = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    named = reps.where("rep IS NOT NULL")
-    roots = components(links(named, distance, groups))
-    of_fp = reps.join(roots, reps.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return fps.join(of_fp, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    reps = cut(fps.groupBy("fp").agg(first, F.count("*").alias("count")))
+    total, n_fps = reps.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
+    roots = components(links(reps.select("fp", F.col("fp").alias("rep")), distance, groups))
+    rooted = reps.join(roots, reps.fp == roots.node, "left").select("fp", "first", "count", F.coalesce("root", "fp").alias("root"))
+    names = rooted.groupBy("root").agg(F.min("first").alias("name"), F.count("*").alias("n"))
+    named = spread_join(rooted, names, "root", n_fps, "n").select("fp", F.col("name.doc_id").alias("component_id"), F.col("name.text_hash").alias("keeper"), "count")
+    return spread_join(fps, named, "fp", total).select("doc_id", "text_hash", "fp", "component_id", "keeper")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,11 +28,18 @@ from ..session import ship
 from .common import discarded, scratch, table, written
 from .tokens import encoder, vocabulary
 
+#: Ids of a document that the dictionary may be trained on.
+SAMPLE_IDS = 4096
 BLOCK = "part long, block long, first_doc long, last_doc long, before long, n_tokens long, dict_hash string, doc_ids array<long>, sizes array<long>, ends array<long>, blob binary"
 
 
 def _narrow(ids: bytes, width: int) -> bytes:
-    return ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+    if width == 4:
+        return ids
+    a = np.frombuffer(ids, "<u4")
+    if len(a) and a.max() >> 16:
+        raise ValueError(f"id {a.max()} needs a width of 4 bytes")
+    return a.astype("<u2").tobytes()
 
 
 def _wide(ids: bytes, width: int) -> bytes:
@@ -52,8 +59,8 @@ def train_dictionary(samples: list[bytes], size: int = 64 * 1024) -> bytes:
 def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 2, width: int = 2, sample_docs: int = 1000, block_bytes: int = 1 << 20, level: int = 1) -> str:
     """Encodes doc_id, text into a token file in ``folder`` and returns the folder.
 
-    The dictionary is trained on a random sample of about sample_docs documents (twice as many at most; the bound on what
-    the driver sees). Null and empty texts have their end id only; rows with equal doc_id all stay, in the order of their
+    The dictionary is trained on the first SAMPLE_IDS ids of about sample_docs documents, drawn by a hash of doc_id and text (twice as many at most;
+    the bound on what the driver sees). An id that width bytes cannot hold is refused. Null and empty texts have their end id only; rows with equal doc_id all stay, in the order of their
     checksums; a null doc_id comes first; an empty table gives a folder without blocks; other columns are not read.
     Each text is encoded once: frames are written, then dealt by ranges of doc_id, sorted and put together in blocks.
     """
@@ -65,10 +72,13 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
     def serialized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = encoder(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_narrow(x + end, width) for x in read.encode_all(b.column("text").to_pylist())], pa.binary())], names=["ids"])
+            ids = [_narrow(x + end, width)[: SAMPLE_IDS * width] for x in read.encode_all(b.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(ids, pa.binary())], names=["key", "ids"])
 
-    sample = docs.where(F.rand(17) < F.lit(share)).limit(2 * sample_docs).mapInArrow(serialized, "ids binary")
-    trained = train_dictionary([bytes(r[0]) for r in sample.toLocalIterator()])
+    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    drawn = docs.select(key.alias("key"), "text").where(F.pmod("key", F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1))
+    sample = drawn.mapInArrow(serialized, "key long, ids binary").dropDuplicates(["key"]).orderBy("key").limit(2 * sample_docs)
+    trained = train_dictionary([bytes(r.ids) for r in sample.collect()])
     digest = hashlib.sha256(trained).hexdigest() if trained else ""
     spark.createDataFrame([(digest, width, end_id, bytearray(trained))], "hash string, width int, end_id int, dictionary binary").coalesce(1).write.parquet(f"{folder}/dictionary")
 

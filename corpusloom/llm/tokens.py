@@ -84,9 +84,9 @@ class Encoder:
         for i in range(0, len(plain), 1024):
             part = plain[i : i + 1024]
             ids = array("I", self.words.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids)
-            ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+            ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()  # each plain word ends in one such id, or zip() fails
             ids = ids.tobytes()
-            young.update(zip(part, (ids[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+            young.update(zip(part, (ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
         self.young.update((p, ids) for p, ids in young.items() if len(p) <= self.longest)
         return young
 

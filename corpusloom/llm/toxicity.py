@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import math
+import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -44,9 +48,9 @@ def _fold_table() -> dict[int, str]:
         out[ord(c)] = base if len(base) == 1 else c
     for a, b in zip(*LIKE, strict=True):
         out[ord(a)] = out[ord(a.upper()) if len(a.upper()) == 1 else ord(a)] = b
-    for c in range(128):
+    for c in [*range(128), 0x85, 0xA0, *range(0x2000, 0x200B), *range(0x2010, 0x2070), 0x3000]:
         if not chr(c).isalnum():
-            out[c] = " "
+            out[c] = " " if chr(c).isspace() or chr(c) in JOINERS else "."
     out |= {ord(k): v for k, v in SIGNS.items()}
     out[ord("ß")] = "s"
     for c in range(0xFF01, 0xFF5F):
@@ -54,39 +58,71 @@ def _fold_table() -> dict[int, str]:
     return out
 
 
+#: What may stand between the words of an exception phrase, besides white space.
+JOINERS = "-'\u2018\u2019\u2010\u2011"
 FOLD = _fold_table()
+#: Characters that are not seen, or only as marks on others: combining marks, and zero-width and soft-hyphen signs. They go before folding.
+UNSEEN = {c: None for c in [0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), 0xFEFF, *range(0x300, 0x370), *range(0x1AB0, 0x1B00), *range(0x1DC0, 0x1E00), *range(0x20D0, 0x2100), *range(0xFE00, 0xFE10), *range(0xFE20, 0xFE30)]}
+_UNSEEN = re.compile("[" + "".join(map(chr, UNSEEN)) + "]")
+
+
+def seen(text: str) -> str:
+    return text if text.isascii() else _UNSEEN.sub("", text)
 
 
 def fold(text: str) -> str:
+    """Each character of a text without UNSEEN as one: letters as plain lower-case ones, white space and JOINERS as a space, other signs as a full stop."""
     return text.translate(FOLD)
 
 
 def _same(term: str) -> str:
-    return " ".join(fold(term).split())
+    return " ".join(fold(seen(term)).split())
+
+
+@dataclass
+class Lexicon:
+    """The automaton of the terms, and the pattern of the exception phrases, which is run over texts with a hit alone."""
 
+    terms: ahocorasick.Automaton
+    excused: re.Pattern | None
 
-def automaton(weights: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS) -> ahocorasick.Automaton:
+
+def automaton(weights: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     a = ahocorasick.Automaton()
-    for phrase in exceptions:
-        a.add_word(_same(phrase), (len(_same(phrase)), None, 0.0))
     for term, w in weights.items():
         a.add_word(word := _same(term.rstrip("*")), (len(word), term, w))
     a.make_automaton()
-    return a
+    phrases = sorted({_same(p) for p in exceptions}, key=lambda p: (-len(p), p))
+    alone = "|".join(" +".join(map(re.escape, p.split())) for p in phrases)
+    return Lexicon(a, re.compile(f"(?=({alone}))") if phrases else None)
 
 
-def hits(text: str, a: ahocorasick.Automaton) -> list[tuple[int, int, str, float]]:
-    """(start, end, term, weight) of the terms that stand as words of their own, or begin one if they end in *, and in no exception phrase; of overlapping ones all."""
-    found, excused = [], []
-    for end, (n, term, w) in a.iter(fold(text)):
-        s, e = end - n + 1, end + 1
-        if (s and text[s - 1].isalnum()) or (e < len(text) and text[e].isalnum() and (term is None or term[-1] != "*")):
-            continue
-        (excused if term is None else found).append((s, e, term, w))
-    return [h for h in found if not any(s <= h[0] and h[1] <= e for s, e, _, _ in excused)] if excused else found
+def _stands_alone(text: str, s: int, e: int, stem: bool = False) -> bool:
+    return not (s and text[s - 1].isalnum()) and not (e < len(text) and text[e].isalnum() and not stem)
 
 
-def measures(text: str | None, a: ahocorasick.Automaton, least: dict[str, int]) -> tuple[float, float, float]:
+def hits(text: str, lexicon: Lexicon) -> list[tuple[int, int, str, float]]:
+    """(start, end, term, weight) of the terms that stand as words of their own, or begin one if they end in *, and in no exception phrase; of overlapping ones all, by end. Offsets are those of the text as it is."""
+    shown = seen(text)
+    folded = fold(shown)
+    found = []
+    for end, (n, term, w) in lexicon.terms.iter(folded):
+        s, e = end - n + 1, end + 1
+        if _stands_alone(shown, s, e, term[-1] == "*"):
+            found.append((s, e, term, w))
+    if not found:
+        return found
+    if lexicon.excused:
+        spans = [m.span(1) for m in lexicon.excused.finditer(folded) if _stands_alone(shown, *m.span(1))]
+        ends, starts = list(accumulate((e for _, e in spans), max)), [s for s, _ in spans]
+        found = [h for h in found if not (k := bisect_right(starts, h[0])) or ends[k - 1] < h[1]]
+    if len(shown) < len(text):
+        at = [i for i, c in enumerate(text) if ord(c) not in UNSEEN]
+        found = [(at[s], at[e - 1] + 1, term, w) for s, e, term, w in found]
+    return found
+
+
+def measures(text: str | None, a: Lexicon, least: dict[str, int]) -> tuple[float, float, float]:
     """What the score is made of: the weight of all hits, the same for a hundred words of length, different terms hit. A term counts from its least number of hits on."""
     found = hits(text, a) if text else []
     if not found:
@@ -102,10 +138,11 @@ def held_out(doc_id):
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """(text, toxic) of the learning rows: at most ``most`` labelled ids, the first by a hash of theirs; an id labelled twice is toxic if either label says so."""
+    """(doc_id, text, toxic) of the learning rows: at most ``most`` labelled ids, the first by a hash of theirs; an id labelled twice is toxic if either label says so, and of an id's texts the first in order is read."""
     ids = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     some = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(some), "doc_id")
+    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(some), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
 STEMS = (4, 5, 6)
@@ -117,7 +154,7 @@ TIMES = 3
 def parts(text: str) -> set[tuple[str, int]]:
     """The folded words of a text, and their stems of STEMS letters with a * behind, each with 1 up to how often it occurs, TIMES at most."""
     n: Counter = Counter()
-    for w, k in Counter(w for w in fold(text).split() if len(w) > 2).items():
+    for w, k in Counter(w for w in fold(seen(text)).replace(".", " ").split() if len(w) > 2).items():
         n[w] += k
         for s in STEMS:
             if len(w) > s:

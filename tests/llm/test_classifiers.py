@@ -39,6 +39,46 @@ def test_label_model_finds_rates_and_share():
     assert all(0 <= v <= 1 for v in post.values())
 
 
+def em_by_document(votes, rounds=300):
+    """Expectation and maximisation over the votes of each document, one by one."""
+    n_bad = len(Q.BAD)
+    post = [0.1 if any(v[:n_bad]) else 0.95 for v in votes]
+    for _ in range(rounds):
+        good, total = sum(post), len(post)
+        share = min(0.99, max(0.01, (good + 0.5) / (total + 1)))
+        clip = lambda x: min(1 - 1e-5, max(1e-5, x))
+        rates = [[clip((sum(p * v[j] for p, v in zip(w, votes, strict=True)) + 0.5) / (sum(w) + 1)) for j in range(len(votes[0]))] for w in (post, [1 - p for p in post])]
+        new = []
+        for v in votes:
+            a, b = (np.prod([r if x else 1 - r for r, x in zip(rs, v, strict=True)]) for rs in rates)
+            new.append(share * a / (share * a + (1 - share) * b))
+        if max(abs(x - y) for x, y in zip(new, post, strict=True)) < 1e-9:
+            break
+        post = new
+    return new
+
+
+def test_quality_query_equals_plain(spark, sf_dir):
+    """Posteriors by plain EM over each document's votes, and scores by a plain dot product; however rows are dealt."""
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = {r.doc_id: r.text for r in table.collect()}
+    rows = {r.doc_id: r for r in Q.op8_quality(spark, sf_dir).collect()}
+    m = {i: Q.measure(None if t is None else t.encode()) for i, t in docs.items()}
+    votes = {i: [abs(v) for v in Q.votes(*m[i])] for i in docs}
+    post = dict(zip(votes, em_by_document(list(votes.values())), strict=True))
+    assert all(rows[i].weak_label == pytest.approx(post[i], abs=1e-6) for i in docs)
+    x = {i: Q.features(None if t is None else t.encode(), *m[i], Q.Shapes()) for i, t in docs.items()}
+    key = {r.doc_id: r.key for r in table.select("doc_id", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key")).collect()}
+    order = sorted(docs, key=key.get)
+    cut = lambda v: (v[0], v[1].astype("<f4").astype(float))
+    w = Q.train([cut(x[i]) for i in order], np.array([post[i] for i in order]))
+    for i in docs:
+        z = sum(w[s] * v for s, v in zip(*x[i], strict=True)) + w[Q.DIM]
+        assert rows[i].score == pytest.approx(1 / (1 + np.exp(-z)) if m[i][0] else 0.0, abs=1e-4)
+    again = {r.doc_id: r.score for r in Q.quality(table.repartition(7, "text")).collect()}
+    assert again == {i: r.score for i, r in rows.items()}
+
+
 def test_quality_edges(docs_of):
     texts = ["A plain sentence, of some words, that nobody minds.", "", None, " \n ", "De.", "SHOUT!! " * 40, "word$$$ other### " * 40, "same " * 300, "a | b | c | d | " * 30]
     texts += ["Another plain sentence of number words goes here without any trouble at all."] * 20
@@ -78,6 +118,10 @@ def found(text, weights=None, exceptions=T.EXCEPTIONS):
 
 def test_folding_and_boundaries():
     assert T.fold("Ａ1d!0T éß") == "aidiot es" and len(T.fold("İﬁ½x")) == 4
+    assert found("id\u00edot") == found("idi\u0301ot") == found("id\u200biot") == found("i\u00addiot") == ["idiot"]
+    assert [h[:2] for h in T.hits("an i\u0301d\u200biot!", T.automaton({"idiot": 1.0}))] == [(3, 10)]
+    assert found("clown  fish, clown\n fish; Clown-fish") == [] and found("what a clown. Fish is good") == ["ciown"]
+    assert found("idiot's guide, idiot\u2019s guide") == [] and found("guinea pigs and pigsty and a pig") == ["pig"]
     assert found("you 1D10T!") == ["idiot"] and found("м0r0n, іdіоt") == ["moron", "idiot"]
     assert found("idiotic scumbag") == [] and found("a clown fish and a clown") == ["ciown"]
     assert found("trash can") == [] and found("trash cans are trash") == ["trash"]
@@ -85,6 +129,70 @@ def test_folding_and_boundaries():
     assert found("badly bad badge", {"bad*": 1.0}) == ["bad*"] * 3
 
 
+def plain_hits(text, terms, exceptions=T.EXCEPTIONS):
+    """Fold and search, a position and a phrase at a time."""
+    import re
+    import unicodedata
+
+    at = [i for i, c in enumerate(text) if not unicodedata.combining(c) and c not in "\u200b\u00ad"]
+    kept = [text[i] for i in at]
+    low = [T.FOLD.get(ord(c), c) for c in kept]
+    alone = lambda s, e: not (s and kept[s - 1].isalnum()) and not (e < len(kept) and kept[e].isalnum())
+    found = []
+    for s in range(len(low)):
+        for t in terms:
+            e = s + len(t)
+            if "".join(low[s:e]) == t and alone(s, e):
+                inside = False
+                for p in exceptions:
+                    for m in re.finditer("(?=(" + " +".join(map(re.escape, T._same(p).split())) + "))", "".join(low)):
+                        inside |= alone(*m.span(1)) and m.start(1) <= s and e <= m.end(1)
+                if not inside:
+                    found.append((at[s], at[e - 1] + 1, t))
+    return sorted(found)
+
+
+def test_hits_equal_plain_search():
+    rng = np.random.default_rng(7)
+    parts = ["clown", "fish", "trash", "can", "cans", "idi", "ot", "ídiot", "i\u0301diot", "id\u200biot", "1d!ot", "pig", "guinea", "not", "stupid", " ", "  ", "\n", ".", "-", "x", "\u00ad"]
+    lexicon, terms = T.automaton({T._same(t): 1.0 for t in T.TERMS}), {T._same(t) for t in T.TERMS}
+    for _ in range(400):
+        text = "".join(rng.choice(parts, rng.integers(1, 14)))
+        assert sorted(h[:3] for h in T.hits(text, lexicon)) == plain_hits(text, terms), text
+
+
+def test_toxicity_query_equals_plain(spark, sf_dir):
+    """Scores from the fitted lexicon and weights by the plain search; one weight vector explains all scores."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = T.op10_toxicity(spark, sf_dir).collect()
+    assert len(rows) == len(docs)
+    sample = T.labelled(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels")), 6000)
+    weights, least = {T._same(w): 4.0 for w in T.TERMS}, {}
+    for w, (r, times) in T.learn_terms(sample).items():
+        weights.pop(w.rstrip("*"), None)
+        weights[w], least[w] = min(6.0, r), times
+    lexicon = T.automaton(weights)
+    x = {i: T.measures(t, lexicon, least) for i, t in docs.items()}
+    some = sample.collect()
+    w = T.fit(np.array([T.measures(r.text, lexicon, least) for r in some]), np.array([float(r.toxic > 0) for r in some]))
+    for r in rows:
+        z = w[0] + np.dot(w[1:], x[r.doc_id])
+        assert r.score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9) and r.predicted == int(r.score >= 0.7)
+
+
+def test_repeated_ids_are_one_labelled_text(spark, docs_of):
+    docs = docs_of([(3, "b"), (3, "a"), (3, "a"), (4, "c")])
+    labels = spark.createDataFrame([(3, 0), (4, 1), (5, 1)], "doc_id long, toxic int")
+    assert sorted(tuple(r) for r in T.labelled(docs, labels, 10).collect()) == [(i, t, y) for i, t, y in ((3, "a", 0), (4, "c", 1)) if not plain.held_out(i)]
+
+
+def test_very_long_texts(docs_of, spark):
+    long = "a fine day, and nothing else. " * 40_000
+    docs = docs_of([(1, long), (2, long + "you idiot " * 2000), (3, "short and plain text here")])
+    assert T.toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int")).count() == 3
+    assert Q.quality(docs).count() == 3
+
+
 def test_toxicity_edges(spark, docs_of):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     docs = docs_of(["you idiot", "", None, "nice day", (None, "moron"), ("x" * 1) and (1, "again")]).withColumn("score", F.lit("s")).withColumn("toxic", F.lit(0))

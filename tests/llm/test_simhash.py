@@ -78,6 +78,39 @@ def test_edges(docs_of):
     assert [(r[0], r[2]) for r in rows] == [(5, 5), (5, 5)]
 
 
+def test_rows_without_id_link(docs_of):
+    """Two documents that only a row without an id connects, a group without ids, and a keeper for each."""
+    words = [f"w{i}" for i in range(300)]
+    fp = H.fingerprint(" ".join(words).encode())
+    near = []
+    for k in range(300):
+        t = " ".join([*words[:k], "x", *words[k + 1 :]])
+        d = (H.fingerprint(t.encode()) ^ fp).bit_count()
+        if 0 < d <= 4:
+            near.append(t)
+    a, b = next((a, b) for a in near for b in near if (H.fingerprint(a.encode()) ^ H.fingerprint(b.encode())).bit_count() > 4)
+    rows = H.near_duplicates(docs_of([(7, a), (None, " ".join(words)), (3, b), (None, "q r s t u"), (None, "q r s t u")])).collect()
+    assert sorted(r.component_id for r in rows if r.component_id is not None) == [3, 3, 3]
+    alone = [r for r in rows if r.component_id is None]
+    assert len(alone) == 2 and {r.keeper for r in alone} == {alone[0].text_hash}
+
+
+def test_groups_by_size(docs_of):
+    sizes = [H.groups_for(10**k, 4) for k in range(3, 12)]
+    assert sizes == sorted(sizes) and sizes[0] == 5 and sizes[-1] >= 9
+    texts = near_texts()
+    want = got(H.near_duplicates(docs_of(texts)))
+    assert got(H.near_duplicates(docs_of(texts), groups=9)) == want
+
+
+def test_spread_join(spark):
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 50 + [2] * 3 + [3, 9] + [None] * 20)], "key int, i int")
+    names = spark.createDataFrame([(1, "a", 50), (2, "b", 3), (3, "c", 1)], "key int, name string, count long")
+    found = common.spread_join(rows, names, "key", 75, most=4)
+    want = {1: "a", 2: "b", 3: "c"}
+    assert sorted((r.i, r.name) for r in found.collect()) == [(r.i, want.get(r.key)) for r in rows.orderBy("i").collect()]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(7, 7), (300, 200), (200, 300)]
     found = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -45,6 +45,13 @@ def test_encoder_equals_the_library_on_any_text(encoder, text):
     assert np.frombuffer(encoder.encode(text), "<u4").tolist() == plain(encoder, text)
 
 
+def test_ids_that_do_not_fit_are_refused():
+    ids = np.array([1, 65_535], "<u4").tobytes()
+    assert tokenfile._wide(tokenfile._narrow(ids, 2), 2) == ids
+    with pytest.raises(ValueError, match="65536"):
+        tokenfile._narrow(np.array([65_536], "<u4").tobytes(), 2)
+
+
 def test_token_file(spark, docs_of, encoder, tmp_path):
     texts = TEXTS + [f"short text number {i}" for i in range(200)]
     docs = docs_of([(i, t) for i, t in enumerate(texts)]).union(docs_of([(7, "again"), (None, "no id")])).withColumn("ids", F.lit(1)).withColumn("part", F.lit(2))
