@@ -1,4 +1,8 @@
-"""A training-data pipeline of five stages over ``documents``: each takes what the one before kept, and its decisions take effect."""
+"""A training-data pipeline of five stages over ``documents``: each takes what the one before kept, and its decisions take effect.
+
+Each stage returns the columns of ``documents`` (other columns of its input are dropped), the last one the pieces of sequences.
+An empty table gives no rows, texts have any length, and rows that repeat (the same doc_id and text) stay or go together.
+"""
 
 from __future__ import annotations
 
@@ -16,28 +20,28 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
+    """Documents that the quality classifier keeps. Null texts, empty ones and those without words go; a null doc_id is kept as it is."""
     return quality(docs.select(*COLUMNS), filtering=True)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest doc_id.
+    """One document of each group of near-duplicates: that with the smallest doc_id, or, where none has an id, with the smallest hash of its text.
 
-    Rows that repeat a doc_id with one text stay or go together. A row without a doc_id goes if its group has one with it.
+    Of equal ids with different texts that with the smallest hash stays. Null and empty texts are copies of each other.
     """
-    found = near_duplicates(docs).where("component_id < doc_id OR (doc_id IS NULL AND component_id IS NOT NULL)")
+    found = near_duplicates(docs).where("text_hash <> keeper OR NOT (doc_id <=> component_id)")
     gone = found.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("gone_hash"))
     return docs.select(*COLUMNS).join(gone, same, "left_anti")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth lies in windows of the benchmark, or nothing."""
+    """Documents in which no window of a benchmark item occurs: one that holds a passage goes whole, however long it is. Null and empty texts hold none."""
     return clean_documents(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark in place of each secret; n_chars follows the text."""
+    """All documents, with a mark in place of each secret, of whatever kind; n_chars follows the text where it changed. Null texts stay null."""
     found = secrets(docs).where(F.size("spans") > 0).select("doc_id", "text_hash", "spans").dropDuplicates(["doc_id", "text_hash"])
     rows = docs.select(*COLUMNS).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     same = rows["doc_id"].eqNullSafe(found["doc_id"]) & (rows["text_hash"] == found["text_hash"])
@@ -49,7 +53,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 2048 ids."""
+    """Pieces of all documents in sequences of at most 2048 ids; a null text has its end id only."""
     return packed(docs)
 
 
