@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -184,23 +183,31 @@ def binary_search(sorted_rows: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.where(ok, low, -1)
 
 
-def _meet(a: tuple, b: tuple) -> None:
-    found = binary_search(a[0], b[0])
+def _meet(a: tuple, b: tuple, seed: int) -> int:
+    """Gives the windows of a seed that two blocks share the smaller of their documents; returns how many they share."""
+    i, j = np.flatnonzero(a[1] == seed), np.flatnonzero(b[1] == seed)
+    found = binary_search(a[0][i], b[0][j])
     mine = np.flatnonzero(found >= 0)
-    low = np.minimum(a[1][found[mine]], b[1][mine])
-    a[1][found[mine]], b[1][mine] = low, low
+    i, j = a[2][i[found[mine]]], b[2][j[mine]]
+    low = np.minimum(a[3][i], b[3][j])
+    a[3][i], b[3][j] = low, low
+    return len(mine)
 
 
-def first_documents(regions: list[bytes], docs: np.ndarray, length: int, block: int = BLOCK) -> list[np.ndarray]:
+def first_documents(regions: list[bytes], docs: np.ndarray, length: int, block: int = BLOCK, of_seed: np.ndarray | None = None, merged_at: list[int] | None = None) -> list[np.ndarray]:
     """For each region and each of its windows the smallest document among all regions that hold the same bytes.
 
     Regions are split into blocks; each has its suffix array and common prefixes, which put equal windows next to each
-    other. Then the windows of each two blocks are matched by binary search in the sorted windows of one of them.
+    other. Blocks are then merged: the windows of one are looked up by binary search in the sorted windows of another. With
+    of_seed, which never decreases, regions of different seeds share no window, so that only the windows of a seed
+    on which two blocks border are looked up; without it all blocks are merged with each other. merged_at is told how many windows each merge has met.
     """
     n_windows = np.array([len(r) - length + 1 for r in regions])
+    seed = np.zeros(len(regions), np.int64) if of_seed is None else of_seed
     best = np.repeat(docs, n_windows)
     base = np.concatenate([[0], np.cumsum(n_windows)])
-    merged: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # sorted distinct windows, their document, group of each window
+    # of each block: sorted windows of its first and last seed, their seeds and groups; the groups' documents; place and group of each window; the two seeds
+    blocks: list[tuple] = []
     at = 0
     while at < len(regions):
         end, size = at, 0
@@ -216,10 +223,10 @@ def first_documents(regions: list[bytes], docs: np.ndarray, length: int, block:
         s[ends] = 0
         sa = suffix_array(s)
         lcp = common_prefixes(s, sa, starts, ends, length)
-        window = np.zeros(len(s), bool)
-        for k in range(int(n_windows[at:end].max())):
-            window[starts[n_windows[at:end] > k] + k] = True
-        place = window[sa]
+        edge = np.zeros(len(s) + 1, np.int8)
+        edge[starts] += 1
+        edge[starts + n_windows[at:end]] -= 1
+        place = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)[sa]
         # a window's first ``length`` symbols hold no separator, so all suffixes that share them are windows
         group = np.cumsum(lcp[place] < length) - 1
         where = sa[place]
@@ -229,16 +236,27 @@ def first_documents(regions: list[bytes], docs: np.ndarray, length: int, block:
         np.minimum.at(doc, group, docs[at + owner])
         best[flat] = doc[group]
         heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
-        merged.append((_words(text, where[heads], length), doc, np.stack([flat, group])))
+        own = seed[at + owner[heads]]
+        border = np.flatnonzero((own == seed[at]) | (own == seed[end - 1])) if at or end < len(regions) else np.zeros(0, np.int64)
+        mine = np.flatnonzero(np.isin(group, border))
+        blocks.append((_words(text, where[heads[border]], length), own[border], border, doc, flat[mine], group[mine], seed[at], seed[end - 1]))
         at = end
-    for j in range(1, len(merged)):  # down: block j learns from each earlier one what all before it have
+
+    def bordering(i: int, j: int) -> bool:
+        return blocks[i][7] == blocks[j][6]
+
+    for j in range(1, len(blocks)):  # down: block j learns from each earlier one what all before it have
         for i in range(j):
-            _meet(merged[i], merged[j])
-    for j in range(len(merged) - 1, 0, -1):  # and back, so that the smallest reaches all
+            if bordering(i, j):
+                n = _meet(blocks[i], blocks[j], blocks[j][6])
+                if merged_at is not None:
+                    merged_at.append(n)
+    for j in range(len(blocks) - 1, 0, -1):  # and back, so that the smallest reaches all
         for i in range(j - 1, -1, -1):
-            _meet(merged[i], merged[j])
-    for _, doc, (flat, group) in merged:
-        best[flat] = doc[group]
+            if bordering(i, j):
+                _meet(blocks[i], blocks[j], blocks[j][6])
+    for x in blocks:
+        best[x[4]] = x[3][x[5]]
     return [best[s:e] for s, e in zip(base[:-1], base[1:], strict=True)]
 
 
@@ -286,7 +304,7 @@ def _texts(t: pa.Table) -> tuple[list[int | None], list[bytes]]:
 STORE = "part long, doc_id long, n_bytes long, sha string, z binary"
 
 
-def repeats(docs: DataFrame, length: int = 50, part_bytes: int = 16 << 20, hot: int = 20_000) -> DataFrame:
+def repeats(docs: DataFrame, length: int = 50, part_bytes: int = 16 << 20, hot: int = 20_000, fan: int = 512, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_bytes, n_removed, removed, kept_sha256) for each row of doc_id, text: removed are the maximal runs [start, end) of bytes covered by a ``length``-byte string that also starts in a document with a smaller doc_id.
 
     Texts are UTF-8 bytes, null is empty, and what is removed is judged on the input. Rows that repeat a doc_id are one
@@ -295,18 +313,23 @@ def repeats(docs: DataFrame, length: int = 50, part_bytes: int = 16 << 20, hot:
 
     1. Texts are dealt by doc_id into parts, compressed and kept; all later steps come to them.
     2. Each window of ``length`` bytes has a seed, its least gram hash. The seeds of a part are counted by range of hash,
-       and those met twice anywhere go back to the parts that have them: no other window can repeat.
+       and those met twice anywhere go back to the parts that have them: no other window can repeat. Parts send a
+       row for each of at most ``fan`` ranges; of more than ``fan`` parts, the seeds of so many are joined on the way and then go to finer
+       ranges, so that rows grow with the parts and not with their square.
     3. The windows of such seeds go, once for each different stretch of text in a part and with its smallest doc_id, to
-       the range of their seed, so that equal windows meet. Seeds with more than ``hot`` places are dealt by the hash of
-       each whole window instead, so that one very common string is not one task.
-    4. In each range suffix arrays give every window the smallest document that has it, wherever a seed has different
-       stretches of text.
+       the range of their seed, so that equal windows meet. How a seed is dealt depends on its places: with more than ``hot`` of them by the hash of
+       each whole window instead, so that one very common string is not one task; the result is the same.
+    4. In each range the different stretches, in the order of their seeds, are cut into blocks of ``block`` bytes. Suffix arrays and common
+       prefixes give every window the smallest document that has it, and blocks that border within a seed are merged by binary search.
     5. Back in the parts, windows with a smaller document are marked and the rest of each text is hashed.
     """
     spark = ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts = max(24, -(-total // part_bytes))
+    # ranges of seeds and of stretches: as many as keep what a task holds small, and 64 unless there are very many parts
+    n_fine, n_ranges = max(64, -(-n_parts // 4)), max(64, -(-n_parts // 2))
+    n_coarse = min(n_fine, fan)
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -321,37 +344,84 @@ def repeats(docs: DataFrame, length: int = 50, part_bytes: int = 16 << 20, hot:
     kept = cut_by(docs.select(part, "doc_id", "text").mapInArrow(store, STORE), n_tasks, "part")
     release(spark)
 
+    def by_range(packed: np.ndarray, names: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """Sorted seeds (48 bits, and 16 below) cut where the names of their ranges change."""
+        if not len(packed):
+            return
+        cuts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+        for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(packed)], strict=True):
+            yield int(names[s]), _pack(np.diff(packed[s:e], prepend=np.uint64(0)))
+
+    def unpacked(t: pa.Table, name: str = "blob") -> list[np.ndarray]:
+        return [np.cumsum(np.frombuffer(_unpack(b)[0], "<u8"), dtype=np.uint64) for b in t.column(name).to_pylist()]
+
+    def fine(packed: np.ndarray) -> np.ndarray:
+        return _ranges(packed, n_fine)
+
+    def coarse(packed: np.ndarray) -> np.ndarray:
+        return fine(packed) * n_coarse // n_fine
+
+    def rows_of(**columns) -> pa.Table:
+        kinds = {"blob": pa.binary()}
+        return pa.table({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in columns.items()})
+
+    def counted(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(different seeds, how often each is met, for all of the lists which seed it is)."""
+        packed = np.concatenate(lists)
+        h, inverse = np.unique(packed >> np.uint64(16), return_inverse=True)
+        return h, np.bincount(inverse, (packed & np.uint64(65535)).astype(float)), inverse
+
     def count_seeds(t: pa.Table) -> pa.Table:
         ids, texts = _texts(t)
         h = _short(seeds([x for i, x in zip(ids, texts, strict=True) if i is not None], length)[3])
         h, n = np.unique(h, return_counts=True)
         packed = h << np.uint64(16) | np.minimum(n, 65535).astype(np.uint64)
-        r = _ranges(h << np.uint64(16), n_parts)
-        at = np.searchsorted(r, np.arange(n_parts + 1))
-        rows = [(k, _pack(np.diff(packed[s:e], prepend=np.uint64(0)))) for k, (s, e) in enumerate(zip(at[:-1], at[1:], strict=True)) if e > s]
-        return pa.table({"part": pa.array([t.column("part")[0].as_py()] * len(rows), pa.int64()), "range": pa.array([k for k, _ in rows], pa.int64()), "blob": pa.array([b for _, b in rows], pa.binary())})
+        rows = list(by_range(packed, coarse(packed)))
+        part = t.column("part")[0].as_py()
+        return rows_of(part=[part] * len(rows), group=[part // fan] * len(rows), range=[k for k, _ in rows], blob=[b for _, b in rows])
+
+    def joined(t: pa.Table) -> pa.Table:
+        """The seeds that a group of parts has in a coarse range, once each, to the fine ranges."""
+        h, n, _ = counted(unpacked(t))
+        packed = h << np.uint64(16) | np.minimum(n, 65535).astype(np.uint64)
+        rows = list(by_range(packed, fine(packed)))
+        group, range_ = t.column("group")[0].as_py(), t.column("range")[0].as_py()
+        return rows_of(part=[group] * len(rows), range=[range_] * len(rows), fine=[k for k, _ in rows], blob=[b for _, b in rows])
 
     def shared(t: pa.Table) -> pa.Table:
-        """Seeds met twice: back to each part that has them, with 1 behind those with very many places."""
-        lists = [np.cumsum(np.frombuffer(_unpack(b)[0], "<u8"), dtype=np.uint64) for b in t.column("blob").to_pylist()]
-        packed = np.concatenate(lists)
-        h, inverse = np.unique(packed >> np.uint64(16), return_inverse=True)
-        n = np.bincount(inverse, (packed & np.uint64(65535)).astype(float))
+        """Seeds met twice: back to each part (or group of parts) that has them, with 1 behind those with very many places."""
+        lists = unpacked(t)
+        h, n, inverse = counted(lists)
         mark = (h << np.uint64(1)) | (n > hot).astype(np.uint64)
-        rows, at = [], 0
-        for p, x in zip(t.column("part").to_pylist(), lists, strict=True):
+        out, at = [], 0
+        for p, r, x in zip(t.column("part").to_pylist(), t.column("range").to_pylist(), lists, strict=True):
             k = inverse[at : at + len(x)]
             at += len(x)
             k = k[n[k] > 1]
             if len(k):
-                rows.append((p, _pack(np.diff(mark[k], prepend=np.uint64(0)))))
-        return pa.table({"part": pa.array([p for p, _ in rows], pa.int64()), "blob": pa.array([b for _, b in rows], pa.binary())})
+                out.append((p, r, _pack(np.diff(mark[k], prepend=np.uint64(0)))))
+        return rows_of(part=[p for p, _, _ in out], range=[r for _, r, _ in out], blob=[b for _, _, b in out])
+
+    def routed(own: pa.Table, back: pa.Table) -> pa.Table:
+        """What came back to a group of parts, to each part that has it."""
+        if not own.num_rows or not back.num_rows:
+            return rows_of(part=[], range=[], blob=[])
+        marks = np.sort(np.concatenate(unpacked(back)))
+        known = marks >> np.uint64(1)
+        out = []
+        for p, x in zip(own.column("part").to_pylist(), unpacked(own), strict=True):
+            h = x >> np.uint64(16)
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            k = marks[at[known[at] == h]]
+            if len(k):
+                out.append((p, _pack(np.diff(k, prepend=np.uint64(0)))))
+        return rows_of(part=[p for p, _ in out], range=[0] * len(out), blob=[b for _, b in out])
 
     def deal(left: pa.Table, right: pa.Table) -> pa.Table:
         """range -1: the part's own places of shared seeds; other ranges: their different stretches of text."""
         if not left.num_rows or not right.num_rows:
             return pa.table({"part": pa.array([], pa.int64()), "range": pa.array([], pa.int64()), "blob": pa.array([], pa.binary())})
-        marks = np.sort(np.concatenate([np.cumsum(np.frombuffer(_unpack(b)[0], "<u8"), dtype=np.uint64) for b in right.column("blob").to_pylist()]))
+        marks = np.sort(np.concatenate(unpacked(right)))
         known = marks >> np.uint64(1)
         ids, texts = _texts(_ordered(left))
         named = [k for k, i in enumerate(ids) if i is not None]
@@ -366,7 +436,7 @@ def repeats(docs: DataFrame, length: int = 50, part_bytes: int = 16 << 20, hot:
         to: list[int] = []
         subs: list[int] = []
         places: list[tuple[int, int, int, int]] = []
-        ranges = _ranges(h, n_parts).tolist()
+        ranges = _ranges(h, n_ranges).tolist()
         low_bits = (h & np.uint64(0xFFFFFFFF)).astype(np.int64).tolist()
         for a, f, k, r, b, many, d in zip(t.tolist(), first.tolist(), n.tolist(), ranges, low_bits, is_hot.tolist(), doc[t].tolist(), strict=True):
             text = texts[a]
@@ -376,7 +446,7 @@ def repeats(docs: DataFrame, length: int = 50, part_bytes: int = 16 << 20, hot:
                 if i == len(lows):
                     lows.append(d)
                     own = int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little") if many else 0
-                    to.append((own >> 32) % n_parts if many else r)
+                    to.append((own >> 32) % n_ranges if many else r)
                     subs.append(own & 0xFFFFFFFF if many else b)
                 elif d < lows[i]:
                     lows[i] = d
@@ -415,20 +485,12 @@ def repeats(docs: DataFrame, length: int = 50, part_bytes: int = 16 << 20, hot:
                 which.append(i)
             mine.append((idx, np.array(which, np.int64)))
         pieces, lows = list(seen), np.array(lows, np.int64)
-        smaller = [np.zeros(len(x) - length + 1, bool) for x in pieces]
-        # of a seed with one stretch of text alone, that text's smallest document is that of all its windows
-        times = Counter(subs)
-        order = sorted((i for i in range(len(pieces)) if times[subs[i]] > 1), key=lambda i: (subs[i], pieces[i]))
-        at = 0
-        while at < len(order):  # as many whole seeds as fill a block; what shares no seed shares no window
-            end, size = at, 0
-            while end < len(order) and (size < BLOCK // 2 or subs[order[end]] == subs[order[end - 1]]):
-                size += len(pieces[order[end]]) + 1
-                end += 1
-            group = order[at:end]
-            at = end
-            for i, b in zip(group, first_documents([pieces[i] for i in group], lows[group], length), strict=True):
-                smaller[i] = b < lows[i]
+        # what shares no seed shares no window
+        order = sorted(range(len(pieces)), key=lambda i: (subs[i], pieces[i]))
+        firsts = first_documents([pieces[i] for i in order], lows[order], length, block, np.array(subs, np.int64)[order])
+        smaller: list[np.ndarray] = [np.zeros(0, bool)] * len(pieces)
+        for i, f in zip(order, firsts, strict=True):
+            smaller[i] = f < lows[i]
         rows = []
         for p, (idx, which) in zip(t.column("part").to_pylist(), mine, strict=True):
             bits = [smaller[i] for i in which.tolist()]
@@ -481,8 +543,16 @@ def repeats(docs: DataFrame, length: int = 50, part_bytes: int = 16 << 20, hot:
         return pa.table({"doc_id": left.column("doc_id"), "n_bytes": left.column("n_bytes"), "n_removed": pa.array(n_removed, pa.int64()), "removed": pa.array(removed, kind), "kept_sha256": pa.array(shas, pa.string())})
 
     blob = "part long, range long, blob binary"
-    counted = kept.select("part", "doc_id", "z").groupBy("part").applyInArrow(count_seeds, blob)
-    back = counted.groupBy("range").applyInArrow(shared, "part long, blob binary")
+    one = "part long, range long, blob binary"
+    sent = kept.select("part", "doc_id", "z").groupBy("part").applyInArrow(count_seeds, "part long, group long, range long, blob binary")
+    if n_parts <= fan:
+        back = sent.select("part", "range", "blob").groupBy("range").applyInArrow(shared, one)
+    else:
+        sent = cut(sent)
+        finer = sent.groupBy("group", "range").applyInArrow(joined, "part long, range long, fine long, blob binary")
+        found = finer.groupBy("fine").applyInArrow(shared, one).select(F.col("part").alias("g"), F.col("range").alias("r"), "blob")
+        back = sent.groupBy("group", "range").cogroup(found.groupBy("g", "r")).applyInArrow(routed, one)
+    back = back.select("part", "blob")
     dealt = cut(kept.select("part", "doc_id", "sha", "z").groupBy("part").cogroup(back.groupBy("part")).applyInArrow(deal, blob))
     release(spark)
     judged = dealt.where("range >= 0").groupBy("range").applyInArrow(judge, blob)

@@ -84,10 +84,40 @@ def got(df):
     return sorted((r.doc_id, r.n_bytes, r.n_removed, len(r.removed), r.kept_sha256) for r in df.collect())
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
-def test_against_plain(docs_of, hot):
+@pytest.mark.parametrize("how", [{}, {"hot": 2}, {"fan": 3, "block": 400}])
+def test_against_plain(docs_of, how):
     texts = corpus()
-    assert got(S.repeats(docs_of(texts), hot=hot)) == plain.repeats(list(enumerate(texts)))
+    assert got(S.repeats(docs_of(texts), **how)) == plain.repeats(list(enumerate(texts)))
+
+
+@pytest.mark.parametrize("block", [1 << 12, 1 << 15])
+def test_blocks_are_merged_where_they_border_within_a_seed(spark, sf_dir, block):
+    """Stretches as the query deals them: merging by binary search runs and finds windows, and the result is that of plain counting."""
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    ids, texts = list(docs), list(docs.values())
+    t, first, n, h = S.seeds(texts, 50)
+    again = np.isin(h, [x for x, c in zip(*np.unique(h, return_counts=True), strict=True) if c > 1])
+    low: dict[tuple[int, bytes], int] = {}
+    for a, f, k, x in zip(t[again].tolist(), first[again].tolist(), n[again].tolist(), h[again].tolist(), strict=True):
+        key = (x & 0xFFFFFFFF, texts[a][f : f + k + 49])
+        low[key] = min(low.get(key, ids[a]), ids[a])
+    order = sorted(low)
+    met: list[int] = []
+    found = S.first_documents([x for _, x in order], np.array([low[k] for k in order]), 50, block, np.array([x for x, _ in order]), met)
+    assert met and sum(met) > 0
+    best: dict[bytes, int] = {}
+    for k in order:
+        for i in range(len(k[1]) - 49):
+            w = k[1][i : i + 50]
+            best[w] = min(best.get(w, low[k]), low[k])
+    assert all(f.tolist() == [best[k[1][i : i + 50]] for i in range(len(k[1]) - 49)] for k, f in zip(order, found, strict=True))
+
+
+def test_very_long_text(docs_of):
+    rng = random.Random(6)
+    long = "".join(rng.choices("abcdefgh ", k=600_000))
+    found = {r.doc_id: r.n_removed for r in S.repeats(docs_of([(1, long), (2, long[1000:400_000] + "z" + long[:500]), (3, "z")])).collect()}
+    assert found == {1: 0, 2: 399_000 + 500, 3: 0}
 
 
 def test_query(spark, sf_dir):
