@@ -96,6 +96,19 @@ class Codec:
         return chr(i - self.escape)
 
 
+class Tokenizer:
+    """A model document as an encoder and decoder of lists of texts, without Spark."""
+
+    def __init__(self, path: str):
+        self.codec = Codec(Model.load(path))
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [self.codec.encode(t) for t in texts]
+
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        return [self.codec.decode(x) for x in ids]
+
+
 class BatchCodec:
     """Encodes many texts at once: characters become ids by a table, and each merge is made in all texts together."""
 
