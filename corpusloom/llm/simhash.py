@@ -75,10 +75,10 @@ def groups_for(n: int, distance: int) -> int:
     """The number of segment groups that makes least work for n fingerprints: more of them make more rows, of which fewer share a cell. The links are the same for any."""
 
     def work(g: int) -> float:
-        cells = 2.0 ** (1.5 * 32 * (g - distance) / g)  # a segment's popcount has one and a half bits
+        cells = 2.0 ** (1.2 * 32 * (g - distance) / g)  # a segment's popcount has one and a half bits at best, and fingerprints of like texts fewer
         return comb(g, distance) * (100 * n + n * n / cells)
 
-    return min(range(distance + 1, distance + 13), key=work)
+    return min(range(distance + 2, distance + 13), key=work)
 
 
 def _linked(distance: int):
