@@ -44,12 +44,18 @@ def binary(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
-def spread_join(rows: DataFrame, names: DataFrame, key: str, total: int, count: str = "count", most: int = 256) -> DataFrame:
+#: Narrow rows that one task joins without care, whatever their keys.
+ONE_TASK = 1 << 21
+
+
+def spread_join(rows: DataFrame, names: DataFrame, key: str, total: int, count: str = "count", most: int = 256, one_task: int = ONE_TASK) -> DataFrame:
     """rows left-joined by a key with names, which has a key once, and how many rows have it (as ``count``).
 
-    Keys with more than a ``most``-th of ``total`` rows, of which there are fewer than ``most``, are broadcast; the others are shuffled, so no
+    Up to one_task rows it is a plain join. Of more, keys with more than a ``most``-th of ``total`` rows, of which there are fewer than ``most``, are broadcast; the others are shuffled, so no
     task gets the rows of a frequent key. Rows without a key stay where they are.
     """
+    if total <= one_task:
+        return rows.join(names.drop(count), key, "left").select(*rows.columns, *[c for c in names.columns if c not in (key, count)])
     hot = names.where(F.col(count) * most > F.lit(total)).drop(count)
     few = hot.select(F.col(key).alias("k"), F.struct(*[F.col(c) for c in hot.columns if c != key]).alias("v"))
     marked = rows.join(F.broadcast(few), rows[key].eqNullSafe(few["k"]), "left").drop("k")

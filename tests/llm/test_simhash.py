@@ -106,9 +106,18 @@ def test_groups_by_size(docs_of):
 def test_spread_join(spark):
     rows = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 50 + [2] * 3 + [3, 9] + [None] * 20)], "key int, i int")
     names = spark.createDataFrame([(1, "a", 50), (2, "b", 3), (3, "c", 1)], "key int, name string, count long")
-    found = common.spread_join(rows, names, "key", 75, most=4)
     want = {1: "a", 2: "b", 3: "c"}
-    assert sorted((r.i, r.name) for r in found.collect()) == [(r.i, want.get(r.key)) for r in rows.orderBy("i").collect()]
+    for few in (0, 1000):
+        found = common.spread_join(rows, names, "key", 75, most=4, one_task=few)
+        assert found.columns == ["key", "i", "name"]
+        assert sorted((r.i, r.name) for r in found.collect()) == [(r.i, want.get(r.key)) for r in rows.orderBy("i").collect()]
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(common.spread_join, "__defaults__", ("count", 4, 0))
+    edges = [(0, i) for i in range(1, 200)] + [(i, 1000 + i) for i in range(1, 200)] + [(5000, 5001)]
+    found = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {**{i: 0 for i in range(1, 200)}, **{1000 + i: 0 for i in range(1, 200)}, 5001: 5000}
 
 
 def test_components(spark):
