@@ -35,10 +35,22 @@ TEMPLATES = (
     ("CC-BY-NC", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0", "Dedicated to the public domain under CC0 1.0 Universal; no copyright is claimed"),
+    *((f, f"SPDX-License-Identifier: {x}") for f, x in (("MIT", "MIT"), ("Apache", "Apache-2.0"), ("GPL", "GPL-3.0-or-later"), ("LGPL", "LGPL-2.1-or-later"), ("AGPL", "AGPL-3.0-or-later"))),
+    *((f, f"SPDX-License-Identifier: {x}") for f, x in (("BSD", "BSD-3-Clause"), ("MPL", "MPL-2.0"), ("CC-BY", "CC-BY-4.0"), ("CC-BY-SA", "CC-BY-SA-4.0"), ("CC0", "CC0-1.0"))),
     ("Proprietary", "Copyright. All rights reserved. No part of this publication may be reproduced or distributed without the prior written permission of the publisher"),
 )
-#: Paragraphs with the same words and no licence.
+#: Paragraphs with the same words and no licence, and licences of other families.
 OTHER = (
+    "SPDX-License-Identifier: Zlib",
+    "SPDX-License-Identifier: EPL-2.0",
+    "SPDX-License-Identifier: Unlicense",
+    "SPDX-License-Identifier: BSL-1.0",
+    "SPDX-License-Identifier: OFL-1.1",
+    "Licensed under the Boost Software License, Version 1.0.",
+    "Distributed under the terms of the Eclipse Public License, version 2.0.",
+    "This font is licensed under the SIL Open Font License, version 1.1.",
+    "Released under the zlib license.",
+    "This work is licensed under the European Union Public License, version 1.2.",
     "Her driving licence expired last spring and the officer asked for another document.",
     "The committee granted permission to open the road again after the storm.",
     "The warranty covers parts for two years when the product is used as intended.",
@@ -55,10 +67,46 @@ OTHER = (
     "License plates are issued by the state, version two since May.",
     "Please see the file for details of the terms and conditions of sale.",
 )
+#: Other wordings, and other texts without a licence or with one of another family: no part of training, they set the calibration.
+CALIBRATION = (
+    ("MIT", "This project is made available under the terms of the MIT licence."),
+    ("MIT", "The code is released under the MIT License, see LICENSE.txt for details."),
+    ("MIT", "Permission is granted, free of charge, to any person who obtains a copy of the software, to deal in it without restriction."),
+    ("Apache", "Distributed under the Apache License, Version 2.0."),
+    ("Apache", "This file is covered by the Apache License 2.0; you may not use it except in compliance with the License."),
+    ("GPL", "Distributed under the GNU General Public License, version 3."),
+    ("GPL", "You can redistribute this package and modify it under the GNU General Public License as published by the Free Software Foundation."),
+    ("LGPL", "This library is covered by the GNU Lesser General Public License, version 2.1."),
+    ("AGPL", "The server is released under the GNU Affero General Public License, version 3."),
+    ("BSD", "Redistribution in source and binary forms is permitted provided that these conditions are met."),
+    ("BSD", "Distributed under the 3-Clause BSD License."),
+    ("MPL", "This file is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("CC-BY", "The text may be used under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA", "Content is available under CC BY-SA 4.0, a Creative Commons Attribution-ShareAlike License."),
+    ("CC-BY-NC", "Images are licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC", "Released under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC0", "Dedicated to the public domain (CC0 1.0 Universal)."),
+    ("Proprietary", "All rights reserved. No part of this book may be reproduced without prior written permission of the publisher."),
+    ("unknown", "His licence to practise law was renewed in the spring."),
+    ("unknown", "The general public was not admitted to the works."),
+    ("unknown", "The museum holds the copyright in the photographs it shows."),
+    ("unknown", "Parts under warranty are replaced free of charge at the shop."),
+    ("unknown", "A commons for creative people was opened in the old mill."),
+    ("unknown", "Permission slips must be signed by a parent and returned."),
+    ("unknown", "Only licensed plumbers may work on the pipes."),
+    ("unknown", "Redistribution of land was the subject of the debate."),
+    ("unknown", "The lesser works of the painter were sold without reserve."),
+    ("unknown", "Licensed under the Artistic License, Version 2.0."),
+    ("unknown", "Distributed under the Open Software License, version 3.0."),
+    ("unknown", "SPDX-License-Identifier: ISC"),
+    ("unknown", "Released under the terms of the PostgreSQL License."),
+)
 #: A single line without any of these is no candidate; runs of lines are looked at by the templates' own word triples.
 ANCHOR = r"(?i)licen[cs]|copyright|redistribut|permission|warrant|spdx|creative commons|\bcc[ -]?(by|0)|public domain|rights reserved"
 UNKNOWN = "unknown"
 N = 3
+#: Share of a template's word triples that confirms a prediction; at a half, notices that differ in the name alone would.
+CONFIRM = 0.55
 
 
 def words_of(text: str) -> list[str]:
@@ -97,7 +145,7 @@ def _logits(x: list[list[int]], w: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 @lru_cache
 def trained(seed: int = 11, copies: int = 24, rounds: int = 200, rate: float = 0.05, ridge: float = 2e-3) -> Model:
-    """Multinomial logistic regression on varied copies of TEMPLATES and OTHER; half of them set the temperature (by likelihood) and the least probability at which 99 in 100 predictions of a family are right."""
+    """Multinomial logistic regression on varied copies of TEMPLATES and OTHER; CALIBRATION, which it has not seen, sets the temperature (by likelihood) and the least probability at which 99 in 100 predictions of a family are right (0.95 if there is none below)."""
     rng = np.random.default_rng(seed)
     classes = (*dict.fromkeys(f for f, _ in TEMPLATES), UNKNOWN)
     texts = [(classes.index(f), t) for f, t in TEMPLATES] + [(len(classes) - 1, t) for t in OTHER]
@@ -107,9 +155,10 @@ def trained(seed: int = 11, copies: int = 24, rounds: int = 200, rate: float = 0
     rng.shuffle(rows)
     rows = [(int(c), str(t)) for c, t in rows]
     known = {g: i for i, g in enumerate(sorted({g for _, t in texts for g in grams_of(t)}))}
+    half = len(rows)
+    rows += [(classes.index(f), t) for f, t in CALIBRATION]
     x = [[known[g] for g in grams_of(t) if g in known] for _, t in rows]
     y = np.eye(len(classes))[[c for c, _ in rows]]
-    half = len(rows) // 2
     w, b = np.zeros((len(known), len(classes))), np.zeros(len(classes))
     row = np.repeat(np.arange(half), [len(g) for g in x[:half]])
     col = np.concatenate([np.array(g, np.int64) for g in x[:half]])
@@ -216,7 +265,7 @@ def _runs(hits: DataFrame, m: Model) -> DataFrame:
     return runs.union(whole).groupBy("row", "first", "last").agg(F.collect_set("k").alias("of"))
 
 
-def paragraphs(docs: DataFrame, model: Model | None = None, confirm: float = 0.5) -> DataFrame:
+def paragraphs(docs: DataFrame, model: Model | None = None, confirm: float = CONFIRM) -> DataFrame:
     """(row, doc_id, candidates, blocks) for each row of doc_id, text; candidates is an array of (line, family, probability, template, overlap, confirmed) by line, blocks one of (first, last, family, probability, template, overlap, confirmed) by the first and last line.
 
     Candidates are the lines (numbered from 0) with an anchor word. Blocks are the runs of lines that _runs() names, read as one text, so that

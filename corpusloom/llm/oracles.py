@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import ANCHOR, OTHER, TEMPLATES, UNKNOWN, N, trained
+from .licenses import ANCHOR, CONFIRM, TEMPLATES, UNKNOWN, N, trained
 from .secrets import _ALL, _CLASSES, ACCESS, ASSIGN, CANDIDATE, ENCODINGS, HEX, KINDS, _DIGITS, _LOW, _UP
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -80,7 +80,7 @@ f AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1
 SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN f USING (doc_id)"""
 
 
-def op3(confirm: float = 0.5) -> str:
+def op3(confirm: float = CONFIRM) -> str:
     """The trained weights as a table of values."""
     m = trained()
     rows = ", ".join(f"({_q(g)}, [{', '.join(map(repr, m.weights[g]))}], [{', '.join(map(str, m.templates.get(g, ())))}]::INTEGER[])" for g in sorted(m.weights))
@@ -92,7 +92,6 @@ def op3(confirm: float = 0.5) -> str:
     ) + " ELSE 0.0 END"
     names = "[" + ", ".join(map(_q, m.classes)) + "]"
     runs = " || ".join(f"list_transform(range(1, greatest(len(w) - {n - 1}, 0) + 1), lambda i: array_to_string(w[i:i + {n - 1}], ' '))" for n in range(1, N + 1))
-    assert OTHER
     return f"""WITH v(g, w, t) AS (VALUES {rows}), d AS (SELECT doc_id, unnest(range(len(p))) AS line, unnest(p) AS par FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)),
 c AS (SELECT doc_id, line, regexp_extract_all(lower(par), '[a-z0-9]+') AS w FROM d WHERE regexp_matches(par, {_q(ANCHOR)})),
 g AS (SELECT doc_id, line, unnest(list_distinct({runs})) AS g FROM c),

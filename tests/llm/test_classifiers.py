@@ -211,6 +211,10 @@ LINES = [
     ("Redistribution and use in source and binary forms, with or without modification, are permitted", "BSD"),
     ("He got a fishing license at the town hall.", L.UNKNOWN),
     ("With the permission of the owner we crossed the field.", L.UNKNOWN),
+    ("SPDX-License-Identifier: MIT", "MIT"),
+    ("SPDX-License-Identifier: Apache-2.0", "Apache"),
+    ("SPDX-License-Identifier: Zlib", L.UNKNOWN),
+    ("SPDX-License-Identifier: Python-2.0", L.UNKNOWN),
 ]
 
 
@@ -218,7 +222,16 @@ def test_license_families():
     for text, family in LINES:
         got, p, t, overlap = L.classify(text)
         assert got == family, (text, got, p)
-        assert family == L.UNKNOWN or overlap >= 0.5
+        assert family == L.UNKNOWN or overlap >= L.CONFIRM
+
+
+def test_calibration_texts_are_new_and_mostly_right():
+    """Other wordings and other families; nothing of another family is confirmed."""
+    trained_on = {t for _, t in L.TEMPLATES} | set(L.OTHER)
+    got = [(f, *L.classify(t)) for f, t in L.CALIBRATION if t not in trained_on]
+    assert len(got) == len(L.CALIBRATION)
+    assert sum(f == g for f, g, *_ in got) >= 0.85 * len(got)
+    assert not [x for x in got if x[0] == L.UNKNOWN and x[1] != L.UNKNOWN and x[4] >= L.CONFIRM]
 
 
 def test_licenses_equal_plain_python(spark, docs_of, sf_dir):

@@ -14,9 +14,9 @@ def wrapped(t, width=45, mark=""):
 
 def test_needed_words_leave_no_template():
     m = L.trained()
-    need = set(L.needed_words(0.5))
+    need = set(L.needed_words(L.CONFIRM))
     for t in range(len(L.TEMPLATES)):
-        assert sum(t in ts and not need & set(g.split()) for g, ts in m.templates.items()) < 0.5 * m.sizes[t]
+        assert sum(t in ts and not need & set(g.split()) for g, ts in m.templates.items()) < L.CONFIRM * m.sizes[t]
 
 
 @pytest.mark.parametrize("form", ["{}", "Title\n\n{}\n\nEnd.", PROSE + "\n{}\n" + PROSE])
