@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import langid, scripts
 from ..functions.normalize import normalize
 from ..operators import counts, evaluate, mixing, profile
+from ..functions.register import register
 from ..operators.bpe import codec
-from ..operators.bpe.distributed import learn_units, train
+from ..operators.bpe.checkpoint import Checkpoint
+from ..operators.bpe.distributed import learn_units, train, train_words
 from ..operators.bpe.model import Model, Symbols
-from ..sources.text import document_lines, lines, sample_size, table, trimmed_to_line
+from ..session import discarded, scratch
+from ..sources import sinks
+from ..sources.text import coverage_slug, document_lines, file_lines, lines, sample_jobs, sample_size, source_registry, table, trimmed_to_line
 from ..streaming.lines import event_counts
 
 MERGES_1, MERGES_2 = 30, 20
@@ -281,6 +284,107 @@ def q_sample_trim(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.length(t).cast("long").alias("n_chars"), sample_size(t).getField("lines").alias("n_lines"))
 
 
+def q_lines_nonblank(spark, sf_dir):
+    return document_lines(spark, sf_dir, "nonblank").groupBy("lang").agg(F.count("*").alias("n_lines"), F.sum(F.length("text")).alias("n_chars"))
+
+
+def q_sample_jobs(spark, sf_dir):
+    return sample_jobs(spark)
+
+
+def q_slugs(spark, sf_dir):
+    """Files and names by language of both registries."""
+    a = source_registry(mixing.registry(spark, zulu=True), "raw").select("name", "path", F.lit(None).cast("string").alias("slug"))
+    b = mixing.coverage(spark).select(F.col("lang").alias("name"), F.lit(None).cast("string").alias("path"), coverage_slug(F.col("lang")).alias("slug"))
+    return a.unionByName(b)
+
+
+def q_coverage_manifest(spark, sf_dir):
+    return mixing.coverage_manifest(spark)
+
+
+def q_strict_filter(spark, sf_dir):
+    """Lines with letters of another profile's script, which only the strict filter drops."""
+    lines = document_lines(spark, sf_dir, "all").withColumn("text", F.translate("text", "éñç", "ሀሁሂ"))
+    reason = lambda **k: scripts.contamination(F.col("text"), "latin", **k)
+    return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), reason(strict=True).alias("strict"), reason().alias("usual")).where("strict IS NOT NULL OR usual IS NOT NULL")
+
+
+def q_assembly_report(spark, sf_dir):
+    return mixing.assembly_report(_pool(spark, sf_dir), _targets(spark, 1.0))
+
+
+def q_spot_check(spark, sf_dir):
+    out = evaluate.spot_check(document_lines(spark, sf_dir), model_of(spark, sf_dir))
+    return out.select("lang", "doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("tokens").cast("long").alias("tokens"), "same")
+
+
+def q_corpus_files(spark, sf_dir):
+    """Lines written by language and read again from the files."""
+    lines = document_lines(spark, sf_dir).select("lang", F.regexp_replace("text", r"\r", " ").alias("text"), "doc_id", "line_no")
+    folder = scratch(spark, "corpus-")
+    sinks.write_corpus(lines, folder)
+    read = file_lines(spark, discarded(spark, folder) + "/*")
+    return read.groupBy(F.regexp_extract("path", "lang=([^/]*)", 1).alias("lang")).agg(F.count("*").alias("n_lines"), F.sum(F.length("text")).alias("n_chars"))
+
+
+def _saved(spark, sf_dir) -> Model:
+    """The shared vocabulary through its document."""
+    path = scratch(spark, "model-") + ".json"
+    model_of(spark, sf_dir).save(path if "://" in path else f"file://{path}")
+    return Model.load(discarded(spark, path if "://" in path else f"file://{path}"))
+
+
+def q_model_vocabulary(spark, sf_dir):
+    """The strings of the merges, from the saved document."""
+    m = _saved(spark, sf_dir)
+    vocab, _ = m.tables(spark)
+    return vocab.where(F.col("id") >= len(m.strings) - len(m.merges)).select(F.col("id").cast("long").alias("id"), "str", F.col("n_spaces").cast("long").alias("n_spaces"))
+
+
+def q_snapshot_merges(spark, sf_dir):
+    """The merges of the model as it was 25 merges before its end."""
+    m = _saved(spark, sf_dir)
+    return _merge_rows(spark, m.at(len(m.strings) - 25).merges)
+
+
+def q_resumed_merges(spark, sf_dir):
+    """Learned up to 12 merges, and then from the checkpoint up to 30."""
+    path = scratch(spark, "merges-")
+    mark = Checkpoint(f"{path if '://' in path else 'file://' + path}/stage1.json", 5)
+    units = counts.word_freq(document_lines(spark, sf_dir))
+    for n in (12, 30):
+        merges = learn_units(units, n, Symbols(), checkpoint=mark, more=True)
+    discarded(spark, path)
+    return _merge_rows(spark, merges)
+
+
+def q_one_stage_tokens(spark, sf_dir):
+    """The one-stage baseline, whose white space counts as characters only."""
+    m = train_words(document_lines(spark, sf_dir), MERGES_1, more=True)
+    words = document_lines(spark, sf_dir).select("lang", F.explode(F.split("text", " ")).alias("text"))
+    return evaluate.compression(evaluate.token_stats(words, m), "words").where("lang IS NOT NULL").select("lang", "tokens", "chars")
+
+
+def q_sql_functions(spark, sf_dir):
+    """The text functions by their names in SQL."""
+    register(spark, model_of(spark, sf_dir))
+    document_lines(spark, sf_dir).createOrReplaceTempView("some_lines")
+    return spark.sql(
+        "SELECT lang, sum(length(preprocess_text(text))) AS n_processed, sum(size(bpe_encode(text))) AS tokens, "
+        "sum(CAST(bpe_decode(bpe_encode(text)) <> text AS BIGINT)) AS n_mismatch FROM some_lines GROUP BY lang"
+    )
+
+
+def q_bpe_tokens(spark, sf_dir):
+    """Tokens as rows: the table function on each language's first line."""
+    register(spark, model_of(spark, sf_dir))
+    lines = document_lines(spark, sf_dir)
+    first = lines.groupBy("lang").agg(F.min(F.struct("doc_id", "line_no", "text")).alias("f")).select("lang", "f.text")
+    first.createOrReplaceTempView("first_lines")
+    return spark.sql("SELECT lang, CAST(place AS BIGINT) AS place, CAST(id AS BIGINT) AS id FROM first_lines, LATERAL bpe_tokens(text)")
+
+
 def q_line_examples(spark, sf_dir):
     dropped = scripts.filter_lines(injected(spark, sf_dir))[1]
     return scripts.examples(dropped, 2).select("lang", "doc_id", F.col("line_no").cast("long").alias("line_no"), "reason", "example")

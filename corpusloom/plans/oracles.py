@@ -38,10 +38,10 @@ FOUND = f"m AS (SELECT lang, doc_id, line_no, unnest(range(len(f))) AS pos, unne
 INJECTED = f"{ALL}, i AS (SELECT lang, doc_id, line_no, translate(text, 'üöäß', 'жшщю') AS text FROM al)"
 
 
-def reason_sql(least: int = 3) -> str:
+def reason_sql(least: int = 3, scripts: tuple[str, ...] = FOREIGN, allowed: tuple[str, ...] = ()) -> str:
     parts = []
-    for s in FOREIGN:
-        c = char_class(s)
+    for s in scripts:
+        c = char_class(s, allowed)
         hit = f"length(regexp_replace(text, '[^{c[1:]}', '', 'g')) >= {least}"
         parts.append(f"CASE WHEN {hit} THEN {{'at': length(regexp_extract(text, '^[^{c[1:]}*')), 'script': '{s}'}} END")
     return f"CASE WHEN regexp_matches(text, '[^\\x00-\\x7F]') THEN list_min(list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL)).script END"
@@ -292,6 +292,45 @@ ORACLES["q_training_curve"] = rec(
         for i, (v, (stage, _)) in enumerate(_SIZES.items())
     )
 )
+def _marked(c: str) -> str:
+    """A code point of the coverage registry as normalisation leaves it."""
+    c = unicodedata.normalize("NFKC", c)
+    out = "".join(PUNCTUATION.get(x) or unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode() + f"[U+{ord(x):04X} {unicodedata.name(x)}]" for x in c)
+    return out
+
+
+_COVERED = [(a, c) for a, _, _, d in COVERAGE for c in (ethiopic_block() if d is None else d)]
+_JOBS = {"amharic": 5, "hausa": 5, "somali": 5, "swahili": 5, "yoruba": 5, "igbo": 5, "kinyarwanda": 5, "xhosa": 45, "zulu": 8}
+ORACLES["q_lines_nonblank"] = f"WITH {ALL} SELECT lang, count(*) AS n_lines, sum(length(text))::BIGINT AS n_chars FROM al WHERE regexp_matches(text, '[^\\s]') GROUP BY lang"
+ORACLES["q_sample_jobs"] = "SELECT * FROM (VALUES " + ", ".join(f"({q(k)}, {v}000000::BIGINT)" for k, v in _JOBS.items()) + ") t(lang, n_bytes)"
+ORACLES["q_slugs"] = (
+    "SELECT name, 'raw/' || replace(lower(name), ' ', '_') || '.txt' AS path, NULL::VARCHAR AS slug FROM (VALUES " + ", ".join(f"({q(x[0])})" for x in [*LANGUAGES, ZULU]) + ") t(name) "
+    "UNION ALL SELECT name, NULL, split_part(split_part(lower(name), ' ', 1), '(', 1) FROM (VALUES " + ", ".join(f"({q(a)})" for a, *_ in COVERAGE) + ") t(name)"
+)
+ORACLES["q_coverage_manifest"] = "SELECT * FROM (VALUES " + ", ".join(f"({q(a)}, {q(c)}, {q((chr(92) + 'x%02x' if ord(c) < 256 else chr(92) + 'u%04x') % ord(c))}, {q(_marked(c))})" for a, c in _COVERED) + ") t(lang, char, char_escaped, marker)"
+ORACLES["q_strict_filter"] = (
+    f"WITH {ALL}, i AS (SELECT doc_id, line_no, translate(text, 'éñç', 'ሀሁሂ') AS text FROM al) "
+    f"SELECT * FROM (SELECT doc_id, line_no, {reason_sql(3, (*FOREIGN, 'ETHIOPIC'))} AS strict, {reason_sql()} AS usual FROM i) WHERE strict IS NOT NULL OR usual IS NOT NULL"
+)
+_TARGETS = ", ".join(f"('{k}', {v}::BIGINT)" for k, v in (("de", 20_000), ("en", 50_000), ("es", 10_000), ("fr", 1_000_000)))
+ORACLES["q_assembly_report"] = f"WITH {ALL}, {SPLIT}, pc AS (SELECT lang, sum(length(text) + 1)::BIGINT - 1 AS pool_chars FROM p WHERE part = 'pool' GROUP BY lang) SELECT v.lang, target, pool_chars, target > coalesce(pool_chars, 0) AS upsampled FROM (VALUES {_TARGETS}) v(lang, target) LEFT JOIN pc USING (lang)"
+ORACLES["q_spot_check"] = rec(f"{ENCODED} SELECT lang, doc_id, line_no, {TOKENS} AS tokens, true AS same FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, line_no) AS rn FROM e) WHERE rn <= 20")
+ORACLES["q_corpus_files"] = ORACLES["q_lines_nonempty"]
+_STRINGS = "list_reduce(list_prepend(al0, pl), lambda x, y: x || chr(1) || split_part(y, '|', 3) || chr(2) || split_part(split_part(x, chr(1) || split_part(y, '|', 1) || chr(2), 2), chr(3), 1) || split_part(split_part(x, chr(1) || split_part(y, '|', 2) || chr(2), 2), chr(3), 1) || chr(3))"
+ORACLES["q_model_vocabulary"] = rec(
+    f"{STAGE_2}, pm AS (SELECT list(a || '|' || b || '|' || new_id ORDER BY new_id) AS pl, list(new_id) AS ids FROM (FROM m1 UNION ALL FROM m2)), a0 AS (SELECT string_agg(chr(1) || id || chr(2) || c || chr(3), '' ORDER BY id) AS al0 FROM ids), "
+    f"g AS (SELECT {_STRINGS} AS x, ids FROM pm, a0) SELECT i AS id, str, length(str) - length(replace(str, ' ', '')) AS n_spaces FROM (SELECT i, split_part(split_part(x, chr(1) || i || chr(2), 2), chr(3), 1) AS str FROM (SELECT x, unnest(ids) AS i FROM g))"
+)
+ORACLES["q_snapshot_merges"] = rec(f"{STAGE_1} SELECT rank, a, b, new_id FROM m1 WHERE rank < 25")
+ORACLES["q_resumed_merges"] = rec(f"{STAGE_1} SELECT rank, a, b, new_id FROM m1")
+ORACLES["q_one_stage_tokens"] = rec(
+    f"{STAGE_1}, ow AS (SELECT lang, unnest(string_split(text, ' ')) AS text FROM l), e AS (SELECT lang, text, {APPLIED.format(CODED)} AS seq FROM ow, mp, ml) "
+    f"SELECT lang, sum(CASE WHEN text = '' THEN 0 ELSE {TOKENS} END)::BIGINT AS tokens, sum(length(text))::BIGINT + count(*) - 1 AS chars FROM e GROUP BY lang"
+)
+ORACLES["q_sql_functions"] = rec(
+    f"{ENCODED}, {NORMAL} SELECT lang, n_processed, tokens, 0::BIGINT AS n_mismatch FROM (SELECT lang, sum(length(processed))::BIGINT AS n_processed FROM n GROUP BY lang) JOIN (SELECT lang, tokens FROM ({BY_LANG})) USING (lang)"
+)
+ORACLES["q_bpe_tokens"] = rec(f"{ENCODED}, f AS (SELECT lang, arg_min(seq, (doc_id, line_no)) AS seq FROM e GROUP BY lang), x AS (SELECT lang, string_split(seq[2:len(seq)-1], '><') AS ids FROM f) SELECT lang, unnest(range(len(ids))) AS place, unnest(ids)::BIGINT AS id FROM x")
 ORACLES["q_langid_trained"] = langid_sql()
 ORACLES["q_sample_trim"] = SAMPLE_TRIM
 ORACLES["q_vocab_diff"], ORACLES["q_vocab_diff_all"] = vocab_diff_sql(60, "[U+"), vocab_diff_sql(60, "")
