@@ -96,34 +96,50 @@ def seeds(texts: list[bytes], length: int, chunk: int = 1 << 17) -> tuple[np.nda
     return tuple(np.concatenate(v) for v in zip(*out, strict=True)) if out else tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
 
 
+def _order(key: np.ndarray, bits: int) -> np.ndarray:
+    """Places in the order of their keys, of equal keys by place, with places in the lowest bits: values sort faster than places do."""
+    k = np.sort(key.astype(np.uint64) << np.uint64(bits) | np.arange(len(key), dtype=np.uint64))
+    return (k & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """The suffixes of s in order: values from 1 to 256, and 0 behind each text, which counts as a different, smaller symbol each time, by place.
 
-    Larsson and Sadakane's refinement: suffixes are sorted by their first symbols, and then only groups that are not yet
-    told apart are sorted again, by the ranks of what follows, with twice as many symbols each time.
+    Larsson and Sadakane's refinement: suffixes are sorted by their first symbols (as many as fit beside a place), and then
+    only groups that are not yet told apart are sorted again, by the ranks of what follows, with twice as many symbols each time.
     """
-    n, h = len(s), 7
-    padded = np.concatenate([s, np.zeros(h, s.dtype)]).astype(np.int64)
+    n = len(s)
+    bits = n.bit_length()
+    used = np.zeros(257, bool)
+    used[s] = used[0] = True
+    name = np.cumsum(used) - 1
+    base = int(name[-1]) + 1
+    h = 1
+    while base ** (h + 1) < 1 << (64 - bits):
+        h += 1
+    padded = np.concatenate([name[s], np.zeros(h, np.int64)])
     stops = np.flatnonzero(s == 0)
     left = stops[np.searchsorted(stops, np.arange(n))] - np.arange(n)
     key = np.zeros(n, np.int64)
     for i in range(h):
-        key = key * 257 + padded[i : i + n] * (left > i)
-    sa = np.argsort(key, kind="stable")
+        key = key * base + padded[i : i + n] * (left > i)
+    sa = _order(key, bits)
     key = key[sa]
-    head = np.concatenate([[True], key[1:] != key[:-1]]) | (left[sa] < h)  # the sort is stable: by place where a 0 is in reach
+    head = np.concatenate([[True], key[1:] != key[:-1]]) | (left[sa] < h)  # equal keys are by place where a 0 is in reach
     while True:
-        group = np.flatnonzero(head)[np.cumsum(head) - 1]  # the place of a group's first member is its name
         if head.all():
             return sa
+        group = np.flatnonzero(head)[np.cumsum(head) - 1]  # the place of a group's first member is its name
         rank = np.empty(n + 1, np.int64)
         rank[sa] = group
         rank[n] = -1
         open_ = np.flatnonzero(~(head & np.append(head[1:], True)))
-        after = rank[np.minimum(sa[open_] + h, n)]
-        order = np.argsort(group[open_] * (n + 1) + after + 1, kind="stable")
-        moved, g, f = sa[open_[order]], group[open_[order]], after[order]
-        sa[open_] = moved
+        after, g = rank[np.minimum(sa[open_] + h, n)], group[open_]
+        dense = np.cumsum(np.concatenate([[True], g[1:] != g[:-1]])) - 1
+        bits = len(open_).bit_length()
+        key = dense * (n + 2) + after + 1
+        order = _order(key, bits) if (int(dense[-1]) + 1) * (n + 2) < 1 << (64 - bits) else np.argsort(key, kind="stable")
+        sa[open_], f = sa[open_[order]], after[order]
         head[open_] = np.concatenate([[True], (g[1:] != g[:-1]) | (f[1:] != f[:-1])])
         h *= 2
 
