@@ -62,6 +62,12 @@ def q_normalize_lines(spark, sf_dir):
     return document_lines(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), normalize(F.col("text")).alias("text"))
 
 
+def q_normalize_mixed(spark, sf_dir):
+    """Lines in which some letters became those of other scripts, combining marks and punctuation."""
+    lines = document_lines(spark, sf_dir).withColumn("text", F.translate("text", "üöäßéñó", "ሀж።“\u0301ǃ…"))
+    return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), normalize(F.col("text")).alias("text"))
+
+
 def q_expansion_by_lang(spark, sf_dir):
     return profile.expansion(document_lines(spark, sf_dir)).select("lang", "raw_chars", "processed_chars", "expansion_factor")
 
@@ -227,7 +233,8 @@ def q_worst_lang(spark, sf_dir):
 
 
 def q_roundtrip(spark, sf_dir):
-    return evaluate.round_trip(document_lines(spark, sf_dir), model_of(spark, sf_dir)).select("n_lines", "n_chars", "n_mismatch")
+    out = evaluate.round_trip(document_lines(spark, sf_dir), model_of(spark, sf_dir))
+    return out.select("n_lines", "n_chars", "n_mismatch", F.col("first_mismatch.doc_id").alias("first_doc"), F.col("first_mismatch.line_no").cast("long").alias("first_line"))
 
 
 def q_codec_baseline(spark, sf_dir):
@@ -319,6 +326,19 @@ def q_spot_check(spark, sf_dir):
     return out.select("lang", "doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("tokens").cast("long").alias("tokens"), "same")
 
 
+def q_validation(spark, sf_dir):
+    checks = evaluate.validate(model_of(spark, sf_dir), lines=document_lines(spark, sf_dir))
+    return spark.createDataFrame(list(checks.items()), "name string, holds boolean")
+
+
+def q_tokenised_sample(spark, sf_dir):
+    """The first line of each language as two vocabularies tokenise it: the tokens' number, and the first of them."""
+    m = model_of(spark, sf_dir)
+    first = document_lines(spark, sf_dir).groupBy("lang").agg(F.min(F.struct("doc_id", "line_no", "text")).alias("f")).select("lang", "f.text").collect()  # a row a language
+    rows = [(r.lang, name, n, some[0]) for r in first for name, (n, some) in evaluate.tokenised(r.text, {"all": m, "words": Model(m.strings, m.stage1, [])}, 1).items()]
+    return spark.createDataFrame(rows, "lang string, config string, tokens long, first string")
+
+
 def q_corpus_files(spark, sf_dir):
     """Lines written by language and read again from the files."""
     lines = document_lines(spark, sf_dir).select("lang", F.regexp_replace("text", r"\r", " ").alias("text"), "doc_id", "line_no")

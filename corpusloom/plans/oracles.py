@@ -20,10 +20,10 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def marker_sql(text: str) -> str:
-    """A text with its Latin letters beyond ASCII replaced by what stands for them, controls and runs of white space by one space."""
+def marker_sql(text: str, more: str = "") -> str:
+    """A text with its Latin letters beyond ASCII (and ``more``) replaced by what stands for them, controls and runs of white space by one space."""
     out = text
-    for c in (chr(c) for c in [*range(0xC0, 0x180)] if chr(c).isalpha()):
+    for c in [*(chr(c) for c in range(0xC0, 0x180) if chr(c).isalpha()), *more]:
         base = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", c)).encode("ascii", "ignore").decode()
         if unicodedata.normalize("NFKC", c) == c:
             out = f"replace({out}, {q(c)}, {q(f'{base}[U+{ord(c):04X} {unicodedata.name(c)}]')})"
@@ -32,6 +32,8 @@ def marker_sql(text: str) -> str:
     return f"trim(regexp_replace({out}, '[\\x00-\\x20\\x7F]+', ' ', 'g'))"
 
 
+#: Letters that a combining acute accent makes of letters in front of it, beyond those of marker_sql().
+COMPOSED = "".join(c for c in map(chr, [*range(0x180, 0x250), *range(0x1E00, 0x1F00)]) if unicodedata.decomposition(c).endswith(" 0301"))
 NORMAL = f"n AS (SELECT lang, doc_id, line_no, text, {marker_sql('text')} AS processed FROM l)"
 MARKER = r"'\[U\+[0-9A-Fa-f]{4,6} [^\]]+\]'"
 FOUND = f"m AS (SELECT lang, doc_id, line_no, unnest(range(len(f))) AS pos, unnest(f) AS marker FROM (SELECT lang, doc_id, line_no, regexp_extract_all(processed, {MARKER}) AS f FROM n))"
@@ -259,7 +261,7 @@ ORACLES = {
     "q_compression_blob": rec(f"{ENCODED} SELECT lang, tokens + n - 1 AS tokens, chars + n - 1 AS chars, (tokens + n - 1) / (chars + n - 1) AS tokens_per_char FROM ({BY_LANG})"),
     "q_compression_rollup": rec(f"{ENCODED} SELECT coalesce(lang, 'ALL') AS lang, sum(tokens)::BIGINT AS tokens, sum(chars)::BIGINT AS chars, sum(tokens)::BIGINT / sum(chars)::BIGINT AS tokens_per_char FROM ({BY_LANG}) GROUP BY ROLLUP (lang)"),
     "q_worst_lang": rec(f"{ENCODED} SELECT lang, tokens / chars AS tokens_per_char FROM ({BY_LANG}) ORDER BY 2 DESC, lang LIMIT 1"),
-    "q_roundtrip": f"WITH {LINES} SELECT count(*) AS n_lines, sum(length(text))::BIGINT AS n_chars, 0::BIGINT AS n_mismatch FROM l",
+    "q_roundtrip": f"WITH {LINES} SELECT count(*) AS n_lines, sum(length(text))::BIGINT AS n_chars, 0::BIGINT AS n_mismatch, NULL::BIGINT AS first_doc, NULL::BIGINT AS first_line FROM l",
     "q_codec_baseline": f"WITH {LINES} SELECT lang, sum(length(text) + 1)::BIGINT AS n_ids, sum(list_sum(list_transform(regexp_extract_all(text, '(?s).'), lambda c: unicode(c) + 1)))::BIGINT AS sum_ids, 0::BIGINT AS n_mismatch FROM l GROUP BY lang",
     "q_tpch_rollup": "SELECT l_returnflag, l_linestatus, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS sum_qty, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS sum_price, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
     "q_events_tumbling": "SELECT event_type, count(*) AS n_windows, max(n) AS most, sum(n)::BIGINT AS n FROM (SELECT event_type, date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY ALL) GROUP BY event_type",
@@ -315,8 +317,17 @@ ORACLES["q_strict_filter"] = (
 _TARGETS = ", ".join(f"('{k}', {v}::BIGINT)" for k, v in (("de", 20_000), ("en", 50_000), ("es", 10_000), ("fr", 1_000_000)))
 ORACLES["q_assembly_report"] = f"WITH {ALL}, {SPLIT}, pc AS (SELECT lang, sum(length(text) + 1)::BIGINT - 1 AS pool_chars FROM p WHERE part = 'pool' GROUP BY lang) SELECT v.lang, target, pool_chars, target > coalesce(pool_chars, 0) AS upsampled FROM (VALUES {_TARGETS}) v(lang, target) LEFT JOIN pc USING (lang)"
 ORACLES["q_spot_check"] = rec(f"{ENCODED} SELECT lang, doc_id, line_no, {TOKENS} AS tokens, true AS same FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, line_no) AS rn FROM e) WHERE rn <= 20")
-ORACLES["q_corpus_files"] = ORACLES["q_lines_nonempty"]
 _STRINGS = "list_reduce(list_prepend(al0, pl), lambda x, y: x || chr(1) || split_part(y, '|', 3) || chr(2) || split_part(split_part(x, chr(1) || split_part(y, '|', 1) || chr(2), 2), chr(3), 1) || split_part(split_part(x, chr(1) || split_part(y, '|', 2) || chr(2), 2), chr(3), 1) || chr(3))"
+# a combining mark joins the letter in front of it, where there is such a letter; the texts are joined by DuckDB's own normal form first
+ORACLES["q_normalize_mixed"] = f"WITH {LINES}, t AS (SELECT doc_id, line_no, nfc_normalize(translate(text, 'üöäßéñó', 'ሀж።“́ǃ…')) AS text FROM l) SELECT doc_id, line_no, {marker_sql('text', 'ሀжǃ' + chr(0x301) + COMPOSED)} AS text FROM t"
+ORACLES["q_validation"] = "SELECT unnest(['vocab_size', 'types', 'edge_cases', 'losslessness', 'passed']) AS name, true AS holds"
+ORACLES["q_tokenised_sample"] = rec(
+    f"{STAGE_2}, {', '.join(coded_by(f'e_{k}', w, 'l', 'lang, doc_id, line_no, text') for k, w in {'all': 'true', 'words': f'new_id < n0 + {MERGES_1}'}.items())}, "
+    f"pm AS (SELECT list(a || '|' || b || '|' || new_id ORDER BY new_id) AS pl FROM (FROM m1 UNION ALL FROM m2)), a0 AS (SELECT string_agg(chr(1) || id || chr(2) || c || chr(3), '' ORDER BY id) AS al0 FROM ids), g AS (SELECT {_STRINGS} AS x FROM pm, a0), "
+    "f AS (" + " UNION ALL ".join(f"SELECT lang, '{k}' AS config, arg_min(seq, (doc_id, line_no)) AS seq FROM e_{k} GROUP BY lang" for k in ("all", "words")) + ") "
+    f"SELECT lang, config, {TOKENS} AS tokens, split_part(split_part(x, chr(1) || string_split(seq[2:len(seq)-1], '><')[1] || chr(2), 2), chr(3), 1) AS first FROM f, g"
+)
+ORACLES["q_corpus_files"] = ORACLES["q_lines_nonempty"]
 ORACLES["q_model_vocabulary"] = rec(
     f"{STAGE_2}, pm AS (SELECT list(a || '|' || b || '|' || new_id ORDER BY new_id) AS pl, list(new_id) AS ids FROM (FROM m1 UNION ALL FROM m2)), a0 AS (SELECT string_agg(chr(1) || id || chr(2) || c || chr(3), '' ORDER BY id) AS al0 FROM ids), "
     f"g AS (SELECT {_STRINGS} AS x, ids FROM pm, a0) SELECT i AS id, str, length(str) - length(replace(str, ' ', '')) AS n_spaces FROM (SELECT i, split_part(split_part(x, chr(1) || i || chr(2), 2), chr(3), 1) AS str FROM (SELECT x, unnest(ids) AS i FROM g))"
