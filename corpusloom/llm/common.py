@@ -48,20 +48,20 @@ def binary(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
 ONE_TASK = 1 << 21
 
 
-def spread_join(rows: DataFrame, names: DataFrame, key: str, total: int, count: str = "count", most: int = 256, one_task: int = ONE_TASK) -> DataFrame:
-    """rows left-joined by a key with names, which has a key once, and how many rows have it (as ``count``).
+def spread_join(rows: DataFrame, names: DataFrame, key: str, total: int, count: str = "count", most: int = 256, one_task: int = ONE_TASK, how: str = "left") -> DataFrame:
+    """rows joined by a key (left, or inner where every key is known) with names, which has a key once, and how many rows have it (as ``count``).
 
     Up to one_task rows it is a plain join. Of more, keys with more than a ``most``-th of ``total`` rows, of which there are fewer than ``most``, are broadcast; the others are shuffled, so no
     task gets the rows of a frequent key. Rows without a key stay where they are.
     """
     if total <= one_task:
-        return rows.join(names.drop(count), key, "left").select(*rows.columns, *[c for c in names.columns if c not in (key, count)])
+        return rows.join(names.drop(count), key, how).select(*rows.columns, *[c for c in names.columns if c not in (key, count)])
     hot = names.where(F.col(count) * most > F.lit(total)).drop(count)
     few = hot.select(F.col(key).alias("k"), F.struct(*[F.col(c) for c in hot.columns if c != key]).alias("v"))
     marked = rows.join(F.broadcast(few), rows[key].eqNullSafe(few["k"]), "left").drop("k")
     more = [c for c in hot.columns if c != key]
-    here = marked.where(F.col("v").isNotNull() | F.col(key).isNull()).select(*rows.columns, *[F.col("v")[c].alias(c) for c in more])
-    there = marked.where(F.col("v").isNull() & F.col(key).isNotNull()).select(*rows.columns).join(names.where(F.col(count) * most <= F.lit(total)).drop(count), key, "left")
+    here = marked.where(F.col("v").isNotNull() | (F.col(key).isNull() & F.lit(how == "left"))).select(*rows.columns, *[F.col("v")[c].alias(c) for c in more])
+    there = marked.where(F.col("v").isNull() & F.col(key).isNotNull()).select(*rows.columns).join(names.where(F.col(count) * most <= F.lit(total)).drop(count), key, how)
     return here.select(*rows.columns, *more).unionByName(there.select(*rows.columns, *more))
 
 
@@ -128,9 +128,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         edges = 2 * int(seen[0])
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("count")).select("a", F.least("a", "m").alias("m"), "count")
-        large = spread_join(both.where("b > a"), least, "a", edges).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = spread_join(both.where("b > a"), least, "a", edges, how="inner").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("count"))
-        small = spread_join(large, low, "a", edges).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        small = spread_join(large, low, "a", edges, how="inner").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         e = cut(small.union(low.select("a", F.col("m").alias("b"))).distinct())
         now = state(e)
         if now == seen:

@@ -181,8 +181,8 @@ def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, groups:
     roots = components(links(reps.select("fp", F.col("fp").alias("rep")), distance, groups))
     rooted = reps.join(roots, reps.fp == roots.node, "left").select("fp", "first", "count", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("first").alias("name"), F.count("*").alias("n"))
-    named = spread_join(rooted, names, "root", n_fps, "n", one_task=0).select("fp", F.col("name.doc_id").alias("component_id"), F.col("name.text_hash").alias("keeper"), "count")
-    return spread_join(fps, named, "fp", total).select("doc_id", "text_hash", "fp", "component_id", "keeper")
+    named = spread_join(rooted, names, "root", n_fps, "n", one_task=0, how="inner").select("fp", F.col("name.doc_id").alias("component_id"), F.col("name.text_hash").alias("keeper"), "count")
+    return spread_join(fps, named, "fp", total, how="inner").select("doc_id", "text_hash", "fp", "component_id", "keeper")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,11 +110,13 @@ def test_spread_join(spark):
     for few in (0, 1000):
         found = common.spread_join(rows, names, "key", 75, most=4, one_task=few)
         assert found.columns == ["key", "i", "name"]
+        inner = common.spread_join(rows, names, "key", 75, most=4, one_task=few, how="inner")
+        assert sorted((r.i, r.name) for r in inner.collect()) == [(r.i, want[r.key]) for r in rows.orderBy("i").collect() if r.key in want]
         assert sorted((r.i, r.name) for r in found.collect()) == [(r.i, want.get(r.key)) for r in rows.orderBy("i").collect()]
 
 
 def test_components_with_hubs(spark, monkeypatch):
-    monkeypatch.setattr(common.spread_join, "__defaults__", ("count", 4, 0))
+    monkeypatch.setattr(common.spread_join, "__defaults__", ("count", 4, 0, "left"))
     edges = [(0, i) for i in range(1, 200)] + [(i, 1000 + i) for i in range(1, 200)] + [(5000, 5001)]
     found = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**{i: 0 for i in range(1, 200)}, **{1000 + i: 0 for i in range(1, 200)}, 5001: 5000}
