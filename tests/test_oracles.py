@@ -21,9 +21,8 @@ def test_query_matches_sql(spark, sf_dir, db, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
-def test_query_without_sql_runs(spark, sf_dir, name):
-    assert catalog.QUERIES[name](spark, sf_dir).count() > 0
+def test_every_query_has_sql():
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
 
 
 def test_entry(spark):
