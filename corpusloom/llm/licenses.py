@@ -217,7 +217,7 @@ def classify(text: str, model: Model | None = None) -> tuple[str, float, int, fl
 
 @lru_cache
 def needed_words(confirm: float) -> tuple[str, ...]:
-    """Words of which every text with an overlap of ``confirm`` has one: without them, too few of each template's triples are left. Long words, and words that are neither "this" nor in OTHER, are taken first."""
+    """Words of which every text with an overlap of ``confirm`` has one: without them, too few of each template's triples are left. Long words, and words that are neither very common nor in OTHER, are taken first."""
     m = trained()
     plain = {"this", "with", "that", "from", *(w for t in OTHER for w in words_of(t))}
     left = {t: {g for g, ts in m.templates.items() if t in ts} for t in range(len(TEMPLATES))}

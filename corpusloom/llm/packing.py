@@ -130,7 +130,8 @@ def pack(lengths: np.ndarray, window: int = 2048, bins: int = 32, depth: int = 4
 def packed(docs: DataFrame, path: str | None = None, end_id: int = 1, window: int = 2048, chunk_tokens: int = 4_000_000) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Each task packs what it reads, in chunks of some chunk_tokens ids (and what 256 documents more have) that are held at once; the table needs no shuffle
+    Each task packs what it reads by a plan of its own, so small partitions leave more of it to the greedy rest and to short last
+    sequences: in chunks of some chunk_tokens ids (and what 256 documents more have) that are held at once; the table needs no shuffle
     and memory is bounded by a chunk and the longest documents. sequence_id is the partition's number times 2^40 and a
     count, so it is unique. A null or empty text has its end id only. Rows with equal doc_id are packed each by itself, a
     null doc_id stays null, other columns are not read, and an empty table gives no rows.
