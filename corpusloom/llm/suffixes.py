@@ -175,39 +175,54 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray, starts: np.ndarray, ends: np.
     return out
 
 
-def _words(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """The strings of ``length`` bytes at these places as rows of big-endian 64-bit words, so that they compare as numbers."""
-    wide = -(-length // 8) * 8
-    b = np.zeros((len(at), wide), np.uint8)
-    b[:, :length] = text[at[:, None] + np.arange(length)]
-    return b.view(">u8").astype(np.uint64)
-
-
-def binary_search(sorted_rows: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """For each row its place among the sorted rows, or -1."""
-    low, high = np.zeros(len(rows), np.int64), np.full(len(rows), len(sorted_rows))
-    while (open_ := np.flatnonzero(low < high)).size:
-        mid = (low[open_] + high[open_]) // 2
-        a, b = sorted_rows[mid], rows[open_]
-        diff = a != b
-        k = diff.argmax(1)
-        less = np.take_along_axis(a, k[:, None], 1)[:, 0] < np.take_along_axis(b, k[:, None], 1)[:, 0]
-        low[open_] = np.where(less, mid + 1, low[open_])
-        high[open_] = np.where(less, high[open_], mid)
-    ok = low < len(sorted_rows)
-    ok[ok] = (sorted_rows[low[ok]] == rows[ok]).all(1)
-    return np.where(ok, low, -1)
-
-
-def _meet(a: tuple, b: tuple, seed: int) -> int:
-    """Gives the windows of a seed that two blocks share the smaller of their documents; returns how many they share."""
-    i, j = np.flatnonzero(a[1] == seed), np.flatnonzero(b[1] == seed)
-    found = binary_search(a[0][i], b[0][j])
-    mine = np.flatnonzero(found >= 0)
-    i, j = a[2][i[found[mine]]], b[2][j[mine]]
-    low = np.minimum(a[3][i], b[3][j])
-    a[3][i], b[3][j] = low, low
-    return len(mine)
+def _rows(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """The strings of ``length`` bytes at these places, which compare as bytes do."""
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, length)[at]).view(f"S{length}").ravel()
+
+
+def binary_search(sorted_rows: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the place among the sorted rows where it is or would be, and whether it is there."""
+    at = np.searchsorted(sorted_rows, rows)
+    there = at < len(sorted_rows)
+    there[there] = sorted_rows[at[there]] == rows[there]
+    return at, there
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]], merged_at: list[int] | None = None) -> list[np.ndarray]:
+    """For each part (different sorted windows, their documents) the smallest documents that any part has for its windows.
+
+    Neighbours are merged two by two, and what comes of them again, so that a window is looked up as often as the number of parts can be halved.
+    """
+    level = [(rows, docs) for rows, docs in parts]
+    # of each part: which of a level's members holds it, and the places of its windows there
+    place = [np.arange(len(rows)) for rows, _ in parts]
+    member = np.arange(len(parts))
+    while len(level) > 1:
+        out, to = [], []
+        for k in range(0, len(level), 2):
+            if k + 1 == len(level):
+                out.append(level[k])
+                to.append(None)
+                continue
+            (a, low), (b, more) = level[k], level[k + 1]
+            at, there = binary_search(a, b)
+            low = low.copy()
+            low[at[there]] = np.minimum(low[at[there]], more[there])
+            new = np.flatnonzero(~there)
+            of_b = np.empty(len(b), np.int64)
+            of_b[new] = at[new] + np.arange(len(new))
+            of_a = np.arange(len(a)) + np.searchsorted(at[new], np.arange(len(a)), side="right")
+            of_b[there] = of_a[at[there]]
+            out.append((np.insert(a, at[new], b[new]), np.insert(low, at[new], more[new])))
+            to += [of_a, of_b]
+            if merged_at is not None:
+                merged_at.append(int(there.sum()))
+        for k, m in enumerate(member.tolist()):
+            if to[m] is not None:
+                place[k] = to[m][place[k]]
+        member //= 2
+        level = out
+    return [level[0][1][p] for p in place]
 
 
 def first_documents(regions: list[bytes], docs: np.ndarray, length: int, block: int = BLOCK, of_seed: np.ndarray | None = None, merged_at: list[int] | None = None) -> list[np.ndarray]:
@@ -216,13 +231,13 @@ def first_documents(regions: list[bytes], docs: np.ndarray, length: int, block:
     Regions are split into blocks; each has its suffix array and common prefixes, which put equal windows next to each
     other. Blocks are then merged: the windows of one are looked up by binary search in the sorted windows of another. With
     of_seed, which never decreases, regions of different seeds share no window, so that only the windows of a seed
-    on which two blocks border are looked up; without it all blocks are merged with each other. merged_at is told how many windows each merge has met.
+    on which blocks border are looked up; without it all blocks are merged with each other. merged_at is told how many windows each merge has met.
     """
     n_windows = np.array([len(r) - length + 1 for r in regions])
     seed = np.zeros(len(regions), np.int64) if of_seed is None else of_seed
     best = np.repeat(docs, n_windows)
     base = np.concatenate([[0], np.cumsum(n_windows)])
-    # of each block: sorted windows of its first and last seed, their seeds and groups; the groups' documents; place and group of each window; the two seeds
+    # of each block: sorted windows of its first and last seed where it borders, their seeds and groups; the groups' documents; place and group of each window; the two seeds
     blocks: list[tuple] = []
     at = 0
     while at < len(regions):
@@ -253,24 +268,22 @@ def first_documents(regions: list[bytes], docs: np.ndarray, length: int, block:
         best[flat] = doc[group]
         heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
         own = seed[at + owner[heads]]
-        border = np.flatnonzero((own == seed[at]) | (own == seed[end - 1])) if at or end < len(regions) else np.zeros(0, np.int64)
+        border = np.flatnonzero((own == (seed[at] if at and seed[at - 1] == seed[at] else -1)) | (own == (seed[end - 1] if end < len(regions) and seed[end] == seed[end - 1] else -1)))
         mine = np.flatnonzero(np.isin(group, border))
-        blocks.append((_words(text, where[heads[border]], length), own[border], border, doc, flat[mine], group[mine], seed[at], seed[end - 1]))
+        blocks.append((_rows(text, where[heads[border]], length), own[border], border, doc, flat[mine], group[mine], seed[at], seed[end - 1]))
         at = end
 
-    def bordering(i: int, j: int) -> bool:
-        return blocks[i][7] == blocks[j][6]
-
-    for j in range(1, len(blocks)):  # down: block j learns from each earlier one what all before it have
-        for i in range(j):
-            if bordering(i, j):
-                n = _meet(blocks[i], blocks[j], blocks[j][6])
-                if merged_at is not None:
-                    merged_at.append(n)
-    for j in range(len(blocks) - 1, 0, -1):  # and back, so that the smallest reaches all
-        for i in range(j - 1, -1, -1):
-            if bordering(i, j):
-                _meet(blocks[i], blocks[j], blocks[j][6])
+    at = 0
+    while at < len(blocks) - 1:  # the blocks from one on that border within its last seed
+        end = at + 1
+        while end < len(blocks) and blocks[end][6] == blocks[at][7] == blocks[end - 1][7]:
+            end += 1
+        if end > at + 1:
+            own = [np.flatnonzero(x[1] == blocks[at][7]) for x in blocks[at:end]]
+            lows = merged([(x[0][k], x[3][x[2][k]]) for x, k in zip(blocks[at:end], own, strict=True)], merged_at)
+            for x, k, low in zip(blocks[at:end], own, lows, strict=True):
+                x[3][x[2][k]] = low
+        at = max(end - 1, at + 1)
     for x in blocks:
         best[x[4]] = x[3][x[5]]
     return [best[s:e] for s, e in zip(base[:-1], base[1:], strict=True)]

@@ -113,6 +113,23 @@ def test_blocks_are_merged_where_they_border_within_a_seed(spark, sf_dir, block)
     assert all(f.tolist() == [best[k[1][i : i + 50]] for i in range(len(k[1]) - 49)] for k, f in zip(order, found, strict=True))
 
 
+def test_blocks_of_one_seed_are_merged_in_so_many_merges():
+    """Bytes of all values; a seed's blocks are merged two by two, not each with each other."""
+    rng = random.Random(8)
+    ends = [bytes(rng.choices([0, 1, 97, 254, 255], k=30)) for _ in range(40)]
+    regions = sorted({rng.choice(ends) + b"the seed of them all" + rng.choice(ends) for _ in range(400)})
+    docs = np.array([rng.randrange(100) for _ in regions])
+    best: dict[bytes, int] = {}
+    for r, d in zip(regions, docs.tolist(), strict=True):
+        for i in range(len(r) - 49):
+            best[r[i : i + 50]] = min(best.get(r[i : i + 50], 99), d)
+    met: list[int] = []
+    found = S.first_documents(regions, docs, 50, 1000, np.zeros(len(regions), np.int64), met)
+    blocks = -(-len(regions) // (1000 // 81))
+    assert len(met) == blocks - 1 and sum(met) > 0
+    assert [f.tolist() for f in found] == [[best[r[i : i + 50]] for i in range(len(r) - 49)] for r in regions]
+
+
 def test_very_long_text(docs_of):
     rng = random.Random(6)
     long = "".join(rng.choices("abcdefgh ", k=600_000))
