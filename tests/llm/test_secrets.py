@@ -95,3 +95,10 @@ def test_redaction(spark):
 def test_native_plan(spark, sf_dir):
     plan = S.op1_secrets(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_plan_is_small(docs_of):
+    """The driver's plan holds each test once; conditions on p and uniform are not written out in terms of the token."""
+    plan = S.secrets(docs_of(["key = 9fQ2xLw7ZpT4vKc8RbN1"]))._jdf.queryExecution().optimizedPlan()
+    size = len(plan.toString())
+    assert size < 50_000, size
