@@ -131,8 +131,8 @@ def packed(docs: DataFrame, path: str | None = None, end_id: int = 1, window: in
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Each task packs what it reads by a plan of its own, so small partitions leave more of it to the greedy rest and to short last
-    sequences: in chunks of some chunk_tokens ids (and what 256 documents more have) that are held at once; the table needs no shuffle
-    and memory is bounded by a chunk and the longest documents. sequence_id is the partition's number times 2^40 and a
+    sequences: in chunks of some chunk_tokens ids (and what 256 documents more have) that are packed at once; the table needs no shuffle
+    and memory is bounded by a chunk, the 2048 documents that are encoded at once and the longest documents. sequence_id is the partition's number times 2^40 and a
     count, so it is unique. A null or empty text has its end id only. Rows with equal doc_id are packed each by itself, a
     null doc_id stays null, other columns are not read, and an empty table gives no rows.
     """
@@ -154,14 +154,16 @@ def packed(docs: DataFrame, path: str | None = None, end_id: int = 1, window: in
 
         ids, held, n = [], [], 0
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                ids += part.column("doc_id").to_pylist()
-                held += [x + end for x in read.encode_all(part.column("text").to_pylist())]
-                n += sum(map(len, held[-part.num_rows :])) // 4
-                if n >= chunk_tokens:
-                    yield rows(ids, held)
-                    ids, held, n = [], [], 0
+            for k in range(0, b.num_rows, 2048):
+                part = b.slice(k, 2048)
+                names, found = part.column("doc_id").to_pylist(), [x + end for x in read.encode_all(part.column("text").to_pylist())]
+                for j in range(0, len(found), 256):
+                    ids += names[j : j + 256]
+                    held += found[j : j + 256]
+                    n += sum(map(len, found[j : j + 256])) // 4
+                    if n >= chunk_tokens:
+                        yield rows(ids, held)
+                        ids, held, n = [], [], 0
         if held:
             yield rows(ids, held)
 

@@ -45,6 +45,21 @@ def test_encoder_equals_the_library_on_any_text(encoder, text):
     assert np.frombuffer(encoder.encode(text), "<u4").tolist() == plain(encoder, text)
 
 
+def test_recurring_pieces_are_taken_once_a_batch(encoder):
+    texts = [" ".join(random.Random(k).choices([f"word{chr(97 + i)}" for i in range(26)], k=20_000)) for k in range(40)]
+    words, upto = encoder.pieces(texts)
+    assert len(words) == 800_000 and len(words.dictionary) == 26 and upto.tolist() == [20_000 * k for k in range(1, 41)]
+    known = {p: encoder.encode(p) for p in words.dictionary.to_pylist()}
+    assert encoder.encode_all(texts) == [b"".join([known[p] for p in t.split()]) for t in texts]
+
+
+def test_signs_and_marks_in_one_batch(encoder):
+    texts = [",,, a", "end.", "x<|endoftext|>... b,", "ends... then, ,,a, <| c. ", None, "", "*", "a... \n\n.", "Ça, là!! ÿ."] * 2
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_all(texts)] == [plain(encoder, t) for t in texts]
+    letters = ["".join(map(chr, range(0xDF, 0x100))).replace("÷", " ÷ "), *(f"a{chr(c)} {chr(c)}z" for c in range(0xC0, 0x100))]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_all(letters)] == [plain(encoder, t) for t in letters]
+
+
 def test_ids_that_do_not_fit_are_refused():
     ids = np.array([1, 65_535], "<u4").tobytes()
     assert tokenfile._wide(tokenfile._narrow(ids, 2), 2) == ids
