@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -53,6 +54,16 @@ def test_recurring_pieces_are_taken_once_a_batch(encoder):
     assert encoder.encode_all(texts) == [b"".join([known[p] for p in t.split()]) for t in texts]
 
 
+def test_memory_of_a_batch_is_bounded(encoder):
+    texts = ["word " * 200_000] * 8
+    tracemalloc.start()
+    ids = encoder.encode_all(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(ids) == 8 and all(len(x) == 800_000 for x in ids)
+    assert peak < 48 << 20, peak
+
+
 def test_signs_and_marks_in_one_batch(encoder):
     texts = [",,, a", "end.", "x<|endoftext|>... b,", "ends... then, ,,a, <| c. ", None, "", "*", "a... \n\n.", "Ça, là!! ÿ."] * 2
     assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_all(texts)] == [plain(encoder, t) for t in texts]
