@@ -102,4 +102,19 @@ a AS (SELECT doc_id, count(*) AS n, count(*) FILTER (family <> {_q(UNKNOWN)} AND
 SELECT doc_id, coalesce(n, 0) AS n_candidates, coalesce(sure, 0) AS n_licenses, coalesce(unknown, 0) AS n_unknown, coalesce(families, '') AS families FROM documents LEFT JOIN a USING (doc_id)"""
 
 
-ORACLES = {"op1_secrets": op1(), "op2_decontaminate": OP2, "op3_licenses": op3(), "op4_embeddings": OP4, "op5_repeats": OP5}
+OP12 = """WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+f AS (SELECT doc_id, part, len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e FROM d),
+m AS (SELECT doc_id, part, a::INTEGER + 2 * b::INTEGER + 4 * c::INTEGER + 8 * d::INTEGER + 16 * e::INTEGER AS mask FROM f),
+l AS (SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels GROUP BY doc_id),
+k AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+s AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (SELECT v.f || w.f || x.f || y.f || z.f AS filter_order, [v.bit, w.bit, x.bit, y.bit, z.bit] AS bits FROM s v, s w, s x, s y, s z WHERE len(list_distinct([v.f, w.f, x.f, y.f, z.f])) = 5),
+p AS (SELECT filter_order, i AS step, bits[i] AS bit, coalesce(list_sum(bits[1:i - 1]), 0)::INTEGER AS before FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS i FROM o)),
+g AS (SELECT part, filter_order, step, bit, sum(n) FILTER (mask & (before | bit) = 0) AS kept, sum(n) FILTER (mask & bit <> 0 AND mask & before = 0) AS removed, sum(n) FILTER (mask & bit <> 0 AND mask & before <> 0) AS redundant,
+sum(n) FILTER (mask = bit) AS unique_fails, sum(good) FILTER (mask & bit <> 0 AND mask & before = 0) AS good_lost, sum(toxic) FILTER (mask & bit <> 0 AND mask & before = 0) AS toxic_lost FROM k, p GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, (sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM g"""
+
+
+ORACLES = {"op1_secrets": op1(), "op2_decontaminate": OP2, "op3_licenses": op3(), "op4_embeddings": OP4, "op5_repeats": OP5, "op12_filter_audit": OP12}
