@@ -68,7 +68,9 @@ def _stats(lines: DataFrame, models: dict[str, tuple[Model, list[int]]], by: tup
 
 
 def compression(stats: DataFrame, mode: str = "line", *by: str) -> DataFrame:
-    """tokens, chars, ratio and crossing % by language, and over all (lang null), within the columns ``by`` if there are any.
+    """tokens, chars, ratio and crossing % by language, and over all, within the columns ``by`` if there are any.
+
+    The row over all has ``total`` true and a null lang; lines without a language are a language of their own, with total false.
 
     mode "blob" takes a language as one text, in which each line end is a token and a character; "words" counts these
     characters but no tokens for them, as where white space is dropped before encoding.
@@ -76,8 +78,8 @@ def compression(stats: DataFrame, mode: str = "line", *by: str) -> DataFrame:
     more = {"line": (0, 0), "blob": (1, 1), "words": (0, 1)}[mode]
     one = stats.groupBy(*by, "lang").agg(F.sum("tokens").alias("t"), F.sum("chars").alias("c"), F.sum("crossing").alias("x"), F.count("*").alias("n"))
     one = one.select(*by, "lang", (F.col("t") + more[0] * (F.col("n") - 1)).alias("t"), (F.col("c") + more[1] * (F.col("n") - 1)).alias("c"), "x")
-    out = one.groupingSets([[*by, "lang"], list(by)], *by, "lang").agg(F.sum("t").alias("tokens"), F.sum("c").alias("chars"), F.sum("x").alias("crossing"))
-    return out.select(*by, "lang", "tokens", "chars", "crossing", ratio(F.col("tokens"), F.col("chars")).alias("tokens_per_char"), (100.0 * F.col("crossing") / F.greatest("tokens", F.lit(1))).alias("crossing_pct"))
+    out = one.groupingSets([[*by, "lang"], list(by)], *by, "lang").agg((F.grouping("lang") == 1).alias("total"), F.sum("t").alias("tokens"), F.sum("c").alias("chars"), F.sum("x").alias("crossing"))
+    return out.select(*by, "lang", "total", "tokens", "chars", "crossing", ratio(F.col("tokens"), F.col("chars")).alias("tokens_per_char"), (100.0 * F.col("crossing") / F.greatest("tokens", F.lit(1))).alias("crossing_pct"))
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -85,30 +87,30 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def worst_language(by_lang: DataFrame, order: str = "lang") -> DataFrame:
-    """The language with the highest ratio; of equals the first in an order."""
-    return by_lang.where("lang IS NOT NULL").agg(F.min_by("lang", F.struct(-F.col("tokens_per_char"), F.col(order))).alias("lang"), F.max("tokens_per_char").alias("tokens_per_char"))
+    """The language with the highest ratio; of equals the first in an order, a null one before others."""
+    return by_lang.where("NOT total").agg(F.min_by("lang", F.struct(-F.col("tokens_per_char"), F.col(order))).alias("lang"), F.max("tokens_per_char").alias("tokens_per_char"))
 
 
 def against_baseline(results: DataFrame, baseline: str, flag_over: float = 5.0) -> DataFrame:
-    """Adds to (config, lang, value) the change against a configuration in % and a flag for what is worse by more than flag_over."""
-    base = F.max(F.when(F.col("config") == baseline, F.col("value"))).over(Window.partitionBy("lang"))
+    """Adds to (config, lang, total, value) the change against a configuration in % and a flag for what is worse by more than flag_over."""
+    base = F.max(F.when(F.col("config") == baseline, F.col("value"))).over(Window.partitionBy("lang", "total"))
     out = results.withColumn("base", base)
     pct = F.when((F.col("config") != baseline) & (F.col("base") > 0), 100.0 * (F.col("value") - F.col("base")) / F.nullif("base", F.lit(0.0))).otherwise(0.0)
     return out.withColumn("pct", pct).withColumn("flag", F.when(F.col("pct") > flag_over, "!!").otherwise("")).drop("base")
 
 
 def sweep(lines: DataFrame, models: dict[str, Model], baseline: str, mode: str = "blob") -> DataFrame:
-    """All configurations on the same lines by one scan, in long form, with their change against the baseline; lang BLENDED is over all."""
+    """All configurations on the same lines by one scan, in long form, with their change against the baseline; over all, total is true and lang BLENDED."""
     stats = _stats(lines, {k: (m, []) for k, m in models.items()})
     by = compression(stats, mode, "config")
-    return against_baseline(by.select("config", F.coalesce("lang", F.lit("BLENDED")).alias("lang"), F.col("tokens_per_char").alias("value")), baseline)
+    return against_baseline(by.select("config", F.when(F.col("total"), "BLENDED").otherwise(F.col("lang")).alias("lang"), "total", F.col("tokens_per_char").alias("value")), baseline)
 
 
 def sweep_document(results: DataFrame) -> dict:
-    """What sweep() gives as a document: {"results": {config: {lang: value}}, "blended": {config: value}}."""
+    """What sweep() gives as a document: {"results": {config: {lang: value}}, "blended": {config: value}}; a null language is null."""
     out: dict = {"results": {}, "blended": {}}
     for r in results.orderBy("config", "lang").collect():
-        if r.lang == "BLENDED":
+        if r.total:
             out["blended"][r.config] = r.value
         else:
             out["results"].setdefault(r.config, {})[r.lang] = r.value
@@ -190,7 +192,7 @@ def spot_check(lines: DataFrame, model: Model, k: int = 20) -> DataFrame:
 
 
 def training_curve(train: DataFrame, heldout: DataFrame, model: Model, sizes: list[int]) -> DataFrame:
-    """(stage, vocab_size, split, lang, tokens_per_char) of the model's snapshots; lang null is over all.
+    """(stage, vocab_size, split, lang, total, tokens_per_char) of the model's snapshots; total marks the rows over all.
 
     Lines are encoded once: a larger snapshot goes on where the smaller one ends.
     """
@@ -198,15 +200,15 @@ def training_curve(train: DataFrame, heldout: DataFrame, model: Model, sizes: li
     stats = _stats(lines, {"": (model, sizes)}, ("split", "lang"))
     by = compression(stats, "line", "size", "split")
     stage = F.when(F.col("size") <= len(model.strings) - len(model.stage2), 1).otherwise(2)
-    return by.select(stage.alias("stage"), F.col("size").cast("int").alias("vocab_size"), "split", "lang", "tokens_per_char")
+    return by.select(stage.alias("stage"), F.col("size").cast("int").alias("vocab_size"), "split", "lang", "total", "tokens_per_char")
 
 
 def curve_document(curve: DataFrame) -> list[dict]:
-    """What training_curve() gives as a list of points, as documents hold it."""
+    """What training_curve() gives as a list of points, as documents hold it; a null language is null."""
     out: dict[tuple, dict] = {}
     for r in curve.collect():
         p = out.setdefault((r.stage, r.vocab_size), {"stage": r.stage, "vocab_size": r.vocab_size, "train_tokens_per_char": None, "heldout_tokens_per_char": None, "train_per_lang": {}, "heldout_per_lang": {}})
-        if r.lang is None:
+        if r.total:
             p[f"{r.split}_tokens_per_char"] = r.tokens_per_char
         else:
             p[f"{r.split}_per_lang"][r.lang] = r.tokens_per_char

@@ -55,8 +55,14 @@ def shares(languages: DataFrame, alpha: float = 0.3, total_processed: float = 3e
     return out.withColumn("target_raw_chars", F.col("target_raw").cast("long")).withColumn("repeat_factor", factor).withColumn("note", note)
 
 
+def with_language(rows: DataFrame, others: DataFrame, how: str = "inner") -> DataFrame:
+    """rows with what a broadcast frame of one row a language says of theirs; a null language is a language like any other."""
+    named = others.withColumnRenamed("lang", "its_lang")
+    return rows.join(F.broadcast(named), rows["lang"].eqNullSafe(named["its_lang"]), how).drop("its_lang")
+
+
 def offsets(lines: DataFrame, ranges: int | None = None) -> DataFrame:
-    """Adds start, the characters of a language before each line (each line with its end), in the order of doc_id (a number) and line_no.
+    """Adds start, the characters of a language before each line (each line with its end), in the order of doc_id (a number) and line_no, of equal ones by text.
 
     Each language's ids are cut into ``ranges`` ranges of about as many lines (the number of shuffle partitions, unless given), so that no
     language is one task: sums of the ranges are accumulated, which are few, and lines within a range.
@@ -65,12 +71,12 @@ def offsets(lines: DataFrame, ranges: int | None = None) -> DataFrame:
     size = F.length("text") + 1
     at = F.percentile_approx("doc_id", F.array(*[F.lit(k / n) for k in range(1, n)]), F.lit(100 * n))
     cuts = lines.groupBy("lang").agg(F.array_distinct(at).alias("cuts"))
-    dealt = lines.join(F.broadcast(cuts), lines["lang"].eqNullSafe(cuts["lang"])).drop(cuts["lang"])
+    dealt = with_language(lines, cuts)
     dealt = dealt.withColumn("range", F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("doc_id"))), F.lit(0))).drop("cuts")
     sums = dealt.groupBy("lang", "range").agg(F.sum(size).alias("chars"))
     before = Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("lang").alias("l"), F.col("range").alias("r"), F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("range_start"))
-    inside = Window.partitionBy("lang", "range").orderBy("doc_id", "line_no").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("lang", "range").orderBy("doc_id", "line_no", "text").rowsBetween(Window.unboundedPreceding, -1)
     out = dealt.withColumn("line_start", F.coalesce(F.sum(size).over(inside), F.lit(0)))
     out = out.join(F.broadcast(sums), out["lang"].eqNullSafe(sums["l"]) & (out["range"] == sums["r"]))  # ranges times languages rows
     return out.withColumn("start", F.col("range_start") + F.col("line_start")).drop("range", "line_start", "range_start", "l", "r")
@@ -79,26 +85,26 @@ def offsets(lines: DataFrame, ranges: int | None = None) -> DataFrame:
 def split_pool(lines: DataFrame, heldout: float = 0.15) -> DataFrame:
     """Adds ``part``: "pool" for lines that start at or before the point 1 - heldout of their language's text, "heldout" behind it.
 
-    So the line that the point falls in belongs to the pool, as where a text is cut at the next line end.
+    So the line that the point falls in belongs to the pool, as where a text is cut at the next line end. Lines without a language are split as one.
     """
     at = offsets(lines)
     total = lines.groupBy("lang").agg((F.sum(F.length("text") + 1) - 1).alias("all"))
     point = F.floor(F.col("all") * (1 - heldout))
-    return at.join(F.broadcast(total), "lang").withColumn("part", F.when(F.col("start") <= point, "pool").otherwise("heldout")).drop("all")
+    return with_language(at, total).withColumn("part", F.when(F.col("start") <= point, "pool").otherwise("heldout")).drop("all")
 
 
 def slice_or_tile(pool: DataFrame, targets: DataFrame, seam: str = "fuse") -> DataFrame:
     """The first target characters of each language's pool, which is repeated where it is shorter: (lang, copy, doc_id, line_no, text).
 
-    targets has (lang, target). Pool texts are joined by line ends and the last line is cut where the target falls.
+    targets has (lang, target); languages without one are left out, and a null language is named by null. Pool texts are joined by line ends and the last line is cut where the target falls.
     seam: "fuse" puts copies behind each other without a line end, so that the last line of one and the first of the next
     are one line (as two rows, of which the first has ``fused`` true); "newline" puts a line end between them.
     """
     at = offsets(pool)
     size = at.groupBy("lang").agg((F.sum(F.length("text") + 1) - 1 + int(seam == "newline")).alias("size"), F.max("start").alias("last"))
-    plan = size.join(F.broadcast(targets), "lang").where("size > 0 AND target > 0").withColumn("copies", F.floor((F.col("target") - 1) / F.col("size")) + 1)
+    plan = with_language(size, targets.select("lang", "target")).where("size > 0 AND target > 0").withColumn("copies", F.floor((F.col("target") - 1) / F.col("size")) + 1)
     copies = plan.select("lang", "size", "last", "target", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
-    out = at.join(F.broadcast(copies), "lang").withColumn("from", F.col("copy") * F.col("size") + F.col("start"))
+    out = with_language(at, copies).withColumn("from", F.col("copy") * F.col("size") + F.col("start"))
     out = out.where(F.col("from") < F.col("target"))
     cut = F.substring("text", F.lit(1), (F.col("target") - F.col("from")).cast("int"))
     fused = (F.col("start") == F.col("last")) & F.lit(seam == "fuse") & (F.col("from") + F.length("text") < F.col("target"))
@@ -115,9 +121,9 @@ def assemble(lines: DataFrame, targets: DataFrame, heldout: float = 0.15) -> Dat
 
 
 def assembly_report(lines: DataFrame, targets: DataFrame, heldout: float = 0.15) -> DataFrame:
-    """(lang, target, pool_chars, upsampled): whether the pool is shorter than the target."""
+    """(lang, target, pool_chars, upsampled): whether the pool is shorter than the target; a target without lines has a null pool_chars."""
     pool = split_pool(lines, heldout).where("part = 'pool'").groupBy("lang").agg((F.sum(F.length("text") + 1) - 1).alias("pool_chars"))
-    return targets.join(pool, "lang", "left").withColumn("upsampled", F.col("target") > F.coalesce("pool_chars", F.lit(0)))
+    return with_language(targets, pool, "left").withColumn("upsampled", F.col("target") > F.coalesce("pool_chars", F.lit(0)))
 
 
 def ethiopic_block() -> list[str]:

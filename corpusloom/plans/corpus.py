@@ -19,6 +19,8 @@ from ..sources.text import coverage_slug, document_lines, file_lines, lines, sam
 from ..streaming.lines import event_counts
 
 MERGES_1, MERGES_2 = 30, 20
+#: Characters of each language, the null one among them.
+TARGETS = (("de", 20_000), ("en", 50_000), ("es", 10_000), ("fr", 1_000_000), (None, 30_000))
 _MODELS: dict[str, Model] = {}
 
 
@@ -139,11 +141,11 @@ def q_split_pool_heldout(spark, sf_dir):
 
 
 def _targets(spark, factor: float):
-    return spark.createDataFrame([(k, int(v * factor)) for k, v in (("de", 20_000), ("en", 50_000), ("es", 10_000), ("fr", 1_000_000))], "lang string, target long")
+    return spark.createDataFrame([(k, int(v * factor)) for k, v in TARGETS], "lang string, target long")
 
 
 def _pool(spark, sf_dir):
-    return document_lines(spark, sf_dir, "all").where("lang IN ('de', 'en', 'es', 'fr')")
+    return document_lines(spark, sf_dir, "all")
 
 
 def q_slice_prefix(spark, sf_dir):
@@ -212,20 +214,24 @@ def _stats(spark, sf_dir):
     return evaluate.token_stats(document_lines(spark, sf_dir), model_of(spark, sf_dir))
 
 
+def _named(total: str):
+    return F.when(F.col("total"), total).otherwise(F.col("lang")).alias("lang")
+
+
 def q_encode_tokens_by_lang(spark, sf_dir):
-    return evaluate.compression(_stats(spark, sf_dir)).where("lang IS NOT NULL").select("lang", "tokens", "chars", "tokens_per_char")
+    return evaluate.compression(_stats(spark, sf_dir)).where("NOT total").select("lang", "tokens", "chars", "tokens_per_char")
 
 
 def q_compression_blob(spark, sf_dir):
-    return evaluate.compression(_stats(spark, sf_dir), "blob").where("lang IS NOT NULL").select("lang", "tokens", "chars", "tokens_per_char")
+    return evaluate.compression(_stats(spark, sf_dir), "blob").where("NOT total").select("lang", "tokens", "chars", "tokens_per_char")
 
 
 def q_crossing_pct(spark, sf_dir):
-    return evaluate.compression(_stats(spark, sf_dir)).where("lang IS NOT NULL").select("lang", "crossing", "crossing_pct")
+    return evaluate.compression(_stats(spark, sf_dir)).where("NOT total").select("lang", "crossing", "crossing_pct")
 
 
 def q_compression_rollup(spark, sf_dir):
-    return evaluate.compression(_stats(spark, sf_dir)).select(F.coalesce("lang", F.lit("ALL")).alias("lang"), "tokens", "chars", "tokens_per_char")
+    return evaluate.compression(_stats(spark, sf_dir)).select(_named("ALL"), "tokens", "chars", "tokens_per_char")
 
 
 def q_worst_lang(spark, sf_dir):
@@ -245,7 +251,7 @@ def q_codec_baseline(spark, sf_dir):
 
 def q_config_vs_baseline(spark, sf_dir):
     m = model_of(spark, sf_dir)
-    return evaluate.sweep(document_lines(spark, sf_dir), {"base": m, "words": Model(m.strings, m.stage1, []), "half": m.at(len(m.strings) - MERGES_2 - MERGES_1 // 2)}, "base", "line")
+    return evaluate.sweep(document_lines(spark, sf_dir), {"base": m, "words": Model(m.strings, m.stage1, []), "half": m.at(len(m.strings) - MERGES_2 - MERGES_1 // 2)}, "base", "line").drop("total")
 
 
 def q_training_curve(spark, sf_dir):
@@ -253,7 +259,7 @@ def q_training_curve(spark, sf_dir):
     lines = mixing.split_pool(document_lines(spark, sf_dir))
     n = len(m.strings)
     out = evaluate.training_curve(lines.where("part = 'pool'"), lines.where("part = 'heldout'"), m, [n - MERGES_2 - MERGES_1, n - MERGES_2, n])
-    return out.select("stage", (F.col("vocab_size") - n).cast("long").alias("vocab_offset"), "split", F.coalesce("lang", F.lit("ALL")).alias("lang"), "tokens_per_char")
+    return out.select("stage", (F.col("vocab_size") - n).cast("long").alias("vocab_offset"), "split", _named("ALL"), "tokens_per_char")
 
 
 def _vocabularies(spark, sf_dir):
@@ -279,7 +285,7 @@ def q_tier2_report(spark, sf_dir):
     """Compression of other tables' texts by the vocabulary of the documents, with a description where there is one."""
     m = model_of(spark, sf_dir)
     texts = table(spark, sf_dir, "conversations").select(F.col("role").alias("lang"), F.col("conv_id").alias("doc_id"), "text")
-    by = evaluate.compression(evaluate.token_stats(lines(texts), m)).where("lang IS NOT NULL")
+    by = evaluate.compression(evaluate.token_stats(lines(texts), m)).where("NOT total")
     names = spark.createDataFrame([("user", "asks")], "lang string, mirror string")
     return by.join(F.broadcast(names), "lang", "left").select("lang", F.coalesce("mirror", F.lit("")).alias("mirror"), "tokens", "chars", "crossing_pct")
 
@@ -383,7 +389,7 @@ def q_one_stage_tokens(spark, sf_dir):
     """The one-stage baseline, whose white space counts as characters only."""
     m = train_words(document_lines(spark, sf_dir), MERGES_1, more=True)
     words = document_lines(spark, sf_dir).select("lang", F.explode(F.split("text", " ")).alias("text"))
-    return evaluate.compression(evaluate.token_stats(words, m), "words").where("lang IS NOT NULL").select("lang", "tokens", "chars")
+    return evaluate.compression(evaluate.token_stats(words, m), "words").where("NOT total").select("lang", "tokens", "chars")
 
 
 def q_sql_functions(spark, sf_dir):

@@ -7,7 +7,7 @@ import unicodedata
 from ..functions.normalize import PUNCTUATION
 from ..functions.scripts import FOREIGN, char_class
 from ..operators.mixing import COVERAGE, LANGUAGES, ZULU, ethiopic_block
-from .corpus import MERGES_1, MERGES_2
+from .corpus import MERGES_1, MERGES_2, TARGETS
 
 ALL = "al AS (SELECT lang, doc_id, unnest(range(len(p))) AS line_no, unnest(p) AS text FROM (SELECT lang, doc_id, string_split(text, chr(10)) AS p FROM documents))"
 LINES = f"{ALL}, l AS (SELECT * FROM al WHERE text <> '')"
@@ -20,6 +20,10 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def named(lang: str | None) -> str:
+    return "NULL" if lang is None else q(lang)
+
+
 def marker_sql(text: str, more: str = "") -> str:
     """A text with its Latin letters beyond ASCII (and ``more``) replaced by what stands for them, controls and runs of white space by one space."""
     out = text
@@ -62,16 +66,16 @@ def registry_sql(rows) -> str:
 
 
 STARTS = "o AS (SELECT *, sum(length(text) + 1) OVER (PARTITION BY lang ORDER BY doc_id, line_no) - length(text) - 1 AS start FROM {0}), t AS (SELECT lang, sum(length(text) + 1) - 1 AS whole FROM {0} GROUP BY lang)"
-SPLIT = STARTS.format("al") + ", p AS (SELECT o.*, CASE WHEN start <= floor(whole * (1 - 0.15)) THEN 'pool' ELSE 'heldout' END AS part FROM o JOIN t USING (lang))"
+SPLIT = STARTS.format("al") + ", p AS (SELECT o.*, CASE WHEN start <= floor(whole * (1 - 0.15)) THEN 'pool' ELSE 'heldout' END AS part FROM o JOIN t ON o.lang IS NOT DISTINCT FROM t.lang)"
 
 
 def tiled_sql(factor: float, of: str, newline: bool = False) -> str:
-    targets = ", ".join(f"('{k}', {int(v * factor)})" for k, v in (("de", 20_000), ("en", 50_000), ("es", 10_000), ("fr", 1_000_000)))
+    targets = ", ".join(f"({named(k)}, {int(v * factor)})" for k, v in TARGETS)
     return (
-        f"{STARTS.format(of)}, tt AS (SELECT lang, whole + {int(newline)} AS size, target FROM t JOIN (VALUES {targets}) v(lang, target) USING (lang)), "
+        f"{STARTS.format(of)}, tt AS (SELECT t.lang, whole + {int(newline)} AS size, target FROM t JOIN (VALUES {targets}) v(lang, target) ON t.lang IS NOT DISTINCT FROM v.lang), "
         "cc AS (SELECT lang, size, target, unnest(range(((target - 1) // size + 1)::BIGINT)) AS copy FROM tt), "
         "la AS (SELECT lang, max(start) AS last FROM o GROUP BY lang), "
-        "k AS (SELECT o.lang, copy, doc_id, line_no, text, copy * size + start AS f, target, start = last AS is_last FROM o JOIN cc USING (lang) JOIN la USING (lang) WHERE copy * size + start < target), "
+        "k AS (SELECT o.lang, copy, doc_id, line_no, text, copy * size + start AS f, target, start = last AS is_last FROM o JOIN cc ON o.lang IS NOT DISTINCT FROM cc.lang JOIN la ON o.lang IS NOT DISTINCT FROM la.lang WHERE copy * size + start < target), "
         "z AS (SELECT lang, copy, doc_id, line_no, substring(text, 1, (target - f)::BIGINT) AS text, is_last AND f + length(text) < target AS fused FROM k)"
     )
 
@@ -228,7 +232,7 @@ ORACLES = {
     "q_normalize_lines": f"WITH {LINES}, {NORMAL} SELECT doc_id, line_no, processed AS text FROM n",
     "q_expansion_by_lang": f"WITH {LINES}, {NORMAL} SELECT lang, sum(length(text))::BIGINT AS raw_chars, sum(length(processed))::BIGINT AS processed_chars, sum(length(processed))::DOUBLE / greatest(sum(length(text)), 1)::DOUBLE AS expansion_factor FROM n GROUP BY lang",
     "q_marker_fraction": f"WITH {LINES}, {NORMAL}, {FOUND}, s AS (SELECT lang, sum(length(processed)) AS c FROM n GROUP BY lang), y AS (SELECT lang, count(DISTINCT marker) AS u, sum(length(marker)) AS z FROM m GROUP BY lang) "
-    "SELECT lang, coalesce(u, 0)::BIGINT AS unique_markers, coalesce(z, 0)::DOUBLE / greatest(c, 1)::DOUBLE AS marker_char_fraction FROM s LEFT JOIN y USING (lang)",
+    "SELECT lang, coalesce(u, 0)::BIGINT AS unique_markers, coalesce(z, 0)::DOUBLE / greatest(c, 1)::DOUBLE AS marker_char_fraction FROM s LEFT JOIN (SELECT lang AS its_lang, u, z FROM y) ON lang IS NOT DISTINCT FROM its_lang",
     "q_marker_counts": f"WITH {LINES}, {NORMAL}, {FOUND} SELECT lang, marker, count(*) AS n FROM m GROUP BY ALL",
     "q_markers_top15": f"WITH {LINES}, {NORMAL}, {FOUND}, x AS (SELECT lang, marker, count(*) AS n, min((doc_id, line_no, pos)) AS f FROM m GROUP BY lang, marker) SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY n DESC, f) AS rank, marker, n FROM x) WHERE rank <= 15",
     "q_markers_rare": f"WITH {LINES}, {NORMAL}, {FOUND} SELECT lang, marker, count(*) AS n FROM m GROUP BY lang, marker HAVING count(*) < 20",
@@ -245,7 +249,7 @@ ORACLES = {
     "q_split_pool_heldout": f"WITH {ALL}, {SPLIT} SELECT lang, doc_id, line_no, part FROM p",
     "q_slice_prefix": f"WITH {ALL}, {tiled_sql(0.5, 'al')} SELECT lang, copy, doc_id, line_no, text FROM z",
     "q_tile_pool": f"WITH {ALL}, {tiled_sql(2.5, 'al')} SELECT lang, count(*) AS n_lines, max(copy) AS last_copy, sum(length(text))::BIGINT AS n_chars, count(*) FILTER (fused) AS n_fused FROM z GROUP BY lang",
-    "q_assemble": f"WITH {ALL}, {SPLIT.replace('o AS', 'o1 AS').replace('FROM o ', 'FROM o1 ').replace('t AS (', 't1 AS (').replace('JOIN t ', 'JOIN t1 ').replace('o.*', 'o1.*')}, pl AS (SELECT lang, doc_id, line_no, text FROM p WHERE part = 'pool'), {tiled_sql(1.0, 'pl', True)}, n AS (SELECT lang, copy, doc_id, line_no, {marker_sql('text')} AS processed FROM z) "
+    "q_assemble": f"WITH {ALL}, {SPLIT.replace('o AS', 'o1 AS').replace('FROM o ', 'FROM o1 ').replace('t AS (', 't1 AS (').replace('JOIN t ', 'JOIN t1 ').replace('o.*', 'o1.*').replace('o.lang', 'o1.lang').replace('t.lang', 't1.lang')}, pl AS (SELECT lang, doc_id, line_no, text FROM p WHERE part = 'pool'), {tiled_sql(1.0, 'pl', True)}, n AS (SELECT lang, copy, doc_id, line_no, {marker_sql('text')} AS processed FROM z) "
     "SELECT lang, copy, doc_id, line_no, processed AS text FROM n WHERE processed <> ''",
     "q_coverage_supplement": "SELECT lang, len(cs)::BIGINT AS num_codepoints, array_to_string(flatten(list_transform(cs, lambda c: [w(c), w(c)])), ' ') AS supplement FROM (VALUES ".replace(
         "[w(c), w(c)]", "list_transform([1, 2], lambda i: 'a' || c || 'b ' || c || 'a ' || c || c)"
@@ -259,7 +263,7 @@ ORACLES = {
     "q_encode_native": rec(f"{ENCODED} SELECT lang, tokens FROM ({BY_LANG})"),
     "q_encode_tokens_by_lang": rec(f"{ENCODED} SELECT lang, tokens, chars, tokens / chars AS tokens_per_char FROM ({BY_LANG})"),
     "q_compression_blob": rec(f"{ENCODED} SELECT lang, tokens + n - 1 AS tokens, chars + n - 1 AS chars, (tokens + n - 1) / (chars + n - 1) AS tokens_per_char FROM ({BY_LANG})"),
-    "q_compression_rollup": rec(f"{ENCODED} SELECT coalesce(lang, 'ALL') AS lang, sum(tokens)::BIGINT AS tokens, sum(chars)::BIGINT AS chars, sum(tokens)::BIGINT / sum(chars)::BIGINT AS tokens_per_char FROM ({BY_LANG}) GROUP BY ROLLUP (lang)"),
+    "q_compression_rollup": rec(f"{ENCODED} SELECT CASE WHEN grouping(lang) = 1 THEN 'ALL' ELSE lang END AS lang, sum(tokens)::BIGINT AS tokens, sum(chars)::BIGINT AS chars, sum(tokens)::BIGINT / sum(chars)::BIGINT AS tokens_per_char FROM ({BY_LANG}) GROUP BY ROLLUP (lang)"),
     "q_worst_lang": rec(f"{ENCODED} SELECT lang, tokens / chars AS tokens_per_char FROM ({BY_LANG}) ORDER BY 2 DESC, lang LIMIT 1"),
     "q_roundtrip": f"WITH {LINES} SELECT count(*) AS n_lines, sum(length(text))::BIGINT AS n_chars, 0::BIGINT AS n_mismatch, NULL::BIGINT AS first_doc, NULL::BIGINT AS first_line FROM l",
     "q_codec_baseline": f"WITH {LINES} SELECT lang, sum(length(text) + 1)::BIGINT AS n_ids, sum(list_sum(list_transform(regexp_extract_all(text, '(?s).'), lambda c: unicode(c) + 1)))::BIGINT AS sum_ids, 0::BIGINT AS n_mismatch FROM l GROUP BY lang",
@@ -281,16 +285,16 @@ ORACLES["q_tier2_report"] = rec(
 _CONFIGS = {"base": "true", "words": f"new_id < n0 + {MERGES_1}", "half": f"new_id < n0 + {MERGES_1 - MERGES_1 // 2}"}
 ORACLES["q_config_vs_baseline"] = rec(
     f"{STAGE_2}, {', '.join(coded_by(f'e_{k}', w) for k, w in _CONFIGS.items())}, "
-    f"v AS ({' UNION ALL '.join(f"SELECT '{k}' AS config, coalesce(lang, 'BLENDED') AS lang, sum({TOKENS})::BIGINT / greatest(sum(length(text)), 1)::BIGINT AS value FROM e_{k} GROUP BY ROLLUP (lang)" for k in _CONFIGS)}), "
-    "b AS (SELECT lang, value AS base FROM v WHERE config = 'base'), p AS (SELECT config, lang, value, CASE WHEN config <> 'base' AND base > 0 THEN 100.0::DOUBLE * (value - base) / base ELSE 0.0::DOUBLE END AS pct FROM v JOIN b USING (lang)) "
+    f"v AS ({' UNION ALL '.join(f"SELECT '{k}' AS config, CASE WHEN grouping(lang) = 1 THEN 'BLENDED' ELSE lang END AS lang, sum({TOKENS})::BIGINT / greatest(sum(length(text)), 1)::BIGINT AS value FROM e_{k} GROUP BY ROLLUP (lang)" for k in _CONFIGS)}), "
+    "b AS (SELECT lang, value AS base FROM v WHERE config = 'base'), p AS (SELECT config, v.lang, value, CASE WHEN config <> 'base' AND base > 0 THEN 100.0::DOUBLE * (value - base) / base ELSE 0.0::DOUBLE END AS pct FROM v JOIN b ON v.lang IS NOT DISTINCT FROM b.lang) "
     "SELECT config, lang, value, pct, CASE WHEN pct > 5 THEN '!!' ELSE '' END AS flag FROM p"
 )
 _SIZES = {-MERGES_1 - MERGES_2: ("1", "false"), -MERGES_2: ("1", f"new_id < n0 + {MERGES_1}"), 0: ("2", "true")}
-_SPLIT = SPLIT.replace("FROM al", "FROM l").replace("o AS", "so AS").replace("FROM o ", "FROM so ").replace("o.*", "so.*").replace("t AS (", "st AS (").replace("JOIN t ", "JOIN st ").replace("p AS (", "sp AS (")
+_SPLIT = SPLIT.replace("FROM al", "FROM l").replace("o AS", "so AS").replace("FROM o ", "FROM so ").replace("o.*", "so.*").replace("t AS (", "st AS (").replace("JOIN t ", "JOIN st ").replace("p AS (", "sp AS (").replace("o.lang", "so.lang").replace("t.lang", "st.lang")
 ORACLES["q_training_curve"] = rec(
     f"{STAGE_2}, {_SPLIT}, {', '.join(coded_by(f'e{i}', w, 'sp', 'lang, part, text') for i, (_, w) in enumerate(_SIZES.values()))} "
     + " UNION ALL ".join(
-        f"SELECT {stage} AS stage, {v}::BIGINT AS vocab_offset, CASE part WHEN 'pool' THEN 'train' ELSE part END AS split, coalesce(lang, 'ALL') AS lang, sum({TOKENS})::BIGINT / greatest(sum(length(text)), 1)::BIGINT AS tokens_per_char FROM e{i} GROUP BY GROUPING SETS ((part, lang), (part))"
+        f"SELECT {stage} AS stage, {v}::BIGINT AS vocab_offset, CASE part WHEN 'pool' THEN 'train' ELSE part END AS split, CASE WHEN grouping(lang) = 1 THEN 'ALL' ELSE lang END AS lang, sum({TOKENS})::BIGINT / greatest(sum(length(text)), 1)::BIGINT AS tokens_per_char FROM e{i} GROUP BY GROUPING SETS ((part, lang), (part))"
         for i, (v, (stage, _)) in enumerate(_SIZES.items())
     )
 )
@@ -314,8 +318,8 @@ ORACLES["q_strict_filter"] = (
     f"WITH {ALL}, i AS (SELECT doc_id, line_no, translate(text, 'éñç', 'ሀሁሂ') AS text FROM al) "
     f"SELECT * FROM (SELECT doc_id, line_no, {reason_sql(3, (*FOREIGN, 'ETHIOPIC'))} AS strict, {reason_sql()} AS usual FROM i) WHERE strict IS NOT NULL OR usual IS NOT NULL"
 )
-_TARGETS = ", ".join(f"('{k}', {v}::BIGINT)" for k, v in (("de", 20_000), ("en", 50_000), ("es", 10_000), ("fr", 1_000_000)))
-ORACLES["q_assembly_report"] = f"WITH {ALL}, {SPLIT}, pc AS (SELECT lang, sum(length(text) + 1)::BIGINT - 1 AS pool_chars FROM p WHERE part = 'pool' GROUP BY lang) SELECT v.lang, target, pool_chars, target > coalesce(pool_chars, 0) AS upsampled FROM (VALUES {_TARGETS}) v(lang, target) LEFT JOIN pc USING (lang)"
+_TARGETS = ", ".join(f"({named(k)}, {v}::BIGINT)" for k, v in TARGETS)
+ORACLES["q_assembly_report"] = f"WITH {ALL}, {SPLIT}, pc AS (SELECT lang, sum(length(text) + 1)::BIGINT - 1 AS pool_chars FROM p WHERE part = 'pool' GROUP BY lang) SELECT v.lang, target, pool_chars, target > coalesce(pool_chars, 0) AS upsampled FROM (VALUES {_TARGETS}) v(lang, target) LEFT JOIN pc ON v.lang IS NOT DISTINCT FROM pc.lang"
 ORACLES["q_spot_check"] = rec(f"{ENCODED} SELECT lang, doc_id, line_no, {TOKENS} AS tokens, true AS same FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, line_no) AS rn FROM e) WHERE rn <= 20")
 _STRINGS = "list_reduce(list_prepend(al0, pl), lambda x, y: x || chr(1) || split_part(y, '|', 3) || chr(2) || split_part(split_part(x, chr(1) || split_part(y, '|', 1) || chr(2), 2), chr(3), 1) || split_part(split_part(x, chr(1) || split_part(y, '|', 2) || chr(2), 2), chr(3), 1) || chr(3))"
 # a combining mark joins the letter in front of it, where there is such a letter; the texts are joined by DuckDB's own normal form first
@@ -339,7 +343,7 @@ ORACLES["q_one_stage_tokens"] = rec(
     f"SELECT lang, sum(CASE WHEN text = '' THEN 0 ELSE {TOKENS} END)::BIGINT AS tokens, sum(length(text))::BIGINT + count(*) - 1 AS chars FROM e GROUP BY lang"
 )
 ORACLES["q_sql_functions"] = rec(
-    f"{ENCODED}, {NORMAL} SELECT lang, n_processed, tokens, 0::BIGINT AS n_mismatch FROM (SELECT lang, sum(length(processed))::BIGINT AS n_processed FROM n GROUP BY lang) JOIN (SELECT lang, tokens FROM ({BY_LANG})) USING (lang)"
+    f"{ENCODED}, {NORMAL} SELECT lang, n_processed, tokens, 0::BIGINT AS n_mismatch FROM (SELECT lang, sum(length(processed))::BIGINT AS n_processed FROM n GROUP BY lang) JOIN (SELECT lang AS by_lang, tokens FROM ({BY_LANG})) ON lang IS NOT DISTINCT FROM by_lang"
 )
 ORACLES["q_bpe_tokens"] = rec(f"{ENCODED}, f AS (SELECT lang, arg_min(seq, (doc_id, line_no)) AS seq FROM e GROUP BY lang), x AS (SELECT lang, string_split(seq[2:len(seq)-1], '><') AS ids FROM f) SELECT lang, unnest(range(len(ids))) AS place, unnest(ids)::BIGINT AS id FROM x")
 ORACLES["q_langid_trained"] = langid_sql()
