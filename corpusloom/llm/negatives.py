@@ -260,8 +260,10 @@ def hard_negatives(rows: DataFrame, anchor: Column, positives: int = 5, negative
 
     near = held.select("vec_id", "label", "width", "vec").mapInArrow(placed(False), "vec_id long, label long, cell int, dist double")
     near = near.groupBy("cell", "label", "vec_id").agg(F.min("dist").alias("dist"))
-    nearest = near.withColumn("r", F.row_number().over(Window.partitionBy("cell", "label").orderBy("dist", "vec_id"))).where(F.col("r") <= positives + 1)
-    reach = _reach(nearest.select("label", "cell", "dist"), at.select("label", "cell", "dist"), cells, positives)
+    near = near.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(16)))
+    for keys in (("cell", "label", "salt"), ("cell", "label")):  # a cell's rows of a label are first thinned out in 16 tasks
+        near = near.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("dist", "vec_id"))).where(F.col("r") <= positives + 1)
+    reach = _reach(near.select("label", "cell", "dist"), at.select("label", "cell", "dist"), cells, positives)
 
     def same(labels: np.ndarray, d: np.ndarray, own: np.ndarray) -> np.ndarray:
         return d <= reach[labels % CLASSES][:, own] + cells.slack
