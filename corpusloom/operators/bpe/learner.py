@@ -32,22 +32,22 @@ def replaced(seq: Sequence[int], a: int, b: int, new: int) -> list[int]:
     return out
 
 
-def batch(ranked: list[tuple[int, int, int]]) -> list[Pair]:
-    """The merges that can be made in one pass, of pairs (n, a, b) by descending n and ascending ids.
+class BestFirst:
+    """A queue of pairs by descending count and ascending ids; of a pair's entries only that with its present count holds."""
 
-    Pairs are taken while no symbol comes again, and none behind a pair of equal symbols. Merges of disjoint symbols do not
-    disturb each other's counts, and what they create is at most as frequent as what it is made of, which ranks lower, and
-    on a tie its larger id ranks it lower too. A pair (x, x) can create (X, X) out of itself, so it ends the batch.
-    """
-    out, used = [], set()
-    for _, a, b in ranked:
-        if a in used or b in used:
-            break
-        out.append((a, b))
-        used |= {a, b}
-        if a == b:
-            break
-    return out
+    def __init__(self, counts: Iterable[tuple[Pair, int]]):
+        self.heap = [(-n, p) for p, n in counts]
+        heapq.heapify(self.heap)
+
+    def push(self, p: Pair, n: int) -> None:
+        heapq.heappush(self.heap, (-n, p))
+
+    def pop(self, counts: dict[Pair, int]) -> Pair | None:
+        while self.heap:
+            n, p = heapq.heappop(self.heap)
+            if n < 0 and counts.get(p) == -n:
+                return p
+        return None
 
 
 class Counted:
@@ -63,51 +63,73 @@ class Counted:
         c = self.chain
         left = np.flatnonzero(c.sym >= 0)
         left = left[c.sym[c.nxt[left]] >= 0]
-        key = c.sym[left].astype(np.int64) << 32 | c.sym[c.nxt[left]]
-        order = np.argsort(key, kind="stable")
-        key, left = key[order], left[order].astype(np.int32)
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        total = np.add.reduceat(self.freqs[self.unit[left]], first) if len(key) else np.zeros(0)
-        return key[first], total, first, left
-
-    def merge(self, places: np.ndarray, a: int, b: int, new: int) -> tuple[dict[Pair, int], int, list[tuple[Pair, np.ndarray]]]:
-        """(changes of pair counts, weight of what was merged, places of the pairs that are new)."""
+        if not len(left):
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        a, b = c.sym[left].astype(np.int64), c.sym[c.nxt[left]]
+        v = max(int(a.max()), int(b.max())) + 1
+        if v * v < 1 << 31:  # pair and place in one integer, which sorts several times as fast as places by pair
+            held = np.sort((a * v + b) << 32 | left)
+            key, left = held >> 32, (held & 0xFFFFFFFF).astype(np.int32)
+        else:
+            key = a << 32 | b
+            order = np.argsort(key, kind="stable")
+            key, left, v = key[order], left[order].astype(np.int32), 1 << 32
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        total = np.add.reduceat(self.freqs[self.unit[left]], first)
+        return key[first] // v << 32 | key[first] % v, total, first, left
+
+    def merge(self, places: np.ndarray, a: int, b: int, new: int) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
+        """(keys of pairs, changes of their counts, weight of what was merged, where it stands now); a key may come more than once."""
         c = self.chain
         p = c.found(places, a, b)
         if not len(p):
-            return {}, 0, []
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), 0, p
         w = self.freqs[self.unit[p]]
         behind = c.sym[c.nxt[c.nxt[p]]]
         before = c.merge(p, new)
         w_before = self.freqs[self.unit[before]]
-        change: Counter = Counter()
         total = int(w.sum())
-        change[a, b] -= total
+        keys, change = [np.array([a << 32 | b])], [np.array([-total])]
 
-        def add(symbols: np.ndarray, weight: np.ndarray, pair: Callable[[int], Pair], sign: int) -> None:
+        def add(symbols: np.ndarray, weight: np.ndarray, high: int | None, low: int | None, sign: int) -> None:
             n = np.bincount(symbols, weight)
-            for s in np.flatnonzero(n).tolist():
-                change[pair(s)] += sign * int(n[s])
+            s = np.flatnonzero(n)
+            keys.append(s << 32 | low if high is None else high << 32 | s)
+            change.append(sign * n[s].astype(np.int64))
 
         ok = behind >= 0
-        add(behind[ok], w[ok], lambda s: (b, s), -1)
+        add(behind[ok], w[ok], b, None, -1)
         x = c.sym[before]
-        add(x, w_before, lambda s: (s, a), -1)
+        add(x, w_before, None, a, -1)
         now = c.sym[c.nxt[p]]
         ok = now >= 0
-        fresh = self._grouped(x, before, lambda s: (s, new)) + self._grouped(now[ok], p[ok], lambda s: (new, s))
-        add(x, w_before, lambda s: (s, new), 1)
-        add(now[ok], w[ok], lambda s: (new, s), 1)
-        return {k: v for k, v in change.items() if v}, total, fresh
-
-    @staticmethod
-    def _grouped(symbols: np.ndarray, places: np.ndarray, pair: Callable[[int], Pair]) -> list[tuple[Pair, np.ndarray]]:
-        order = np.argsort(symbols, kind="stable")
-        s, p = symbols[order], places[order]
-        if not len(s):
-            return []
-        cuts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        return [(pair(int(s[i])), p[i:j]) for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(s)], strict=True)]
+        add(x, w_before, None, new, 1)
+        add(now[ok], w[ok], new, None, 1)
+        return np.concatenate(keys), np.concatenate(change), total, p
+
+
+class Located:
+    """Counted sequences in which merges are made one after another, each at the cost of what its newest symbol's places are."""
+
+    def __init__(self, counted: Counted):
+        self.counted = counted
+        self.keys, self.n, first, self.places = counted.pairs()
+        self.first = np.append(first, len(self.places))
+        self.made: dict[int, np.ndarray] = {}
+
+    def merge(self, a: int, b: int, new: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Keys of pairs, the changes of their counts, and the weight of what was merged. Pairs of old symbols stand where they did at first, others where the newer symbol was made."""
+        c = self.counted.chain
+        newer = max(a, b)
+        if newer in self.made:
+            p = self.made[newer]
+            p = p[c.sym[p] == newer]
+            at = p if newer == a else c.prv[p]
+        else:
+            i = np.searchsorted(self.keys, a << 32 | b)
+            at = self.places[self.first[i] : self.first[i + 1]] if i < len(self.keys) and self.keys[i] == a << 32 | b else np.zeros(0, np.int32)
+        keys, change, total, self.made[new] = self.counted.merge(at, a, b, new)
+        return keys, change, total
 
 
 class Corpus:
@@ -116,17 +138,14 @@ class Corpus:
     Memory is some 40 bytes for each symbol. A merge costs what it changes.
     """
 
-    batch = 1
+    floor = 0
 
     def __init__(self, ids: np.ndarray, sizes: np.ndarray, freqs: np.ndarray, done: Sequence[Merge] = ()):
         chain = Chain(ids, sizes)
-        self.counted = Counted(encoded(chain, Ranks(done)) if done else chain, freqs)
-        key, n, first, places = self.counted.pairs()
-        pairs = [(k >> 32, k & 0xFFFFFFFF) for k in key.tolist()]
-        self.pairs: dict[Pair, int] = dict(zip(pairs, map(int, n.tolist()), strict=True))
-        self.where = {p: [x] for p, x in zip(pairs, np.split(places, first[1:]) if len(first) else [], strict=True)}
+        self.here = Located(Counted(encoded(chain, Ranks(done)) if done else chain, freqs))
+        self.pairs: dict[Pair, int] = {(k >> 32, k & 0xFFFFFFFF): n for k, n in zip(self.here.keys.tolist(), map(int, self.here.n.tolist()), strict=True)}
         live = np.flatnonzero(chain.sym >= 0)
-        by = np.bincount(chain.sym[live], self.counted.freqs[self.counted.unit[live]])
+        by = np.bincount(chain.sym[live], self.here.counted.freqs[self.here.counted.unit[live]])
         self.symbols: Counter = Counter({s: int(by[s]) for s in np.flatnonzero(by).tolist()})
 
     @classmethod
@@ -135,22 +154,23 @@ class Corpus:
         ids = np.array([x for s, _ in units for x in s], np.int32)
         return cls(ids, np.array([len(s) for s, _ in units], np.int64), np.array([f for _, f in units], np.int64), done)
 
-    def merge(self, merges: list[Merge]) -> set[Pair]:
+    def relist(self, *_, **__) -> bool:
+        """All pairs are known here."""
+        return True
+
+    def merge(self, merges: list[Merge], upcoming: Callable[[], list[Pair]] | None = None, left: int = 1) -> set[Pair]:
         """Applies merges; returns the pairs whose counts changed."""
         changed: set[Pair] = set()
         for a, b, new in merges:
-            at = self.where.pop((a, b), [])
-            change, total, fresh = self.counted.merge(np.concatenate(at) if at else np.zeros(0, np.int32), a, b, new)
-            for p, places in fresh:
-                self.where.setdefault(p, []).append(places)
+            keys, n, total = self.here.merge(a, b, new)
+            change: Counter = Counter()
+            for k, d in zip(keys.tolist(), n.tolist(), strict=True):
+                change[k >> 32, k & 0xFFFFFFFF] += d
             changed |= note_changes(self.pairs, self.symbols, change, [(a, b, new, total)])
-            for p in change:
-                if p not in self.pairs:
-                    self.where.pop(p, None)
         return changed
 
     def seqs(self) -> list[list[int]]:
-        return self.counted.chain.seqs()
+        return self.here.counted.chain.seqs()
 
 
 def note_changes(pairs: dict[Pair, int], symbols: Counter, change: dict[Pair, int], merged: list[tuple[int, int, int, int]]) -> set[Pair]:
@@ -201,54 +221,77 @@ def learn(
         n = corpus.pairs.get(p, 0)
         return math.log(n) - math.log(max(corpus.symbols.get(p[0], 1), 1)) - math.log(max(corpus.symbols.get(p[1], 1), 1)) if n > 0 else -math.inf
 
+
+    spaces = lambda: np.array([x.count(" ") for x in symbols.strings])
+    whole = True  # whether the list has all candidates
+
     def listed() -> list[tuple[float, Pair]]:
+        nonlocal whole
         if criterion == "pmi":
+            whole = corpus.relist(max_span_words, spaces, pmi_min_count)
             out = [(-pmi(p), p) for p, n in corpus.pairs.items() if n >= pmi_min_count and fits(p)]
         else:
+            corpus.relist(max_span_words, spaces)
             out = [(-n, p) for p, n in corpus.pairs.items() if fits(p)]
         heapq.heapify(out)
         return out
 
+    def listed_farther(seen: set[Pair]) -> list[tuple[float, Pair]]:
+        nonlocal whole
+        whole = corpus.relist(max_span_words, spaces, pmi_min_count, more=True)
+        out = []
+        for p in set(corpus.then) - seen:
+            n, na, nb = corpus.score_then(p)
+            out.append((-(math.log(n) - math.log(max(na, 1)) - math.log(max(nb, 1))), p))
+        heapq.heapify(out)
+        return out
+
     heap, since, fresh, began = listed(), 0, True, time.perf_counter()
+    seen: set[Pair] = set()  # candidates of a list that goes on
     while len(symbols) < target:
         if criterion == "pmi":
             if not heap:
+                if not whole:
+                    heap = listed_farther(seen)
+                    continue
                 if fresh:
                     break
                 heap, since, fresh = listed(), 0, True
+                seen.clear()
                 continue
             key, p = heapq.heappop(heap)
+            if not whole:
+                seen.add(p)
             if corpus.pairs.get(p, 0) < pmi_min_count or abs(pmi(p) + key) > 1e-9:
                 continue
-            chosen = [p]
         else:
-            top: list[tuple[int, int, int]] = []
-            while heap and len(top) < (1 if corpus.batch == 1 else 512):
-                key, p = heapq.heappop(heap)
-                if corpus.pairs.get(p, 0) == -key and (not top or top[-1] != (-key, *p)):
-                    top.append((-key, *p))
-            chosen = batch(top)[: min(corpus.batch, target - len(symbols))]
-            for n, a, b in top[len(chosen) :]:
-                heapq.heappush(heap, (-n, (a, b)))
-            if not chosen:
-                break
-        now = [(*p, symbols.merged(*p)) for p in chosen]
-        changed = corpus.merge(now)
+            key, p = heapq.heappop(heap) if heap else (0, None)
+            if -key <= corpus.floor:
+                if not corpus.floor:
+                    break
+                heap = listed()  # others may be as frequent
+                continue
+            if corpus.pairs.get(p, 0) != -key:
+                continue
+        now = (*p, symbols.merged(*p))
+        left = target - len(symbols) + 1
+        upcoming = (lambda: [q for _, q in heapq.nsmallest(min(left, pmi_rebuild_every - since) - 1, heap)]) if criterion == "pmi" else None
+        changed = corpus.merge([now], upcoming, left)
         fresh = False
         if criterion == "pmi":
             since += 1
             if since >= pmi_rebuild_every:
                 heap, since, fresh = listed(), 0, True
+                seen.clear()
         else:
             for q in changed:
-                if corpus.pairs.get(q, 0) > 0 and fits(q):
+                if corpus.pairs.get(q, 0) > corpus.floor and fits(q):
                     heapq.heappush(heap, (-corpus.pairs[q], q))
-        for m in now:
-            merges.append(m)
-            if report_every and len(merges) % report_every == 0:
-                log.info("%d merges, vocabulary of %d, %.1f s", len(merges), m[2] + 1, time.perf_counter() - began)
-            if on_merge:
-                on_merge(merges)
+        merges.append(now)
+        if report_every and len(merges) % report_every == 0:
+            log.info("%d merges, vocabulary of %d, %.1f s", len(merges), now[2] + 1, time.perf_counter() - began)
+        if on_merge:
+            on_merge(merges)
     return merges, corpus.seqs()
 
 

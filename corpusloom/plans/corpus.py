@@ -180,8 +180,8 @@ def q_bpe_merges_50(spark, sf_dir):
 
 
 def q_bpe_merges_distributed(spark, sf_dir):
-    """The same by passes over the data."""
-    return _merge_rows(spark, learn_units(counts.word_freq(document_lines(spark, sf_dir)), 50, Symbols(), driver_symbols=0, more=True))
+    """The same with a shortlist that is cut off, proposals from a part of the words, and arrays that are rewritten on the way."""
+    return _merge_rows(spark, learn_units(counts.word_freq(document_lines(spark, sf_dir)), 50, Symbols(), more=True, dealt={"shortlist": 256, "sample": 1 << 16, "rewrite": 20}))
 
 
 def q_bpe_stage2_merges(spark, sf_dir):

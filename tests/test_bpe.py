@@ -12,10 +12,12 @@ from corpusloom.operators import counts, evaluate
 from corpusloom.operators.bpe import codec, distributed
 from corpusloom.operators.bpe.checkpoint import Checkpoint
 from corpusloom.operators.bpe.chain import Chain, Ranks, apply_ranks
-from corpusloom.operators.bpe.learner import batch, learn, learn_by_recount, replaced
+from corpusloom.operators.bpe.learner import learn, learn_by_recount, replaced
 from corpusloom.operators.bpe.model import ALPHABET, Model, Symbols
 
 UNITS = st.lists(st.tuples(st.lists(st.integers(0, 4), max_size=9).map(tuple), st.integers(1, 4)), min_size=1, max_size=6)
+WORDS = {"aaaaaa": 3, "abab": 2, "bbb": 2, "a b a": 4, "aa": 1}
+SMALL = {"shortlist": 2, "sample": 4, "rewrite": 3}
 
 
 def coded(words):
@@ -40,9 +42,9 @@ def two_stage(spark, **more):
     return distributed.train(lines, 4, 4, more=True, **more)
 
 
-@pytest.mark.parametrize("driver_symbols", [0, 10**6])
-def test_golden_two_stages(spark, driver_symbols):
-    m = two_stage(spark, driver_symbols=driver_symbols)
+@pytest.mark.parametrize("dealt", [None, SMALL])
+def test_golden_two_stages(spark, dealt):
+    m = two_stage(spark, dealt=dealt)
     assert m.stage1 == [(84, 79, 95), (66, 69, 96), (68, 79, 97), (73, 83, 98)]
     assert m.stage2 == [(95, 0, 99), (99, 96, 100), (100, 0, 101), (0, 78, 102)]
     c = codec.Codec(m)
@@ -56,33 +58,62 @@ def test_learner_equals_recount(units, span):
     assert learn(units, 107, Symbols(), max_span_words=span)[0] == learn_by_recount(units, 107, Symbols(), span)
 
 
-@settings(max_examples=300, deadline=None)
-@given(UNITS)
-def test_batches_equal_one_at_a_time(units):
-    """The rule for several merges in a pass, in plain Python."""
-    s, seqs, merges = Symbols(), [(list(u), f) for u, f in units], []
-    while len(s) < 107:
-        n = Counter()
-        for q, f in seqs:
-            for p in zip(q, q[1:], strict=False):
-                n[p] += f
-        chosen = batch([(k, *p) for p, k in sorted(n.items(), key=lambda x: (-x[1], x[0]))])[: 107 - len(s)]
-        if not chosen:
-            break
-        for a, b in chosen:
-            new = s.merged(a, b)
-            merges.append((a, b, new))
-            seqs = [(replaced(q, a, b, new), f) for q, f in seqs]
-    assert merges == learn_by_recount(units, 107, Symbols())
-
-
-def test_distributed_with_cap_on_self_pairs(spark):
-    words = {"aaaaaa": 3, "abab": 2, "bbb": 2, "a b a": 4, "aa": 1}
+@pytest.mark.parametrize("dealt", [SMALL, {"shortlist": 1, "sample": 1000}, {}])
+@pytest.mark.parametrize("span", [None, 1, 2])
+def test_distributed_with_cap_on_self_pairs(spark, span, dealt):
+    units = spark.createDataFrame(list(WORDS.items()), "unit string, freq long")
+    want = learn_by_recount(coded(WORDS), 107, Symbols(), span)
+    assert distributed.learn_units(units, 12, Symbols(), more=True, max_span_words=span, dealt=dealt) == want
+
+
+@pytest.mark.parametrize("dealt", [{"shortlist": 12, "sample": 300, "rewrite": 16}, {"shortlist": 40}])
+@pytest.mark.parametrize("span", [None, 2])
+def test_distributed_equals_recount_on_lines(spark, monkeypatch, dealt, span):
+    """Lists that are cut off and run out, proposals that fail, several chunks in a task."""
+    monkeypatch.setattr(distributed, "CHUNK", 700)
+    r = random.Random(5)
+    words = ["".join(r.choices("abcde", k=r.randint(1, 5))) for _ in range(40)]
+    lines = Counter(" ".join(r.choices(words, weights=range(40, 0, -1), k=r.randint(1, 12))) for _ in range(250))
+    units = spark.createDataFrame(list(lines.items()), "unit string, freq long").repartition(3)
+    want = learn_by_recount(coded(lines), 95 + 70, Symbols(), span)
+    assert distributed.learn_units(units, 70, Symbols(), more=True, max_span_words=span, dealt=dealt) == want
+
+
+def test_proposals_of_all_units_are_taken_in_one_pass(spark):
+    r = random.Random(1)
+    words = Counter("".join(r.choices("abcdefgh", weights=range(8, 0, -1), k=r.randint(2, 9))) for _ in range(3000))
     units = spark.createDataFrame(list(words.items()), "unit string, freq long")
-    for span in (None, 1, 2):
-        a = distributed.learn_units(units, 12, Symbols(), driver_symbols=0, more=True, max_span_words=span)
-        b = distributed.learn_units(units, 12, Symbols(), more=True, max_span_words=span)
-        assert a == b
+    s = Symbols()
+    for c in distributed.characters(units):
+        s.id_of(c)
+    corpus = distributed.DealtCorpus(units.select(distributed.as_symbols(F.col("unit"), s.base).alias("unit"), "freq"))
+    merges, _ = learn(lambda done: corpus, 95 + 100, s)
+    assert merges == learn_by_recount(coded(words), 195, Symbols()) and corpus.passes == 1 and corpus.floor == 0
+
+
+@pytest.mark.parametrize("shortlist", [3, 1 << 16])
+def test_distributed_pmi(spark, shortlist):
+    """A list by PMI that is cut off goes on where it ends, by the scores of its time."""
+    r = random.Random(2)
+    words = Counter("".join(r.choices("abcdef", weights=(9, 7, 5, 3, 2, 1), k=r.randint(2, 7))) for _ in range(400))
+    units = spark.createDataFrame(list(words.items()), "unit string, freq long")
+    how = {"criterion": "pmi", "pmi_min_count": 4, "pmi_rebuild_every": 8}
+    want, _ = learn(coded(words), 95 + 25, Symbols(), **how)
+    assert distributed.learn_units(units, 25, Symbols(), more=True, dealt={"shortlist": shortlist}, **how) == want
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.dictionaries(st.integers(0, 30), st.integers(1, 50), max_size=20), max_size=6), st.integers(1, 8))
+def test_summaries_bound_what_they_miss(parts, most):
+    total: Counter = Counter()
+    s = distributed.Summary(most)
+    for p in parts:
+        total.update(p)
+        keys = np.array(sorted(p), np.int64)
+        s.add(keys, np.array([p[k] for k in keys.tolist()], np.int64))
+    listed = dict(zip(s.keys.tolist(), s.n.tolist(), strict=True))
+    assert len(listed) <= most
+    assert all(listed.get(k, 0) <= n <= listed.get(k, 0) + s.missed for k, n in total.items())
 
 
 def test_span_cap_ends(spark):
@@ -196,16 +227,15 @@ def test_dealt_units_learn_the_same(spark, tmp_path, monkeypatch):
     words = {"".join(rng.choices("abcde ", k=rng.randint(1, 9))): rng.randint(1, 30) for _ in range(200)}
     units = spark.createDataFrame(list(words.items()), "unit string, freq long").repartition(3)
     monkeypatch.setattr(distributed, "CHUNK", 200)
-    monkeypatch.setattr(distributed.DealtCorpus.__init__, "__defaults__", ((), 5))
     for how in ({}, {"criterion": "pmi", "pmi_min_count": 3, "pmi_rebuild_every": 4}):
-        want = distributed.learn_units(units, 14, Symbols(), more=True, **how)
-        assert distributed.learn_units(units, 14, Symbols(), driver_symbols=0, more=True, **how) == want
+        want, _ = learn(coded(words), 95 + 14, Symbols(), **how)
+        assert distributed.learn_units(units, 14, Symbols(), more=True, dealt={"rewrite": 5, "sample": 100}, **how) == want
         mark = Checkpoint(str(tmp_path / f"{len(how)}.json"), 3)
         if not how:  # PMI lists its candidates again on resuming
-            distributed.learn_units(units, 7, Symbols(), driver_symbols=0, checkpoint=mark, more=True, **how)
-        assert distributed.learn_units(units, 14, Symbols(), driver_symbols=0, checkpoint=mark, more=True, **how) == want
+            distributed.learn_units(units, 7, Symbols(), checkpoint=mark, more=True, **how)
+        assert distributed.learn_units(units, 14, Symbols(), checkpoint=mark, more=True, **how) == want
         monkeypatch.setattr(distributed, "DealtCorpus", None)
-        assert distributed.learn_units(units, 14, Symbols(), driver_symbols=0, checkpoint=mark, more=True, **how) == want  # complete: units are not read
+        assert distributed.learn_units(units, 14, Symbols(), checkpoint=mark, more=True, **how) == want  # complete: units are not read
         monkeypatch.undo()
         monkeypatch.setattr(distributed, "CHUNK", 200)
 
