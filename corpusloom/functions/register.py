@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.udtf import UserDefinedTableFunction
 
-from ..operators.bpe.codec import Codec
+from ..operators.bpe.codec import BatchCodec, Codec, parts_of
 from ..operators.bpe.model import Model
 from ..session import ship
 from .normalize import normalize_text
@@ -27,14 +31,20 @@ def register(spark: SparkSession, model: Model | None = None) -> None:
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
-        codec = Codec(shared.value)
-        return texts.map(codec.encode, na_action="ignore")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        codec = BatchCodec(shared.value)  # once for a partition, with the words it has met
+        for texts in batches:
+            out: list[np.ndarray | None] = []
+            for part in parts_of([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])], "text"):
+                flat, at = codec.lists(part.column(0))
+                out += [x if ok else None for x, ok in zip(np.split(flat, at[1:-1]), part.column(0).is_valid().to_pylist(), strict=True)]
+            yield pd.Series(out, dtype=object)
 
     @F.pandas_udf("string")
-    def decode(ids: pd.Series) -> pd.Series:
+    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = Codec(shared.value)
-        return ids.map(codec.decode, na_action="ignore")
+        for ids in batches:
+            yield ids.map(codec.decode, na_action="ignore")
 
     class Tokens:
         """One row for each token of a text."""

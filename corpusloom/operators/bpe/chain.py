@@ -34,8 +34,8 @@ class Chain:
             p = p[(at - np.maximum.accumulate(np.where(fresh, at, 0))) % 2 == 0]
         return p
 
-    def merge(self, p: np.ndarray, new: int) -> np.ndarray:
-        """Makes one symbol of the pairs at places p; returns the places in front of them that are none of them."""
+    def merge(self, p: np.ndarray, new: int | np.ndarray) -> np.ndarray:
+        """Makes one symbol of the pairs at places p (the same for all, or one for each); returns the places in front of them that are none of them."""
         q = self.nxt[p]
         r = self.nxt[q]
         before = self.prv[p]
@@ -66,9 +66,10 @@ class Ranks:
     def __init__(self, merges: Sequence[tuple[int, int, int]]):
         m = np.array(merges, np.int64).reshape(-1, 3)
         key = m[:, 0] << 32 | m[:, 1]
-        self.merges = m.tolist()
+        self.merges, self.new = m.tolist(), m[:, 2].astype(np.int32)
         self.order = np.argsort(key, kind="stable")
         self.keys = key[self.order]
+        self._blocks: dict[tuple[int, ...], np.ndarray] = {}
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -77,42 +78,88 @@ class Ranks:
         i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[i] == key) & (a >= 0) & (b >= 0), self.order[i], _NONE)
 
+    def blocks(self, stops: Sequence[int] = ()) -> np.ndarray:
+        """The block of each rank: as many merges in a row as use no symbol that one of them makes, none of them across a stop."""
+        at = tuple(sorted(set(stops)))
+        if at not in self._blocks:
+            out, k, made = np.zeros(len(self.merges), np.int64), 0, set()
+            for r, (a, b, new) in enumerate(self.merges):
+                if a in made or b in made or r in at:
+                    k += 1
+                    made.clear()
+                made.add(new)
+                out[r] = k
+            self._blocks[at] = out
+        return self._blocks[at]
+
+
+def chosen(p: np.ndarray, r: np.ndarray, nxt: np.ndarray) -> np.ndarray:
+    """Which of the pairs at places p, in order, are merged if the lowest rank goes first, of one rank the leftmost, and a pair goes that overlaps a merged one.
+
+    Runs of overlapping pairs of equal rank that are lower than their neighbours are settled at once, every other one of them merged, then what they leave.
+    """
+    out = np.zeros(len(p), bool)
+    alive = np.arange(len(p))
+    while n := len(alive):
+        at, rank = p[alive], r[alive]
+        link = nxt[at[:-1]] == at[1:]  # overlaps the next one
+        first = np.flatnonzero(np.concatenate([[True], ~link | (rank[1:] != rank[:-1])]))
+        low = np.concatenate([[True], ~link[first[1:] - 1] | (rank[first[1:]] < rank[first[1:] - 1])])
+        low[:-1] &= ~link[first[1:] - 1] | (rank[first[:-1]] < rank[first[1:]])
+        size = np.diff(np.append(first, n))
+        take = np.repeat(low, size) & ((np.arange(n) - np.repeat(first, size)) % 2 == 0)
+        out[alive[take]] = True
+        gone = take.copy()
+        gone[1:] |= link & take[:-1]
+        gone[:-1] |= link & take[1:]
+        alive = alive[~gone]
+    return out
+
 
 def apply_ranks(chain: Chain, ranks: Ranks, stops: Sequence[int] = ()) -> Iterator[np.ndarray]:
-    """Encodes the chain, merge by merge in the order of ranks; before the merge of each rank in ``stops``, and at the end, gives the symbols left by sequence.
+    """Encodes the chain in the order of ranks; before the merge of each rank in ``stops``, and at the end, gives the symbols left by sequence.
 
-    A merge creates no pair of a lower rank, so one pass in this order is what merging the lowest rank again and again gives.
+    A merge creates no pair of a lower rank, so one pass in this order is what merging the lowest rank again and again gives. And the merges of a block create none
+    of the block, so they are made together, once overlaps are settled by rank: steps are as many as blocks, a small part of the merges.
     """
+    block = ranks.blocks(stops)
+    first = np.searchsorted(block, np.arange(int(block[-1]) + 1 if len(block) else 0))  # ranks of blocks' first merges
     waiting: dict[int, list[np.ndarray]] = {}
     heap: list[int] = []
 
     def note(places: np.ndarray) -> None:
         r = ranks.of(chain.sym[places], chain.sym[chain.nxt[places]])
         ok = r < _NONE
-        places, r = places[ok], r[ok]
-        if not len(r):
+        places, k = places[ok], block[r[ok]]
+        if not len(k):
             return
-        order = np.argsort(r, kind="stable")
-        places, r = places[order], r[order]
-        cuts = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-        for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(r)], strict=True):
-            k = int(r[s])
-            if k not in waiting:
-                waiting[k] = []
-                heapq.heappush(heap, k)
-            waiting[k].append(places[s:e])
+        order = np.argsort(k, kind="stable")
+        places, k = places[order], k[order]
+        cuts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(k)], strict=True):
+            b = int(k[s])
+            if b not in waiting:
+                waiting[b] = []
+                heapq.heappush(heap, b)
+            waiting[b].append(places[s:e])
 
     note(np.flatnonzero(chain.sym >= 0))
     left = sorted(stops)
     while heap:
         k = heapq.heappop(heap)
-        while left and left[0] <= k:
+        while left and left[0] <= first[k]:
             yield chain.counts()
             left.pop(0)
-        a, b, new = ranks.merges[k]
-        p = chain.found(np.concatenate(waiting.pop(k)), a, b)
+        p = np.sort(np.concatenate(waiting.pop(k)))
+        p = p[np.concatenate([[True], p[1:] != p[:-1]])]
+        r = ranks.of(chain.sym[p], chain.sym[chain.nxt[p]])
+        ok = r < _NONE
+        ok[ok] = block[r[ok]] == k
+        p, r = p[ok], r[ok]
         if len(p):
-            note(np.concatenate([chain.merge(p, new), p]))
+            ok = chosen(p, r, chain.nxt)
+            p = p[ok]
+            note(np.concatenate([chain.merge(p, ranks.new[r[ok]]), p]))
     for _ in left:
         yield chain.counts()
     yield chain.counts()

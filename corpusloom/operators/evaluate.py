@@ -37,11 +37,11 @@ def _stats(lines: DataFrame, models: dict[str, tuple[Model, list[int]]], by: tup
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codecs = {k: (BatchCodec(m), sizes) for k, (m, sizes) in shared.value.items()}
         flags = {k: np.array([" " in s for s in m.strings]) for k, (m, _) in shared.value.items()}
-        for b in parts_of(batches):
+        for b in parts_of(batches, "text"):
             text = b.column("text")
             chars = pc.utf8_length(text).cast(pa.int64())
             for k, (codec, sizes) in codecs.items():
-                chain, m = codec.chain(text), codec.model
+                chain, m = codec.chain(text) if sizes else codec.coded(text), codec.model
                 stops = [sum(x[2] < v for x in m.merges) for v in sizes]
 
                 def row(size: int, tokens: np.ndarray) -> pa.RecordBatch:
@@ -54,13 +54,13 @@ def _stats(lines: DataFrame, models: dict[str, tuple[Model, list[int]]], by: tup
                     cols = [pa.array([k] * n, pa.string()), pa.array(np.full(n, size)), *map(b.column, by), pa.array(tokens), chars, pa.array(x[chain.ends[1:]] - x[chain.ends[:-1]])]
                     return pa.RecordBatch.from_arrays(cols, names=["config", "size", *by, "tokens", "chars", "crossing"])
 
+                if not sizes:
+                    yield row(len(m.strings), chain.counts())
+                    continue
                 order = np.argsort(stops, kind="stable").tolist()
                 steps = apply_ranks(chain, codec.ranks, sorted(stops))
                 for i in order:
                     yield row(sizes[i], next(steps))
-                tokens = next(steps)
-                if not sizes:
-                    yield row(len(m.strings), tokens)
 
     kept = lines.select(*by, "text").where("text IS NOT NULL")
     counts = [StructField(c, LongType()) for c in ("tokens", "chars", "crossing")]

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -303,3 +304,62 @@ def test_reports(spark):
     assert [(r.lang, r.same) for r in evaluate.spot_check(lines, m, 1).orderBy("lang").collect()] == [("a", True), ("b", True)]
     assert evaluate.validate(m, lines=lines)["passed"] and not evaluate.validate(m, 50)["passed"]
     assert evaluate.throughput(spark, lines, m)["status"] in ("OK", "TIGHT", "FAIL")
+
+
+@settings(max_examples=200, deadline=None)
+@given(UNITS, UNITS, st.lists(st.one_of(st.none(), st.text("abcde zé\n", max_size=30)), max_size=6), st.integers(0, 3))
+def test_batches_by_words_equal_merges_by_rank(first, second, texts, most):
+    """Words encoded once, forgotten and met again, give what merging the lowest rank again and again gives."""
+    s = Symbols()
+    for c in "abcde":
+        s.id_of(c)
+    one, _ = learn([(tuple(s.base["abcde"[x]] for x in u), f) for u, f in first], 104, s)
+    ranks = {(a, b): (r, n) for r, (a, b, n) in enumerate(one)}
+    two, _ = learn([(tuple(codec.apply_merges([*[s.base["abcde"[x]] for x in u], 0] * 2, ranks)), f) for u, f in second], 112, s)
+    m = Model(s.strings, one, two)
+    batch = codec.BatchCodec(m)
+    batch.words.most = most
+    ranks = {(a, b): (r, n) for r, (a, b, n) in enumerate(m.merges)}
+    want = [codec.apply_merges([codec.Codec(m).char(c) for c in t or ""], ranks) for t in texts]
+    for _ in range(2):
+        flat, at = batch.lists(pa.array(texts, pa.string()))
+        assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
+
+
+def test_words_are_encoded_once(monkeypatch):
+    m = Model([*ALPHABET, "ab"], [(65, 66, 95)], [])
+    batch = codec.BatchCodec(m)
+    for _ in range(3):
+        batch.lists(pa.array(["ab ab cd", "cd", None, "", "x  ab"]))
+    assert batch.words.encoded == 4  # ab, cd, x and the empty word
+
+
+def test_stage_1_with_spaces_is_encoded_whole():
+    m = Model([*ALPHABET, "a "], [(65, 0, 95)], [])
+    batch = codec.BatchCodec(m)
+    assert batch.words is None and batch.lists(pa.array(["a b"]))[0].tolist() == [95, 66]
+
+
+def test_batches_are_cut_by_characters(monkeypatch):
+    monkeypatch.setattr(codec, "TOGETHER", 5)
+    b = pa.RecordBatch.from_arrays([pa.array(["abc", "de", "f", None, "much longer than that", "", "x"])], names=["t"])
+    assert [p.column(0).to_pylist() for p in codec.parts_of([b], "t")] == [["abc", "de"], ["f", None], ["much longer than that"], ["", "x"]]
+
+
+@settings(max_examples=300, deadline=None)
+@given(UNITS, st.lists(st.lists(st.integers(0, 4), max_size=40), max_size=5), st.lists(st.integers(0, 16), max_size=3))
+def test_blocks_equal_merges_by_rank(units, seqs, stops):
+    """Merges of a block together, and the states in front of some ranks."""
+    merges, _ = learn(units, 110, Symbols())
+    chain = Chain(np.array([x for q in seqs for x in q], np.int32), np.array([len(q) for q in seqs], np.int64))
+    states = list(apply_ranks(chain, Ranks(merges), stops))
+    rank = lambda most: {(a, b): (r, n) for r, (a, b, n) in enumerate(merges[:most])}
+    assert chain.seqs() == [codec.apply_merges(q, rank(None)) for q in seqs]
+    assert [list(x) for x in states] == [[len(codec.apply_merges(q, rank(k))) for q in seqs] for k in [*sorted(stops), None]]
+
+
+def test_long_runs_take_few_steps():
+    merges = [(65, 65, 95), (95, 95, 96), (65, 66, 97)]
+    chain = Chain(np.array([65] * 5001 + [66], np.int32), np.array([5002]))
+    list(apply_ranks(chain, Ranks(merges)))
+    assert chain.seqs() == [[96] * 1250 + [97]]
