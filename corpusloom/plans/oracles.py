@@ -346,6 +346,7 @@ ORACLES["q_sql_functions"] = rec(
     f"{ENCODED}, {NORMAL} SELECT lang, n_processed, tokens, 0::BIGINT AS n_mismatch FROM (SELECT lang, sum(length(processed))::BIGINT AS n_processed FROM n GROUP BY lang) JOIN (SELECT lang AS by_lang, tokens FROM ({BY_LANG})) ON lang IS NOT DISTINCT FROM by_lang"
 )
 ORACLES["q_bpe_tokens"] = rec(f"{ENCODED}, f AS (SELECT lang, arg_min(seq, (doc_id, line_no)) AS seq FROM e GROUP BY lang), x AS (SELECT lang, string_split(seq[2:len(seq)-1], '><') AS ids FROM f) SELECT lang, unnest(range(len(ids))) AS place, unnest(ids)::BIGINT AS id FROM x")
+ORACLES["q_encode_by_words"] = rec(f"{STAGE_1}, dl AS (SELECT text, count(*) AS f FROM l GROUP BY text), u1 AS (SELECT text, {APPLIED.format(CODED)} AS seq, f FROM dl, mp, ml) SELECT text AS unit, f AS freq, replace(seq[2:len(seq)-1], '><', ' ') AS ids FROM u1")
 ORACLES["q_langid_trained"] = langid_sql()
 ORACLES["q_sample_trim"] = SAMPLE_TRIM
 ORACLES["q_vocab_diff"], ORACLES["q_vocab_diff_all"] = vocab_diff_sql(60, "[U+"), vocab_diff_sql(60, "")

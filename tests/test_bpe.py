@@ -10,11 +10,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusloom.operators import counts, evaluate
-from corpusloom.operators.bpe import codec, distributed
+from corpusloom.operators.bpe import codec, dictionary, distributed
 from corpusloom.operators.bpe.checkpoint import Checkpoint
 from corpusloom.operators.bpe.chain import Chain, Ranks, apply_ranks
 from corpusloom.operators.bpe.learner import learn, learn_by_recount, replaced
-from corpusloom.operators.bpe.model import ALPHABET, Model, Symbols
+from corpusloom.operators.bpe.model import ALPHABET, OFFSET, Model, Symbols
 
 UNITS = st.lists(st.tuples(st.lists(st.integers(0, 4), max_size=9).map(tuple), st.integers(1, 4)), min_size=1, max_size=6)
 WORDS = {"aaaaaa": 3, "abab": 2, "bbb": 2, "a b a": 4, "aa": 1}
@@ -363,3 +363,19 @@ def test_long_runs_take_few_steps():
     chain = Chain(np.array([65] * 5001 + [66], np.int32), np.array([5002]))
     list(apply_ranks(chain, Ranks(merges)))
     assert chain.seqs() == [[96] * 1250 + [97]]
+
+
+def test_lines_by_a_table_of_words(spark, monkeypatch):
+    lines = ["to be or not to be", "  to  be ", "", "be", None, " ", "das da zu"]
+    units = spark.createDataFrame([(x, i) for i, x in enumerate(lines)], "unit string, freq int")
+    m = two_stage(spark)
+    first = codec.Codec(Model(m.strings, m.stage1, []))
+    for frequent in (1, 256, 10**6):  # all words by shuffle, some, and all by broadcast
+        monkeypatch.setattr(dictionary, "FREQUENT", frequent)
+        got = {r.freq: r.ids for r in dictionary.encode_by_words(units, m).collect()}
+        assert [[ord(c) - OFFSET for c in got[i] or ""] for i in range(len(lines))] == [first.encode(x or "") for x in lines]
+        assert got[4] is None
+    table = dictionary.word_table(units.where("unit IS NOT NULL"), m)
+    assert table.count() == table.select("word").distinct().count() == 7
+    with pytest.raises(Exception, match="lacks the word"):
+        dictionary.encode_by_words(units, m, table.where("word <> 'das'")).collect()
