@@ -15,7 +15,7 @@ from .operators.bpe import distributed
 from .operators.bpe.codec import encode
 from .operators.bpe.model import Model
 from .plans.report import fixed_width
-from .session import session
+from .session import session, written
 from .sources import sinks
 from .sources.text import coverage_slug, file_lines, head_bytes, read_dir_lines, slug, sourced, trimmed_to_line
 
@@ -54,12 +54,12 @@ def assemble_pilot_corpus(spark, a) -> None:
 
 
 def filter_script_contamination(spark, a) -> None:
-    lines = _file(spark, a.input)
-    kept, dropped = scripts.filter_lines(lines, a.script, a.min_foreign_chars)
-    sinks.write_combined(kept, a.output, "doc_id", "line_no")
-    print(fixed_width(scripts.filter_stats(lines, a.script, a.min_foreign_chars)))
-    print(fixed_width(scripts.drop_reasons(lines, a.script, a.min_foreign_chars)))
-    print(fixed_width(scripts.examples(dropped)))
+    lines, tally = scripts.judged_once(_file(spark, a.input), a.script, a.min_foreign_chars)
+    judged = written(lines)  # the one scan of the input; what follows reads this table
+    sinks.write_combined(judged.where("reason IS NULL"), a.output, "doc_id", "line_no")
+    print(fixed_width(spark.createDataFrame([scripts.tally_stats(tally)], "total_lines long, dropped_lines long, total_chars long, dropped_chars long, pct_lines double, pct_chars double")))
+    print(fixed_width(spark.createDataFrame(scripts.tally_reasons(tally), "reason string, n long")))
+    print(fixed_width(scripts.examples(judged.where("reason IS NOT NULL"))))
 
 
 def _scorer(name: str):
@@ -71,12 +71,13 @@ def _scorer(name: str):
 
 
 def filter_langid_contamination(spark, a) -> None:
-    scored = langid.score(_file(spark, a.input), _scorer(a.model))
-    keep = langid.kept(F.col("text"), F.col("label"), F.col("prob"), a.threshold)
-    sinks.write_combined(scored.where(keep), a.output, "doc_id", "line_no")
-    print(fixed_width(langid.report(scored, a.threshold)))
-    print(fixed_width(langid.dropped_by_label(scored, a.threshold)))
-    print(fixed_width(scripts.examples(scored.where(~keep).withColumn("reason", F.col("label")), a.show_examples)))
+    lines, tally = langid.judged_once(_file(spark, a.input), _scorer(a.model), a.threshold)
+    judged = written(lines)  # the one scan of the input, in which each line is scored; what follows reads this table
+    sinks.write_combined(judged.where("NOT gone"), a.output, "doc_id", "line_no")
+    n = tally.get()
+    print(fixed_width(spark.createDataFrame([(n["total"], n["dropped"], 100.0 * n["dropped"] / max(n["total"], 1))], "total long, dropped long, pct double")))
+    print(fixed_width(langid.dropped_by_label(judged, a.threshold)))
+    print(fixed_width(scripts.examples(judged.where("gone").withColumn("reason", F.col("label")), a.show_examples)))
 
 
 def train_langid(spark, a) -> None:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import Tally, ship
 
 #: Labels that are confused with the target languages and never drop a line.
 CONFUSABLE = ("sq", "eo", "az", "fi")
@@ -28,6 +28,13 @@ def report(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     return scored.agg(F.count("*").alias("total"), F.sum(gone.cast("long")).alias("dropped")).withColumn("pct", 100.0 * F.col("dropped") / F.greatest("total", F.lit(1)))
 
 
+def judged_once(lines: DataFrame, model, threshold: float = 0.5) -> tuple[DataFrame, Tally]:
+    """All lines with label, prob and ``gone``, and a tally of lines and dropped lines that is filled while they are first taken to their end: the scorer sees each line once."""
+    out = score(lines, model)
+    tally = Tally(total=F.count(F.lit(1)), dropped=F.count_if("gone"))
+    return tally.watched(out.withColumn("gone", ~kept(F.col("text"), F.col("label"), F.col("prob"), threshold))), tally
+
+
 def dropped_by_label(scored: DataFrame, threshold: float = 0.5, k: int = 15) -> DataFrame:
     gone = ~kept(F.col("text"), F.col("label"), F.col("prob"), threshold)
     return scored.where(gone).groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(k)

@@ -9,6 +9,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Tally
+
 #: Name prefixes of scripts that no target language is written in.
 FOREIGN = (
     "ARABIC",
@@ -105,6 +107,35 @@ def filter_stats(lines: DataFrame, profile: str = "latin", least: int = 3, termi
     return out
 
 
+def judged_once(lines: DataFrame, profile: str = "latin", least: int = 3, strict: bool = False) -> tuple[DataFrame, Tally]:
+    """All lines with their reason (null: kept), and a tally of lines and characters (each line with its end), of what is dropped, and of the dropped lines of each script.
+
+    The tally is filled by whatever first takes the lines to its end, while they pass by: so writing them is one scan that judges each line once.
+    """
+    reason = F.col("reason")
+    size = F.coalesce(F.length("text") + 1, F.lit(0))
+    names = [*FOREIGN, *sorted({p for v in PROFILES.values() for p in v})]
+    tally = Tally(
+        total_lines=F.count(F.lit(1)),
+        dropped_lines=F.count(reason),
+        total_chars=F.coalesce(F.sum(size), F.lit(0)),
+        dropped_chars=F.coalesce(F.sum(F.when(reason.isNotNull(), size)), F.lit(0)),
+        **{n: F.count_if(F.coalesce(reason == n, F.lit(False))) for n in names},
+    )
+    return tally.watched(lines.withColumn("reason", contamination(F.col("text"), profile, least, strict))), tally
+
+
+def tally_stats(tally: Tally) -> dict[str, float]:
+    """The figures of filter_stats() over all languages, from a tally that is filled."""
+    t = {k: v for k, v in tally.get().items() if k.islower()}
+    return t | {f"pct_{w}": 100.0 * t[f"dropped_{w}"] / max(t[f"total_{w}"], 1) for w in ("lines", "chars")}
+
+
+def tally_reasons(tally: Tally) -> list[tuple[str, int]]:
+    """The rows of drop_reasons(), from a tally that is filled."""
+    return sorted(((k, v) for k, v in tally.get().items() if not k.islower() and v), key=lambda x: (-x[1], x[0]))
+
+
 def drop_reasons(lines: DataFrame, profile: str = "latin", least: int = 3) -> DataFrame:
     """(reason, n) most frequent first."""
     return filter_lines(lines, profile, least)[1].groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")

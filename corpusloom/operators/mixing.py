@@ -121,9 +121,9 @@ def assemble(lines: DataFrame, targets: DataFrame, heldout: float = 0.15) -> Dat
 
 
 def assembly_report(lines: DataFrame, targets: DataFrame, heldout: float = 0.15) -> DataFrame:
-    """(lang, target, pool_chars, upsampled): whether the pool is shorter than the target; a target without lines has a null pool_chars."""
+    """(lang, target, pool_chars, upsampled): whether the pool is shorter than the target; a target without lines has none."""
     pool = split_pool(lines, heldout).where("part = 'pool'").groupBy("lang").agg((F.sum(F.length("text") + 1) - 1).alias("pool_chars"))
-    return with_language(targets, pool, "left").withColumn("upsampled", F.col("target") > F.coalesce("pool_chars", F.lit(0)))
+    return with_language(targets, pool, "left").withColumn("pool_chars", F.coalesce("pool_chars", F.lit(0))).withColumn("upsampled", F.col("target") > F.col("pool_chars"))
 
 
 def ethiopic_block() -> list[str]:

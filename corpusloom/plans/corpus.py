@@ -14,7 +14,7 @@ from ..operators.bpe.checkpoint import Checkpoint
 from ..operators.bpe.dictionary import encode_by_words
 from ..operators.bpe.distributed import learn_units, train, train_words
 from ..operators.bpe.model import OFFSET, Model, Symbols
-from ..session import discarded, scratch
+from ..session import discarded, scratch, written
 from ..sources import sinks
 from ..sources.text import coverage_slug, document_lines, file_lines, lines, sample_jobs, sample_size, source_registry, table, trimmed_to_line
 from ..streaming.lines import event_counts
@@ -104,6 +104,15 @@ def q_script_drop_reasons(spark, sf_dir):
     return scripts.drop_reasons(injected(spark, sf_dir))
 
 
+def q_script_filter_once(spark, sf_dir):
+    """The filter's figures over all languages, taken while the judged lines are written; the lines it keeps are counted in what was written."""
+    lines, tally = scripts.judged_once(injected(spark, sf_dir))
+    kept = written(lines).where("reason IS NULL").agg(F.count("*").alias("kept_lines"), F.sum(F.length("text")).alias("kept_chars"))
+    stats, reasons = scripts.tally_stats(tally), scripts.tally_reasons(tally)
+    more = [F.lit(v).alias(k) for k, v in stats.items()] + [F.lit(",".join(f"{k}:{n}" for k, n in reasons)).alias("reasons")]
+    return kept.select("kept_lines", "kept_chars", *[c if "pct" in k else c.cast("long").alias(k) for c, k in zip(more, [*stats], strict=False)], more[-1])
+
+
 def _scored(spark, sf_dir):
     """Lines with their language as label and a probability by their length."""
     prob = F.pmod(F.length("text") * 37, F.lit(100)) / 100

@@ -319,7 +319,7 @@ ORACLES["q_strict_filter"] = (
     f"SELECT * FROM (SELECT doc_id, line_no, {reason_sql(3, (*FOREIGN, 'ETHIOPIC'))} AS strict, {reason_sql()} AS usual FROM i) WHERE strict IS NOT NULL OR usual IS NOT NULL"
 )
 _TARGETS = ", ".join(f"({named(k)}, {v}::BIGINT)" for k, v in TARGETS)
-ORACLES["q_assembly_report"] = f"WITH {ALL}, {SPLIT}, pc AS (SELECT lang, sum(length(text) + 1)::BIGINT - 1 AS pool_chars FROM p WHERE part = 'pool' GROUP BY lang) SELECT v.lang, target, pool_chars, target > coalesce(pool_chars, 0) AS upsampled FROM (VALUES {_TARGETS}) v(lang, target) LEFT JOIN pc ON v.lang IS NOT DISTINCT FROM pc.lang"
+ORACLES["q_assembly_report"] = f"WITH {ALL}, {SPLIT}, pc AS (SELECT lang, sum(length(text) + 1)::BIGINT - 1 AS pool_chars FROM p WHERE part = 'pool' GROUP BY lang) SELECT v.lang, target, coalesce(pool_chars, 0) AS pool_chars, target > coalesce(pool_chars, 0) AS upsampled FROM (VALUES {_TARGETS}) v(lang, target) LEFT JOIN pc ON v.lang IS NOT DISTINCT FROM pc.lang"
 ORACLES["q_spot_check"] = rec(f"{ENCODED} SELECT lang, doc_id, line_no, {TOKENS} AS tokens, true AS same FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, line_no) AS rn FROM e) WHERE rn <= 20")
 _STRINGS = "list_reduce(list_prepend(al0, pl), lambda x, y: x || chr(1) || split_part(y, '|', 3) || chr(2) || split_part(split_part(x, chr(1) || split_part(y, '|', 1) || chr(2), 2), chr(3), 1) || split_part(split_part(x, chr(1) || split_part(y, '|', 2) || chr(2), 2), chr(3), 1) || chr(3))"
 # a combining mark joins the letter in front of it, where there is such a letter; the texts are joined by DuckDB's own normal form first
@@ -347,6 +347,11 @@ ORACLES["q_sql_functions"] = rec(
 )
 ORACLES["q_bpe_tokens"] = rec(f"{ENCODED}, f AS (SELECT lang, arg_min(seq, (doc_id, line_no)) AS seq FROM e GROUP BY lang), x AS (SELECT lang, string_split(seq[2:len(seq)-1], '><') AS ids FROM f) SELECT lang, unnest(range(len(ids))) AS place, unnest(ids)::BIGINT AS id FROM x")
 ORACLES["q_encode_by_words"] = rec(f"{STAGE_1}, dl AS (SELECT text, count(*) AS f FROM l GROUP BY text), u1 AS (SELECT text, {APPLIED.format(CODED)} AS seq, f FROM dl, mp, ml) SELECT text AS unit, f AS freq, replace(seq[2:len(seq)-1], '><', ' ') AS ids FROM u1")
+ORACLES["q_script_filter_once"] = (
+    f"WITH {JUDGED}, x AS (SELECT count(*) FILTER (reason IS NULL) AS kept_lines, sum(length(text)) FILTER (reason IS NULL)::BIGINT AS kept_chars, count(*) AS total_lines, count(reason) AS dropped_lines, sum(length(text) + 1)::BIGINT AS total_chars, "
+    "coalesce(sum(length(text) + 1) FILTER (reason IS NOT NULL), 0)::BIGINT AS dropped_chars FROM j), r AS (SELECT reason, count(*) AS n FROM j WHERE reason IS NOT NULL GROUP BY reason) "
+    "SELECT *, 100.0::DOUBLE * dropped_lines / greatest(total_lines, 1) AS pct_lines, 100.0::DOUBLE * dropped_chars / greatest(total_chars, 1) AS pct_chars, (SELECT coalesce(string_agg(reason || ':' || n, ',' ORDER BY n DESC, reason), '') FROM r) AS reasons FROM x"
+)
 ORACLES["q_langid_trained"] = langid_sql()
 ORACLES["q_sample_trim"] = SAMPLE_TRIM
 ORACLES["q_vocab_diff"], ORACLES["q_vocab_diff_all"] = vocab_diff_sql(60, "[U+"), vocab_diff_sql(60, "")

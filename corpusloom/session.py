@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def session(name: str = "corpusloom", cores: str = "*", **conf: str) -> SparkSession:
@@ -73,3 +73,17 @@ def written(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(discarded(df.sparkSession, path))
+
+
+class Tally:
+    """Aggregates of rows that are taken while the rows pass by, in the job that uses them, instead of in a scan of their own."""
+
+    def __init__(self, **figures: Column):
+        self.figures, self.seen = figures, Observation()
+
+    def watched(self, df: DataFrame) -> DataFrame:
+        return df.observe(self.seen, *[c.alias(k) for k, c in self.figures.items()])
+
+    def get(self) -> dict[str, int]:
+        """The figures, once a job has taken the watched rows to their end; it waits for the first."""
+        return self.seen.get

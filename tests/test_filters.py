@@ -72,3 +72,34 @@ def test_any_scorer(spark):
 
     df = spark.createDataFrame([("x",), ("b",), (None,)], "text string")
     assert [tuple(r) for r in langid.score(df, loaded).select("label", "prob").collect()] == [("xx", 0.75), ("yy", 0.75), (None, 0.0)]
+
+
+def test_filters_judge_each_line_once(spark, tmp_path):
+    """Lines kept, counts, reasons and examples come from one pass: each line meets the scorer, and what is in front of the filter, once."""
+    from corpusloom.functions import langid, scripts
+    from corpusloom.session import written
+
+    log = tmp_path / "met"
+    rows = [("x", i, 0, t) for i, t in enumerate(["one", "где это", "ещё раз γδε", "", None, "двa", "two"] * 5)]
+    lines = spark.createDataFrame(rows, "lang string, doc_id long, line_no int, text string").repartition(3)
+
+    def scorer():
+        def of(text):
+            with open(log, "a") as f:
+                f.write("x\n")
+            return ("ru" if "г" in text else "en"), 0.9
+
+        return of
+
+    judged, tally = langid.judged_once(lines, scorer)
+    judged = written(judged)
+    assert judged.count() == 35 and tally.get() == {"total": 35, "dropped": 25}
+    assert langid.dropped_by_label(judged).count() == 2 and len(log.read_text().split()) == 30  # null meets no scorer
+    judged, tally = scripts.judged_once(lines)
+    judged = written(judged)
+    for _ in range(2):
+        assert scripts.tally_reasons(tally) == [(r.reason, r.n) for r in scripts.drop_reasons(lines).collect()] == [("CYRILLIC", 10)]
+    want = scripts.filter_stats(lines.where("text IS NOT NULL")).drop("lang").first().asDict()
+    got = scripts.tally_stats(tally)
+    assert got["total_lines"] == 35 and got["dropped_chars"] == want["dropped_chars"] and got["pct_chars"] == want["pct_chars"]
+    assert judged.where("reason IS NULL").count() == 25
