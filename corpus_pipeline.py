@@ -13,7 +13,7 @@ from corpusloom.llm.common import table, written
 from corpusloom.llm.decontaminate import clean_documents
 from corpusloom.llm.packing import packed
 from corpusloom.llm.quality import quality
-from corpusloom.llm.secrets import redact, secrets
+from corpusloom.llm.secrets import merged, redact_runs, secrets
 from corpusloom.llm.simhash import near_duplicates
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -41,19 +41,22 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark in place of each secret, of whatever kind; n_chars follows the text where it changed. Null texts stay null."""
-    found = secrets(docs).where(F.size("spans") > 0).select("doc_id", "text_hash", "spans").dropDuplicates(["doc_id", "text_hash"])
+    """All documents, with a mark in place of each secret, of whatever kind; n_chars follows the text where it changed. Null texts stay null.
+
+    Overlapping and touching secrets have one mark. Rows that repeat doc_id and text are marked alike; a text of any length, with any number of secrets, takes time in proportion to its length.
+    """
+    found = merged(secrets(docs).where(F.size("spans") > 0).select("doc_id", "text_hash", "spans").dropDuplicates(["doc_id", "text_hash"]), "doc_id", "text_hash")
     rows = docs.select(*COLUMNS).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     same = rows["doc_id"].eqNullSafe(found["doc_id"]) & (rows["text_hash"] == found["text_hash"])
-    marked = rows.join(found, same, "left").select(*(rows[c] for c in COLUMNS), found["spans"])
-    text = F.when(F.col("spans").isNotNull(), redact(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    return marked.select("doc_id", text.alias("text"), "lang", "source", "n_chars", F.col("spans").isNotNull().alias("m")).select(
+    marked = rows.join(found, same, "left").select(*(rows[c] for c in COLUMNS), found["runs"])
+    text = F.when(F.col("runs").isNotNull(), redact_runs(F.col("text"), F.col("runs"))).otherwise(F.col("text"))
+    return marked.select("doc_id", text.alias("text"), "lang", "source", "n_chars", F.col("runs").isNotNull().alias("m")).select(
         "doc_id", "text", "lang", "source", F.when(F.col("m"), F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
     )
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 2048 ids; a null text has its end id only."""
+    """Pieces of all documents in sequences of at most 2048 ids; a null text has its end id only. Rows that repeat are packed each, and how ties fall is left to how rows are dealt."""
     return packed(docs)
 
 

@@ -159,6 +159,28 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     return F.aggregate(spans, start, step, lambda a: F.concat(F.array_join(a.out, ""), F.substring(text, a.at.cast("int") + 1, F.length(text))))
 
 
+def merged(found: DataFrame, *keys: str) -> DataFrame:
+    """keys and ``runs``: the spans of each row of found, which has keys once, as (start, end) of what overlapping or touching ones cover, in order. Rows without spans are left out."""
+    each = found.select(F.struct(*keys).alias("k"), F.inline("spans"))
+    before = Window.partitionBy("k").orderBy("start", "kind", "end").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = each.select("k", "kind", "start", "end", F.coalesce(F.col("start") > F.max("end").over(before), F.lit(True)).cast("int").alias("fresh"))
+    upto = Window.partitionBy("k").orderBy("start", "kind", "end").rowsBetween(Window.unboundedPreceding, 0)
+    runs = fresh.withColumn("run", F.sum("fresh").over(upto)).groupBy("k", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return runs.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs")).select("k.*", "runs")
+
+
+def redact_runs(text: Column, runs: Column, mark: str = "[SECRET]") -> Column:
+    """The text with each of its runs, which lie apart and in order, replaced by a mark, in time in proportion to the text: it is cut into characters once."""
+
+    def marked(chars: Column) -> Column:
+        part = lambda a, z: F.array_join(F.slice(chars, a.cast("int") + 1, (z - a).cast("int")), "")
+        ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(runs, lambda r: r["end"]))
+        starts = F.concat(F.transform(runs, lambda r: r["start"]), F.array(F.size(chars).cast("long")))
+        return F.array_join(F.zip_with(ends, starts, part), mark)
+
+    return F.get(F.transform(F.array(F.filter(F.split(text, ""), lambda c: c != "")), marked), F.lit(0))
+
+
 def _written(spans: Column) -> Column:
     names = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s.kind + 1), s.start, s.end)), ",")
