@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.udtf import UserDefinedTableFunction
+from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, UserDefinedTableFunction
 
 from ..operators.bpe.codec import BatchCodec, Codec, parts_of
 from ..operators.bpe.model import Model
@@ -18,7 +20,7 @@ from .normalize import normalize_text
 
 
 def register(spark: SparkSession, model: Model | None = None) -> None:
-    """preprocess_text(text); with a model also bpe_encode(text), bpe_decode(ids) and the table function bpe_tokens(text)."""
+    """preprocess_text(text); with a model also bpe_encode(text), bpe_decode(ids) and the table functions bpe_tokens(text) and bpe_token_counts(TABLE(...) PARTITION BY ..., column)."""
     ship(spark)
 
     @F.pandas_udf("string")
@@ -56,7 +58,49 @@ def register(spark: SparkSession, model: Model | None = None) -> None:
             for k, i in enumerate(self.codec.encode(text) if text is not None else ()):
                 yield k, i, self.codec.string(i)
 
+    class TokenCounts:
+        """Tokens of the texts of a table's partition, counted: a row for each token with the partition's first row's other columns.
+
+        The result has the table's columns but for the text, then id, token and n. PARTITION BY says what is counted together: with a column of the caller's own
+        (a bucket of ids) a large language is many partitions, whose counts add up. Texts are encoded some hundred together; counts of one partition are
+        as many as the vocabulary has symbols.
+        """
+
+        def __init__(self):
+            self.codec, self.model = BatchCodec(shared.value), shared.value
+            self.texts: list[str] = []
+            self.chars, self.keys, self.n = 0, None, Counter()
+
+        @staticmethod
+        def analyze(rows: AnalyzeArgument, column: AnalyzeArgument) -> AnalyzeResult:
+            if not rows.isTable or column.value not in [f.name for f in rows.dataType.fields]:
+                raise ValueError(f"bpe_token_counts needs a table, and the name of its text column (got {column.value})")
+            more = [StructField("id", LongType()), StructField("token", StringType()), StructField("n", LongType())]
+            return AnalyzeResult(StructType([*[f for f in rows.dataType.fields if f.name != column.value], *more]))
+
+        def eval(self, row, column: str):
+            if self.keys is None:
+                self.keys = tuple(v for k, v in row.asDict(recursive=False).items() if k != column)
+            if row[column]:
+                self.texts.append(row[column])
+                self.chars += len(row[column])
+                if self.chars >= 1 << 18:
+                    self.counted()
+
+        def counted(self):
+            if self.texts:
+                flat, _ = self.codec.lists(pa.array(self.texts, pa.string()))
+                self.n.update(dict(zip(*(x.tolist() for x in np.unique(flat, return_counts=True)), strict=True)))
+            self.texts, self.chars = [], 0
+
+        def terminate(self):
+            self.counted()
+            string = Codec(self.model).string
+            for i, n in sorted(self.n.items()):
+                yield (*self.keys, i, string(i), n)
+
     spark.udf.register("bpe_encode", encode)
     spark.udf.register("bpe_decode", decode)
     table: UserDefinedTableFunction = F.udtf(Tokens, returnType="place int, id int, token string")
     spark.udtf.register("bpe_tokens", table)
+    spark.udtf.register("bpe_token_counts", F.udtf(TokenCounts))

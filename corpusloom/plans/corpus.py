@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import langid, scripts
 from ..functions.normalize import normalize
-from ..operators import counts, evaluate, mixing, profile
+from ..operators import align, counts, evaluate, mixing, profile
 from ..functions.register import register
 from ..operators.bpe import codec
 from ..operators.bpe.checkpoint import Checkpoint
@@ -362,6 +362,12 @@ def q_tokenised_sample(spark, sf_dir):
     return spark.createDataFrame(rows, "lang string, config string, tokens long, first string")
 
 
+def q_alignment(spark, sf_dir):
+    """All lines by the shared vocabulary, which joins words, and by one that was learned inside words alone."""
+    lines = document_lines(spark, sf_dir)
+    return align.alignment(lines, model_of(spark, sf_dir), train_words(lines, MERGES_1 + 10, more=True), "lang")
+
+
 def q_corpus_files(spark, sf_dir):
     """Lines written by language and read again from the files."""
     lines = document_lines(spark, sf_dir).select("lang", F.regexp_replace("text", r"\r", " ").alias("text"), "doc_id", "line_no")
@@ -428,6 +434,13 @@ def q_bpe_tokens(spark, sf_dir):
     return spark.sql("SELECT lang, CAST(place AS BIGINT) AS place, CAST(id AS BIGINT) AS id FROM first_lines, LATERAL bpe_tokens(text)")
 
 
+def q_token_counts(spark, sf_dir):
+    """Tokens of all lines by language, by the table function over a table: languages are dealt in buckets of documents, whose counts are added up."""
+    register(spark, model_of(spark, sf_dir))
+    document_lines(spark, sf_dir).select("lang", F.pmod("doc_id", F.lit(32)).alias("bucket"), "text").createOrReplaceTempView("all_lines")
+    return spark.sql("SELECT lang, id, sum(n) AS n FROM bpe_token_counts(TABLE(all_lines) PARTITION BY (lang, bucket), 'text') GROUP BY lang, id")
+
+
 def q_line_examples(spark, sf_dir):
     dropped = scripts.filter_lines(injected(spark, sf_dir))[1]
     return scripts.examples(dropped, 2).select("lang", "doc_id", F.col("line_no").cast("long").alias("line_no"), "reason", "example")

@@ -352,6 +352,27 @@ ORACLES["q_script_filter_once"] = (
     "coalesce(sum(length(text) + 1) FILTER (reason IS NOT NULL), 0)::BIGINT AS dropped_chars FROM j), r AS (SELECT reason, count(*) AS n FROM j WHERE reason IS NOT NULL GROUP BY reason) "
     "SELECT *, 100.0::DOUBLE * dropped_lines / greatest(total_lines, 1) AS pct_lines, 100.0::DOUBLE * dropped_chars / greatest(total_chars, 1) AS pct_chars, (SELECT coalesce(string_agg(reason || ':' || n, ',' ORDER BY n DESC, reason), '') FROM r) AS reasons FROM x"
 )
+ORACLES["q_token_counts"] = rec(f"{ENCODED} SELECT lang, id, count(*) AS n FROM (SELECT lang, unnest(string_split(seq[2:len(seq)-1], '><'))::BIGINT AS id FROM e) GROUP BY lang, id")
+
+
+def alignment_sql(merges: int) -> str:
+    """Ends of tokens in lines by the shared vocabulary and by one of words alone, and those that both have."""
+    sizes = lambda name, of: f"{name} AS (SELECT list_reduce(list_prepend(list_transform(range(n0), lambda i: 1::BIGINT), ps), lambda x, y: list_append(x, x[y[1] + 1] + x[y[2] + 1])) AS len FROM (SELECT list([a, b] ORDER BY new_id) AS ps FROM ({of})), mp)"
+    tokens = lambda name, merges, lens: (
+        f"{name} AS (SELECT lang, doc_id, line_no, n, sum(n) OVER (PARTITION BY doc_id, line_no ORDER BY i) AS e FROM (SELECT lang, doc_id, line_no, i, len[ids[i] + 1] AS n FROM "
+        f"(SELECT lang, doc_id, line_no, ids, unnest(range(1, len(ids) + 1)) AS i FROM (SELECT lang, doc_id, line_no, list_transform(string_split(seq[2:len(seq)-1], '><'), lambda t: t::BIGINT) AS ids FROM "
+        f"(SELECT lang, doc_id, line_no, {APPLIED.format(CODED)} AS seq FROM l, mp, {merges}))), {lens}))"
+    )
+    return rec(
+        f"{STAGE_2}, {learned_sql('r3', 'u0', N0, merges)}, m3 AS ({merges_sql('r3', N0)}), m3z AS (SELECT list('<' || a || '><' || b || '>|<' || new_id || '>' ORDER BY new_id) AS ms FROM m3), "
+        f"{sizes('la', 'FROM m1 UNION ALL FROM m2')}, {sizes('lb', 'FROM m3')}, {tokens('ta', 'mz', 'la')}, {tokens('tb', 'm3z', 'lb')}, "
+        "j AS (SELECT ta.lang, count(*) AS shared_ends, count(*) FILTER (ta.n = tb.n) AS same_tokens FROM ta JOIN tb USING (doc_id, line_no, e) GROUP BY ta.lang), "
+        "ca AS (SELECT lang, count(*) AS old_tokens FROM ta GROUP BY lang), cb AS (SELECT lang, count(*) AS new_tokens FROM tb GROUP BY lang) "
+        "SELECT ca.lang, old_tokens, new_tokens, shared_ends, same_tokens FROM ca JOIN cb ON ca.lang IS NOT DISTINCT FROM cb.lang JOIN j ON ca.lang IS NOT DISTINCT FROM j.lang"
+    )
+
+
+ORACLES["q_alignment"] = alignment_sql(MERGES_1 + 10)
 ORACLES["q_langid_trained"] = langid_sql()
 ORACLES["q_sample_trim"] = SAMPLE_TRIM
 ORACLES["q_vocab_diff"], ORACLES["q_vocab_diff_all"] = vocab_diff_sql(60, "[U+"), vocab_diff_sql(60, "")
