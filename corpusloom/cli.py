@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import langid, scripts
-from .operators import evaluate, mixing, profile
+from .operators import align, evaluate, mixing, profile
 from .operators.bpe import distributed
 from .operators.bpe.codec import encode
 from .operators.bpe.model import Model
@@ -146,6 +146,25 @@ def evaluate_superbpe_pilot(spark, a) -> None:
     print(fixed_width(evaluate.spot_check(lines, m).groupBy("lang").agg(F.count("*").alias("lines"), F.bool_and("same").alias("same"))))
 
 
+def evaluate_tier2(spark, a) -> None:
+    """Compression of languages that the vocabulary was not learned from, each with what it mirrors (a JSON document of names), if that is known."""
+    by = evaluate.compression(evaluate.token_stats(_dir(spark, a.dir, a.suffix), Model.load(a.model)))
+    mirrors = sinks.read_json(a.mirrors) if a.mirrors else {}
+    names = spark.createDataFrame([(k, v) for k, v in mirrors.items()], "lang string, mirror string")
+    out = mixing.with_language(by, names, "left").withColumn("mirror", F.coalesce("mirror", F.lit("")))
+    print(fixed_width(out.orderBy("total", "lang").select(F.when(F.col("total"), "ALL").otherwise(F.col("lang")).alias("lang"), "mirror", "tokens", "chars", "tokens_per_char", "crossing_pct")))
+
+
+def vocabulary_diff(spark, a) -> None:
+    """Symbols that one model has and the other lacks, and with texts how their tokens differ over all of them."""
+    old, new = Model.load(a.old), Model.load(a.new)
+    print(fixed_width(evaluate.vocabulary_diff(*(m.tables(spark)[0].select("str") for m in (old, new)), k=a.most, containing=a.containing)))
+    if a.dir:
+        lines = _dir(spark, a.dir, a.suffix)
+        print(fixed_width(align.alignment(lines, old, new, "lang").orderBy("lang")))
+        print(fixed_width(align.replacements(lines, old, new, a.most)))
+
+
 def validate_submission(spark, a) -> None:
     lines = _dir(spark, a.heldout_dir, "_heldout_processed.txt") if a.heldout_dir else None
     m = Model.load(a.model)
@@ -229,6 +248,15 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--out")
     p = command(evaluate_superbpe_pilot, "model")
     p.add_argument("--heldout-dir", required=True)
+    p = command(evaluate_tier2, "model")
+    p.add_argument("--dir", required=True)
+    p.add_argument("--suffix", default=".txt")
+    p.add_argument("--mirrors")
+    p = command(vocabulary_diff, "old", "new")
+    p.add_argument("--containing", default="[U+")
+    p.add_argument("--most", type=int, default=25)
+    p.add_argument("--dir")
+    p.add_argument("--suffix", default=".txt")
     p = command(validate_submission, "model")
     p.add_argument("--heldout-dir")
     p = command(fetch_samples, "source", "out")

@@ -64,6 +64,13 @@ def test_training_and_evaluation(spark, tmp_path, capsys):
     main(["evaluate_superbpe_pilot", out, "--heldout-dir", f"{tmp_path}/held"])
     main(["validate_submission", out, "--heldout-dir", f"{tmp_path}/held"])
     assert "[OK] passed" in capsys.readouterr().out
+    (tmp_path / "mirrors.json").write_text('{"en": "asks"}')
+    main(["evaluate_tier2", out, "--dir", f"{tmp_path}/held", "--suffix", "_heldout_processed.txt", "--mirrors", f"{tmp_path}/mirrors.json"])
+    said = capsys.readouterr().out
+    assert "asks" in said and "ALL" in said
+    main(["vocabulary_diff", out, f"{tmp_path}/b.json", "--containing", "", "--dir", f"{tmp_path}/held", "--suffix", "_heldout_processed.txt"])
+    said = capsys.readouterr().out
+    assert "lost" in said and "same_tokens" in said and "to | be" not in said and "|" in said
     main(["encode_file", out, f"{tmp_path}/corpus.txt", f"{tmp_path}/ids"])
     t = Tokenizer(out)
     ids = t.encode(["to be is to do", ""])
