@@ -431,18 +431,20 @@ def _recall(nodes: DataFrame, counted: DataFrame, total: int, least: float, audi
     """
     while True:
         share = min(1.0, audit / max(1, total))
-        asked = nodes.where(F.pmod(F.xxhash64("id", F.lit("audit")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1)).select("id", "vec").limit(2 * most).collect()
-        by_size: dict[int, list] = {}
-        for r in asked:
-            by_size.setdefault(len(r[1]), []).append(r)
-        ready = {d: (np.array([r[0] for r in v]), unit(np.array([r[1] for r in v], float))) for d, v in by_size.items()}
+        drawn = F.pmod(F.xxhash64("id", F.lit("audit")), F.lit(1 << 30))
+        asked = nodes.where(drawn < F.lit(int(share * (1 << 30)) + 1)).orderBy(drawn, "id").select("id", "vec").limit(2 * most).toArrow()
+        ids, vecs = asked.column("id").to_numpy(), asked.column("vec").combine_chunks()
+        sizes, flat = vecs.value_lengths().to_numpy(), vecs.flatten().to_numpy().astype(float, copy=False)
+        starts = np.cumsum(sizes) - sizes
+        ready = {int(d): (ids[at := np.flatnonzero(sizes == d)], unit(flat[starts[at][:, None] + np.arange(d)])) for d in np.unique(sizes)}
+        shared = nodes.sparkSession.sparkContext.broadcast(ready)  # once for an executor: 2 * most vectors at most
 
         def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n: dict[int, int] = {}
             for b in (b.slice(k, 1024) for b in batches for k in range(0, b.num_rows, 1024)):
                 vecs, count, own = b.column("vec").to_pylist(), b.column("count").to_numpy(), b.column("id").to_numpy()
                 size = np.array([len(v) for v in vecs])
-                for d, (i, q) in ready.items():
+                for d, (i, q) in shared.value.items():
                     at = np.flatnonzero(size == d)
                     if len(at):
                         s = unit(np.array([vecs[k] for k in at], float)) @ q.T >= least
