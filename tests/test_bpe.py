@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -13,7 +14,7 @@ from corpusloom.operators import counts, evaluate
 from corpusloom.operators.bpe import codec, dictionary, distributed
 from corpusloom.operators.bpe.checkpoint import Checkpoint
 from corpusloom.operators.bpe.chain import Chain, Ranks, apply_ranks
-from corpusloom.operators.bpe.learner import learn, learn_by_recount, replaced
+from corpusloom.operators.bpe.learner import Counted, Located, learn, learn_by_recount, replaced
 from corpusloom.operators.bpe.model import ALPHABET, OFFSET, Model, Symbols
 
 UNITS = st.lists(st.tuples(st.lists(st.integers(0, 4), max_size=9).map(tuple), st.integers(1, 4)), min_size=1, max_size=6)
@@ -379,3 +380,34 @@ def test_lines_by_a_table_of_words(spark, monkeypatch):
     assert table.count() == table.select("word").distinct().count() == 7
     with pytest.raises(Exception, match="lacks the word"):
         dictionary.encode_by_words(units, m, table.where("word <> 'das'")).collect()
+
+
+def test_chunks_of_a_batch_are_held_one_at_a_time():
+    """A batch of a hundred chunks takes the memory of a few; before, all were copied out of it."""
+    n, k = 1 << 16, 100
+    rows = [distributed._packed(Chain(np.arange(n) % 90, np.array([n])), np.array([1])) for _ in range(k)]
+    batch = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+    tracemalloc.start()
+    try:
+        assert sum(int(c.chain.counts().sum()) for c in distributed._unpacked(iter([batch]))) == n * k
+        assert tracemalloc.get_traced_memory()[1] < 2 * n * k
+    finally:
+        tracemalloc.stop()
+
+
+@settings(max_examples=100, deadline=None)
+@given(UNITS, st.lists(st.tuples(st.integers(0, 5), st.integers(0, 5)), min_size=1, max_size=6))
+def test_pairs_by_a_table_equal_sorted_ones(units, pairs):
+    """Ranks and counts of pairs, and where they stand: by a table or looked for one by one, and by sorting."""
+    seqs, freqs = zip(*units, strict=True)
+    fresh = lambda: Counted(Chain(np.array([x for s in seqs for x in s], np.int32), np.array([len(s) for s in seqs])), np.array(freqs))
+    keys, n, _, _ = fresh().pairs()
+    assert [x.tolist() for x in fresh().pair_counts()] == [keys.tolist(), n.tolist()]
+    merges = [(a, b, 7 + i) for i, (a, b) in enumerate(pairs)]
+    ranks, sorted_ = Ranks(merges), Ranks(merges)
+    sorted_.table = None
+    a, b = (np.array(x, np.int32) for x in zip(*[(x, y) for x in (-2, -1, 0, 3, 5, 6, 1_000_000) for y in (-2, -1, 0, 4, 5, 6, 1_000_000)], strict=True))
+    assert ranks.of(a, b).tolist() == sorted_.of(a, b).tolist()
+    ways = [Located(fresh()), Located(fresh(), lazily=True), Located(fresh(), np.unique(np.array([a << 32 | b for a, b in pairs])))]
+    for m in merges:
+        assert len({tuple(map(str, (k.tolist(), d.tolist(), t))) for k, d, t in (w.merge(*m) for w in ways)}) == 1
