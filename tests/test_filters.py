@@ -103,3 +103,22 @@ def test_filters_judge_each_line_once(spark, tmp_path):
     got = scripts.tally_stats(tally)
     assert got["total_lines"] == 35 and got["dropped_chars"] == want["dropped_chars"] and got["pct_chars"] == want["pct_chars"]
     assert judged.where("reason IS NULL").count() == 25
+
+
+def test_batches_are_scored_as_single_texts():
+    model = {"en": {"t": -1.5, "th": -2.0, " th": -2.5, "e ": -2.25}, "de": {"t": -1.75, "ch": -2.0, "ü": -3.0, "ich": -2.5}, "da": {"t": -1.75, "ch": -2.0, "ü": -3.0, "ich": -2.5}}
+    texts = ["The thing", None, "", " \t ", "ich möchte über", "zzz", "t", "\U0001f600 the", "X" * 50, "Ǆ İ the the"] * 3
+    for together in (1, 7, 1 << 20):
+        scorer = langid.BatchScorer(model)
+        scorer.together = together
+        for table in (scorer.place, None):
+            scorer.place = table
+            label, prob = scorer(texts)
+            want = [langid.score_text(model, t) if t is not None else (None, 0.0) for t in texts]
+            assert label == [w[0] for w in want] and prob.tolist() == pytest.approx([w[1] for w in want])
+    assert langid.BatchScorer({})(["a"])[0] == [None] and langid.BatchScorer({"xx": {}})(["a"])[0] == ["xx"]
+
+
+def test_batches_count_no_text_by_itself(monkeypatch):
+    monkeypatch.setattr(langid, "_grams", lambda text: pytest.fail("one text at a time"))
+    assert langid.BatchScorer({"en": {"th": -1.0}, "de": {"ch": -1.0}})(["ach"])[0] == ["en"]
