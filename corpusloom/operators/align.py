@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import ship
-from .bpe.codec import BatchCodec, parts_of
+from .bpe.codec import BatchCodec, Words, parts_of
 from .bpe.model import Model
 
 
@@ -27,14 +27,17 @@ class Sweep:
 
     def __init__(self, texts: pa.Array, old: BatchCodec, new: BatchCodec):
         self.ids, self.ends, self.upto = [], [], []
+        split = Words.split(texts)
         for codec in (old, new):
-            flat, at = codec.lists(texts)
+            flat, at = codec.lists(texts, split)
             self.ids.append(flat)
             self.ends.append(np.cumsum(lengths(codec.model, flat)))
             self.upto.append(at)
         # both are sorted, and each text's end is in both; so segments never cross texts
-        self.shared = np.intersect1d(*self.ends, assume_unique=True)
-        self.last = [np.searchsorted(e, self.shared) for e in self.ends]  # the tokens that end the segments
+        there = np.zeros((2, max([int(e[-1]) for e in self.ends if len(e)], default=0) + 1), bool)
+        for k, e in enumerate(self.ends):
+            there[k, e] = True
+        self.last = [np.flatnonzero(there[1 - k, e]) for k, e in enumerate(self.ends)]  # the tokens that end the segments
         self.count = [np.diff(x, prepend=-1) for x in self.last]
 
     def per_text(self) -> list[np.ndarray]:

@@ -3,9 +3,13 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
+
 from corpusloom.operators import align
+from corpusloom.operators.bpe import codec as codecs
 from corpusloom.operators.bpe.codec import Codec
 from corpusloom.operators.bpe.distributed import train, train_words
+from corpusloom.operators.bpe.model import ALPHABET, Model
 
 
 def spans(codec, text):
@@ -40,3 +44,11 @@ def test_alignment_and_replacements(spark):
     top = [(r.old, r.new, r.n) for r in align.replacements(lines.repartition(2), old, new, 5).collect()]
     assert top == [(*k, n) for k, n in sorted(moved.items(), key=lambda x: (-x[1], x[0]))][:5] and len(moved) > 5
     assert align.alignment(lines.where("lang = 'none'"), old, new).first().old_tokens == 0
+
+
+def test_texts_are_split_once_for_both_codecs(monkeypatch):
+    seen, split = [], codecs.Words.split
+    monkeypatch.setattr(codecs.Words, "split", staticmethod(lambda texts: seen.append(1) or split(texts)))
+    m = Model(list(ALPHABET), [], [])
+    assert [x.tolist() for x in align.Sweep(pa.array(["ab", None, "a b"]), codecs.BatchCodec(m), codecs.BatchCodec(m)).per_text()] == [[2, 0, 3]] * 4
+    assert len(seen) == 1

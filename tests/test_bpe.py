@@ -411,3 +411,21 @@ def test_pairs_by_a_table_equal_sorted_ones(units, pairs):
     ways = [Located(fresh()), Located(fresh(), lazily=True), Located(fresh(), np.unique(np.array([a << 32 | b for a, b in pairs])))]
     for m in merges:
         assert len({tuple(map(str, (k.tolist(), d.tolist(), t))) for k, d, t in (w.merge(*m) for w in ways)}) == 1
+
+
+def test_configurations_share_what_their_first_stages_know():
+    """One memory of words for models with the same first stage, and none of their texts is put together where all merges are inside words."""
+    s = Symbols()
+    first, _ = learn(coded({"low": 5, "lower": 2, "newest": 6}), 99, s)
+    both = Model(list(s.strings), first, [])
+    second = [(0, s.base["l"], s.merged(0, s.base["l"]))]
+    both = Model(s.strings, first, second)
+    a, b, c = codec.sharing([codec.BatchCodec(m) for m in (both, Model(both.strings, first, []), both.at(97))])
+    texts = pa.array(["lower newest", "", None, " low  low ", "\u2603 low"])
+    assert a.words is b.words is not c.words and a.counts(texts) is None
+    for x in (b, c):
+        tokens, spaces = x.counts(texts, codec.Words.split(texts))
+        ids, at = x.lists(texts)
+        assert tokens.tolist() == np.diff(at).tolist() and spaces.dtype == np.int64
+        assert spaces.tolist() == [ids[i:j].tolist().count(0) for i, j in zip(at[:-1], at[1:], strict=True)] == [1, 0, 0, 4, 1]
+    assert a.lists(texts)[0].tolist() == [i for t in texts.to_pylist() for i in codec.Codec(both).encode(t or "")]
