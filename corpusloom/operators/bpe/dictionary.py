@@ -37,5 +37,5 @@ def encode_by_words(units: DataFrame, model: Model, table: DataFrame | None = No
     found = rest.join(table.where(~frequent).select("word", "ids"), "word", "left")
     missing = F.raise_error(F.concat(F.lit("the table lacks the word "), F.col("word"))).cast("string")
     parts = here.unionByName(found.select("u", "pos", F.coalesce("ids", missing).alias("part")))
-    lined = parts.groupBy("u").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"]), chars_of([0])).alias("ids"))
+    lined = parts.groupBy("u").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"]), chars_of([0])).alias("ids"))
     return rows.join(lined, "u", "left").drop("u")

@@ -429,3 +429,30 @@ def test_configurations_share_what_their_first_stages_know():
         assert tokens.tolist() == np.diff(at).tolist() and spaces.dtype == np.int64
         assert spaces.tolist() == [ids[i:j].tolist().count(0) for i, j in zip(at[:-1], at[1:], strict=True)] == [1, 0, 0, 4, 1]
     assert a.lists(texts)[0].tolist() == [i for t in texts.to_pylist() for i in codec.Codec(both).encode(t or "")]
+
+
+def test_few_merges_are_made_in_whole_texts():
+    """Up to a number of merges no word is looked up or remembered, with the same ids."""
+    m = Model([*ALPHABET, "ab", " ab", "ab ab"], [(65, 66, 95)], [(0, 95, 96), (95, 96, 97)])
+    texts = pa.array(["ab ab ab cd", "cd", None, "", "x  ab\u2603"])
+    words, whole = codec.BatchCodec(m, 2), codec.BatchCodec(m, 3)
+    assert words.words is not None and whole.words is None
+    assert [x.tolist() for x in words.lists(texts)] == [x.tolist() for x in whole.lists(texts)]
+
+
+def test_code_points_come_out_of_the_bytes():
+    texts = pa.array(["xx", "ab", None, "", "z\u00e9\u2603\U00010348", "b"])
+    assert codec.codes(texts.slice(1, 4)).tolist() == [97, 98, 122, 0xE9, 0x2603, 0x10348]
+    assert codec.codes(texts.slice(0, 4)).tolist() == [120, 120, 97, 98] and not len(codec.codes(texts.slice(2, 2)))
+
+
+def test_units_are_learned_without_being_translated(spark, monkeypatch):
+    """Tasks take symbols from plain units, and characters beyond the alphabet are known by their codes."""
+    monkeypatch.setattr(distributed, "as_symbols", lambda *_: 1 / 0)
+    units = {"na\u00efve": 7, "na\u00efves": 2, "\u2603\u00ef": 3, "nana": 1}
+    df, s, t = spark.createDataFrame(list(units.items()), "unit string, freq long"), Symbols(), Symbols()
+    assert distributed.characters(df) == sorted(set("".join(units)))
+    got = distributed.learn_units(df, 6, s, more=True)
+    for c in sorted(set("".join(units))):
+        t.id_of(c)
+    assert got == learn([([t.base[c] for c in u], f) for u, f in units.items()], len(t) + 6, t)[0] and s.strings == t.strings
