@@ -6,14 +6,13 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, UserDefinedTableFunction
 
-from ..operators.bpe.codec import BatchCodec, Codec, parts_of
+from ..operators.bpe.codec import FEW_MERGES, TOGETHER, BatchCodec, Codec, Strings, parts_of
 from ..operators.bpe.model import Model
 from ..session import ship
 from .normalize import normalize_text
@@ -23,30 +22,30 @@ def register(spark: SparkSession, model: Model | None = None) -> None:
     """preprocess_text(text); with a model also bpe_encode(text), bpe_decode(ids) and the table functions bpe_tokens(text) and bpe_token_counts(TABLE(...) PARTITION BY ..., column)."""
     ship(spark)
 
-    @F.pandas_udf("string")
-    def preprocess(texts: pd.Series) -> pd.Series:
-        return texts.map(normalize_text, na_action="ignore")
+    @F.arrow_udf("string")
+    def preprocess(texts: pa.Array) -> pa.Array:
+        return pa.array(map(normalize_text, texts.to_pylist()), pa.string())
 
     spark.udf.register("preprocess_text", preprocess)
     if model is None:
         return
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = BatchCodec(shared.value)  # once for a partition, with the words it has met
+    @F.arrow_udf("array<int>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codec = BatchCodec(shared.value, FEW_MERGES)  # once for a partition, with the words it has met
         for texts in batches:
-            out: list[np.ndarray | None] = []
-            for part in parts_of([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])], "text"):
+            out = [pa.array([], pa.list_(pa.int32()))]
+            for part in parts_of([pa.RecordBatch.from_arrays([texts], names=["text"])], "text"):
                 flat, at = codec.lists(part.column(0))
-                out += [x if ok else None for x, ok in zip(np.split(flat, at[1:-1]), part.column(0).is_valid().to_pylist(), strict=True)]
-            yield pd.Series(out, dtype=object)
+                out.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32()), mask=part.column(0).is_null()))
+            yield pa.concat_arrays(out)
 
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec(shared.value)
+    @F.arrow_udf("string")
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        strings = Strings(shared.value)
         for ids in batches:
-            yield ids.map(codec.decode, na_action="ignore")
+            yield strings.joined(ids)
 
     class Tokens:
         """One row for each token of a text."""

@@ -456,3 +456,15 @@ def test_units_are_learned_without_being_translated(spark, monkeypatch):
     for c in sorted(set("".join(units))):
         t.id_of(c)
     assert got == learn([([t.base[c] for c in u], f) for u, f in units.items()], len(t) + 6, t)[0] and s.strings == t.strings
+
+
+def test_lists_of_ids_are_joined_at_once():
+    """As one after another, cut where there are many ids; what is no id is an error."""
+    m = Model([*ALPHABET, "ab"], [(65, 66, 95)], [])
+    ids = pa.array([[95, 0], None, [], [m.escape + 0x2603, 1, m.escape + 0x2603], [95]], pa.list_(pa.int32()))
+    for together in (1, 2, 100):
+        assert codec.Strings(m).joined(ids, together).to_pylist() == ["ab ", None, "", "\u2603!\u2603", "ab"]
+    assert codec.Strings(m).joined(ids.slice(3, 1)).to_pylist() == ["\u2603!\u2603"] and not len(codec.Strings(m).joined(ids[:0]))
+    for bad in (-1, 96, m.escape - 1, m.escape + 0x110000, None):
+        with pytest.raises(ValueError, match="is no id of this vocabulary"):
+            codec.Strings(m).joined(pa.array([[1, bad]], pa.list_(pa.int32())))
