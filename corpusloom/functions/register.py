@@ -61,12 +61,12 @@ def register(spark: SparkSession, model: Model | None = None) -> None:
         """Tokens of the texts of a table's partition, counted: a row for each token with the partition's first row's other columns.
 
         The result has the table's columns but for the text, then id, token and n. PARTITION BY says what is counted together: with a column of the caller's own
-        (a bucket of ids) a large language is many partitions, whose counts add up. Texts are encoded some hundred together; counts of one partition are
+        (a bucket of ids) a large language is many partitions, whose counts add up. Texts are encoded together, TOGETHER characters at a time; counts of one partition are
         as many as the vocabulary has symbols.
         """
 
         def __init__(self):
-            self.codec, self.model = BatchCodec(shared.value), shared.value
+            self.codec, self.model = BatchCodec(shared.value, FEW_MERGES), shared.value
             self.texts: list[str] = []
             self.chars, self.keys, self.n = 0, None, Counter()
 
@@ -80,16 +80,18 @@ def register(spark: SparkSession, model: Model | None = None) -> None:
         def eval(self, row, column: str):
             if self.keys is None:
                 self.keys = tuple(v for k, v in row.asDict(recursive=False).items() if k != column)
-            if row[column]:
-                self.texts.append(row[column])
-                self.chars += len(row[column])
-                if self.chars >= 1 << 18:
+            if text := row[column]:
+                self.texts.append(text)
+                self.chars += len(text)
+                if self.chars >= TOGETHER:
                     self.counted()
 
         def counted(self):
             if self.texts:
                 flat, _ = self.codec.lists(pa.array(self.texts, pa.string()))
-                self.n.update(dict(zip(*(x.tolist() for x in np.unique(flat, return_counts=True)), strict=True)))
+                n = np.bincount(flat)
+                at = np.flatnonzero(n)
+                self.n.update(dict(zip(at.tolist(), n[at].tolist(), strict=True)))
             self.texts, self.chars = [], 0
 
         def terminate(self):

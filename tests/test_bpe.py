@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from corpusloom.operators import counts, evaluate
@@ -468,3 +469,18 @@ def test_lists_of_ids_are_joined_at_once():
     for bad in (-1, 96, m.escape - 1, m.escape + 0x110000, None):
         with pytest.raises(ValueError, match="is no id of this vocabulary"):
             codec.Strings(m).joined(pa.array([[1, bad]], pa.list_(pa.int32())))
+
+
+def test_token_counts_encode_texts_together(spark, monkeypatch):
+    """A partition of fewer than TOGETHER characters is encoded once, however many texts it has."""
+    from corpusloom.functions import register as module
+
+    seen, kept = [], {}
+    monkeypatch.setattr(type(spark.udtf), "register", lambda self, name, f: kept.setdefault(name, f))
+    module.register(spark, Model([*ALPHABET, "ab"], [(65, 66, 95)], []))
+    counts = kept["bpe_token_counts"].func()
+    lists = counts.codec.lists
+    counts.codec.lists = lambda texts: seen.append(len(texts)) or lists(texts)
+    for k in range(3000):
+        counts.eval(Row(lang="x", text="ab" * 100 + str(k % 10)), "text")
+    assert list(counts.terminate()) == [("x", 16 + k, str(k), 300) for k in range(10)] + [("x", 95, "ab", 300000)] and seen == [3000]
