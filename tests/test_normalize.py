@@ -4,7 +4,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corpusloom.functions.normalize import normalize, normalize_text
+from corpusloom.functions import normalize as normalize_module
+from corpusloom.functions.normalize import marker, normalize, normalize_text
 
 GOLDEN = [
     ("é", "e[U+00E9 LATIN SMALL LETTER E WITH ACUTE]"),
@@ -54,3 +55,20 @@ def test_ascii_and_idempotent(text):
     assert out.isascii() and out == out.strip() and "  " not in out
     assert normalize_text(out) == out
     assert unicodedata.is_normalized("NFKC", out)
+
+
+def test_printable_ascii_is_not_looked_up(monkeypatch):
+    """Only what is beyond it costs a look-up, in whatever script the text is."""
+    seen = []
+
+    class Counting(dict):
+        def __missing__(self, cp):
+            seen.append(chr(cp))
+            return normalize_module.described(chr(cp))
+
+    monkeypatch.setattr(normalize_module, "_table", lambda transliterate=None: Counting())
+    assert normalize_text("plain words, \u00e9 more") == "plain words, " + marker("\u00e9", "e") + " more" and seen == ["\u00e9"]
+
+
+def test_white_space_of_all_kinds_and_punctuation():
+    assert normalize_text("\u2003\u201ca\u2028b\x07c\u0085\u00a0d\u2026\u201d\x1f") == '"a b c d..."'
