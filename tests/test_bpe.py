@@ -484,3 +484,13 @@ def test_token_counts_encode_texts_together(spark, monkeypatch):
     for k in range(3000):
         counts.eval(Row(lang="x", text="ab" * 100 + str(k % 10)), "text")
     assert list(counts.terminate()) == [("x", 16 + k, str(k), 300) for k in range(10)] + [("x", 95, "ab", 300000)] and seen == [3000]
+
+
+def test_words_are_counted_by_line(spark):
+    """As rows of single words would be: white space is characters and no tokens."""
+    m = Model([*ALPHABET, "ab"], [(65, 66, 95)], [])
+    lines = spark.createDataFrame([("x", "ab  ab c"), ("x", " "), ("x", "ab\u2603"), (None, "c ")], "lang string, text string")
+    one = lambda stats: sorted(map(str, evaluate.compression(stats, "words").select("lang", "total", "tokens", "chars", "crossing").collect()))
+    words = lines.select("lang", F.explode(F.split("text", " ")).alias("text"))
+    assert one(evaluate.word_stats(lines, m))[:2] == one(evaluate.token_stats(words, m))[:2]
+    assert evaluate.word_stats(lines, m).agg(F.sum("tokens"), F.sum("crossing")).first()[:] == (6, 0)
