@@ -494,3 +494,13 @@ def test_words_are_counted_by_line(spark):
     words = lines.select("lang", F.explode(F.split("text", " ")).alias("text"))
     assert one(evaluate.word_stats(lines, m))[:2] == one(evaluate.token_stats(words, m))[:2]
     assert evaluate.word_stats(lines, m).agg(F.sum("tokens"), F.sum("crossing")).first()[:] == (6, 0)
+
+
+def test_baseline_codec_takes_one_byte_characters_without_a_decoder(spark):
+    texts = ["", "a\x00b", "\x7f\x80\xff\u0100", "\u2603\U0010ffff \n", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    rows = df.select("text", codec.encode_baseline(F.col("text")).alias("ids"), "i").withColumn("back", codec.decode_baseline(F.col("ids"))).orderBy("i")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    for r in rows.collect():
+        assert (r.ids, r.back) == (None if r.text is None else [*(ord(c) + 1 for c in r.text), 0], r.text)
+    assert "filter(" not in plan and "chr(" in plan
