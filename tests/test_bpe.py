@@ -504,3 +504,21 @@ def test_baseline_codec_takes_one_byte_characters_without_a_decoder(spark):
     for r in rows.collect():
         assert (r.ids, r.back) == (None if r.text is None else [*(ord(c) + 1 for c in r.text), 0], r.text)
     assert "filter(" not in plan and "chr(" in plan
+
+
+@pytest.mark.parametrize("block", [12, 1 << 21])
+def test_words_travel_once_for_a_block_of_lines(spark, monkeypatch, block):
+    """Before, each place of a word was a row of its own, shuffled by word and again by line."""
+    monkeypatch.setattr(dictionary, "BLOCK", block)
+    seen, cut = [], dictionary.cut
+    monkeypatch.setattr(dictionary, "cut", lambda df: seen.append(cut(df)) or seen[-1])
+    lines = [*["to be or not to be"] * 50, "  to  be ", "", None, "  ", "na\u00efve \u2603", "be"]
+    units = spark.createDataFrame([(x, i) for i, x in enumerate(lines)], "unit string, freq int").repartition(2)
+    m = two_stage(spark)
+    first = codec.Codec(Model(m.strings, m.stage1, []))
+    got = {r.freq: r.ids for r in dictionary.encode_by_words(units, m, as_chars=False).collect()}
+    assert [got[i] for i in range(len(lines))] == [x if x is None else first.encode(x) for x in lines]
+    words = next(df for df in seen if df.columns == ["block", "word", "n"])
+    assert words.count() == words.select("block", "word").distinct().count()
+    assert {r.word: r.n for r in words.groupBy("word").agg(F.sum("n").alias("n")).collect()} == Counter(w for x in lines for w in (x or "").split(" ") if w)
+    assert block == 12 or words.count() < 2 * 7
