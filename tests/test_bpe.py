@@ -522,3 +522,38 @@ def test_words_travel_once_for_a_block_of_lines(spark, monkeypatch, block):
     assert words.count() == words.select("block", "word").distinct().count()
     assert {r.word: r.n for r in words.groupBy("word").agg(F.sum("n").alias("n")).collect()} == Counter(w for x in lines for w in (x or "").split(" ") if w)
     assert block == 12 or words.count() < 2 * 7
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(0, 3), st.integers(-1, 3), st.integers(-3, 3)), max_size=8), min_size=1, max_size=4))
+def test_changes_of_a_task_are_summed(parts):
+    """Each step's key is one row of a task and not one of each chunk."""
+    got = distributed._summed([tuple(np.array([r[i] for r in p], np.int64) for i in range(3)) for p in parts])
+    want: Counter = Counter()
+    for step, key, n in (r for p in parts for r in p):
+        want[step, key] += n
+    assert {(s, k): n for s, k, n in zip(*(x.tolist() for x in got), strict=True)} == dict(want)
+    assert len(got[0]) == len(want)
+
+
+def test_a_pass_takes_little_memory_beside_its_batch():
+    """Chunks are a quarter as long as before: a full one with its merges took over 60 MB."""
+    n, lines = distributed.CHUNK, 800
+    ids = np.random.default_rng(7).integers(0, 90, n).astype(np.uint16)
+    row = distributed._row(ids, np.full(lines, n // lines) + (np.arange(lines) < n % lines), np.ones(lines, np.int64))
+    tracemalloc.start()
+    try:
+        (c,) = distributed._unpacked(iter([row]))
+        here = Located(c, lazily=True)
+        for i in range(20):
+            here.merge(i, i + 20, 90 + i)
+        assert tracemalloc.get_traced_memory()[1] < 32 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_characters_of_any_text_are_found(spark, monkeypatch):
+    monkeypatch.setattr(distributed, "CHUNK", 4)
+    units = ["aab", None, "ba", "\u00e9a", "", "c\u2603b\U00010348", "\x00d", "\u00e9\x7f"]
+    df = spark.createDataFrame([(u,) for u in units], "unit string").coalesce(1)
+    assert distributed.characters(df) == sorted(set("".join(u or "" for u in units)))
