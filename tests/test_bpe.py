@@ -15,7 +15,7 @@ from corpusloom.operators import counts, evaluate
 from corpusloom.operators.bpe import codec, dictionary, distributed
 from corpusloom.operators.bpe.checkpoint import Checkpoint
 from corpusloom.operators.bpe.chain import Chain, Ranks, apply_ranks
-from corpusloom.operators.bpe.learner import Counted, Located, learn, learn_by_recount, replaced
+from corpusloom.operators.bpe.learner import Counted, Flat, Located, learn, learn_by_recount, replaced
 from corpusloom.operators.bpe.model import ALPHABET, OFFSET, Model, Symbols
 
 UNITS = st.lists(st.tuples(st.lists(st.integers(0, 4), max_size=9).map(tuple), st.integers(1, 4)), min_size=1, max_size=6)
@@ -557,3 +557,53 @@ def test_characters_of_any_text_are_found(spark, monkeypatch):
     units = ["aab", None, "ba", "\u00e9a", "", "c\u2603b\U00010348", "\x00d", "\u00e9\x7f"]
     df = spark.createDataFrame([(u,) for u in units], "unit string").coalesce(1)
     assert distributed.characters(df) == sorted(set("".join(u or "" for u in units)))
+
+
+@settings(max_examples=100, deadline=None)
+@given(UNITS, st.lists(st.tuples(st.integers(0, 8), st.integers(0, 8)), min_size=1, max_size=6), st.integers(1, 40), st.booleans())
+def test_merges_without_links_equal_those_with_links(units, pairs, together, one):
+    """Changes of counts and weights are the same whether symbols have links or not, and however they are dealt out."""
+    count = lambda us: Counted(Chain(np.array([x for s, _ in us for x in s], np.int32), np.array([len(s) for s, _ in us])), np.array([f for _, f in us]))
+    dealt = lambda: iter([count(units)] if one else [count([u]) for u in units])
+    flat, as_one, linked = Flat(dealt(), together), Located(distributed._as_one(dealt())), Located(count(units))
+    seqs = [s for s, _ in units]
+    for i, (a, b) in enumerate(pairs):
+        got = []
+        for way in (flat, as_one, linked):
+            keys, n, total = way.merge(a, b, 9 + i)
+            change: Counter = Counter()
+            for k, d in zip(keys.tolist(), n.tolist(), strict=True):
+                change[k] += d
+            got.append(({k: d for k, d in change.items() if d}, total))
+        assert got[0] == got[1]
+        if max(a, b) < 9:  # an old pair is found by all
+            assert got[0] == got[2]
+        seqs = [replaced(s, a, b, 9 + i) for s in seqs]
+    assert [x for s, _ in flat.parts for x in s[s >= 0].tolist()] == [x for s in seqs for x in s]
+
+
+def test_proposals_take_few_bytes_a_symbol():
+    """Few merges are proposed from symbols alone, some 5 bytes each with their frequencies; with links they took 35."""
+    n, k = 1 << 18, 16
+    ids = np.random.default_rng(7).integers(0, 90, n).astype(np.uint16)
+    row = distributed._row(ids, np.full(n // 16, 16), np.ones(n // 16, np.int64))
+    tracemalloc.start()
+    try:
+        here = Flat(distributed._unpacked(iter([row] * k)), n)
+        for i in range(20):
+            here.merge(i, i + 20, 90 + i)
+        assert tracemalloc.get_traced_memory()[1] < 9 * n * k
+    finally:
+        tracemalloc.stop()
+
+
+def test_the_sample_stays_in_chunks(spark, monkeypatch):
+    """No task puts the sample together in one row; before, its one row had all of it."""
+    monkeypatch.setattr(distributed, "CHUNK", 64)
+    units = spark.createDataFrame([(f"word{i:04}", i + 1) for i in range(100)], "unit string, freq long")
+    s = Symbols()
+    corpus = distributed.DealtCorpus(units, texts=Model(list(s.strings), [], []))
+    assert corpus.sample.rdd.getNumPartitions() == 1
+    assert max(r.n for r in corpus.sample.select("n").collect()) <= 64
+    want = learn_by_recount([(tuple(s.base[c] for c in f"word{i:04}"), i + 1) for i in range(100)], len(s) + 12, Symbols())
+    assert learn(lambda _: corpus, len(s) + 12, s)[0] == want
